@@ -1,0 +1,106 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.llm import pii
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: The contract's patterns.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def valid(kind, x):
+    d = re.sub("[^0-9]", "", x)
+    return {"email": True, "ip": all(int(p) <= 255 for p in x.split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 0, "phone": 9 <= len(d) <= 15}[kind]
+
+
+def plain(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if valid(k, m.group())]
+
+
+ODD = [
+    None, "", "é" * 50 + " a.b@c-d.example.com_x@y.org 1.2.3.4.5.6.7.8 001.2.3.0004 300.1.1.1 12.34.56.78",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 +1 (782) 555-0489 +49 30 123 +1)))2 +12345678901234567",
+    "𝒳 a@b..c a@b.c a@b.c.d@e.f @x.y +.@a.b 1.2.3 1..2.3.4", "0" * 15 + ".1.1.1 " + "9" * 40,
+    "x" * 5000 + "@" + "y" * 5000 + ".z", "a@b" + ".c" * 20000, "+1 " + "5 " * 3000, "1 2-3 " * 3000,
+    " ".join(f"u{i}@h{i}.org" for i in range(3000)), 'password=e3b3ed3cc8548923d6 und token = "7a508941629a55ca83"',
+    "Tel: (325) 555-3423. SSN: 123-45-6789, mail jo [at] host [dot] com now", "order 123 456 7890 and 1234567890123456 deadbeefdeadbeefdeadbeefdeadbeef",
+]
+
+
+@pytest.fixture(scope="module")
+def got(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(ODD)], SCHEMA).withColumn("n_email", F.lit("clash"))
+    return {r.doc_id: r for r in pii.detect(docs).collect()}
+
+
+def check(text, r):
+    want = plain(text)
+    assert [getattr(r, f"n_{k}") for k in PLAIN] == [sum(w[0] == k for w in want) for k in PLAIN]
+    base = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+    assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert r.spans.startswith(base)
+
+
+def test_base_spans_of_odd_texts(got):
+    for i, t in enumerate(ODD):
+        check(t, got[i])
+
+
+def test_base_spans_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.detect(docs).collect():
+        check(texts[r.doc_id], r)
+
+
+def test_added_spans(got):
+    assert sorted(s.split(":")[0] for s in got[11].spans.split(",")) == ["secret", "secret"]
+    assert sorted(s.split(":")[0] for s in got[12].spans.split(",")) == ["masked_email", "national_id", "national_phone"]
+    assert got[13].spans == ""
+
+
+def test_feature_expression_matches_trees(spark):
+    from quillgraph.llm import boost
+
+    for kind, (trees, least) in pii.models(spark).items():
+        rows = [(i, t, y) for i, (t, y) in enumerate(pii.synthetic(kind, 200, 99))]
+        df = spark.createDataFrame(rows, "i int, text string, y int").withColumn("__text", F.col("text"))
+        df = pii._found(df, "c", pii.EXTRA_PATTERNS[kind], None).select("y", F.explode("c").alias("c"))
+        df = df.select("y", F.array(*pii.features(kind, F.col("c"))).alias("f"))
+        out = df.select("y", "f", F.expr(boost.expression(trees, "f")).alias("m")).collect()
+        import numpy as np
+
+        m = boost.margin(trees, np.array([r.f for r in out]))
+        assert np.allclose(m, [r.m for r in out])
+        hit = [r.y for r in out if r.m >= least]
+        assert sum(hit) / len(hit) > 0.9 and sum(hit) > 70, kind
+
+
+def test_redact(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in enumerate(ODD)], SCHEMA)
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert out[0].text is None and out[1].text == ""
+    for i, t in enumerate(ODD):
+        want, at, res = sorted((s, e, k) for k, s, e in plain(t)), 0, ""
+        if i in (11, 12):
+            continue
+        for s, e, k in want:
+            if s >= at:
+                res += t[at:s] + f"<{k.upper()}>"
+            at = max(at, e)
+        if t is not None:
+            assert out[i].text == res + t[at:] and (not want or out[i].n_chars == len(out[i].text))
+    assert out[11].text == 'password=<SECRET> und token = "<SECRET>"'
+    assert pii.redact(docs.limit(0)).count() == 0
