@@ -33,8 +33,8 @@ from quillgraph.llm.common import DOC_COLUMNS
 #: The public model file; a parameter of every function that encodes.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words and pairs that a Python worker remembers, characters of text in work at once, longest remembered word.
-MOST_WORDS, MOST_PAIRS, SLAB, LONG = 300_000, 1_000_000, 4_000_000, 200
+#: Words and pairs that a Python worker remembers, characters of text in work at once, longest remembered word, rows of a result batch.
+MOST_WORDS, MOST_PAIRS, SLAB, LONG, SLICE = 700_000, 1_000_000, 8_000_000, 200, 2500
 
 
 class Vocabulary:
@@ -55,7 +55,12 @@ class Vocabulary:
         back = {i: b for b, i in self.byte_ids.items()}
         self.bytes = [bytes([back[i]]) if i in back else b"" if i in special and i != unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.bytes[unknown] = " ⁇ ".encode()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        ends: dict[str, set[int]] = {}  # lengths of the pieces that end in two given characters
+        for p in self.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], {1}).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
 
     @classmethod
     def load(cls, model: bytes, kind: str = "bpe"):
@@ -95,49 +100,76 @@ class Vocabulary:
             offer(i, right[i])
         return [s for s in sym if s is not None]
 
-    def follows(self, a: str, b: str) -> bool:
-        key = (self.ids.get(a, -1), self.ids.get(b, -1))
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merge(a + b) == [a, b]
+    def follows(self, before: int, piece: int) -> bool:
+        """Whether ``piece`` stays as it is after ``before`` (-1: at the start of a word)."""
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        b = self.pieces[piece]
+        a = [self.pieces[before]] if before >= 0 else []
+        got = self.pairs[before * len(self.pieces) + piece] = self.merge("".join(a) + b) == [*a, b]
         return got
 
     def words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words, in trie order; forward states of a shared prefix are kept."""
-        ids, scores, bpe, longest = self.ids, self.scores, self.kind == "bpe", self.longest
-        floor = min(scores, default=0.0) - 10.0
-        before = ""
-        last: list[str] = []  # last piece of the best encoding of each prefix
-        best: list[float] = [0.0]  # its score
-        for w in sorted(words):
-            if bpe and w.startswith(SPACE * 2):
+        return (self._bpe if self.kind == "bpe" else self._unigram)(sorted(words))
+
+    def _bpe(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        ids, pairs, size, before = self.ids, self.pairs, len(self.pieces), ""
+        lengths, single = self.lengths, (1,)
+        last, spans = [-1], [0]  # last piece of each prefix and its length
+        for w in words:
+            if w.startswith(SPACE * 2):
                 yield w, [i for p in self.merge(w) for i in ([ids[p]] if p in ids else self.unknown_ids(p))]
                 continue
+            if len(w) == 1:
+                yield w, [ids[w]] if w in ids else self.unknown_ids(w)
+                continue
             shared = len(commonprefix((before, w)))
-            del last[shared:], best[shared + 1 :]
+            del last[shared + 1 :], spans[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                piece, score = None, -np.inf
-                for n in range(min(longest, end), 0, -1):
-                    p = w[end - n : end]
-                    i = ids.get(p)
-                    if i is None and n > 1:
-                        continue
-                    s = best[end - n] + (floor if i is None else scores[i])
-                    if bpe:
-                        if self.follows(last[end - n - 1], p) if end > n else self.merge(p) == [p]:
-                            piece, score = p, s
+                for n in lengths.get(w[end - 2 : end], single) if end > 1 else single:
+                    if n <= end and (i := ids.get(w[end - n : end])) is not None:
+                        prior = last[end - n]
+                        good = pairs.get(prior * size + i)
+                        if good or (good is None and self.follows(prior, i)):
+                            last.append(i)
+                            spans.append(n)
                             break
-                    elif s > score:
-                        piece, score = p, s
-                last.append(piece)
-                best.append(score)
+                else:  # a character outside the vocabulary joins nothing
+                    last.append(-2)
+                    spans.append(1)
+            before, at, out = w, len(w), []
+            while at:
+                out.append(last[at])
+                at -= spans[at]
+            out.reverse()
+            if -2 in out:
+                parts, at = [], 0
+                for i in out:
+                    n = 1 if i == -2 else len(self.pieces[i])
+                    parts += self.unknown_ids(w[at]) if i == -2 else [i]
+                    at += n
+                out = parts
+            yield w, out
+
+    def _unigram(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        ids, scores, before = self.ids, self.scores, ""
+        floor = min(scores, default=0.0) - 10.0
+        best, spans = [0.0], [0]  # best score of each prefix and the length of its last piece
+        for w in words:
+            shared = len(commonprefix((before, w)))
+            del best[shared + 1 :], spans[shared + 1 :]
+            for end in range(shared + 1, len(w) + 1):
+                found = [(best[end - n] + scores[ids[p]], n) for n in range(1, min(self.longest, end) + 1) if (p := w[end - n : end]) in ids]
+                top = max(found, default=(best[end - 1] + floor, 1))
+                best.append(top[0])
+                spans.append(top[1])
             before, at, out = w, len(w), []
             while at:
-                out.append(last[at - 1])
-                at -= len(last[at - 1])
-            yield w, [i for p in reversed(out) for i in ([ids[p]] if p in ids else self.unknown_ids(p))]
+                p = w[at - spans[at] : at]
+                out.append([ids[p]] if p in ids else self.unknown_ids(p))
+                at -= spans[at]
+            yield w, [i for part in reversed(out) for i in part]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes
@@ -182,8 +214,8 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(proto, kind)
         for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
                 ids = list(enc.encode(part.column(1).to_pylist()))
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
@@ -208,8 +240,8 @@ def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(proto)
         for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
                 texts = part.column(at).to_pylist()
                 ids = list(enc.encode(texts))
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
