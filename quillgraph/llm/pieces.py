@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +56,12 @@ class Vocabulary:
         self.bytes = [bytes([back[i]]) if i in back else b"" if i in special and i != unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.bytes[unknown] = " ⁇ ".encode()
         self.pairs: dict[int, bool] = {}
-        ends: dict[str, set[int]] = {}  # lengths of the pieces that end in two given characters
-        for p in self.ids:
+        ends: dict[str, set[int]] = {}  # lengths of the pieces that end in two, and in three, given characters
+        for p in sorted(self.ids, key=len):
             if len(p) > 1:
-                ends.setdefault(p[-2:], {1}).add(len(p))
+                ends.setdefault(p[-2:], {1}).add(2 if len(p) == 2 else 1)
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {*ends[p[-2:]]}).add(len(p))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
 
     @classmethod
@@ -124,10 +126,13 @@ class Vocabulary:
             if len(w) == 1:
                 yield w, [ids[w]] if w in ids else self.unknown_ids(w)
                 continue
-            shared = len(commonprefix((before, w)))
+            shared, most = 0, min(len(before), len(w))
+            while shared < most and before[shared] == w[shared]:
+                shared += 1
             del last[shared + 1 :], spans[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                for n in lengths.get(w[end - 2 : end], single) if end > 1 else single:
+                tried = lengths.get(w[end - 3 : end]) if end > 2 else None
+                for n in tried or (lengths.get(w[end - 2 : end], single) if end > 1 else single):
                     if n <= end and (i := ids.get(w[end - n : end])) is not None:
                         prior = last[end - n]
                         good = pairs.get(prior * size + i)
@@ -157,7 +162,9 @@ class Vocabulary:
         floor = min(scores, default=0.0) - 10.0
         best, spans = [0.0], [0]  # best score of each prefix and the length of its last piece
         for w in words:
-            shared = len(commonprefix((before, w)))
+            shared, most = 0, min(len(before), len(w))
+            while shared < most and before[shared] == w[shared]:
+                shared += 1
             del best[shared + 1 :], spans[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
                 found = [(best[end - n] + scores[ids[p]], n) for n in range(1, min(self.longest, end) + 1) if (p := w[end - n : end]) in ids]
@@ -198,7 +205,7 @@ class Encoder:
             known = self.known
             new = {w for ws in cut for w in ws if w not in known}
             for w, ids in self.v.words(new):
-                known[w] = np.array(ids, np.int32).tobytes()
+                known[w] = array("i", ids).tobytes()
             for ws in cut:
                 yield b"".join([known[w] for w in ws])
             for w in new:
