@@ -48,7 +48,7 @@ def parse(path: str, content: str, language: str | None = None) -> Graph:
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files (path, content), one row per id, ordered by path and place in the file."""
-    rows = files.select("path", "content", text.language(F.col("path")).alias("language"), F.xxhash64("path").alias("file_ord"))
+    rows = files.select("path", "content", text.language(F.col("path")).alias("language"))
 
     def run(which: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         ints = {"start_line", "end_line", "line"}
