@@ -34,7 +34,7 @@ from quillgraph.llm.common import DOC_COLUMNS
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and pairs that a Python worker remembers, characters of text in work at once, longest remembered word, rows of a result batch.
-MOST_WORDS, MOST_PAIRS, SLAB, LONG, SLICE = 700_000, 1_000_000, 8_000_000, 200, 2500
+MOST_WORDS, MOST_PAIRS, SLAB, LONG, SLICE = 600_000, 1_000_000, 3_000_000, 200, 2500
 
 
 class Vocabulary:
