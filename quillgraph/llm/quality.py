@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpoint, words_of
 
-BUCKETS, SEED, KEEP = 10_000, 23, 0.8
+BUCKETS, SEED = 10_000, 23
+#: Share kept where no label tells the share of good documents.
+UNLABELLED = 0.8
 TARGET_ROWS, FINE, BINS = 50_000, 10_000, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,8 +125,18 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return sorted((r.v for r in now.collect()), reverse=True)[k - 1]  # FINE rows at most
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, gumbel_key, kept): kept marks the share ``keep`` of rows with the largest keys."""
+def good_share(labels: DataFrame) -> float:
+    """Share of good documents among those labelled."""
+    n = labels.where("quality is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good")).first()
+    return n.good / n.n if n.n else UNLABELLED
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_grams, log_weight, gumbel_key, kept): kept marks the share ``keep`` of rows with the largest keys.
+
+    Without ``keep`` it is the share of good documents among those labelled.
+    """
+    keep = good_share(labels) if keep is None else keep
     weighed = checkpoint(weigh(docs, learn(docs, labels), seed))
     least = kth_largest(weighed, "gumbel_key", math.ceil(keep * weighed.count()))
     return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(least))

@@ -71,7 +71,9 @@ def test_quality(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     got = quality.report(docs, labels)
     n = got.count()
-    assert abs(got.where("kept").count() - math.ceil(0.8 * n)) <= 40
+    assert abs(got.where("kept").count() - math.ceil(quality.good_share(labels) * n)) <= 40
+    judged = got.join(labels, "doc_id").where("quality is not null").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    assert {r.quality: r.k for r in judged}[1] > 0.95 and {r.quality: r.k for r in judged}[0] < 0.35
     rows = got.join(labels, "doc_id").select("quality", "kept", (F.col("log_weight") / F.greatest("n_grams", F.lit(1))).alias("w")).where("quality is not null").collect()
     good, bad = [r.w for r in rows if r.quality == 1], [r.w for r in rows if r.quality == 0]
     assert np.mean([g > b for g in good[:800] for b in bad[:300]]) > 0.7
