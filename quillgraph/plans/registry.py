@@ -85,7 +85,7 @@ def regex_calls(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.explode(text.calls(F.col("text"))).alias("callee"))
 
 
-@query("SELECT page_id, sum(len(s)) AS script_chars, count(*) AS scripts FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS s FROM pages) GROUP BY page_id")
+@query("SELECT page_id, CAST(sum(len(s)) AS BIGINT) AS script_chars, count(*) AS scripts FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS s FROM pages) GROUP BY page_id")
 def sfc_scripts(spark, d):
     t = _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("s"))
     return t.groupBy("page_id").agg(F.sum(F.length("s")).alias("script_chars"), F.count(F.lit(1)).alias("scripts"))
@@ -194,8 +194,8 @@ def _levels_sql(seeds: str, depth: int) -> str:
 
 
 def _summary_sql(seeds: str, depth: int, graph: str = G) -> str:
-    return f"""{graph}, {_levels_sql(seeds, depth)}, sums AS (SELECT l.seed, count_if(depth = 1) AS direct_callers, count_if(depth > 1) AS transitive_callers, count(DISTINCT n.file_path) AS affected_files,
-    count_if(depth > 0 AND n.kind = 'route') AS affected_routes FROM levels l LEFT JOIN nodes n ON n.id = l.id GROUP BY l.seed),
+    return f"""{graph}, {_levels_sql(seeds, depth)}, sums AS (SELECT l.seed, CAST(count_if(depth = 1) AS BIGINT) AS direct_callers, CAST(count_if(depth > 1) AS BIGINT) AS transitive_callers, count(DISTINCT n.file_path) AS affected_files,
+    CAST(count_if(depth > 0 AND n.kind = 'route') AS BIGINT) AS affected_routes FROM levels l LEFT JOIN nodes n ON n.id = l.id GROUP BY l.seed),
     judged AS (SELECT *, CASE WHEN affected_routes > 0 OR direct_callers + transitive_callers > 15 OR affected_files > 5 THEN 'CRITICAL' WHEN direct_callers + transitive_callers > 6 OR affected_files > 2 THEN 'HIGH'
     WHEN direct_callers + transitive_callers > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM sums)"""
 
@@ -236,7 +236,7 @@ def forward_flow(spark, d):
     return traverse.forward_flow(star.nodes(spark, d), star.edges(spark, d), "order:33", 3)
 
 
-@query(f"{G} SELECT count(*) AS callers, count_if(n.kind = 'route') AS routes, CASE WHEN count_if(n.kind = 'route') > 0 OR count(*) > 10 THEN 'CRITICAL' WHEN count(*) > 5 THEN 'HIGH' WHEN count(*) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = '{_NODE}'")
+@query(f"{G} SELECT count(*) AS callers, CAST(count_if(n.kind = 'route') AS BIGINT) AS routes, CASE WHEN count_if(n.kind = 'route') > 0 OR count(*) > 10 THEN 'CRITICAL' WHEN count(*) > 5 THEN 'HIGH' WHEN count(*) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = '{_NODE}'")
 def blast_radius_1hop(spark, d):
     return traverse.blast_radius(star.nodes(spark, d), star.edges(spark, d), _NODE)
 
@@ -291,7 +291,7 @@ def god_nodes(spark, d):
     return metrics.god_nodes(star.nodes(spark, d, star.SMALL), star.edges(spark, d, star.SMALL))
 
 
-@query(f"{_graph(['customer', 'orders', 'lineitem'])} SELECT count_if(s.id IS NULL OR (t.id IS NULL AND NOT regexp_matches(target_id, '^(sym|pkg|crate|file):'))) AS broken_edges, count_if(t.id IS NULL AND regexp_matches(target_id, '^(sym|pkg|crate|file):')) AS external_refs, count_if(source_id = target_id) AS self_loops, count(*) AS total_edges FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id")
+@query(f"{_graph(['customer', 'orders', 'lineitem'])} SELECT CAST(count_if(s.id IS NULL OR (t.id IS NULL AND NOT regexp_matches(target_id, '^(sym|pkg|crate|file):'))) AS BIGINT) AS broken_edges, CAST(count_if(t.id IS NULL AND regexp_matches(target_id, '^(sym|pkg|crate|file):')) AS BIGINT) AS external_refs, CAST(count_if(source_id = target_id) AS BIGINT) AS self_loops, count(*) AS total_edges FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id")
 def diagnose_integrity(spark, d):
     some = ["customer", "orders", "lineitem"]
     return metrics.diagnose(star.nodes(spark, d, some), star.edges(spark, d, some))
