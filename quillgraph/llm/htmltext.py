@@ -10,7 +10,7 @@ has an article (or main) element its text is the result, else what is left of th
 
 White space is what ``str.split`` takes for it. Blocks are separated by block elements and line breaks.
 
-Defined results: null and empty html give an empty text; a null or unparsable url is a host of its own, named by the
+Defined results: null and empty html give an empty text; a quote opens a quoted value only after an equals sign; a null or unparsable url is a host of its own, named by the
 empty string; repeated rows pass but count as pages; unclosed and truncated markup closes at the end; columns other than
 page_id, url and html are ignored; an empty table gives an empty result.
 """
@@ -51,7 +51,7 @@ WORDS = re.compile(
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 
 

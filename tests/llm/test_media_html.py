@@ -58,6 +58,8 @@ def test_extract_rules():
     assert htmltext.extract("a < b &amp; c &am") == "a < b & c &am"
     assert htmltext.extract("<div>" * 20000 + "deep") == "deep"
     assert htmltext.extract("<article>x</article><p>y</p><article>z</article>") == "x z"
+    # a quote that no equals sign precedes is part of a value or name and hides nothing
+    assert htmltext.extract("<article><p title=don't>One</p><p class='a>b'>Two</p><p title = \"x>y\">Three</p>It's</article>") == "One Two Three It's"
 
 
 def test_site_template(spark):
