@@ -55,6 +55,14 @@ def line_of(content: Column, position: Column) -> Column:
     return F.length(F.substring(content, F.lit(1), position)) - F.length(F.replace(F.substring(content, F.lit(1), position), F.lit("\n"), F.lit(""))) + 1
 
 
+def source_lines(content: Column, start: Column, end: Column, around: int = 2) -> Column:
+    """Lines ``start`` to ``end`` (from 1) with up to ``around`` more on each side, as one text."""
+    lines = F.split(content, "\n", -1)
+    first = F.greatest(start - around, F.lit(1))
+    last = F.least(end + around, F.size(lines))
+    return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
 def symbol_tokens(name: Column) -> Column:
     """Distinct lower-case tokens of 2 to 50 letters and digits, in order of first appearance."""
     clean = F.trim(F.coalesce(name, F.lit("")))
