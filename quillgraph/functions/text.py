@@ -70,13 +70,15 @@ def symbol_tokens(name: Column) -> Column:
     split = lambda s: F.split(F.regexp_replace(F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), " ")
     words = F.flatten(F.transform(segments, lambda s: F.concat(F.array(F.lower(s)), F.transform(split(s), F.lower))))
     all_ = F.concat(words, F.array(F.lower(F.regexp_replace(clean, "[^a-zA-Z0-9]", ""))))
-    return F.array_distinct(F.filter(all_, lambda w: F.length(w).between(2, 50)))
+    kept = lambda ws: F.filter(ws, lambda w: F.length(w).between(2, 50))
+    # a word in lower case, but for its first letter, has one token and needs no splitting
+    return F.when(clean.rlike(r"^[A-Za-z]?[a-z0-9]*\z"), kept(F.array(F.lower(clean)))).otherwise(F.array_distinct(kept(all_)))
 
 
 def text_tokens(text: Column) -> Column:
     """Distinct symbol tokens of the words of a text."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s,.;:()\[\]{}<>\"'`\\/|!?*+=~^%#@&$-]+"), lambda s: F.length(s) >= 2)
-    return F.array_distinct(F.flatten(F.transform(words, symbol_tokens)))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), symbol_tokens)))
 
 
 def calls(body: Column) -> Column:
