@@ -134,3 +134,26 @@ def test_parse_others():
 def test_scan_rules():
     assert workspace.wanted("p/__init__.py", 1) and workspace.wanted(".hidden.ts", 1) and workspace.wanted("x.swift", 1)
     assert not any(workspace.wanted(p, s) for p, s in (("node_modules/a.js", 1), ("a.ts", (1 << 20) + 1), ("y.txt", 1), ("a.min.js", 1)))
+
+
+def test_plain_words_have_the_tokens_of_the_long_way(spark):
+    import re
+
+    def long_way(name):
+        segments = [x for x in re.split("[^a-zA-Z0-9]+", name.strip(" ")) if x]
+        out = []
+        for x in segments:
+            parts = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", x)).split(" ")
+            out += [x.lower(), *[w.lower() for w in parts]]
+        out.append(re.sub("[^a-zA-Z0-9]", "", name).lower())
+        return list(dict.fromkeys(w for w in out if 2 <= len(w) <= 50))
+
+    r = random.Random(4)
+    words = ["", "a", "A", "ab\n", "Ab", "x" * 50, "x" * 51, "\u00e9ab", *["".join(r.choice("abAB1_ -\n") for _ in range(r.randint(1, 6))) for _ in range(500)]]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.symbol_tokens(F.col("w")).alias("t")).collect()
+    assert all(row.t == long_way(row.w) for row in rows)
+
+
+def test_source_lines(spark):
+    row = spark.sql("SELECT 'a\\nb\\nc\\nd\\ne' AS x").select(*[text.source_lines(F.col("x"), F.lit(a), F.lit(b), k).alias(n) for n, a, b, k in (("mid", 3, 3, 1), ("all", 1, 5, 2), ("end", 5, 5, 2), ("out", 9, 9, 2))]).first()
+    assert (row.mid, row.all, row.end, row.out) == ("b\nc\nd", "a\nb\nc\nd\ne", "c\nd\ne", "")
