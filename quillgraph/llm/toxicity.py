@@ -6,9 +6,9 @@ Discounts are the modified Kneser-Ney ones, estimated from the counts. A text's
 of its words, normalised by length over the whole text and over its strongest runs of ``RUNS`` words; a
 logistic curve, fitted on scores from models that had not seen the text (two folds), maps it to 0..1.
 
-Learning uses at most about ``MOST`` labelled rows per class, picked by hash, whose crc32(doc_id) mod 4 is not 2;
-bigrams seen fewer than ``LEAST_PAIR`` times keep their mass in the backoff but no entry of their own. Words are runs of
-letters, in lower case, and enter as 64-bit hashes.
+Counts cover every labelled row whose crc32(doc_id) mod 4 is not 2, and every word and bigram keeps its own entry. They
+stay in the shared folder; a task looks up those of its own texts by reading through the files, so that what it holds is bounded by
+``CHUNK`` and not by the model. Only the logistic curve is fitted on a sample, of about ``MOST`` rows per class at most. Words are runs of letters, in lower case, and enter as 64-bit hashes.
 
 Defined results: null and empty texts score the fitted prior of a text without evidence; without labels of both
 classes every score is 0; repeated rows pass, a null doc_id is not held out and not learnt from; columns other than
@@ -22,18 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpoint, text_remainder, written
 
+#: Labelled rows per class that the logistic curve is fitted on.
 MOST = {0: 10_000, 1: 4_000}
+#: Words of texts scored at once; labelled rows that may be broadcast (more are joined by shuffle).
+CHUNK, BROADCAST_ROWS = 2_500_000, 2_000_000
 RUNS = (1, 4, 16)
 #: Ratios above which words are counted as strong evidence.
 STRONG = (1.5, 2.5, 3.5)
 EXTRA = len(STRONG) + 3
 THRESHOLD, FOLD, HELD = 0.3, 4, 2
-LEAST_PAIR = 5
 BOS = np.uint64(1)
 
 
@@ -51,18 +55,26 @@ def _cut(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Both classes' models.
+    """Both classes' models, whole or the part that some texts need.
 
-    ``words``: hashes of the words kept, ascending; ``shared`` and ``cont``: their continuation counts, of both classes and of each;
-    ``mass``: how often each precedes a word, by class; ``pairs``: before, word and counts by class of the pairs kept;
-    ``seen``: for "shared", "cont0", "cont1", "pair0", "pair1" how many events occur one to four times, and their sum.
+    ``words``: hashes of the words, ascending; ``shared`` and ``cont``: their continuation counts, of both classes and of each;
+    ``mass``: how often each precedes a word, by class; ``pairs``: before, word and counts by class of the pairs;
+    ``seen``: for "shared", "cont0", "cont1", "pair0", "pair1" how many events occur one to four times, their sum, and (in a part) their number.
+    ``size`` and ``cuts`` are of a part: the words of the whole model, and for each word here the discounted counts of all pairs that it begins, by class.
     """
 
-    def __init__(self, words: np.ndarray, shared: np.ndarray, cont: np.ndarray, mass: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], seen: dict[str, list[int]]):
+    def __init__(self, words: np.ndarray, shared: np.ndarray, cont: np.ndarray, mass: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], seen: dict[str, list[int]], size: int | None = None, cuts: np.ndarray | None = None):
+        def left(name: str, cut: np.ndarray) -> float:
+            """The share that discounting takes from all events."""
+            if size is None:
+                return float(1 - cut.sum() / max(seen[name][4], 1))
+            d, (one, two, _, _, total, events) = discounts(seen[name][:4]), seen[name]
+            return float(d[1] * one + d[2] * two + d[3] * (events - one - two)) / total if total else 1.0
+
         self.words, n = words, len(words)
         total = max(seen["shared"][4], 1)
         cut = _cut(shared, discounts(seen["shared"][:4]))
-        self.rare = float(1 - cut.sum() / total) / (n + seen["shared"][0] + 1)  # shared probability of any other word
+        self.rare = left("shared", cut) / ((n if size is None else size) + 1)  # shared probability of any other word
         ps = cut / total + self.rare
         before, word, counts = pairs
         find = lambda x: np.minimum(np.searchsorted(words, x), max(n - 1, 0))
@@ -73,12 +85,12 @@ class Model:
         for c in (0, 1):
             total = max(seen[f"cont{c}"][4], 1)
             cut = _cut(cont[:, c], discounts(seen[f"cont{c}"][:4]))
-            back = 1 - cut.sum() / total
+            back = left(f"cont{c}", cut)
             self.one.append(np.append(cut / total + back * ps, back * self.rare))  # the last entry stands for other words
             part = np.where(known, _cut(counts[:, c], discounts(seen[f"pair{c}"][:4])) / np.maximum(mass[at, c] if n else 1, 1), 0.0)
             self.parts.append(part[order])
-            self.keep.append(np.append(1 - np.bincount(at[known], weights=part[known], minlength=n), 1.0))
-        self.weights = np.zeros(len(RUNS) + EXTRA)
+            used = np.bincount(at[known], weights=part[known], minlength=n) if cuts is None else cuts[:, c] / np.maximum(mass[:, c], 1)
+            self.keep.append(np.append(1 - used, 1.0))
 
     @staticmethod
     def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -92,7 +104,7 @@ class Model:
         n = len(self.words)
         find = lambda table, x: np.minimum(np.searchsorted(table, x), max(len(table) - 1, 0))
         w, b = find(self.words, h), find(self.words, before)
-        w, b = np.where(self.words[w] == h, w, n), np.where(self.words[b] == before, b, n)
+        w, b = (np.where(self.words[i] == x, i, n) if n else np.zeros(len(h), np.int64) for i, x in ((w, h), (b, before)))
         p = [self.keep[c][b] * self.one[c][w] for c in (0, 1)]
         if len(self.keys):
             key = self._key(before, h)
@@ -107,7 +119,7 @@ class Model:
         out = np.zeros((len(lengths), len(RUNS) + EXTRA))
         out[:, -1] = 1.0
         out[:, -2] = np.log1p(lengths) / 5
-        if not len(h) or not len(self.words):
+        if not len(h):
             return out
         ends = np.cumsum(lengths)
         full = lengths > 0
@@ -124,8 +136,9 @@ class Model:
             out[full, 1 + len(RUNS) + j] = np.log1p(np.add.reduceat((r > least).astype(np.int64), starts))
         return out
 
-    def score(self, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(h, lengths) @ self.weights, -30, 30)))
+
+def curve(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -140,7 +153,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
+def _hashed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
     return docs.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
 
@@ -149,17 +162,29 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
 
 
-def _single(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, y, fold) of ``picked``, one of each set of near copies: copies are no new evidence.
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, y, fold) of all labelled documents outside the held-out remainder."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (text_remainder(F.col("doc_id"), FOLD) != HELD))
+    one = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    return one.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int"))
+
+
+def _with(docs: DataFrame, rows: DataFrame, on: str | list[str], n: int) -> DataFrame:
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, on)
+
+
+def _single(docs: DataFrame, rows: DataFrame, n: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, fold) of ``rows``, one of each set of near copies: copies are no new evidence; and the rows of each class before that.
 
     Near copies have an equal smallest or an equal largest hash of three words. Only those hashes are moved.
     """
     i = F.sequence(F.lit(0), F.greatest(F.size("h") - 3, F.lit(0)))
-    rows = _hashed(docs.join(F.broadcast(picked), "doc_id"), "doc_id", "y", "fold")  # bounded by MOST
-    rows = rows.withColumn("s", F.transform(i, lambda j: F.xxhash64(F.get("h", j), F.get("h", j + 1), F.get("h", j + 2)))).select("doc_id", "y", "fold", F.array_min("s").alias("low"), F.array_max("s").alias("high"))
+    both = _hashed(_with(docs, rows, "doc_id", n), "doc_id", "y", "fold")
+    both = checkpoint(both.withColumn("s", F.transform(i, lambda j: F.xxhash64(F.get("h", j), F.get("h", j + 1), F.get("h", j + 2)))).select("doc_id", "y", "fold", F.array_min("s").alias("low"), F.array_max("s").alias("high")))
+    before = {r.y: r["count"] for r in both.groupBy("y").count().collect()}
     for end in ("low", "high"):
-        rows = rows.groupBy(end, "y").agg(F.min(F.struct("doc_id", "fold", "low", "high")).alias("r")).select("y", "r.*")
-    return checkpoint(rows.select("doc_id", "y", "fold"))
+        both = both.groupBy(end, "y").agg(F.min(F.struct("doc_id", "fold", "low", "high")).alias("r")).select("y", "r.*")
+    return checkpoint(both.select("doc_id", "y", "fold")), before
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,96 +204,148 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)), pa.array(y[new].view(np.int64)), *[pa.array(np.ascontiguousarray(sums[:, c])) for c in range(4)]], ["a", "b", "n0", "n1", "n2", "n3"])
 
 
-def sample(labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """(doc_id, y, fold) of about ``MOST`` labelled rows per class at most, and the share picked of each class; held-out rows never enter."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (text_remainder(F.col("doc_id"), FOLD) != HELD))
-    one = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    n = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
-    share = {y: min(1.0, most / n.get(y, 1)) for y, most in MOST.items()}
-    least = F.when(F.col("y") == 1, F.lit(int(1e6 * share[1]))).otherwise(F.lit(int(1e6 * share[0])))
-    return one.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < least).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int")), share
+def sample(single: DataFrame) -> DataFrame:
+    """About ``MOST`` rows per class at most, picked by hash; the logistic curve is fitted on them."""
+    n = {r.y: r["count"] for r in single.groupBy("y").count().collect()}
+    least = {y: int(1e6 * min(1.0, most / n.get(y, 1))) for y, most in MOST.items()}
+    return single.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.when(F.col("y") == 1, F.lit(least[1])).otherwise(F.lit(least[0])))
 
 
 #: Columns of pair counts that make up each training set (fold 0, fold 1, both) and class.
 CELLS = {(0, 0): ["n0"], (0, 1): ["n1"], (1, 0): ["n2"], (1, 1): ["n3"], (2, 0): ["n0", "n2"], (2, 1): ["n1", "n3"]}
 
 
-def _statistics(counted: DataFrame) -> tuple[pa.Table, pa.Table, dict] | None:
-    """Words kept, pairs kept, and counts of counts, all bounded by ``MOST``; None without words of both classes."""
-    pairs = written(counted.groupBy("a", "b").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)]))
+class Counts:
+    """The counts of all learnt rows, as files of the shared folder, and their tallies."""
+
+    def __init__(self, pairs: DataFrame, words: DataFrame, seen: dict):
+        self.pairs, self.words, self.seen, self.size = pairs.inputFiles(), words.inputFiles(), seen, words.count()
+
+    @staticmethod
+    def _read(files: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+        for uri in files:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as f:
+                yield from pq.ParquetFile(f).iter_batches(1 << 18, columns=columns)
+
+    def parts(self, h: np.ndarray, before: np.ndarray, models: tuple[int, ...]) -> list[Model]:
+        """What the words ``h`` after ``before`` need of the models of fold 0, fold 1, or (2) both, in one reading."""
+        get = lambda b, c: np.asarray(pc.fill_null(b.column(c), 0))
+        find = lambda table, x: np.minimum(np.searchsorted(table, x), len(table) - 1)
+        # halves of both hashes in the files' order: fast to look up, and what it lets through too much the model tells apart
+        near = lambda x, y: (x & np.uint64(0xFFFFFFFF00000000)) | (y >> np.uint64(32))
+        words, keys = np.unique(h), np.unique(near(before, h))
+        names = [n for s in models for n in (f"shared{s}", *[f"{n}{s}{c}" for n in ("cont", "mass", "cuts") for c in (0, 1)])]
+        of, there = np.zeros((len(words), len(names))), np.zeros(len(words), bool)
+        for b in self._read(self.words, ["b", *names]):
+            x = get(b, "b").view(np.uint64)
+            hit = words[at := find(words, x)] == x
+            there[at[hit]] = True
+            of[at[hit]] = np.stack([get(b, c)[hit] for c in names], 1)
+        words, of = words[there], of[there]
+        found: list[tuple] = []
+        for b in self._read(self.pairs, ["a", "b", "n0", "n1", "n2", "n3"]):
+            x, y = get(b, "a").view(np.uint64), get(b, "b").view(np.uint64)
+            key = near(x, y)
+            hit = keys[find(keys, key)] == key
+            found.append((x[hit], y[hit], *[get(b, f"n{c}")[hit].astype(np.int32) for c in range(4)]))
+        x, y, *n = (np.concatenate(c) for c in zip(*found))
+        out = []
+        for i, s in enumerate(models):
+            own = of[:, 7 * i : 7 * i + 7]
+            counts = np.stack([sum(n[int(k[1])] for k in CELLS[s, c]) for c in (0, 1)], 1)
+            seen = {name: [self.seen[f"{column}_{k}"] or 0 for k in (1, 2, 3, 4, 5, 6)] for name, column in (("shared", f"shared{s}"), *[(f"{k}{c}", f"{k}{s}{c}") for k in ("cont", "pair") for c in (0, 1)])}
+            out.append(Model(words, own[:, 0], own[:, 1:3], own[:, 3:5], (x, y, counts), seen, self.size, own[:, 5:7]))
+        return out
+
+    def features(self, h: np.ndarray, lengths: np.ndarray, models: tuple[int, ...]) -> list[np.ndarray]:
+        """Features of the texts by each of ``models``."""
+        if not len(h):
+            return [np.zeros((len(lengths), len(RUNS) + EXTRA)) + np.eye(1, len(RUNS) + EXTRA, len(RUNS) + EXTRA - 1) for _ in models]
+        before = np.concatenate([[BOS], h[:-1]])
+        ends = np.cumsum(lengths)
+        before[(ends - lengths)[lengths > 0]] = BOS
+        parts = self.parts(h, before, models)
+        del before
+        at = np.concatenate([[0], ends])
+        cuts = [*range(0, len(lengths), 200), len(lengths)]  # few at once, for memory
+        return [np.concatenate([m.features(h[at[i] : at[j]], lengths[i:j]) for i, j in zip(cuts, cuts[1:])]) for m in parts]
+
+
+def _counts(counted: DataFrame) -> Counts | None:
+    """Every word and pair of the learnt rows; None without words of both classes."""
+    pairs = written(counted.groupBy("a", "b").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)]).sortWithinPartitions("a", "b"))
     of = {f"{s}{c}": sum((F.col(x) for x in cells), F.lit(0)) for (s, c), cells in CELLS.items()}
 
     def tally(name: str, column) -> list:
-        return [*[F.count_if(column == k).alias(f"{name}_{k}") for k in (1, 2, 3, 4)], F.sum(column).alias(f"{name}_5")]
+        return [*[F.count_if(column == k).alias(f"{name}_{k}") for k in (1, 2, 3, 4)], F.sum(column).alias(f"{name}_5"), F.count_if(column > 0).alias(f"{name}_6")]
 
     seen = pairs.agg(*[x for k, v in of.items() for x in tally(f"pair{k}", v)]).first().asDict()
     if not seen["pair20_5"] or not seen["pair21_5"]:
         return None
     after = pairs.groupBy("b").agg(*[F.count_if(v > 0).alias(f"cont{k}") for k, v in of.items()], *[F.count_if((of[f"{s}0"] + of[f"{s}1"]) > 0).alias(f"shared{s}") for s in range(3)])
-    after = written(after)
-    seen |= after.agg(*[x for c in after.columns[1:] for x in tally(c, F.col(c))]).first().asDict()
-    mass = pairs.groupBy("a").agg(*[F.sum(v).alias(f"mass{k}") for k, v in of.items()])
-    words = after.where("shared2 > 1").join(mass, F.col("b") == F.col("a"), "left").drop("a").toArrow()
-    kept = pairs.where(f"n0 + n1 + n2 + n3 >= {LEAST_PAIR}").toArrow()
-    return words, kept, seen
-
-
-def _model(statistics: tuple[pa.Table, pa.Table, dict], which: int) -> Model:
-    """The model of one training set: fold 0, fold 1, or (2) both."""
-    words, kept, seen = statistics
-    hashes = words.column("b").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    get = lambda t, c: pc.fill_null(t.column(c), 0).to_numpy()
-    both = lambda name: np.stack([get(words, f"{name}{which}{c}")[order] for c in (0, 1)], 1)
-    counts = np.stack([sum(get(kept, x) for x in CELLS[which, c]) for c in (0, 1)], 1)
-    tallies = {name: [seen[f"{column}_{k}"] or 0 for k in (1, 2, 3, 4, 5)] for name, column in (("shared", f"shared{which}"), *[(f"{n}{c}", f"{n}{which}{c}") for n in ("cont", "pair") for c in (0, 1)])}
-    pairs = (get(kept, "a").view(np.uint64), get(kept, "b").view(np.uint64), counts)
-    return Model(hashes[order], get(words, f"shared{which}")[order], both("cont"), both("mass"), pairs, tallies)
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The fitted model; None where a class has no labelled text."""
-    picked, share = sample(labels)
+    cuts = {}
+    for k, v in of.items():
+        d = [float(x) for x in discounts([seen[f"pair{k}_{i}"] for i in (1, 2, 3, 4)])]
+        cuts[k] = F.greatest(v - F.when(v == 0, d[0]).when(v == 1, d[1]).when(v == 2, d[2]).otherwise(d[3]), F.lit(0.0))
+    mass = pairs.groupBy("a").agg(*[F.sum(v).alias(f"mass{k}") for k, v in of.items()], *[F.sum(v).alias(f"cuts{k}") for k, v in cuts.items()])
+    words = written(after.join(mass, F.col("b") == F.col("a"), "left").drop("a").sortWithinPartitions("b"))
+    seen |= words.agg(*[x for c in after.columns[1:] for x in tally(c, F.col(c))]).first().asDict()
+    return Counts(pairs, words, seen)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows whose column h has about ``CHUNK`` words together."""
+    held, n = [], 0
+    for b in batches:
+        for start in range(0, b.num_rows, 500):
+            held.append(part := b.slice(start, 500))
+            n += len(part.column("h").flatten())
+            if n >= CHUNK:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Counts, np.ndarray] | None:
+    """The counts and the fitted curve's weights; None where a class has no labelled text."""
+    rows = labelled(labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    single = F.broadcast(_single(texts, picked))  # bounded by MOST
-    rows = _hashed(texts.join(single, "doc_id").withColumn("cell", F.col("y") + 2 * F.col("fold")), "cell", "y", "fold")
-    counted = rows.select("cell", "h").mapInArrow(_count, "a long, b long, n0 long, n1 long, n2 long, n3 long")
-    statistics = _statistics(counted)
-    if statistics is None:
+    single, before = _single(texts, rows, rows.count())
+    known = _hashed(_with(texts, single.select("doc_id", "y", "fold"), "doc_id", single.count()), "y", "fold", (F.col("y") + 2 * F.col("fold")).alias("cell"))
+    counts = _counts(known.select("cell", "h").mapInArrow(_count, "a long, b long, n0 long, n1 long, n2 long, n3 long"))
+    if counts is None:
         return None
-    halves = [_model(statistics, s) for s in (0, 1)]
-    shipped = docs.sparkSession.sparkContext.broadcast(halves)
+    k = len(RUNS) + EXTRA
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold, y = batch.column(1).to_numpy(), batch.column(0)
-            h, lengths = _values(batch.column(2))
-            both = [m.features(h, lengths) for m in shipped.value]
-            x = np.where((fold == 0)[:, None], both[1], both[0])
-            yield pa.RecordBatch.from_arrays([y, *[pa.array(np.ascontiguousarray(c)) for c in x.T]], ["y", *[f"f{i}" for i in range(x.shape[1])]])
-
-    k = len(RUNS) + EXTRA
-    judged = rows.select("y", "fold", "h").mapInArrow(judge, ", ".join(["y int", *[f"f{i} double" for i in range(k)]])).toArrow()  # bounded by MOST
+        for t in _chunks(batches):
+            b = t.to_batches()[0]
+            first, second = counts.features(*_values(b.column("h")), (0, 1))
+            x = np.where((b.column("fold").to_numpy() == 0)[:, None], second, first)  # by the counts of the other fold
+            yield pa.RecordBatch.from_arrays([b.column("y"), *[pa.array(np.ascontiguousarray(c)) for c in x.T]], ["y", *[f"f{i}" for i in range(k)]])
+
+    picked = _hashed(texts.join(F.broadcast(sample(single).select("doc_id", "y", "fold")), "doc_id"), "y", "fold")  # bounded by MOST
+    judged = picked.mapInArrow(judge, ", ".join(["y int", *[f"f{i} double" for i in range(k)]])).toArrow()  # bounded by MOST
     x, y = np.stack([judged.column(i + 1).to_numpy() for i in range(k)], 1), judged.column(0).to_numpy()
-    shipped.unpersist()
-    model = _model(statistics, 2)
-    model.weights = logistic(x, y)
-    model.weights[-1] += np.log(share[0] / share[1])  # back to the classes' own frequencies
-    return model
+    weights = logistic(x, y)
+    share = {c: max((y == c).sum(), 1) / before[c] for c in (0, 1)}
+    weights[-1] += np.log(share[0] / share[1])  # back to the classes' own frequencies, before copies were merged and rows picked
+    return counts, weights
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Counts, np.ndarray] | None) -> DataFrame:
     """(doc_id, score) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    counts, weights = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shipped.value.score(*_values(part.column(1))))], ["doc_id", "score"])
+        for t in _chunks(batches):
+            b = t.to_batches()[0]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve(counts.features(*_values(b.column("h")), (2,))[0], weights))], ["doc_id", "score"])
 
     return _hashed(rows, "doc_id").mapInArrow(run, "doc_id long, score double")
 

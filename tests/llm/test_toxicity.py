@@ -85,3 +85,36 @@ def test_edges(spark, corpus):
     none = toxicity.report(odd, labels.where("toxic = 0")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.report(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_row_counts(spark, corpus, monkeypatch):
+    """Rows beyond the curve's sample, words of one context and pairs seen once all have counts of their own."""
+    docs, labels = corpus
+    monkeypatch.setattr(toxicity, "MOST", {0: 50, 1: 20})
+    counts, _ = toxicity.learn(docs, labels)
+    want = {}
+    for r in docs.join(toxicity.labelled(labels), "doc_id").select("y", F.split("text", " ").alias("w")).collect():
+        for pair in zip([None, *r.w], r.w):
+            want.setdefault(pair, [0, 0])[r.y] += 1
+    number = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for p in want for w in p if w}], "w string").select("w", F.xxhash64("w").alias("h")).collect()} | {None: 1}
+    stored = spark.read.parquet(*counts.pairs).selectExpr("a", "b", "n0 + n2 as c0", "n1 + n3 as c1").collect()
+    assert {(r.a, r.b): [r.c0, r.c1] for r in stored} == {(number[a], number[b]): n for (a, b), n in want.items()}
+    assert spark.read.parquet(*counts.words).count() == counts.size == len({b for _, b in want})
+
+
+def test_part_equals_whole(spark, corpus):
+    """A part of the stored model gives the ratios of the model held whole; unknown words too."""
+    docs, labels = corpus
+    counts, _ = toxicity.learn(docs, labels)
+    pairs, words = spark.read.parquet(*counts.pairs).toArrow(), spark.read.parquet(*counts.words).toArrow()
+    get = lambda t, c: np.nan_to_num(t.column(c).to_numpy())
+    h = words.column("b").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    for s in range(3):
+        both = lambda n: np.stack([get(words, f"{n}{s}{c}")[order] for c in (0, 1)], 1)  # noqa: E731, B023
+        n = np.stack([sum(get(pairs, x) for x in toxicity.CELLS[s, c]) for c in (0, 1)], 1)
+        seen = {k: [counts.seen[f"{v}_{i}"] for i in range(1, 6)] for k, v in {"shared": f"shared{s}", **{f"{k}{c}": f"{k}{s}{c}" for k in ("cont", "pair") for c in (0, 1)}}.items()}
+        whole = toxicity.Model(h[order], get(words, f"shared{s}")[order], both("cont"), both("mass"), (pairs.column("a").to_numpy().view(np.uint64), pairs.column("b").to_numpy().view(np.uint64), n), seen)
+        for text in (np.concatenate([h[3:40], [np.uint64(7)], h[20:5:-1]]), np.array([7, 8], np.uint64)):
+            before = np.concatenate([[toxicity.BOS], text[:-1]])
+            assert np.allclose(counts.parts(text, before, (s,))[0].ratios(text, np.array([0])), whole.ratios(text, np.array([0])))
