@@ -8,7 +8,8 @@ logistic curve, fitted on scores from models that had not seen the text (two fol
 
 Counts cover every labelled row whose crc32(doc_id) mod 4 is not 2, and every word and bigram keeps its own entry. They
 stay in the shared folder; a task looks up those of its own texts by reading through the files, so that what it holds is bounded by
-``CHUNK`` and not by the model. Only the logistic curve is fitted on a sample, of about ``MOST`` rows per class at most. Words are runs of letters, in lower case, and enter as 64-bit hashes.
+``CHUNK`` and not by the model. Only the logistic curve is fitted on a sample, of about ``MOST`` rows per class at most. Labelled rows
+of one class with the same words in the same order count once. Words are runs of letters, in lower case, and enter as 64-bit hashes.
 
 Defined results: null and empty texts score the fitted prior of a text without evidence; without labels of both
 classes every score is 0; repeated rows pass, a null doc_id is not held out and not learnt from; columns other than
@@ -174,17 +175,13 @@ def _with(docs: DataFrame, rows: DataFrame, on: str | list[str], n: int) -> Data
 
 
 def _single(docs: DataFrame, rows: DataFrame, n: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, y, fold) of ``rows``, one of each set of near copies: copies are no new evidence; and the rows of each class before that.
+    """(doc_id, y, fold, first, second) of ``rows``, one of each set with equal words: copies are no new evidence; and the rows of each class before that.
 
-    Near copies have an equal smallest or an equal largest hash of three words. Only those hashes are moved.
+    ``first`` and ``second`` are hashes of the words; only they are moved.
     """
-    i = F.sequence(F.lit(0), F.greatest(F.size("h") - 3, F.lit(0)))
-    both = _hashed(_with(docs, rows, "doc_id", n), "doc_id", "y", "fold")
-    both = checkpoint(both.withColumn("s", F.transform(i, lambda j: F.xxhash64(F.get("h", j), F.get("h", j + 1), F.get("h", j + 2)))).select("doc_id", "y", "fold", F.array_min("s").alias("low"), F.array_max("s").alias("high")))
-    before = {r.y: r["count"] for r in both.groupBy("y").count().collect()}
-    for end in ("low", "high"):
-        both = both.groupBy(end, "y").agg(F.min(F.struct("doc_id", "fold", "low", "high")).alias("r")).select("y", "r.*")
-    return checkpoint(both.select("doc_id", "y", "fold")), before
+    both = _hashed(_with(docs, rows, "doc_id", n), "doc_id", "y", "fold").select("doc_id", "y", "fold", F.xxhash64("h").alias("first"), F.xxhash64(F.lit(1), "h").alias("second"))
+    groups = checkpoint(both.groupBy("first", "second", "y").agg(F.min(F.struct("doc_id", "fold")).alias("r"), F.count(F.lit(1)).alias("n")).select("r.*", "first", "second", "y", "n"))
+    return groups.drop("n"), {r.y: r.n for r in groups.groupBy("y").agg(F.sum("n").alias("n")).collect()}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,3 +118,15 @@ def test_part_equals_whole(spark, corpus):
         for text in (np.concatenate([h[3:40], [np.uint64(7)], h[20:5:-1]]), np.array([7, 8], np.uint64)):
             before = np.concatenate([[toxicity.BOS], text[:-1]])
             assert np.allclose(counts.parts(text, before, (s,))[0].ratios(text, np.array([0])), whole.ratios(text, np.array([0])))
+
+
+def test_shared_passage_is_no_copy(spark):
+    """Documents that share a passage are all learnt from; those with equal words once; the prior is of all labelled rows."""
+    passage = " ".join(f"pass{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    rows = [(i, f"{'abcdefghij'[i // 10]}x{'abcdefghij'[i % 10]} {passage} end{'abcdefghij'[i % 10]}", "en", "s", 1) for i in range(100)]
+    rows += [(1000 + i, "the very same text", "en", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame([(r[0], 0, 0) for r in rows], "doc_id long, y int, fold int")
+    single, before = toxicity._single(docs, marks, 105)
+    kept = {r.doc_id for r in single.collect()}
+    assert kept == {*range(100), 1000} and before == {0: 105}
