@@ -1,17 +1,16 @@
 """HTML extraction with site template removal.
 
 A tolerant parser turns each page into elements. The hash of an element's subtree covers its tag, attributes and all
-it holds. Spark counts, per host, on how many pages each subtree occurs (summed inside tasks before the shuffle);
-subtrees on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages are template and are deleted, along with
+it holds. Spark counts, per host, in how many different main texts each subtree occurs, so that copies of one page or
+article count once; subtrees in at least ``LEAST_PAGES`` of them and ``SHARE`` of the host's are template and are deleted, along with
 elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments. Elements that hold running text themselves (paragraphs, headings, list items, cells)
-and lie inside the article element are never template, however often an article is copied. Where a page
+styles or reader comments. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template. A subtree with ``NEARLY`` all words of the main part stays, and so does all of an article of which less than the rest would be left. Where a page
 has an article (or main) element its text is the result, else what is left of the body.
 
 White space is what ``str.split`` takes for it. Blocks are separated by block elements and line breaks.
 
 Defined results: null and empty html give an empty text; a quote opens a quoted value only after an equals sign; a null or unparsable url is a host of its own, named by the
-empty string; repeated rows pass but count as pages; unclosed and truncated markup closes at the end; columns other than
+empty string; repeated rows pass and count once; unclosed and truncated markup closes at the end; columns other than
 page_id, url and html are ignored; an empty table gives an empty result.
 """
 
@@ -19,7 +18,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +29,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpoint
 
 LEAST_PAGES, SHARE = 5, 0.2
+NEARLY = 0.9
 #: Hosts' template hashes that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 MOST_COUNTED = 200_000
@@ -155,12 +154,33 @@ def subtrees(root: Element) -> Iterator[tuple[Element, int, bool]]:
         yield e, h, e.tag not in ("#root", "html", "body", "article", "main", "head") and not (within and e.tag in PROSE)
 
 
+def deleted(root: Element, template: set[int] | frozenset[int]) -> set[int]:
+    """The ids of the template elements of a page."""
+    order = list(subtrees(root))
+    if not any(free and h in template for _, h, free in order):
+        return set()
+    tops, found = main_part(root)
+
+    def words(gone: set[int]) -> tuple[dict[int, int], int]:
+        n: dict[int, int] = {}
+        for e, _, _ in order:
+            n[id(e)] = 0 if id(e) in gone or e.raw or furniture(e) else sum(len(k.split()) if isinstance(k, str) else n[id(k)] for k in e.kids)
+        return n, sum(n[id(t)] for t in tops)
+
+    n, whole = words(set())
+    gone = {id(e) for e, h, free in order if free and h in template and n[id(e)] <= NEARLY * whole}
+    return set() if found and words(gone)[1] < (1 - NEARLY) * whole else gone
+
+
 def extract(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text without furniture and template subtrees."""
     if not page:
         return ""
     root = parse(page)
-    gone = {id(e) for e, h, free in subtrees(root) if free and h in template} if template else set()
+    return text_of(root, deleted(root, template) if template else set())
+
+
+def text_of(root: Element, gone: set[int]) -> str:
     blocks: list[list[str]] = [[]]
     for top in main_part(root)[0]:
         blocks.append([])
@@ -188,28 +208,31 @@ def host_of(pages: DataFrame) -> DataFrame:
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, h): subtrees that recur across a host's pages. ``pages`` has host."""
+    """(host, h): subtrees that recur in a host's different main texts. ``pages`` has host."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: set = set()
 
         def out() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["host", "h", "n"])
+            host, h, body = zip(*seen) if seen else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(h, pa.int64()), pa.array(body, pa.int64())], ["host", "h", "body"])
 
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = page.as_py()
                 if text:
-                    seen.update({(host, h) for _, h, free in subtrees(parse(text)) if free})
+                    root = parse(text)
+                    body = xxhash.xxh64_intdigest(text_of(root, set()).encode("utf-8", "surrogatepass")) - (1 << 63)
+                    seen.add((host, None, body))  # stands for the main text itself
+                    seen.update((host, h, body) for _, h, free in subtrees(root) if free)
                 if len(seen) > MOST_COUNTED:
                     yield out()
                     seen.clear()
         yield out()
 
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = pages.select("host", "html").mapInArrow(count, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return found.join(sizes, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "h")
+    found = checkpoint(pages.select("host", "html").mapInArrow(count, "host string, h long, body long").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(f"h is null or n >= {LEAST_PAGES}"))
+    sizes = found.where("h is null").select("host", F.col("n").alias("texts"))
+    return found.where("h is not null").join(sizes, "host").where(F.col("n") >= F.col("texts") * SHARE).select("host", "h")
 
 
 def clean(pages: DataFrame) -> DataFrame:

@@ -87,3 +87,15 @@ def test_pages_of_table(spark):
     for r in htmltext.report(rows).collect():
         body = html[r.page_id].split("<article>", 1)[1].split("</article>")[0]
         assert r.text == " ".join(h.unescape(re.sub(r"</?(?:p|h1|br)>", " ", re.sub("</?b>", "", body))).split())
+
+
+def test_copied_articles_keep_their_text(spark):
+    """Copies of an article, boxed or without an article element, are no template; near copies keep what is nearly all of them."""
+    story = "<div class=body><section><p>A long story of many words that was copied whole to other pages.</p></section></div>"
+    rows = [(i, f"http://a.org/{i}", f"<html><head><title>{i}</title></head><body><article>{story}</article></body></html>") for i in range(8)]
+    rows += [(10 + i, f"http://a.org/x{i}", f"<body><article><h1>Own {i}</h1></article></body>") for i in range(20)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<body id=b{i}>{story}<p>And its end.</p></body>") for i in range(8)]
+    rows += [(200 + i, f"http://c.org/{i}", f"<body><article>{story}<b>{i}</b></article></body>") for i in range(8)]
+    text = {r.page_id: r.text for r in htmltext.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "A long story of many words that was copied whole to other pages."
+    assert text[3] == want and text[103] == f"{want} And its end." and text[203] == f"{want} 3"
