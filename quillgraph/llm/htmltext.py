@@ -4,7 +4,8 @@ A tolerant parser turns each page into elements. The hash of an element's subtre
 it holds. Spark counts, per host, in how many different main texts each subtree occurs, so that copies of one page or
 article count once; subtrees in at least ``LEAST_PAGES`` of them and ``SHARE`` of the host's are template and are deleted, along with
 elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template. A subtree with ``NEARLY`` all words of the main part stays, and so does all of an article of which less than the rest would be left. Where a page
+styles or reader comments. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template by
+themselves, but lists, tables, figures and other boxes that hold them may be. A subtree with ``NEARLY`` all words of the main part stays, and so does all of an article of which less than the rest would be left. Where a page
 has an article (or main) element its text is the result, else what is left of the body.
 
 White space is what ``str.split`` takes for it. Blocks are separated by block elements and line breaks.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpoint
 
-LEAST_PAGES, SHARE = 5, 0.2
+#: The share is low, so that what only one section of a large host repeats is found too.
+LEAST_PAGES, SHARE = 5, 0.01
 NEARLY = 0.9
 #: Hosts' template hashes that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -39,7 +41,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe xmp noframes".split())
 DROP = set("head script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed dialog menu title".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-PROSE = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption b i em strong a span u s small sub sup code br hr table tbody thead tr ul ol dl img figure".split())
+PROSE = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption b i em strong a span u s small sub sup code br hr tbody thead tr img".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_CLOSERS = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that an implied end does not reach beyond.

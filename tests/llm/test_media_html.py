@@ -99,3 +99,12 @@ def test_copied_articles_keep_their_text(spark):
     text = {r.page_id: r.text for r in htmltext.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = "A long story of many words that was copied whole to other pages."
     assert text[3] == want and text[103] == f"{want} And its end." and text[203] == f"{want} 3"
+
+
+def test_boxes_inside_articles_of_one_section(spark):
+    """Lists and tables that recur in different articles go, also where only a small section of the host has them."""
+    box = "<ul><li>Read our offers</li></ul><table><tr><td>Prices of today</td></tr></table>"
+    page = "<body><article><h1>Head {i}</h1><p>Story {i} tells this and that.</p>{box}<ul><li>own {i}</li></ul></article></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i=i, box=box if i < 6 else "")) for i in range(100)]
+    text = {r.page_id: r.text for r in htmltext.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"Head {i} Story {i} tells this and that. own {i}" for i in range(100))
