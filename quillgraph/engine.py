@@ -84,8 +84,8 @@ class Engine:
 
     # asking
 
-    def _rows(self, df: DataFrame, most: int = 500) -> list[dict]:
-        return [json.loads(r) for r in df.limit(most).toJSON().collect()]
+    def _rows(self, df: DataFrame) -> list[dict]:
+        return [json.loads(r) for r in df.toJSON().collect()]
 
     def search(self, query: str, limit: int = 10) -> list[dict]:
         return self._rows(search.search(self.nodes, query, limit))

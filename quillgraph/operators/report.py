@@ -19,10 +19,10 @@ def markdown(stats: dict, nodes: DataFrame, files: DataFrame) -> str:
     out += [f"- Files: {stats['totalFiles']}", f"- Nodes: {stats['totalNodes']}", f"- Edges: {stats['totalEdges']}", ""]
     out += ["| kind | nodes |", "|---|---|", *[f"| {k} | {n} |" for k, n in sorted(stats["nodesByKind"].items()) if n], "", "## 2. Hubs", ""]
     out += [f"{i}. `{g['name']}` in {g['file_path']}: degree {g['degree']}, rank {g['page_rank']}" for i, g in enumerate(stats["godNodes"][:HUBS], 1)]
-    out += ["", "## 3. Routes", ""] + [f"- `{r.name}` in {r.file_path}" for r in metrics.route_registry(nodes).orderBy("name").limit(500).collect()]
+    out += ["", "## 3. Routes", ""] + [f"- `{r.name}` in {r.file_path}" for r in metrics.route_registry(nodes).orderBy("name").collect()]
     module = F.when(F.col("path").contains("/"), F.split("path", "/")[0]).otherwise("root")
     listed = files.select(module.alias("module"), "path", "node_count")
-    shown = listed.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("path", "node_count"))), 1, FILES).alias("first")).orderBy("module").limit(500).collect()
+    shown = listed.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("path", "node_count"))), 1, FILES).alias("first")).orderBy("module").collect()
     out += ["", "## 4. Modules", ""]
     for m in shown:
         out += [f"### {m.module} ({m.n} files)", *[f"- {f.path}: {f.node_count} nodes" for f in m.first], ""]

@@ -82,3 +82,26 @@ def test_registry(tmp_path):
     assert Registry(str(tmp_path / "r.json")).list() == r.list()
     (tmp_path / "a" / "b").rmdir()
     assert r.prune() == [inner["id"]] and r.unregister("a") and r.active() is None
+
+
+def test_nothing_is_cut_at_500(spark, tmp_path, monkeypatch):
+    """A hub's callers, the impact lists, the gate's targets and the report's routes and modules are whole."""
+    from quillgraph.engine import Engine
+    from quillgraph.operators import report, resolve, traverse
+
+    (tmp_path / "hub.py").write_text("def hub():\n    return 1\n")
+    for i in range(6):
+        (tmp_path / f"m{i}.py").write_text("".join(f"def caller_{i}_{k}():\n    return hub()\n\n" for k in range(100)))
+    engine = Engine(spark, str(tmp_path), str(tmp_path / ".store"))
+    engine.index()
+    x = engine.explore("hub")
+    assert len([c for c in x["callers"] if c["name"].startswith("caller_")]) == 600
+    assert {f"m{i}.py" for i in range(6)} <= set(x["impactRadius"]["affectedFiles"]) and len(x["impactRadius"]["directAffected"]) >= 600
+    monkeypatch.setattr(resolve, "seed", lambda nodes, t: t)
+    monkeypatch.setattr(traverse, "audit", lambda nodes, edges, seeds, *a: seeds.selectExpr("seed", "'LOW' as risk", "seed < 't0700' as passed").orderBy("seed"))
+    got = engine.audit([f"t{i:04}" for i in range(701)])
+    assert not got["passed"] and got["failedCount"] == 1 and len(got["results"]) == 701
+    routes = spark.range(700).selectExpr("concat('GET /', id) as name", "concat('d', id, '/f.py') as file_path", "'route' as kind", "concat('route:', id) as id", "id as ord", "1 as start_line")
+    files = spark.range(700).selectExpr("concat('d', id, '/f.py') as path", "1 as node_count")
+    text = report.markdown({"totalFiles": 0, "totalNodes": 0, "totalEdges": 0, "nodesByKind": {}, "godNodes": []}, routes, files)
+    assert text.count("- `GET /") == 700 and text.count("### d") == 700
