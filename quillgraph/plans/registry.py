@@ -270,8 +270,8 @@ def degree_centrality(spark, d):
     return metrics.degree_centrality(star.nodes(spark, d), star.edges(spark, d))
 
 
-def _rank_sql() -> str:
-    out = f"""{SMALL}, link AS MATERIALIZED (SELECT source_id AS s, target_id AS t, count(*)::DOUBLE AS m FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY 1, 2),
+def _rank_sql(graph: str = SMALL) -> str:
+    out = f"""{graph}, link AS MATERIALIZED (SELECT source_id AS s, target_id AS t, count(*)::DOUBLE AS m FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY 1, 2),
     outs AS MATERIALIZED (SELECT s, sum(m) AS o FROM link GROUP BY s), size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM nodes, size)"""
     for k in range(1, 21):
         out += f""", r{k} AS MATERIALIZED (SELECT p.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f.f, 0) + l.l / n) AS r FROM r{k - 1} p CROSS JOIN size
@@ -286,11 +286,45 @@ def pagerank(spark, d):
     return metrics.pagerank(n, star.edges(spark, d, star.SMALL)).select("id", F.round(F.col("page_rank") * F.lit(n.count()), 4).alias("scaled_rank"))
 
 
-@query(_rank_sql() + f", {_DEGREES} SELECT n.id, n.name, n.file_path, in_degree + out_degree AS degree, in_degree, out_degree, round(r, 4) AS page_rank FROM nodes n JOIN deg ON deg.id = n.id JOIN r20 ON r20.id = n.id WHERE kind NOT IN ('file', 'doc_section') ORDER BY round(r, 4) DESC, degree DESC, n.ord LIMIT 10")
+_GODS = f", {_DEGREES} SELECT n.id, n.name, n.file_path, in_degree + out_degree AS degree, in_degree, out_degree, round(r, 4) AS page_rank FROM nodes n JOIN deg ON deg.id = n.id JOIN r20 ON r20.id = n.id WHERE kind NOT IN ('file', 'doc_section') ORDER BY round(r, 4) DESC, degree DESC, n.ord LIMIT 10"
+
+
+@query(_rank_sql() + _GODS)
 def god_nodes(spark, d):
     return metrics.god_nodes(star.nodes(spark, d, star.SMALL), star.edges(spark, d, star.SMALL))
 
 
+# the same over the whole graph, with default depths
+
+
+@query(_rank_sql(G) + " SELECT id, round(r * n, 4) AS scaled_rank FROM r20, size")
+def pagerank_all(spark, d):
+    n = star.nodes(spark, d)
+    return metrics.pagerank(n, star.edges(spark, d)).select("id", F.round(F.col("page_rank") * F.lit(n.count()), 4).alias("scaled_rank"))
+
+
+@query(_rank_sql(G) + _GODS)
+def god_nodes_all(spark, d):
+    return metrics.god_nodes(star.nodes(spark, d), star.edges(spark, d))
+
+
+@query(f"{G}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 5)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
+def impact_levels_all(spark, d):
+    n = star.nodes(spark, d)
+    return traverse.impact_levels(n, star.edges(spark, d), n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"))
+
+
+@query(_summary_sql(_ONE, 5) + " SELECT seed, direct_callers, transitive_callers, affected_files, affected_routes, risk FROM judged")
+def impact_summary_all(spark, d):
+    return traverse.impact_of(star.nodes(spark, d), star.edges(spark, d), "Supplier#000000001").drop("summary")
+
+
+@query(_summary_sql("SELECT id AS seed, id FROM nodes WHERE kind IN ('file', 'class', 'function')", 5) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
+def audit_gate_all(spark, d):
+    n = star.nodes(spark, d)
+    return traverse.audit(n, star.edges(spark, d), n.where("kind IN ('file', 'class', 'function')").select(F.col("id").alias("seed"), "id"), "MEDIUM")
+
+
 @query(f"{_graph(['customer', 'orders', 'lineitem'])} SELECT CAST(count_if(s.id IS NULL OR (t.id IS NULL AND NOT regexp_matches(target_id, '^(sym|pkg|crate|file):'))) AS BIGINT) AS broken_edges, CAST(count_if(t.id IS NULL AND regexp_matches(target_id, '^(sym|pkg|crate|file):')) AS BIGINT) AS external_refs, CAST(count_if(source_id = target_id) AS BIGINT) AS self_loops, count(*) AS total_edges FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id")
 def diagnose_integrity(spark, d):
     some = ["customer", "orders", "lineitem"]
