@@ -33,10 +33,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; smaller than a checkpoint for wide rows."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, in folders by the columns ``by``, and read it back; smaller than a checkpoint for wide rows."""
     where = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    df.write.partitionBy(*by).parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 

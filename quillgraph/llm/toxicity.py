@@ -208,6 +208,37 @@ def sample(single: DataFrame) -> DataFrame:
     return single.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.when(F.col("y") == 1, F.lit(least[1])).otherwise(F.lit(least[0])))
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[new], b[new]
+
+
+def _find_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in the pairs (x, y) of those of the pairs (a, b) that are there; both sides are distinct and in order."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    runs = x[starts]
+    run = np.minimum(np.searchsorted(runs, a), len(runs) - 1)
+    hit = np.flatnonzero(runs[run] == a)
+    # a run's number and the upper 40 bits of the second word make one number in the same order; what shares them lies side by side
+    upper = lambda v: (v >> 24) + (1 << 39)
+    sizes = np.diff(np.append(starts, len(x)))
+    own = np.repeat(np.arange(len(runs)), sizes) << 40 | upper(y)
+    at = np.searchsorted(own, wanted := run[hit] << 40 | upper(b[hit]))
+    good = np.zeros(len(at), bool)
+    while True:
+        inside = at < len(x)
+        same = inside & ~good
+        same[inside] &= own[at[inside]] == wanted[inside]
+        good[same] = y[at[same]] == b[hit][same]
+        on = same & ~good
+        if not on.any():
+            return at[good]
+        at[on] += 1
+
+
 #: Columns of pair counts that make up each training set (fold 0, fold 1, both) and class.
 CELLS = {(0, 0): ["n0"], (0, 1): ["n1"], (1, 0): ["n2"], (1, 1): ["n3"], (2, 0): ["n0", "n2"], (2, 1): ["n1", "n3"]}
 
@@ -229,9 +260,7 @@ class Counts:
         """What the words ``h`` after ``before`` need of the models of fold 0, fold 1, or (2) both, in one reading."""
         get = lambda b, c: np.asarray(pc.fill_null(b.column(c), 0))
         find = lambda table, x: np.minimum(np.searchsorted(table, x), len(table) - 1)
-        # halves of both hashes in the files' order: fast to look up, and what it lets through too much the model tells apart
-        near = lambda x, y: (x & np.uint64(0xFFFFFFFF00000000)) | (y >> np.uint64(32))
-        words, keys = np.unique(h), np.unique(near(before, h))
+        words = np.unique(h)
         names = [n for s in models for n in (f"shared{s}", *[f"{n}{s}{c}" for n in ("cont", "mass", "cuts") for c in (0, 1)])]
         of, there = np.zeros((len(words), len(names))), np.zeros(len(words), bool)
         for b in self._read(self.words, ["b", *names]):
@@ -240,12 +269,15 @@ class Counts:
             there[at[hit]] = True
             of[at[hit]] = np.stack([get(b, c)[hit] for c in names], 1)
         words, of = words[there], of[there]
-        found: list[tuple] = []
-        for b in self._read(self.pairs, ["a", "b", "n0", "n1", "n2", "n3"]):
-            x, y = get(b, "a").view(np.uint64), get(b, "b").view(np.uint64)
-            key = near(x, y)
-            hit = keys[find(keys, key)] == key
-            found.append((x[hit], y[hit], *[get(b, f"n{c}")[hit].astype(np.int32) for c in range(4)]))
+        asked, after = _distinct(before.view(np.int64), h.view(np.int64))
+        found: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 4)]
+        for b in self._read(self.pairs, ["a", "b", "n0", "n1", "n2", "n3"]):  # ranges of a, each in order: only the pairs asked for in a batch's range are looked up
+            x = get(b, "a")
+            i, j = np.searchsorted(asked, x[0]), np.searchsorted(asked, x[-1], "right")
+            if i == j:
+                continue
+            at = _find_pairs(x, y := get(b, "b"), asked[i:j], after[i:j])
+            found.append((x[at].view(np.uint64), y[at].view(np.uint64), *[get(b, f"n{c}")[at].astype(np.int32) for c in range(4)]))
         x, y, *n = (np.concatenate(c) for c in zip(*found))
         out = []
         for i, s in enumerate(models):
@@ -271,7 +303,9 @@ class Counts:
 
 def _counts(counted: DataFrame) -> Counts | None:
     """Every word and pair of the learnt rows; None without words of both classes."""
-    pairs = written(counted.groupBy("a", "b").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)]).sortWithinPartitions("a", "b"))
+    bits = max(6, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    bucketed = counted.withColumn("bucket", F.shiftright("a", 64 - bits).cast("int")).repartition("bucket")  # rows are summed in each batch already
+    pairs = written(bucketed.groupBy("bucket", "a", "b").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)]).sortWithinPartitions("bucket", "a", "b"), "bucket")
     of = {f"{s}{c}": sum((F.col(x) for x in cells), F.lit(0)) for (s, c), cells in CELLS.items()}
 
     def tally(name: str, column) -> list:

@@ -130,3 +130,14 @@ def test_shared_passage_is_no_copy(spark):
     single, before = toxicity._single(docs, marks, 105)
     kept = {r.doc_id for r in single.collect()}
     assert kept == {*range(100), 1000} and before == {0: 105}
+
+
+def test_found_pairs():
+    """Lookup of pairs against a dictionary, with words that share their upper bits."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: (rng.integers(-40, 40, n) << 50, (rng.integers(-9, 9, n) << 30) + rng.integers(0, 4, n))
+    x, y = toxicity._distinct(*draw(3000))
+    a, b = toxicity._distinct(*draw(3000))
+    got = toxicity._find_pairs(x, y, a, b)
+    there = {p: i for i, p in enumerate(zip(x.tolist(), y.tolist()))}
+    assert got.tolist() == [there[p] for p in zip(a.tolist(), b.tolist()) if p in there] and len(got)
