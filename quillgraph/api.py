@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import sys
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -19,6 +21,8 @@ class Api:
         self.m = manager
         e = lambda a: manager.engine(a.get("workspace"))
         number = lambda a, *keys, default: int(next((a[k] for k in keys if a.get(k) is not None), default))
+        #: Arguments that a tool takes beside those it needs.
+        self.options = {"kb_explore": ["maxDepth"], "kb_impact": ["maxDepth", "depth"], "kb_search": ["limit"], "kb_god_nodes": ["limit"], "kb_register": ["name"]}
         self.tools: dict[str, tuple[list[str], Callable[[dict], object]]] = {
             "kb_explore": (["query"], lambda a: e(a).explore(a["query"], number(a, "maxDepth", default=3))),
             "kb_impact": (["target"], lambda a: e(a).impact(a["target"], number(a, "maxDepth", "depth", default=5))),
@@ -35,10 +39,17 @@ class Api:
         tool = lambda name: self.tools[name][1]
         self.routes: dict[str, Callable[[dict], object]] = {
             "/v1/health": lambda a: {"status": "ok", "stats": e(a).stats()}, "/v1/workspaces": tool("kb_workspaces"), "/v1/workspaces/register": tool("kb_register"),
-            "/v1/workspaces/switch": tool("kb_switch"), "/v1/workspaces/unregister": tool("kb_unregister"), "/v1/graph/data": lambda a: e(a).export() | {"stats": e(a).stats()},
-            "/v1/stats": tool("kb_architecture"), "/v1/graph": lambda a: e(a).export(), "/v1/context": lambda a: {"markdown": e(a).report()}, "/v1/explore": tool("kb_explore"),
+            "/v1/workspaces/switch": tool("kb_switch"), "/v1/workspaces/unregister": tool("kb_unregister"), 
+            "/v1/stats": tool("kb_architecture"), "/v1/context": lambda a: {"markdown": e(a).report()}, "/v1/explore": tool("kb_explore"),
             "/v1/impact": tool("kb_impact"), "/v1/graph/impact": tool("kb_impact"), "/v1/search": lambda a: {"results": tool("kb_search")(a)}, "/v1/god-nodes": tool("kb_god_nodes"), "/v1/sync": tool("kb_sync"),
         }
+        #: Routes whose answer is a file, which may be larger than memory.
+        self.files: dict[str, Callable[[dict], str]] = dict.fromkeys(("/v1/graph", "/v1/graph/data"), lambda a: e(a).export())
+
+    def schema(self, name: str) -> dict:
+        needed = self.tools[name][0]
+        own = {p: {"type": "string"} for p in needed} | {p: {"type": "string" if p == "name" else "integer"} for p in self.options.get(name, [])}
+        return {"type": "object", "properties": own | {"workspace": {"type": "string"}}, "required": needed}
 
     def call(self, name: str, args: dict) -> object:
         if name not in self.tools:
@@ -63,7 +74,7 @@ class Api:
         if method == "initialize":
             return out | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "quillgraph", "version": "1"}}}
         if method == "tools/list":
-            return out | {"result": {"tools": [{"name": k, "inputSchema": {"type": "object", "properties": {p: {"type": "string"} for p in need}, "required": need}} for k, (need, _) in self.tools.items()]}}
+            return out | {"result": {"tools": [{"name": k, "inputSchema": self.schema(k)} for k in self.tools]}}
         if method != "tools/call":
             return out | {"error": {"code": NO_METHOD, "message": f"method not found: {method}"}}
         try:
@@ -75,14 +86,19 @@ class Api:
         """(status, content type, body) of one request."""
         if path in ("/", "/visual"):
             return 200, "text/html", self.m.engine(args.get("workspace")).visual()
-        if path not in self.routes:
+        if path not in self.routes and path not in self.files:
             return 404, "application/json", json.dumps({"error": "not found"})
         try:
+            if path in self.files:
+                with open(self.files[path](args), encoding="utf-8") as f:
+                    return 200, "application/json", f.read()
             return 200, "application/json", json.dumps(self.routes[path](args))
         except KeyError as error:
             return 400, "application/json", json.dumps({"error": f"missing argument: {error.args[0]}"})
         except ValueError as error:
             return 404 if "not found" in str(error) else 400, "application/json", json.dumps({"error": str(error)})
+        except Exception as error:
+            return 500, "application/json", json.dumps({"error": f"{type(error).__name__}: {error}"})
 
 
 def serve_stdio(api: Api) -> None:
@@ -100,6 +116,8 @@ def serve_http(api: Api, port: int = 7890) -> HTTPServer:
             args = dict(parse_qsl(url.query))
             try:
                 args |= json.loads(body) if body else {}
+                if url.path in api.files:
+                    return self._send_file(api.files[url.path](args))
                 status, kind, text = api.rest(url.path, args)
             except ValueError:
                 status, kind, text = 400, "application/json", json.dumps({"error": "bad JSON"})
@@ -108,6 +126,14 @@ def serve_http(api: Api, port: int = 7890) -> HTTPServer:
             self.end_headers()
             self.wfile.write(text.encode())
 
+        def _send_file(self, path: str) -> None:
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(os.path.getsize(path)))
+            self.end_headers()
+            with open(path, "rb") as f:
+                shutil.copyfileobj(f, self.wfile)
+
         def do_GET(self) -> None:
             self._answer()
 

@@ -7,22 +7,32 @@ import json
 import os
 import sys
 
+from quillgraph import config
 from quillgraph.api import Api, serve_http, serve_stdio
 from quillgraph.catalog import Manager, Registry, project_root
+from quillgraph.operators.report import hub_report, staleness_banner
 from quillgraph.sources.workspace import git_changes
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="quillgraph")
-    p.add_argument("--registry", default=os.path.expanduser("~/.quillgraph/registry.json"))
+    p.add_argument("--registry", default=os.path.join(config.memory_path(), "registry.json"))
     p.add_argument("--workspace")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"register": ["path"], "unregister": ["target"], "workspaces": [], "switch": ["target"], "init": [], "watch": [], "sync": [], "prune": [], "serve": [], "explore": ["query"], "impact": ["target"], "search": ["query"], "audit-impact": [], "report": [], "visual": [], "diagnose": []}.items():
+    for name, args in {"register": ["path"], "unregister": ["target"], "workspaces": [], "switch": ["target"], "init": [], "watch": [], "sync": [], "prune": [], "serve": [], "explore": ["query"], "impact": ["target"], "search": ["query"], "audit-impact": [], "report": [], "visual": [], "diagnose": [], "hubs": [], "pending": [], "export": ["path"], "import": ["path"], "config": [], "help": []}.items():
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(a)
         if name == "sync":
             c.add_argument("--all", action="store_true")
+        if name in ("search", "hubs"):
+            c.add_argument("--limit", type=int, default=10)
+        if name in ("explore", "impact"):
+            c.add_argument("--depth", type=int, default=3 if name == "explore" else 5)
+        if name == "watch":
+            c.add_argument("--all", action="store_true")
+        if name == "config":
+            c.add_argument("--memory-path")
         if name == "register":
             c.add_argument("--name")
         if name == "serve":
@@ -34,6 +44,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             c.add_argument("--depth", type=int, default=5)
             c.add_argument("--json", action="store_true")
     a = p.parse_args(argv)
+    if a.command == "help":
+        p.print_help()
+        return 0
+    if a.command == "config":
+        if a.memory_path:
+            config.set_memory_path(a.memory_path)
+        print(config.memory_path())
+        return 0
     if spark is None:
         from pyspark.sql import SparkSession
 
@@ -55,10 +73,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "sync":
         say(m.sync("all" if a.all else a.workspace))
     elif a.command == "watch":
-        from quillgraph.streaming.changes import watch
+        from quillgraph.streaming import changes
 
-        e = m.engine(a.workspace)
-        watch(e, os.path.join(e.root, ".quillgraph", "stream")).awaitTermination()
+        if a.all:
+            folder = os.path.join(config.memory_path(), "streams")
+            again = lambda key: changes.watch(m.engine(key), os.path.join(folder, key))
+            changes.supervise(changes.watch_all(m, folder), again)
+        else:
+            e = m.engine(a.workspace)
+            changes.watch(e, os.path.join(e.root, ".quillgraph", "stream")).awaitTermination()
     elif a.command == "serve":
         api = Api(m)
         serve_stdio(api) if a.mcp else serve_http(api, a.port).serve_forever()
@@ -69,7 +92,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return int(not got["passed"])
     else:
         e = m.engine(a.workspace)
-        say({"explore": lambda: e.explore(a.query), "impact": lambda: e.impact(a.target), "search": lambda: e.search(a.query), "report": e.report, "visual": e.visual, "diagnose": e.diagnose}[a.command]())
+        if a.command == "import":
+            say(e.load_json(a.path))
+        else:
+            say({
+                "explore": lambda: e.explore(a.query, a.depth), "impact": lambda: e.impact(a.target, a.depth), "search": lambda: e.search(a.query, a.limit), "report": e.report, "visual": e.visual, "diagnose": e.diagnose,
+                "hubs": lambda: hub_report(e.god_nodes(a.limit)), "pending": lambda: staleness_banner(e.pending()) or "nothing waits", "export": lambda: e.export(a.path),
+            }[a.command]())
     return 0
 
 

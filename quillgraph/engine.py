@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillgraph.functions import text
 from quillgraph.functions.frames import checkpoint
 from quillgraph.operators import fresh, metrics, report, resolve, search, traverse
 from quillgraph.sources import workspace
-from quillgraph.sources.store import Store
+from quillgraph.sources.store import Store, read_json
 
 
 class Engine:
@@ -26,44 +27,61 @@ class Engine:
 
     # building
 
-    def scan(self) -> DataFrame:
-        """The tree as it is now: path, size, mtime_ms, content."""
-        return self.spark.read.format("workspace").load(self.root)
+    def scan(self, content: bool = True) -> DataFrame:
+        """The tree as it is now: path, size, mtime_ms, content (null if not asked for)."""
+        return self.spark.read.format("workspace").option("content", str(content).lower()).load(self.root)
 
     def _save(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-        resolved = resolve.resolve(nodes, edges)
-        self.store.save({"files": files, "nodes": nodes, "edges": resolved})
+        """A new version from all files' own versions of nodes and edges: they alone decide, so its history does not matter."""
+        one = checkpoint(parse.settled(nodes))
+        resolved = resolve.resolve(one, parse.settled(edges))
+        tokens = search.token_index(one).repartitionByRange("token").sortWithinPartitions("token")
+        self.store.save({"files": files, "parsed_nodes": nodes, "parsed_edges": edges, "nodes": one, "edges": resolved, "tokens": tokens})
         self._tables = self._stats = None
 
     def index(self) -> dict:
         """Parse everything and write a new version."""
         disk = checkpoint(self.scan())
-        nodes, edges = (checkpoint(t) for t in parse.parse_files(disk))
-        # the targets as parsed are kept, so that every version resolves from them alone
-        self._save(parse.file_rows(disk, nodes, edges), nodes, edges.withColumn("raw_target", F.col("target_id")))
+        nodes, edges = parse.versions(checkpoint(parse.parsed(disk)))
+        self._save(parse.file_rows(disk, nodes, edges), nodes, edges)
         return self.stats()
 
-    def refresh(self, disk: DataFrame | None = None) -> dict[str, int]:
-        """Compare the tree with the graph by hash and apply the difference: counts of insert, update, delete."""
+    def load_json(self, path: str) -> dict:
+        """Replace the graph by an exported one."""
+        got = read_json(self.spark, path)
+        nodes, edges = (checkpoint(got[t]) for t in ("nodes", "edges"))
+        self._save(checkpoint(got["files"]), nodes, edges)
+        return self.stats()
+
+    def refresh(self, disk: DataFrame | None = None, quick: bool = False) -> dict[str, int]:
+        """Compare the tree with the graph by hash and apply the difference: counts of insert, update, delete.
+
+        ``quick`` reads only files that are new or whose time has changed.
+        """
         now = self.store.load()
         if now is None:
             self.index()
             return {"insert": self.tables["files"].count(), "update": 0, "delete": 0}
-        disk = checkpoint(self.scan() if disk is None else disk).withColumn("hash", text.content_hash(F.coalesce("content", F.lit(""))))
+        disk = self._suspects(now["files"]) if quick and disk is None else checkpoint(self.scan() if disk is None else disk).withColumn("hash", text.content_hash(F.coalesce("content", F.lit(""))))
         changed = checkpoint(fresh.reconcile(now["files"], disk))
         n = {r.change: r["count"] for r in changed.groupBy("change").count().collect()}
         if n:
             self._apply(now, disk, changed)
         return {k: n.get(k, 0) for k in ("insert", "update", "delete")}
 
+    def _suspects(self, files: DataFrame) -> DataFrame:
+        """The tree with hashes; contents are read only where the time is not the indexed one."""
+        listed = checkpoint(self.scan(content=False).drop("content").join(files.select("path", F.col("hash").alias("__hash"), F.col("mtime_ms").alias("__ms")), "path", "left"))
+        odd = listed.where("__ms is null or __ms <> mtime_ms")
+        contents = checkpoint(workspace.with_content(odd, self.root))
+        rows = listed.join(contents, "path", "left").where("content is not null or __ms = mtime_ms")
+        return rows.select("path", "size", "mtime_ms", "content", F.coalesce(text.content_hash(F.col("content")), "__hash").alias("hash"))
+
     def _apply(self, now: dict[str, DataFrame], disk: DataFrame, changed: DataFrame) -> None:
         new = checkpoint(disk.join(changed.where("change <> 'delete'").select("path"), "path", "left_semi"))
-        nodes, edges = (checkpoint(t) for t in parse.parse_files(new))
-        edges = edges.withColumn("raw_target", F.col("target_id"))
+        nodes, edges = parse.versions(checkpoint(parse.parsed(new)))
         files = fresh.upsert(now["files"], parse.file_rows(new, nodes, edges), changed, "path")
-        all_nodes = checkpoint(fresh.upsert(now["nodes"], nodes, changed))
-        kept = now["edges"].withColumn("target_id", F.col("raw_target"))
-        self._save(files, all_nodes, fresh.upsert(kept, edges.select(*kept.columns), changed))
+        self._save(files, fresh.upsert(now["parsed_nodes"], nodes, changed), fresh.upsert(now["parsed_edges"], edges, changed))
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -88,7 +106,7 @@ class Engine:
         return [json.loads(r) for r in df.toJSON().collect()]
 
     def search(self, query: str, limit: int = 10) -> list[dict]:
-        return self._rows(search.search(self.nodes, query, limit))
+        return self._rows(search.search(self.nodes, query, limit, self.tables["tokens"]))
 
     def impact(self, target: str, depth: int = 5) -> dict:
         row = self._rows(traverse.impact_of(self.nodes, self.edges, target, depth))[0]
@@ -96,7 +114,7 @@ class Engine:
 
     def audit(self, targets: list[str], max_risk: str = "HIGH", depth: int = 5) -> dict:
         """The gate over many targets at once."""
-        seeds = self.spark.createDataFrame([(t, resolve.seed(self.nodes, t)) for t in targets], "seed string, id string")
+        seeds = resolve.seeds(self.nodes, self.spark.createDataFrame([(t,) for t in targets], "seed string"))
         rows = self._rows(traverse.audit(self.nodes, self.edges, seeds, max_risk, depth))
         failed = sum(not r["passed"] for r in rows)
         return {"passed": not failed, "failedCount": failed, "maxRisk": max_risk, "results": rows}
@@ -137,11 +155,16 @@ class Engine:
         return {"isFresh": not row.is_stale, "isStale": row.is_stale, "staleReason": row.reason, "contentHash": row.content_hash, "pendingInQueue": False}
 
     def needs_heal(self) -> bool:
-        disk = self.scan().withColumn("hash", text.content_hash(F.coalesce("content", F.lit(""))))
-        return fresh.needs_heal(self.tables["files"], disk).first().heal
+        return fresh.needs_heal(self.tables["files"], self._suspects(self.tables["files"])).first().heal
+
+    def pending(self) -> list[str]:
+        """Paths that wait to be indexed: new, gone or with another time."""
+        listed = self.scan(content=False).select("path", F.col("mtime_ms").alias("now_ms"))
+        rows = listed.join(self.tables["files"].select("path", "mtime_ms"), "path", "full_outer").where("not now_ms <=> mtime_ms")
+        return sorted(r.path for r in rows.select("path").collect())
 
     def god_nodes(self, limit: int = 10) -> list[dict]:
-        return self._rows(metrics.god_nodes(self.nodes, self.edges, limit))
+        return self._rows(metrics.god_nodes(self.nodes, self.edges, limit, metrics.ONE_TASK))
 
     def stats(self) -> dict:
         if self._stats is None:  # once per graph version
@@ -155,11 +178,13 @@ class Engine:
         return report.html(self.nodes, self.edges)
 
     def diagnose(self) -> dict:
-        return self._rows(metrics.diagnose(self.nodes, self.edges))[0]
-
-    def export(self) -> dict:
-        return json.loads(self.store.export_json())
-
-
-def risk_passes(risk: str, most: str) -> bool:
-    return schema.RISKS.index(risk) <= schema.RISKS.index(most)
+        """Counts of the graph's integrity, and files that it names and the tree lacks."""
+        missing = metrics.missing_files(self.nodes, self.scan(content=False))
+        found = missing.groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).first()
+        return self._rows(metrics.diagnose(self.nodes, self.edges))[0] | {"missing_files": found.n, "first_missing": found.first}
+
+    def export(self, path: str | None = None) -> str:
+        """The graph as one JSON file; its path."""
+        path = path or os.path.join(tempfile.mkdtemp(prefix="quill-"), "graph.json")
+        self.store.export_json(path)
+        return path

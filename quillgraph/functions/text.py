@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph import schema
 
 # Words that precede "(" without being a call.
-CALL_STOP = "if for while switch catch return function await super new throw typeof delete void yield assert print sizeof match with".split()
+CALL_STOP = "if for while switch catch require import return console log error warn info typeof sizeof new def class func fn lambda struct".split()
 
 
 def basename(path: Column) -> Column:

@@ -29,7 +29,7 @@ def freshness(indexed: DataFrame, disk: DataFrame, paths: DataFrame) -> DataFram
 
 def freshness_summary(rows: DataFrame) -> DataFrame:
     """One row: is_stale, reason of the last stale path, content_hash of the paths' hashes (``clean`` without any)."""
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("old").isNotNull(), F.struct("path", "old")))), lambda s: F.substring(s["old"], 1, 8)), "")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("old").isNotNull(), F.struct("path", F.substring("old", 1, 8).alias("old"))))), lambda s: s["old"]), "")  # of the paths that a caller names
     return rows.agg(F.coalesce(F.bool_or("is_stale"), F.lit(False)).alias("is_stale"), F.max_by("reason", F.when(F.col("is_stale"), F.col("path"))).alias("reason"), F.when(F.length(parts) > 0, parts).otherwise("clean").alias("content_hash"))
 
 

@@ -11,8 +11,10 @@ from quillgraph import schema
 from quillgraph.functions.frames import checkpoint
 
 DAMPING, ROUNDS = 0.85, 20
-#: Distinct node pairs up to which PageRank runs in one task (16 bytes a pair, some copies of them).
-ONE_TASK = 2_000_000
+#: Nodes and distinct pairs up to which a caller may have PageRank run in one task (some 500 bytes each).
+ONE_TASK = 200_000
+#: Rounds after which ranks are checkpointed.
+CUT = 5
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,32 +50,44 @@ def _one_task(t: pa.Table) -> pa.Table:
     return pa.table({"id": names, "page_rank": rank})
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """(id, page_rank) after exactly ``ROUNDS`` rounds; only edges between known nodes; parallel edges count each."""
+def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = 0) -> DataFrame:
+    """(id, page_rank) after exactly ``ROUNDS`` rounds; only edges between known nodes; parallel edges count each.
+
+    Each round is one job: the ranks of the round before are summed over loose nodes while they are computed. Links stay partitioned by their source.
+    ``one_task``: graphs up to this size, which the caller takes for small, are ranked in one task.
+    """
     ids = nodes.select("id").distinct()
     links = edges.groupBy(F.col("source_id").alias("id"), F.col("target_id").alias("to")).agg(F.count(F.lit(1)).alias("m"))
-    links = links.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", "m")
-    links = checkpoint(links)
+    links = checkpoint(links.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", "m"))
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("page_rank"))
-    if n + links.count() <= one_task:
+    if one_task and n + links.count() <= one_task:
         rows = links.unionByName(ids.select("id", F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("m")))
         return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_one_task, "id string, page_rank double")
     total = links.groupBy("id").agg(F.sum("m").alias("out"))
-    steps = checkpoint(links.join(total, "id").select("id", "to", (F.col("m") / F.col("out")).alias("w")))
-    rank = checkpoint(ids.join(total, "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("page_rank")))
-    for _ in range(ROUNDS):
+    steps = links.join(total, "id").select("id", "to", (F.col("m") / F.col("out")).alias("w")).repartition("id").persist()
+    rank = ids.join(total, "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("page_rank")).repartition("id").persist()
+    held = [steps, rank]
+    for k in range(1, ROUNDS + 1):
         dangling = rank.agg(F.sum(F.when(F.col("loose"), F.col("page_rank")))).first()[0] or 0.0
         flow = steps.join(rank, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("w") * F.col("page_rank")).alias("f"))
         base = (1 - DAMPING) / n + DAMPING * dangling / n
-        rank = checkpoint(rank.join(flow, "id", "left").select("id", "loose", (F.lit(base) + DAMPING * F.coalesce("f", F.lit(0.0))).alias("page_rank")))
+        rank = rank.join(flow, "id", "left").select("id", "loose", (F.lit(base) + DAMPING * F.coalesce("f", F.lit(0.0))).alias("page_rank"))
+        if k % CUT and k < ROUNDS:
+            held.append(rank := rank.persist())
+        else:  # lineage ends here, so what was held is no longer needed
+            rank = checkpoint(rank)
+            for df in held[1:]:
+                df.unpersist()
+            del held[1:]
+    steps.unpersist()
     return rank.select("id", "page_rank")
 
 
-def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, one_task: int = 0) -> DataFrame:
     """The hubs: rank to four digits first, then degree; files and sections are no hubs."""
-    rows = nodes.where(~F.col("kind").isin("file", "doc_section")).join(degrees(nodes, edges), "id").join(pagerank(nodes, edges), "id")
+    rows = nodes.where(~F.col("kind").isin("file", "doc_section")).join(degrees(nodes, edges), "id").join(pagerank(nodes, edges, one_task), "id")
     rows = rows.select("id", "name", "file_path", "degree", "in_degree", "out_degree", F.round("page_rank", 4).alias("page_rank"), "ord")
     return rows.orderBy(F.desc("page_rank"), F.desc("degree"), "ord").limit(min(limit, 10) if limit > 0 else 10).drop("ord")
 
@@ -93,6 +107,13 @@ def stats(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) ->
     return {"totalFiles": sum(langs.values()) or by_node["file"], "totalNodes": sum(by_node.values()), "totalEdges": sum(by_edge.values()), "nodesByKind": by_node, "edgesByKind": by_edge, "languages": langs}
 
 
+def missing_files(nodes: DataFrame, present: DataFrame) -> DataFrame:
+    """(path) of files that the graph names and that are not among ``present`` (path); module names of the platform are no files."""
+    path = F.coalesce("file_path", F.regexp_replace("id", "^file:", ""))
+    named = nodes.where((F.col("kind") == "file") | F.col("id").startswith("file:")).select(path.alias("path")).distinct()
+    return named.where(~F.col("path").startswith("node:")).join(present.select("path"), "path", "left_anti")
+
+
 def diagnose(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(broken_edges, external_refs, self_loops, total_edges)."""
     ids = nodes.select(F.col("id").alias("__id")).distinct()

@@ -19,6 +19,7 @@ from quillgraph.operators.resolve import seed
 def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(seed, id, depth) of everything within ``depth`` steps of each seed, itself at depth 0. ``steps``: (at, to)."""
     seen = checkpoint(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct())
+    steps = checkpoint(steps.select("at", "to"))  # written once, read at each level
     frontier = seen
     for level in range(1, depth + 1):
         new = frontier.join(steps, F.col("id") == F.col("at")).select("seed", F.col("to").alias("id")).distinct()

@@ -46,28 +46,44 @@ def parse(path: str, content: str, language: str | None = None) -> Graph:
     return g
 
 
-def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of files (path, content), one row per id, ordered by path and place in the file."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(node, edge) of files (path, content), parsed once: each row has one of the two structs. An id may come from several files."""
     rows = files.select("path", "content", text.language(F.col("path")).alias("language"))
+    ints = {"start_line", "end_line", "line", "emit_ord"}
+    node, edge = ([*columns, "file_ord", "emit_ord"] for columns in (COLUMNS_NODE, COLUMNS_EDGE))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def structs(found: list[tuple], columns: list[str], before: int, after: int) -> pa.StructArray:
+            pad = lambda values: [None] * before + values + [None] * after
+            arrays = [pa.array(pad([r[i] for r in found]), pa.int32() if c in ints else pa.string()) for i, c in enumerate(columns)]
+            return pa.StructArray.from_arrays(arrays, names=columns, mask=pa.array([True] * before + [False] * len(found) + [True] * after, pa.bool_()))
+
+        for b in it:
+            nodes, edges = [], []
+            for path, content, language in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                g = parse(path, content or "", language)
+                nodes += [(*row, path, k) for k, row in enumerate(g.nodes.values())]
+                edges += [(*row, path, k) for k, row in enumerate(g.edges.values())]
+            yield pa.RecordBatch.from_arrays([structs(nodes, node, 0, len(edges)), structs(edges, edge, len(nodes), 0)], ["node", "edge"])
+
+    ddl = lambda columns: "struct<" + ", ".join(f"{c}: {'int' if c in ints else 'string'}" for c in columns) + ">"
+    return rows.mapInArrow(batches, f"node {ddl(node)}, edge {ddl(edge)}")
 
-    def run(which: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        ints = {"start_line", "end_line", "line"}
 
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                out = []
-                for path, content, language in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    g = parse(path, content or "", language)
-                    out += [(*row, path, k) for k, row in enumerate(getattr(g, which).values())]
-                kinds = [pa.int32() if c in ints else pa.string() for c in columns]
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], pa.array([r[-2] for r in out], pa.string()), pa.array([r[-1] for r in out], pa.int32())], [*columns, "file_ord", "emit_ord"])
+def versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed rows: all versions, one for each id and file."""
+    return tuple(rows.where(f"{c} is not null").select(f"{c}.*") for c in ("node", "edge"))
 
-        return batches
 
-    ddl = lambda columns: ", ".join(f"{c} {'int' if c in ('start_line', 'end_line', 'line') else 'string'}" for c in columns) + ", file_ord string, emit_ord int"
-    nodes = rows.mapInArrow(run("nodes", COLUMNS_NODE), ddl(COLUMNS_NODE))
-    edges = rows.mapInArrow(run("edges", COLUMNS_EDGE), ddl(COLUMNS_EDGE))
-    return tuple(last_writer(df).withColumn("ord", F.struct("file_ord", "emit_ord")) for df in (nodes, edges))
+def settled(rows: DataFrame) -> DataFrame:
+    """One row per id of all its versions, ordered by path and place in the file."""
+    return last_writer(rows).withColumn("ord", F.struct("file_ord", "emit_ord"))
+
+
+def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files (path, content), one row per id."""
+    nodes, edges = versions(parsed(files))
+    return settled(nodes), settled(edges)
 
 
 def file_rows(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

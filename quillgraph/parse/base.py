@@ -7,8 +7,11 @@ import json
 import re
 from dataclasses import dataclass, field
 
-# Words before "(" that are no calls.
-NOT_CALLS = set("if for while switch catch return function await super new throw typeof delete void yield assert print sizeof match with else do try in of and or not elif except lambda def class func fn let const var import export from as is instanceof case when until unless foreach using lock synchronized constructor isset empty array list echo".split())
+from quillgraph.functions.text import CALL_STOP
+
+#: Words before "(" that are no calls: the fixed ones, and keywords of the languages that are never names.
+NOT_CALLS = {*CALL_STOP, *"elif else except and or not in is await yield do try until unless when foreach using lock synchronized".split()}
+BRACE, PARENS = re.compile(r"[{}]"), re.compile(r"[()]")
 
 
 @dataclass
@@ -131,13 +134,23 @@ def braces(code: str, at: int) -> tuple[int, int] | None:
     if start < 0 or (0 <= stop < start and code.count("(", at, stop) <= code.count(")", at, stop)):
         return None
     depth = 0
-    for m in re.finditer(r"[{}]", code[start:]):
+    for m in BRACE.finditer(code, start):
         depth += 1 if m.group() == "{" else -1
         if not depth:
-            return start, start + m.start()
+            return start, m.start()
     return start, len(code) - 1
 
 
+def closing(code: str, at: int) -> int:
+    """Position of the bracket that closes the one at ``at``; the end of the code without one."""
+    depth = 0
+    for m in PARENS.finditer(code, at):
+        depth += 1 if m.group() == "(" else -1
+        if not depth:
+            return m.start()
+    return len(code)
+
+
 def names(listing: str) -> list[str]:
     """Base names of a comma-separated heritage list, generics and arguments dropped."""
     flat = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", re.sub(r"\([^()]*\)", "", listing)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quillgraph.parse.base import Graph, braces, mask, names, resolve_path
+from quillgraph.parse.base import Graph, braces, closing, mask, names, resolve_path
 
 
 def _block(g: Graph, code: str, start: int, after: int) -> tuple[int, int, int]:
@@ -122,8 +122,8 @@ def dart(g: Graph) -> None:
                 g.edge(kind, id_, f"sym:{b}", b, g.line(m.start(1)))
     _functions(g, code, r"^[ \t]*(?:(?:static|external|override|final|const)\s+)*(?:[\w<>?,\[\] ]+\s+)?(\w+)\s*(?:<[^()]*>)?\(", "function")
     for m in re.finditer(r"\bGoRoute\s*\(", code):
-        if p := re.search(r"path\s*:\s*(['\"])([^'\"]*)\1", g.text[m.end() : m.end() + 400]):
-            g.node("route", f"NAV {p.group(2)}", g.line(m.start()), g.line(m.start()), f"route:NAV:{p.group(2)}", 1, type="navigation", routePath=p.group(2))
+        if p := re.compile(r"path\s*:\s*(['\"])([^'\"]*)\1").search(g.text, m.end(), closing(code, m.end() - 1)):
+            g.node("route", f"NAV {p.group(2)}", g.line(m.start()), g.line(m.start()), f"route:NAV:{p.group(2)}", 1, type="flutter_navigation", routePath=p.group(2))
     for m in re.finditer(r"^[ \t]*(?:final|const|var)\s+(?:[\w<>?, ]+\s+)?(\w+Provider)\s*=\s*([\w.]+)", code, re.M):
         g.node("variable", m.group(1), g.line(m.start(1)), g.line(m.start(1)), isProvider=True, providerType=m.group(2).split(".")[0])
 
@@ -135,19 +135,14 @@ def _functions(g: Graph, code: str, pattern: str, kind: str, skip: frozenset[str
         head = code[m.start() : m.start(1)].split()
         if m.group(1) in stop or (head and head[0] in {"return", "throw", "new", "else", "await", "case"}):
             continue
-        depth, close = 0, len(code)
-        for q in re.finditer(r"[()]", code[m.end() - 1 :]):
-            depth += 1 if q.group() == "(" else -1
-            if not depth:
-                close = m.end() - 1 + q.start()
-                break
+        close = closing(code, m.end() - 1)
         tail = re.match(r"\s*(?:const\b|noexcept\b|override\b|async\*?|throws\s+[\w.,\s]+|:\s*[\w<>?,.\[\]| \\&]+|->\s*[\w<>:&*\s]+)*\s*(\{|=>|=(?!=))", code[close + 1 :])
         if not tail:
             continue
         if tail.group(1) == "{":
             end, a, b = _block(g, code, m.start(), close + 1)
         else:
-            a, b = close + 1, max(code.find(";", close), code.find("\n", close), close + 1)
+            a, b = close + 1, max(code.find(";", close), code.find("\n", close) if "\n" in code[close:] else len(code), close + 1)
             end = g.line(b - 1)
         g.calls(g.node(kind, m.group(1), g.line(m.start(1)), end), m.group(1), code[a:b], a)
 
@@ -157,7 +152,7 @@ def jvm(g: Graph) -> None:
     file_id = f"file:{g.path}"
     lang = "kotlin" if g.path.endswith((".kt", ".kts")) else "java"
     for m in re.finditer(r"^[ \t]*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)", code, re.M):
-        g.edge("imports", file_id, f"pkg:{m.group(1)}", m.group(1), g.line(m.start(1)), importPath=m.group(1), language=lang)
+        g.edge("imports", file_id, f"pkg:{m.group(1)}", m.group(1).split(".")[-1], g.line(m.start(1)), importPath=m.group(1), language=lang)
     mods = r"(?:(?:public|private|protected|internal|abstract|final|open|sealed|static|data|inner|enum|annotation|strictfp|value|fun)\s+)*"
     for m in re.finditer(rf"^[ \t]*{mods}(@?interface|class|enum|record|object)\s+(\w+)([^{{\n;]*(?:\n[^{{;\n]*)?)", code, re.M):
         end, _, _ = _block(g, code, m.start(), m.end())
@@ -169,7 +164,8 @@ def jvm(g: Graph) -> None:
             (bases if word == "extends" else faces if word == "implements" else []).extend(names(listing))
         id_ = g.node("interface" if "interface" in m.group(1) else "class", m.group(2), g.line(m.start(1)), end, snippet=5, language=lang, bases=bases, implements=faces)
         for b in bases:
-            g.edge("extends", id_, f"sym:{b}", b, g.line(m.start(1)))
+            if b not in ("Any", "Object"):
+                g.edge("extends", id_, f"sym:{b}", b, g.line(m.start(1)))
     classes = [(m.start(), m.end()) for m in re.finditer(r"\bclass\s+\w+", code)]
     prefix = ""
     for m in re.finditer(r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b", code):
@@ -180,7 +176,7 @@ def jvm(g: Graph) -> None:
             prefix = where
             continue
         verb, full = m.group(1).upper(), "/".join(["", *[p for p in f"{prefix}/{where}".split("/") if p]])
-        g.node("route", f"{verb} {full}", g.line(m.start()), g.line(m.start()), f"route:{verb}:{full}", 1, framework="spring", method=verb, routePath=full)
+        g.node("route", f"{verb} {full}", g.line(m.start()), g.line(m.start()), f"route:{verb}:{full}", 1, framework="spring_boot", method=verb, routePath=full)
     if lang == "kotlin":
         _functions(g, code, r"^[ \t]*(?:(?:public|private|protected|internal|override|open|suspend|inline|operator|final|abstract)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)\s*\(", "function")
     else:
@@ -191,8 +187,8 @@ def php(g: Graph) -> None:
     code = mask(g.text, ("//", "#"), quotes="\"'")
     file_id = f"file:{g.path}"
     for m in re.finditer(r"^use\s+(?:function\s+|const\s+)?([\w\\]+)(?:\s+as\s+(\w+))?\s*;", code, re.M):
-        g.edge("imports", file_id, f"pkg:{m.group(1)}", m.group(1).split("\\")[-1], g.line(m.start()), fullClass=m.group(1), alias=m.group(2))
-    for m in re.finditer(r"\bRoute::(get|post|put|delete|patch|options|any)\(\s*(['\"])", code):
+        g.edge("imports", file_id, f"pkg:{m.group(1)}", m.group(2) or m.group(1).split("\\")[-1], g.line(m.start()), fullClass=m.group(1), alias=m.group(2) or m.group(1).split("\\")[-1])
+    for m in re.finditer(r"\bRoute::(get|post|put|delete|patch|options|any|resource)\(\s*(['\"])", code):
         stop = g.text.find(m.group(2), m.end())
         verb, where, at = m.group(1).upper(), g.text[m.end() : stop], g.line(m.start())
         id_ = g.node("route", f"{verb} {where}", at, at, f"route:{verb}:{where}", 1, framework="laravel", method=verb, routePath=where)

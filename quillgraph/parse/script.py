@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 
-from quillgraph.parse.base import NOT_CALLS, Graph, braces, mask, names, resolve_path
+from quillgraph.parse.base import Graph, braces, closing, mask, names, resolve_path
 
+# Reserved words, which are never called.
+RESERVED = set("if for while switch catch return typeof new delete void throw instanceof in of yield await function class interface extends implements super this require import export from as const let var async".split())
 # Calls of these properties are not followed.
-QUIET = set("then catch finally map filter forEach reduce some every find findIndex push pop shift unshift slice splice join split concat includes indexOf get set has add delete keys values entries sort reverse toString trim replace match test exec bind call apply log error warn".split())
+QUIET = set(
+    "then catch finally apply call bind push pop map filter reduce forEach slice splice concat join split indexOf includes startsWith endsWith toString toUpperCase toLowerCase trim replace match search "
+    "substring substr charAt charCodeAt keys values entries has get set add delete clear sort reverse length".split()
+)
 VERBS = "get|post|put|delete|patch|options|all"
 HERITAGE = r"(?:\s*<[^{}]*?>)?"
 
@@ -41,7 +46,7 @@ def parse_script(g: Graph, text: str | None = None, offset: int = 0) -> None:
     arrow = rf"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;{{]+?)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*\(|{HERITAGE}\((?=[^;]*?=>)|(?:[A-Za-z_$][\w$]*)\s*=>)"
     for m in re.finditer(arrow, code):
         if code[m.end() - 1] == "(":
-            close = _closing(code, m.end() - 1)
+            close = closing(code, m.end() - 1)
             if "function" not in m.group() and not re.match(r"\s*(?::[^=;{]+?)?\s*=>", code[close + 1 :]):
                 continue
         bodies.append(_function(g, code, m.group(1), m.start(), m.end() - 1, line, arrow=True))
@@ -53,7 +58,7 @@ def parse_script(g: Graph, text: str | None = None, offset: int = 0) -> None:
             continue
         verb, where, at = m.group(1).upper(), text[m.end() : end], line(m.start())
         id_ = g.node("route", f"{verb} {where}", at, at, f"route:{verb}:{where}", 1, method=verb, routePath=where)
-        rest = code[end + 1 : _closing(code, m.start() + m.group().index("("))]
+        rest = code[end + 1 : closing(code, m.start() + m.group().index("("))]
         handler = re.search(r"(?:^|[.\s,])([A-Za-z_$][\w$]*)\s*$", rest)
         if handler:
             g.edge("references", id_, f"{g.path}#{handler.group(1)}", handler.group(1), at)
@@ -69,18 +74,8 @@ def _import(g: Graph, file_id: str, clause: str, target: str, at: int, require:
     g.edge("imports", file_id, f"file:{path}", target, at, **meta)
 
 
-def _closing(code: str, at: int) -> int:
-    """Position of the bracket that closes the one at ``at``."""
-    depth = 0
-    for m in re.finditer(r"[()]", code[at:]):
-        depth += 1 if m.group() == "(" else -1
-        if not depth:
-            return at + m.start()
-    return len(code)
-
-
 def _function(g: Graph, code: str, name: str, start: int, paren: int, line, arrow: bool = False):
-    close = _closing(code, paren) if code[paren] == "(" else paren
+    close = closing(code, paren) if code[paren] == "(" else paren
     semicolon = code.find(";", close)
     head = re.match(r"[^;{]*=>\s*(?!\s*\{)", code[close + 1 :]) if arrow and code[paren] == "(" else (re.match(r"\s*(?!\s*\{)", code[close + 1 :]) if arrow else None)
     if head and code[close + 1 + head.end() :].lstrip()[:1] != "{":
@@ -124,7 +119,7 @@ def _calls(g: Graph, id_: str, name: str, code: str, offset: int) -> None:
     for m in re.finditer(r"(?<![\w$])(new\s+)?((?:[\w$]+\s*\??\.\s*|[)\]]\s*\??\.\s*)*)([A-Za-z_$][\w$]*)\s*(?:<[\w$,\s\[\]|]*>)?\(", code):
         callee = m.group(3)
         dotted = bool(m.group(2)) or code[: m.start(3)].rstrip().endswith(".")
-        if callee in NOT_CALLS or (dotted and callee in QUIET):
+        if callee in RESERVED or (dotted and callee in QUIET):
             continue
         g.edge("calls", id_, f"sym:{callee}", callee, g.line(offset + m.start(3)))
 

@@ -48,6 +48,65 @@ FILES: dict[str, tuple[str, list[tuple], list[tuple]]] = {
         [("class", "Cart{k}", 2, 4), ("function", "total", 6, 8)],
         [("imports", "std::fmt", 1), ("implements", "Show", 5), ("calls", "sum{k}", 7)],
     ),
+    "tsx": (
+        "import * as api from './api';\nimport view, { row as line, cell } from 'view';\nconst db = require('../db');\nexport interface Shape{k} extends Base, Other {\n  n: number;\n}\nexport const draw{k} = async (x: number) => {\n  const made = new Pen{k}(x);\n"
+        "  return api.items.map((i) => paint{k}(i)).filter(Boolean);\n};\nrouter.delete(`/shape/{k}`, guard, draw{k});",
+        [("interface", "Shape{k}", 4, 6), ("function", "draw{k}", 7, 10), ("route", "DELETE /shape/{k}", 11, 11)],
+        [("imports", "./api", 1), ("imports", "view", 2), ("imports", "../db", 3), ("extends", "Base", 4), ("extends", "Other", 4), ("calls", "Pen{k}", 8), ("calls", "paint{k}", 9), ("references", "draw{k}", 11)],
+    ),
+    "pyw": (
+        "from .store import load, save as keep\nfrom ..core.base import Base\n\n@app.get('/item/{k}')\nasync def item{k}(n):\n    # skip(1)\n    text = 'fake(2)'\n    return await keep(load(n))\n\nclass Item{k}(Base, Mixin):\n    def size(self):\n        return self.count{k}(len(self.rows))",
+        [("function", "item{k}", 5, 8), ("route", "GET /item/{k}", 4, 4), ("class", "Item{k}", 10, 12), ("function", "size", 11, 12)],
+        [("imports", ".store", 1), ("imports", "..core.base", 2), ("calls", "keep", 8), ("calls", "load", 8), ("extends", "Base", 10), ("extends", "Mixin", 10), ("calls", "count{k}", 12), ("calls", "len", 12)],
+    ),
+    "go": (
+        "package shop\n\nimport \"fmt\"\n\ntype Cart{k} struct {\n\tn int\n}\n\ntype Payer interface {\n\tPay() error\n}\n\nfunc (c *Cart{k}) Total(x int) int {\n\tif x > 0 {\n\t\treturn sum{k}(c.n, x)\n\t}\n\treturn 0\n}\n\n"
+        "func Open{k}() *Cart{k} {\n\tfmt.Println(\"no(1)\")\n\treturn nil\n}",
+        [("class", "Cart{k}", 5, 7), ("interface", "Payer", 9, 11), ("method", "Cart{k}.Total", 13, 18), ("function", "Open{k}", 20, 23)],
+        [("contains", "shop", 1), ("imports", "fmt", 3), ("contains", "Cart{k}.Total", 13), ("calls", "sum{k}", 15), ("calls", "Println", 21)],
+    ),
+    "dart": (
+        "import 'package:app/core.dart' as core show Box, Lid;\nimport '../ui/theme.dart';\n\nclass Page{k} extends StatelessWidget with Logged implements Shown {\n  Widget build(BuildContext context) {\n    return frame{k}(context);\n  }\n}\n\nfinal cart{k}Provider = StateProvider((ref) => 0);\n"
+        "final routes = [\n  GoRoute(path: '/page/{k}', builder: show),\n];",
+        [("class", "Page{k}", 4, 8), ("function", "build", 5, 7), ("variable", "cart{k}Provider", 10, 10), ("route", "NAV /page/{k}", 12, 12)],
+        [("imports", "package:app/core.dart", 1), ("imports", "../ui/theme.dart", 2), ("extends", "StatelessWidget", 4), ("implements", "Shown", 4), ("calls", "frame{k}", 6)],
+    ),
+    "vue": (
+        "<template>\n  <b>{{ total(1) }}</b>\n</template>\n<script setup lang=\"ts\">\nimport { sum } from './sum';\nfunction total{k}(n) {\n  return sum(n);\n}\n</script>\n<style>\nb { color: red }\n</style>",
+        [("function", "total{k}", 6, 8), ("class", "m", 1, 12)],
+        [("imports", "./sum", 5), ("calls", "sum", 7)],
+    ),
+    "java": (
+        "import java.util.List;\n\n@RestController\npublic class Shop{k} extends Base implements Open, Closed {\n  @GetMapping(\"/shop/{k}\")\n  public int total(int n) {\n    if (n > 0) {\n      return sum{k}(n);\n    }\n    return 0;\n  }\n}\n\ninterface Open {\n}",
+        [("class", "Shop{k}", 4, 12), ("route", "GET /shop/{k}", 5, 5), ("function", "total", 6, 11), ("interface", "Open", 14, 15)],
+        [("imports", "List", 1), ("extends", "Base", 4), ("calls", "sum{k}", 8)],
+    ),
+    "kt": (
+        "import app.core.Box\n\ndata class Item{k}(val n: Int) : Base(), Shown {\n  fun twice(): Int {\n    return add{k}(n, n)\n  }\n}\n\nfun short{k}(x: Int) = twice{k}(x)",
+        [("class", "Item{k}", 3, 7), ("function", "twice", 4, 6), ("function", "short{k}", 9, 9)],
+        [("imports", "Box", 1), ("extends", "Base", 3), ("extends", "Shown", 3), ("calls", "add{k}", 5), ("calls", "twice{k}", 9)],
+    ),
+    "php": (
+        "<?php\nuse App\\Models\\User as Person;\nuse App\\Base;\n\nRoute::get('/user/{k}', [UserController::class, 'index']);\nRoute::post('/save/{k}', 'SaveController@store');\n\nclass Post{k} extends Base implements Shown\n{\n    public function author() {\n        return $this->belongsTo(User::class);\n    }\n\n"
+        "    public static function make{k}($n)\n    {\n        return build{k}($n);\n    }\n}",
+        [("route", "GET /user/{k}", 5, 5), ("route", "POST /save/{k}", 6, 6), ("class", "Post{k}", 8, 18), ("function", "author", 10, 12), ("function", "make{k}", 14, 17)],
+        [("imports", "Person", 2), ("imports", "Base", 3), ("references", "UserController", 5), ("references", "SaveController", 6), ("extends", "Base", 8), ("references", "User", 11), ("calls", "belongsTo", 11), ("calls", "build{k}", 16)],
+    ),
+    "cs": (
+        "using System;\n\npublic class Cart{k}\n{\n    private int n;\n\n    public int Total(int x)\n    {\n        while (x > 0)\n        {\n            x = Less{k}(x);\n        }\n        return x;\n    }\n}\n\ninternal interface IOpen\n{\n}",
+        [("class", "Cart{k}", 3, 15), ("method", "Total", 7, 14), ("interface", "IOpen", 17, 19)],
+        [("calls", "Less{k}", 11)],
+    ),
+    "cpp": (
+        "#include <cmath>\n\nstruct Point{k} {\n  int x;\n};\n\nstatic int area{k}(int a, int b) {\n  // no(1)\n  return clamp{k}(a * b);\n}",
+        [("class", "Point{k}", 3, 5), ("method", "area{k}", 7, 10)],
+        [("calls", "clamp{k}", 9)],
+    ),
+    "rb": (
+        "class Cart{k}\n  def total(n)\n    sum{k}(n)\n  end\nend",
+        [("class", "Cart{k}", 1, 1), ("method", "total", 2, 4)],
+        [("calls", "sum{k}", 3)],
+    ),
 }
 
 
@@ -108,11 +167,12 @@ def markdown_sections(spark, d):
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, least(n, 2) AS start_line, array_to_string(list_slice(l, greatest(least(n, 2) - 2, 1), least(least(n, 2) + 2, n)), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, (n + 2) // 3 AS start_line, array_to_string(list_slice(l, greatest((n + 2) // 3 - 2, 1), n), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)")
 def verbatim_source(spark, d):
     docs = _table(spark, d, "documents").where("text IS NOT NULL")
-    at = F.least(text.line_count(F.col("text")), F.lit(2))
-    return docs.select("doc_id", at.cast("long").alias("start_line"), text.source_lines(F.col("text"), at, at).alias("lines"))
+    n = text.line_count(F.col("text"))
+    at = F.floor((n + 2) / 3).cast("int")
+    return docs.select("doc_id", at.cast("long").alias("start_line"), text.source_lines(F.col("text"), at, n).alias("lines"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s,.;:()\\[\\]{}<>\"''`\\\\/|!?*+=~^%#@&$-]+'), lambda w: length(w) >= 2)"

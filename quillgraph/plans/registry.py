@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.functions import text
+from quillgraph.functions.frames import last_writer
 from quillgraph.operators import fresh, metrics, resolve, search, traverse
 from quillgraph.sources import star
 
@@ -35,9 +36,7 @@ def _graph(tables=star.ALL) -> str:
     return f"WITH RECURSIVE nodes AS ({star.plain(star.nodes_sql(tables))}), edges AS ({star.plain(star.edges_sql(tables))})"
 
 
-G, SMALL = _graph(), _graph(star.SMALL)
-PATHS = star.SMALL + ["orders"]
-P = _graph(PATHS)
+G = _graph()
 
 # --- scan and parse functions over tables ---------------------------------------------------------------------------
 
@@ -80,7 +79,7 @@ def secret_filter(spark, d):
     return _paths(spark, d).select("p_partkey", text.secret_file(F.col("path")).alias("secret"))
 
 
-@query("SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '(?:\\.|\\b)([A-Za-z0-9_$]+)\\s*\\(', 1), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.CALL_STOP) + "], x)))) AS callee FROM documents")
+@query("SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '(?:\\.|\\b)([A-Za-z0-9_$]+)\\s*\\(', 1), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in "if for while switch catch require import return console log error warn info typeof sizeof new def class func fn lambda struct".split()) + "], x)))) AS callee FROM documents")
 def regex_calls(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.explode(text.calls(F.col("text"))).alias("callee"))
 
@@ -128,7 +127,7 @@ def _search_sql(q: str, limit: int) -> str:
     return f"""{G}, s AS (SELECT *, CASE WHEN {exact} THEN 100 WHEN {same} THEN 60 WHEN {any_("starts_with(lower(name), '{t}')", long)} THEN 30 WHEN {any_("contains(lower(name), '{t}')", long)} THEN 15 ELSE 0 END AS sym,
     5 * (len(list_filter({_tokens('name')}, lambda t: list_contains({wanted}, t))) + len(list_filter({_tokens('file_path')}, lambda t: list_contains({wanted}, t)))) AS tok FROM nodes)
     SELECT id, name, kind, file_path, CAST(sym + tok + CASE kind WHEN 'class' THEN 15 WHEN 'interface' THEN 15 WHEN 'route' THEN 12 WHEN 'function' THEN 10 WHEN 'method' THEN 10 WHEN 'type' THEN 8 ELSE 0 END
-    + CASE WHEN {any_("contains(lower(file_path), '{t}')", long)} THEN 10 ELSE 0 END AS INT) AS score, CASE WHEN sym >= 60 THEN 'exact_name' WHEN sym > 0 THEN 'partial_name' ELSE 'fts_content' END AS match_type
+    + CASE WHEN {any_("contains(lower(file_path), '{t}')", long)} THEN 10 ELSE 0 END AS INT) AS score, CASE WHEN sym >= 60 THEN 'exact_name' WHEN sym > 0 THEN 'partial_name' ELSE 'fts_content' END AS match_type, name AS highlight
     FROM s WHERE sym + tok > 0 ORDER BY score DESC, name, ord LIMIT {limit}"""
 
 
@@ -201,18 +200,18 @@ def _summary_sql(seeds: str, depth: int, graph: str = G) -> str:
 
 
 _ONE = "SELECT 'Supplier#000000001' AS seed, 'supplier:1' AS id"
-_MANY = "SELECT id AS seed, id FROM nodes WHERE kind IN ('file', 'class') OR (kind = 'function' AND ord % 50 = 0)"
+_MANY = "SELECT t.seed, arg_min(n.id, n.ord) AS id FROM (SELECT DISTINCT name AS seed FROM nodes WHERE kind IN ('file', 'class', 'function')) t JOIN nodes n ON lower(n.name) = lower(t.seed) GROUP BY t.seed"
 
 
-@query(_summary_sql(_ONE, 2) + " SELECT seed, direct_callers, transitive_callers, affected_files, affected_routes, risk, 'Changing ''' || seed || ''' impacts ' || direct_callers || ' direct caller(s), ' || transitive_callers || ' transitive caller(s) across ' || affected_files || ' file(s), and ' || affected_routes || ' HTTP route(s). Risk Level: ' || risk || '.' AS summary FROM judged")
+@query(_summary_sql(_ONE, 5) + " SELECT seed, direct_callers, transitive_callers, affected_files, affected_routes, risk, 'Changing ''' || seed || ''' impacts ' || direct_callers || ' direct caller(s), ' || transitive_callers || ' transitive caller(s) across ' || affected_files || ' file(s), and ' || affected_routes || ' HTTP route(s). Risk Level: ' || risk || '.' AS summary FROM judged")
 def impact_summary(spark, d):
-    return traverse.impact_of(star.nodes(spark, d), star.edges(spark, d), "Supplier#000000001", 2)
+    return traverse.impact_of(star.nodes(spark, d), star.edges(spark, d), "Supplier#000000001")
 
 
-@query(f"{P}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 3)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
+@query(f"{G}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 5)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
 def impact_levels(spark, d):
-    n, e = star.nodes(spark, d, PATHS), star.edges(spark, d, PATHS)
-    return traverse.impact_levels(n, e, n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"), 3)
+    n = star.nodes(spark, d)
+    return traverse.impact_levels(n, star.edges(spark, d), n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"))
 
 
 @query(_summary_sql(_ONE, 5) + " SELECT seed, risk, risk <> 'CRITICAL' AS passed FROM judged")
@@ -221,11 +220,10 @@ def audit_gate(spark, d):
     return traverse.audit(n, e, spark.createDataFrame([("Supplier#000000001", "supplier:1")], "seed string, id string"))
 
 
-@query(_summary_sql(_MANY, 2, P) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
+@query(_summary_sql(_MANY, 5) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
 def audit_gate_multi(spark, d):
-    n, e = star.nodes(spark, d, PATHS), star.edges(spark, d, PATHS)
-    seeds = n.where("kind IN ('file', 'class') OR (kind = 'function' AND ord % 50 = 0)").select(F.col("id").alias("seed"), "id")
-    return traverse.audit(n, e, seeds, "MEDIUM", 2)
+    n = star.nodes(spark, d)
+    return traverse.audit(n, star.edges(spark, d), resolve.seeds(n, n.where("kind IN ('file', 'class', 'function')").select(F.col("name").alias("seed"))), "MEDIUM")
 
 
 @query(f"""{G}, walk AS (SELECT 'order:33' AS id, 0 AS depth UNION SELECT e.target_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_id = w.id JOIN nodes n ON n.id = e.target_id WHERE w.depth < 3 AND e.kind IN ('calls', 'references')),
@@ -270,7 +268,7 @@ def degree_centrality(spark, d):
     return metrics.degree_centrality(star.nodes(spark, d), star.edges(spark, d))
 
 
-def _rank_sql(graph: str = SMALL) -> str:
+def _rank_sql(graph: str = G) -> str:
     out = f"""{graph}, link AS MATERIALIZED (SELECT source_id AS s, target_id AS t, count(*)::DOUBLE AS m FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY 1, 2),
     outs AS MATERIALIZED (SELECT s, sum(m) AS o FROM link GROUP BY s), size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM nodes, size)"""
     for k in range(1, 21):
@@ -282,8 +280,8 @@ def _rank_sql(graph: str = SMALL) -> str:
 
 @query(_rank_sql() + " SELECT id, round(r * n, 4) AS scaled_rank FROM r20, size")
 def pagerank(spark, d):
-    n = star.nodes(spark, d, star.SMALL)
-    return metrics.pagerank(n, star.edges(spark, d, star.SMALL)).select("id", F.round(F.col("page_rank") * F.lit(n.count()), 4).alias("scaled_rank"))
+    n = star.nodes(spark, d)
+    return metrics.pagerank(n, star.edges(spark, d)).select("id", F.round(F.col("page_rank") * F.lit(n.count()), 4).alias("scaled_rank"))
 
 
 _GODS = f", {_DEGREES} SELECT n.id, n.name, n.file_path, in_degree + out_degree AS degree, in_degree, out_degree, round(r, 4) AS page_rank FROM nodes n JOIN deg ON deg.id = n.id JOIN r20 ON r20.id = n.id WHERE kind NOT IN ('file', 'doc_section') ORDER BY round(r, 4) DESC, degree DESC, n.ord LIMIT 10"
@@ -291,44 +289,19 @@ _GODS = f", {_DEGREES} SELECT n.id, n.name, n.file_path, in_degree + out_degree
 
 @query(_rank_sql() + _GODS)
 def god_nodes(spark, d):
-    return metrics.god_nodes(star.nodes(spark, d, star.SMALL), star.edges(spark, d, star.SMALL))
-
-
-# the same over the whole graph, with default depths
-
-
-@query(_rank_sql(G) + " SELECT id, round(r * n, 4) AS scaled_rank FROM r20, size")
-def pagerank_all(spark, d):
-    n = star.nodes(spark, d)
-    return metrics.pagerank(n, star.edges(spark, d)).select("id", F.round(F.col("page_rank") * F.lit(n.count()), 4).alias("scaled_rank"))
-
-
-@query(_rank_sql(G) + _GODS)
-def god_nodes_all(spark, d):
     return metrics.god_nodes(star.nodes(spark, d), star.edges(spark, d))
 
 
-@query(f"{G}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 5)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
-def impact_levels_all(spark, d):
-    n = star.nodes(spark, d)
-    return traverse.impact_levels(n, star.edges(spark, d), n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"))
-
-
-@query(_summary_sql(_ONE, 5) + " SELECT seed, direct_callers, transitive_callers, affected_files, affected_routes, risk FROM judged")
-def impact_summary_all(spark, d):
-    return traverse.impact_of(star.nodes(spark, d), star.edges(spark, d), "Supplier#000000001").drop("summary")
-
-
-@query(_summary_sql("SELECT id AS seed, id FROM nodes WHERE kind IN ('file', 'class', 'function')", 5) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
-def audit_gate_all(spark, d):
-    n = star.nodes(spark, d)
-    return traverse.audit(n, star.edges(spark, d), n.where("kind IN ('file', 'class', 'function')").select(F.col("id").alias("seed"), "id"), "MEDIUM")
+@query(f"{G} SELECT CAST(count_if(s.id IS NULL OR (t.id IS NULL AND NOT regexp_matches(target_id, '^(sym|pkg|crate|file):'))) AS BIGINT) AS broken_edges, CAST(count_if(t.id IS NULL AND regexp_matches(target_id, '^(sym|pkg|crate|file):')) AS BIGINT) AS external_refs, CAST(count_if(source_id = target_id) AS BIGINT) AS self_loops, count(*) AS total_edges FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id")
+def diagnose_integrity(spark, d):
+    return metrics.diagnose(star.nodes(spark, d), star.edges(spark, d))
 
 
-@query(f"{_graph(['customer', 'orders', 'lineitem'])} SELECT CAST(count_if(s.id IS NULL OR (t.id IS NULL AND NOT regexp_matches(target_id, '^(sym|pkg|crate|file):'))) AS BIGINT) AS broken_edges, CAST(count_if(t.id IS NULL AND regexp_matches(target_id, '^(sym|pkg|crate|file):')) AS BIGINT) AS external_refs, CAST(count_if(source_id = target_id) AS BIGINT) AS self_loops, count(*) AS total_edges FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id")
-def diagnose_integrity(spark, d):
-    some = ["customer", "orders", "lineitem"]
-    return metrics.diagnose(star.nodes(spark, d, some), star.edges(spark, d, some))
+@query("SELECT p_partkey AS path_key FROM part WHERE p_partkey % 9 = 0")
+def missing_files(spark, d):
+    p = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"))
+    named = p.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("file_path"))
+    return metrics.missing_files(named, p.where("p_partkey % 9 <> 0")).select(F.substring("path", 3, 20).cast("long").alias("path_key"))
 
 
 @query(f"{G} SELECT id, name, file_path FROM nodes WHERE kind = 'route'")
@@ -341,9 +314,9 @@ def module_map(spark, d):
     return metrics.module_map(star.nodes(spark, d))
 
 
-@query(f"{P}, top AS (SELECT id FROM nodes ORDER BY ord LIMIT 5000) SELECT source_id, target_id, kind FROM edges WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top) ORDER BY ord LIMIT 15000")
+@query(f"{G}, top AS (SELECT id FROM nodes ORDER BY ord LIMIT 5000) SELECT source_id, target_id, kind FROM edges WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top) ORDER BY ord LIMIT 15000")
 def visual_subgraph(spark, d):
-    return metrics.visual_subgraph(star.nodes(spark, d, PATHS), star.edges(spark, d, PATHS))
+    return metrics.visual_subgraph(star.nodes(spark, d), star.edges(spark, d))
 
 
 # --- snapshots and streams ------------------------------------------------------------------------------------------
@@ -382,15 +355,30 @@ def delta_apply(spark, d):
     return fresh.upsert(same, b.join(changed.where("change <> 'delete'"), "path", "left_semi"), changed, "path")
 
 
+_SHARED = "SELECT 'route:' || p_type AS id, 'p/' || p_partkey AS file_path, p_partkey AS version, p_brand AS name FROM {part}"
+_LATER = "SELECT 'route:' || CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_type END AS id, 'p/' || p_partkey AS file_path, p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1000000 ELSE 0 END AS version, p_brand AS name FROM {part} WHERE p_partkey % 7 <> 0"
+
+
+@query(f"SELECT id, arg_max(file_path, file_path) AS file_path, arg_max(version, file_path) AS version, arg_max(name, file_path) AS name, min(file_path) AS first_path FROM ({star.plain(_LATER)}) GROUP BY id")
+def delta_shared_ids(spark, d):
+    """Ids that many files share: edits, and deletions of the file whose row counts and of others, applied to all files' versions."""
+    old, new = star._run(spark, d, _SHARED), star._run(spark, d, _LATER)
+    marks = [df.select(F.col("file_path").alias("path"), F.xxhash64("id", "version").alias("hash")) for df in (old, new)]
+    changed = fresh.reconcile(*marks)
+    fresh_rows = new.join(changed.where("change <> 'delete'").select(F.col("path").alias("file_path")), "file_path", "left_semi").select(*old.columns)
+    rows = fresh.upsert(old, fresh_rows, changed).withColumn("file_ord", F.col("file_path")).withColumn("emit_ord", F.lit(0))
+    return last_writer(rows).select("id", "file_path", "version", "name", F.col("file_ord").alias("first_path"))
+
+
 @query("WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS n, count(DISTINCT event_type) AS n_items FROM s GROUP BY user_id, b")
 def debounce_batches(spark, d):
     rows = fresh.debounce(_table(spark, d, "events"), "user_id", "ts", "event_type", "10 minutes")
     return rows.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-_ROOTS = "SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root FROM {pages} WHERE page_id % 3 = 0"
+_ROOTS = "SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root FROM {pages}"
 
 
-@query("WITH roots AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root FROM pages WHERE page_id % 3 = 0), paths AS (SELECT DISTINCT url AS path FROM pages) SELECT path, arg_max(root, length(root)) AS root FROM paths LEFT JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY path")
+@query("WITH roots AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS root FROM pages), paths AS (SELECT DISTINCT url AS path FROM pages) SELECT path, arg_max(root, length(root)) AS root FROM paths LEFT JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY path")
 def ancestor_workspace(spark, d):
     return fresh.ancestor(star._run(spark, d, _ROOTS), _table(spark, d, "pages").select(F.col("url").alias("path")))

@@ -1,17 +1,33 @@
-"""The graph on disk: versioned Parquet tables and a pointer that is moved last, on any Hadoop file system.
+"""The graph on disk: versioned Parquet tables on any Hadoop file system, and JSON import and export.
 
-A reader sees one whole version; a writer that dies leaves the pointer where it was. JSON import and export are for small graphs.
+A version is a folder that is complete once it has a marker file, which is written last. Readers take the newest complete
+version by its number, so they see one whole version at any time; a writer that dies leaves an incomplete folder behind, which later
+writers remove.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-TABLES = ("files", "nodes", "edges")
+from quillgraph import schema
+
+#: ``parsed_*`` hold every file's own version of an id, ``nodes`` and ``edges`` one row per id, ``tokens`` the search index.
+TABLES = ("files", "parsed_nodes", "parsed_edges", "nodes", "edges", "tokens")
+MARKER = "_COMPLETE"
+
+
+def camel(name: str) -> str:
+    if name == "mtime_ms":
+        return "lastModified"
+    first, *rest = name.split("_")
+    return first + "".join(w.capitalize() for w in rest)
 
 
 class Store:
@@ -21,43 +37,69 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[tuple[int, str, bool]]:
+        """(number, folder, complete) in rising order."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        found = [(int(m.group(1)), n) for n in names if (m := re.fullmatch(r"v(\d+)-\w+", n))]
+        return [(k, n, self._fs.exists(self._path(f"{self.root}/{n}/{MARKER}"))) for k, n in sorted(found)]
+
     def version(self) -> str | None:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return next((n for _, n, done in reversed(self._versions()) if done), None)
 
     def load(self) -> dict[str, DataFrame] | None:
         v = self.version()
         return v and {t: self.spark.read.parquet(f"{self.root}/{v}/{t}") for t in TABLES}
 
     def save(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new version, move the pointer to it, and drop all but the last two."""
-        before, v = self.version(), f"v{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        """Write a new version; keep it and the newest complete one before it."""
+        before = self._versions()
+        v = f"v{max((k for k, _, _ in before), default=0) + 1:015d}-{uuid.uuid4().hex[:8]}"
         for t in TABLES:
             tables[t].write.parquet(f"{self.root}/{v}/{t}")
-        tmp = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        if not self._fs.rename(tmp, current):
-            self._fs.delete(current, False)
-            self._fs.rename(tmp, current)
-        for s in self._fs.listStatus(self._path(self.root)):
-            name = s.getPath().getName()
-            if name.startswith("v") and name not in (before, v):
-                self._fs.delete(s.getPath(), True)
+        self._fs.create(self._path(f"{self.root}/{v}/{MARKER}"), False).close()
+        last = next((n for _, n, done in reversed(before) if done), None)
+        for _, name, _ in before:
+            if name != last:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
         return v
 
-    def export_json(self) -> str:
-        """One JSON object: files by path, nodes and edges in order. For graphs that fit the driver."""
+    def export_json(self, path: str) -> None:
+        """One JSON object in a local file: files by path, nodes and edges in order. Rows pass the driver one partition at a time."""
         got = self.load() or {}
-        rows = {t: [json.loads(r) for r in got[t].toJSON().collect()] for t in got}
-        return json.dumps({"version": 1, "lastUpdated": int(time.time() * 1000), "files": {f["path"]: f for f in rows.get("files", [])}, "nodes": rows.get("nodes", []), "edges": rows.get("edges", [])})
+        shown = {"files": schema.FILE, "nodes": schema.NODE, "edges": schema.EDGE}
+
+        def rows(t: str):
+            if t in got:
+                names = [c.split()[0] for c in shown[t].split(", ") if c.split()[0] in got[t].columns and not c.endswith(("_ord long", "_ord int"))]
+                df = got[t].orderBy("path" if t == "files" else "ord").select([F.col(c).alias(camel(c)) for c in names])
+                yield from (json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).toLocalIterator())
+
+        with open(f"{path}.part", "w", encoding="utf-8") as f:
+            f.write(f'{{"version": 1, "lastUpdated": {int(time.time() * 1000)}, "files": {{')
+            for i, r in enumerate(rows("files")):
+                f.write(f"{', ' if i else ''}{json.dumps(r['path'])}: {json.dumps(r)}")
+            for t in ("nodes", "edges"):
+                f.write(f'{"}" if t == "nodes" else "]"}, "{t}": [')
+                for i, r in enumerate(rows(t)):
+                    if r.get("metadata"):
+                        r["metadata"] = json.loads(r["metadata"])
+                    f.write(f"{', ' if i else ''}{json.dumps(r)}")
+            f.write("]}")
+        os.replace(f"{path}.part", path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """files, nodes and edges of an exported graph; ``ord`` is the place in the file. Later rows of an id replace earlier ones."""
+    types = {"node": schema.NODE, "edge": schema.EDGE, "file": schema.FILE}
+    shape = lambda k: "struct<" + ", ".join(f"{camel(c.split()[0])}: {c.split()[1]}" for c in types[k].split(", ")) + ">"
+    raw = spark.read.schema(f"files map<string, {shape('file')}>, nodes array<{shape('node')}>, edges array<{shape('edge')}>").json(path, multiLine=True)
 
+    def rows(t: str, kind: str) -> DataFrame:
+        names = [c.split()[0] for c in types[kind].split(", ") if c.split()[0] not in ("file_ord", "emit_ord")]
+        at: Column = F.posexplode(t)
+        return raw.select(at.alias("emit_ord", "r")).select(*[F.col(f"r.{camel(c)}").alias(c) for c in names], F.lit("").alias("file_ord"), "emit_ord")
 
+    files = raw.select(F.explode("files").alias("path", "r")).select("path", *[F.col(f"r.{camel(c)}").alias(c) for c in [x.split()[0] for x in types["file"].split(", ")][1:]])
+    return {"files": files, "nodes": rows("nodes", "node"), "edges": rows("edges", "edge")}

@@ -1,8 +1,9 @@
 """A source tree as a Spark data source: ``spark.read.format("workspace").load(root)``, batch and streaming.
 
 Rows are (path, size, mtime_ms, content). Ignored folders are pruned while walking, files are filtered by extension and size; names that begin with
-``_`` or ``.`` are read like others. Each first-level entry is an input partition. The stream yields files changed since the
-last trigger; deletions come from the reconcile step. The root must be readable on the executors.
+``_`` or ``.`` are read like others. The driver lists names, sizes and times and packs files into partitions of bounded size; tasks read the contents,
+or none with the option ``content`` = ``false``. The stream yields files changed since the last trigger; deletions come from the reconcile step. The
+root must be readable on the executors.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ import subprocess
 import time
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quillgraph import schema as fixed
 
+#: Bytes and files of one input partition.
+PART_BYTES, PART_FILES = 16 << 20, 2000
+
 
 def wanted(rel: str, size: int) -> bool:
     parts, low = rel.split("/"), rel.lower()
@@ -47,44 +53,63 @@ def read(root: str, rel: str) -> str:
 
 
 class Part(InputPartition):
-    def __init__(self, name: str, is_dir: bool):
-        super().__init__(name)
-        self.name, self.is_dir = name, is_dir
+    """Some files: (path, size, mtime_ms)."""
+
+    def __init__(self, files: list[tuple[str, int, float]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+def packed(files: Iterator[tuple[str, int, float]]) -> list[Part]:
+    """Files in path order, dealt to partitions of bounded size; a folder of any size makes as many as it needs."""
+    parts, held, size = [], [], 0
+    for f in files:
+        held.append(f)
+        size += f[1]
+        if size >= PART_BYTES or len(held) >= PART_FILES:
+            parts.append(Part(held))
+            held, size = [], 0
+    return parts + [Part(held)] if held or not parts else parts
+
+
+def rows_of(root: str, part: Part, content: bool) -> Iterator[tuple]:
+    for rel, size, ms in part.files:
+        try:
+            yield rel, size, ms, read(root, rel) if content else None
+        except FileNotFoundError:  # gone since it was listed
+            pass
 
 
 class Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    """Names are listed once, by the driver; contents are read by the tasks."""
+
+    def __init__(self, root: str, content: bool):
+        self.root, self.content = root, content
 
     def partitions(self) -> list[Part]:
-        found = [Part(e.name, e.is_dir(follow_symlinks=False)) for e in sorted(os.scandir(self.root), key=lambda e: e.name)]
-        return [p for p in found if not p.is_dir or not pruned([p.name])] or [Part("", False)]
+        return packed(walk(self.root))
 
     def read(self, part: Part) -> Iterator[tuple]:
-        if part.is_dir:
-            for rel, size, ms in walk(self.root, part.name):
-                yield rel, size, ms, read(self.root, rel)
-        elif part.name:
-            s = os.stat(os.path.join(self.root, part.name))
-            if os.path.isfile(os.path.join(self.root, part.name)) and wanted(part.name, s.st_size):
-                yield part.name, s.st_size, s.st_mtime_ns / 1e6, read(self.root, part.name)
+        return rows_of(self.root, part, self.content)
 
 
-class Changes(SimpleDataSourceStreamReader):
+class Changes(DataSourceStreamReader):
     """Files whose time lies in (start, end]; offsets are epoch milliseconds, so a replay gives the same files."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, content: bool):
+        self.root, self.content = root, content
 
     def initialOffset(self) -> dict:
         return {"ms": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = {"ms": int(time.time() * 1000)}
-        return self.readBetweenOffsets(start, end), end
+    def latestOffset(self) -> dict:
+        return {"ms": int(time.time() * 1000)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(rel, size, ms, read(self.root, rel)) for rel, size, ms in walk(self.root) if start["ms"] < ms <= end["ms"]])
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return packed(f for f in walk(self.root) if start["ms"] < f[2] <= end["ms"])
+
+    def read(self, part: Part) -> Iterator[tuple]:
+        return rows_of(self.root, part, self.content)
 
 
 class Workspace(DataSource):
@@ -95,17 +120,37 @@ class Workspace(DataSource):
     def schema(self) -> str:
         return fixed.SNAPSHOT
 
+    def _content(self) -> bool:
+        return self.options.get("content", "true").lower() != "false"
+
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], self._content())
 
-    def simpleStreamReader(self, schema) -> Changes:
-        return Changes(self.options["path"])
+    def streamReader(self, schema) -> Changes:
+        return Changes(self.options["path"], self._content())
 
 
 def register(spark) -> None:
+    """Make the source known; workers import this package by the driver's own path to it."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    shown = spark.sparkContext.environment
+    if home not in shown.get("PYTHONPATH", "").split(os.pathsep):
+        shown["PYTHONPATH"] = os.pathsep.join(p for p in (home, shown.get("PYTHONPATH")) if p)
     spark.dataSource.register(Workspace)
 
 
+def with_content(rows: DataFrame, root: str) -> DataFrame:
+    """(path, content) of listed files (path), read by the tasks; files that have gone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                if os.path.isfile(os.path.join(root, path)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([read(root, path)])], ["path", "content"])
+
+    return rows.select("path").mapInArrow(run, "path string, content string")
+
+
 def git_changes(root: str, extensions: list[str] | None = None) -> list[str]:
     """Staged, unstaged and untracked files that exist and have a scanned extension."""
     out: set[str] = set()
