@@ -1,9 +1,10 @@
 """Embedding near-duplicates by epsilon grid order join.
 
 Unit vectors with cosine of at least ``COSINE`` lie within distance eps = sqrt(2 - 2 * COSINE). Equal vectors are first
-merged into one with a multiplicity. Principal axes come from the covariance of all vectors (summed by Spark). The
+merged into one with a multiplicity and a number of its own. Principal axes come from the covariance of all vectors (summed by Spark). The
 vectors are sorted by their grid cells (width eps) on the ``LEADING`` axes - the epsilon grid order - and cut into
-blocks of ``BLOCK``. Blocks whose bounding boxes on these axes are more than eps apart are never paired; inside a
+blocks of at most ``BLOCK``: stretches of the range partitions that the sort makes, so nothing is collected to number them. Blocks whose bounding boxes
+on these axes and in the length of what the axes leave over are more than eps apart are never paired; inside a
 pair, intervals of the sequence are halved recursively and skipped by the same test. What is left is multiplied
 in single precision with a margin, and every pair within the margin is decided in double precision.
 
@@ -12,7 +13,7 @@ linear output, whatever the size of a group. No pair is cut off.
 
 Defined results: null vectors, empty or zero vectors and vectors with null or non-finite components link with nothing,
 as do vectors of different lengths with each other; each is its own component. Other rows with the same vec_id and
-vector count as other vectors; a null vec_id takes part through its vector and names no component of its own; columns other than
+vector count as other vectors; a null vec_id takes part through its vector but names no component, so component_id is null only where no vector reachable has an id; columns other than
 vec_id and embedding are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +29,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpoint, components
 
-COSINE, LEADING, BLOCK, LEAF = 0.95, 16, 4096, 512
+COSINE, LEADING, BLOCK, LEAF = 0.95, 16, 16_384, 512
+#: Added to eps, as lengths of what the axes leave over are roots of small differences.
+SLACK = 1e-6
+#: Vectors that one task sorts.
+SORTED = 1 << 18
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -63,6 +68,13 @@ def principal(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1][:, :LEADING])
 
 
+def projected(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes and the length of the rest: no two vectors are nearer than their distance in these."""
+    p = x @ axes
+    rest = np.einsum("ij,ij->i", x, x) - np.einsum("ij,ij->i", p, p)
+    return np.concatenate([p, np.sqrt(np.maximum(rest, 0.0))[:, None]], 1)
+
+
 def _gap(a_low, a_high, b_low, b_high) -> float:
     """Smallest distance of two boxes."""
     d = np.maximum(0.0, np.maximum(a_low - b_high, b_low - a_high))
@@ -87,9 +99,9 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, weight_x:
     both = x if same else np.concatenate([x, y])
     weight = weight_x if same else np.concatenate([weight_x, weight_y])
     shift = 0 if same else len(x)
-    n, eps = len(both), math.sqrt(2 - 2 * cosine) + 1e-9
+    n, eps = len(both), math.sqrt(2 - 2 * cosine) + SLACK
     margin = max(1e-4, 8 * x.shape[1] * 6e-8)
-    p, single = both @ axes, both.astype(np.float32)
+    p, single = projected(both, axes), both.astype(np.float32)
     partners, edges_a, edges_b, met = np.zeros(n, np.int64), [], [], 0
     box: dict[tuple[int, int], tuple] = {}
 
@@ -129,30 +141,23 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, weight_x:
 
 def _pairs_of(vectors: DataFrame, dim: int, cosine: float) -> DataFrame:
     """(rep, partners, root) from all block pairs that may hold links; ``vectors``: rep, n, embedding of one length."""
-    spark = vectors.sparkSession
-    axes, eps = principal(vectors, dim), math.sqrt(2 - 2 * cosine) + 1e-9
-    k = axes.shape[1]
+    axes, eps = principal(vectors, dim), math.sqrt(2 - 2 * cosine) + SLACK
+    k = axes.shape[1] + 1
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = unit(_matrix(b.column(2), dim)) @ axes if b.num_rows else np.zeros((0, k))
-            c = np.floor(p / eps).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, k, dtype=np.int32)), pa.array(c.ravel()))
+            p = projected(unit(_matrix(b.column(2), dim)), axes) if b.num_rows else np.zeros((0, k))
+            c = np.floor(p[:, :-1] / eps).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, k - 1, dtype=np.int32)), pa.array(c.ravel()))
             proj = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, flat, proj], ["rep", "n", "embedding", "cell", "p"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    total = vectors.count()
     ordered = vectors.select("rep", "n", "embedding").mapInArrow(cells, f"rep long, n long, embedding {kind}, cell array<int>, p array<double>")
-    ordered = ordered.repartitionByRange(max(1, math.ceil(total / BLOCK)), "cell", "rep").sortWithinPartitions("cell", "rep")
-    seq = checkpoint(ordered.withColumn("__id", F.monotonically_increasing_id()))
-    part, within = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r.part: r["count"] for r in seq.groupBy(part.alias("part")).count().collect()}  # one row for each partition
-    starts, at = {}, 0
-    for q in sorted(sizes):
-        starts[q], at = at, at + sizes[q]
-    offset = spark.createDataFrame(sorted(starts.items()), "part int, start long")
-    blocks = seq.withColumn("part", part).join(F.broadcast(offset), "part").withColumn("block", F.floor((F.col("start") + within) / BLOCK).cast("long")).select("block", (F.col("start") + within).alias("at"), "rep", "n", "embedding", "p")
+    ranges = max(1, math.ceil(vectors.count() / SORTED))
+    seq = checkpoint(ordered.repartitionByRange(ranges, "cell", "rep").sortWithinPartitions("cell", "rep").withColumn("at", F.monotonically_increasing_id()))
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the rest of ``at`` is the partition
+    blocks = seq.withColumn("block", F.col("at") - within + F.floor(within / BLOCK).cast("long"))
     boxes = blocks.groupBy("block").agg(*[f(F.col("p")[i]).alias(f"{name}{i}") for i in range(k) for f, name in ((F.min, "lo"), (F.max, "hi"))])
     boxes = checkpoint(boxes.select("block", F.floor(F.col("lo0") / eps).alias("c0"), F.floor(F.col("hi0") / eps).alias("c1"), F.array(*[f"lo{i}" for i in range(k)]).alias("lo"), F.array(*[f"hi{i}" for i in range(k)]).alias("hi")))
     left = boxes.select(F.col("block").alias("a"), "c0", "c1", "lo", "hi").withColumn("c", F.explode(F.sequence("c0", "c1")))
@@ -189,20 +194,19 @@ def link(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     e = F.col("embedding")
     fine = F.coalesce((F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(math.inf))) & F.exists(e, lambda v: v != 0), F.lit(False))
     good = rows.where(fine)
-    distinct = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    named = distinct.where("rep is not null")
+    distinct = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     found = None
-    for (dim,) in named.select(F.size("embedding")).distinct().collect():  # one row for each vector length
-        part = _pairs_of(named.where(F.size("embedding") == dim), dim, cosine)
+    for (dim,) in distinct.select(F.size("embedding")).distinct().collect():  # one row for each vector length
+        part = _pairs_of(distinct.where(F.size("embedding") == dim).select("rep", "n", "embedding"), dim, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
     found = checkpoint(found)
     partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = distinct.join(partners, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(
-        "embedding", (F.coalesce("partners", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    members = checkpoint(distinct.select("rep", "first", "n").join(partners, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "first", (F.coalesce("partners", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root")))
+    names = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = distinct.select("embedding", "rep").join(members.join(names, "root").select("rep", "n_links", "component_id"), "rep").drop("rep")
     linked = good.join(classes, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -47,6 +47,24 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vectors.link(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in vectors.link(odd).collect()) == [(0, 2, 3), (3, 2, 3), (3, 2, 3)]
+    near = spark.createDataFrame([(None, [1.0, 0.001]), (9, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.001, 1.0]), (None, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vectors.link(near).collect()) == [(0, 0, 0, False), (0, 1, 0, False), (0, 1, 0, False), (0, 1, 9, False), (9, 1, 9, True)]
+
+
+def test_chains_through_null_ids(spark, monkeypatch):
+    """Vectors without an id carry links; held against brute force with ids of their own."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "LEAF", 8)
+    monkeypatch.setattr(vectors, "SORTED", 50)
+    xs = [[float(np.float32(v)) for v in (np.cos(t), np.sin(t), 0.3)] for t in np.linspace(0, 9, 130)]
+    ids = [i if i % 3 else None for i in range(130)]
+    got = vectors.link(spark.createDataFrame(list(zip(ids, xs)), "vec_id long, embedding array<float>")).collect()
+    want = plain_links(list(range(130)), xs)
+    least = {}
+    for i, (_, root, _) in want.items():
+        if ids[i] is not None:
+            least[root] = min(i, least.get(root, i))
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in got) == sorted((-1 if ids[i] is None else i, n, least[root]) for i, (n, root, _) in want.items())
 
 
 def test_vectors_of_table(spark):
