@@ -33,7 +33,7 @@ from quillgraph.llm.common import checkpoint, text_remainder, written
 #: Labelled rows per class that the logistic curve is fitted on.
 MOST = {0: 10_000, 1: 4_000}
 #: Words of texts scored at once; labelled rows that may be broadcast (more are joined by shuffle).
-CHUNK, BROADCAST_ROWS = 2_500_000, 2_000_000
+CHUNK, BROADCAST_ROWS = 2_000_000, 2_000_000
 RUNS = (1, 4, 16)
 #: Ratios above which words are counted as strong evidence.
 STRONG = (1.5, 2.5, 3.5)
@@ -303,7 +303,7 @@ class Counts:
 
 def _counts(counted: DataFrame) -> Counts | None:
     """Every word and pair of the learnt rows; None without words of both classes."""
-    bits = max(6, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    bits = max(6, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2)  # ranges grow with the partitions
     bucketed = counted.withColumn("bucket", F.shiftright("a", 64 - bits).cast("int")).repartition("bucket")  # rows are summed in each batch already
     pairs = written(bucketed.groupBy("bucket", "a", "b").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)]).sortWithinPartitions("bucket", "a", "b"), "bucket")
     of = {f"{s}{c}": sum((F.col(x) for x in cells), F.lit(0)) for (s, c), cells in CELLS.items()}
