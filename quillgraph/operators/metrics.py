@@ -57,14 +57,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = 0) -> DataFrame
     ``one_task``: graphs up to this size, which the caller takes for small, are ranked in one task.
     """
     ids = nodes.select("id").distinct()
-    links = edges.groupBy(F.col("source_id").alias("id"), F.col("target_id").alias("to")).agg(F.count(F.lit(1)).alias("m"))
-    links = checkpoint(links.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", "m"))
-    n = ids.count()
+    if one_task:
+        links = edges.groupBy(F.col("source_id").alias("id"), F.col("target_id").alias("to")).agg(F.count(F.lit(1)).alias("m"))
+        links = checkpoint(links.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", "m"))
+        if (size := ids.count() + links.count()) <= one_task:
+            rows = links.unionByName(ids.select("id", F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("m")))
+            return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_one_task, "id string, page_rank double") if size else ids.select("id", F.lit(0.0).alias("page_rank"))
+    numbered = checkpoint(ids.withColumn("k", F.monotonically_increasing_id()))  # rounds join numbers, not names
+    n = numbered.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("page_rank"))
-    if one_task and n + links.count() <= one_task:
-        rows = links.unionByName(ids.select("id", F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("m")))
-        return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_one_task, "id string, page_rank double")
+    end = lambda side: numbered.select(F.col("id").alias(f"{side}_id"), F.col("k").alias(side))
+    links = checkpoint(edges.select("source_id", "target_id").join(end("source"), "source_id").join(end("target"), "target_id").groupBy(F.col("source").alias("id"), F.col("target").alias("to")).agg(F.count(F.lit(1)).alias("m")))
+    named, ids = numbered, numbered.select(F.col("k").alias("id"))
     total = links.groupBy("id").agg(F.sum("m").alias("out"))
     steps = links.join(total, "id").select("id", "to", (F.col("m") / F.col("out")).alias("w")).repartition("id").persist()
     rank = ids.join(total, "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("page_rank")).repartition("id").persist()
@@ -82,7 +87,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = 0) -> DataFrame
                 df.unpersist()
             del held[1:]
     steps.unpersist()
-    return rank.select("id", "page_rank")
+    return named.join(rank.select(F.col("id").alias("k"), "page_rank"), "k").select("id", "page_rank")
 
 
 def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, one_task: int = 0) -> DataFrame:

@@ -3,11 +3,16 @@
 Traversals run level by level on the driver's loop: each level is an equi-join of the frontier with the edges, an
 aggregation of new ids and an anti-join with the visited set, then a checkpoint. Depth is bounded by the caller. Many
 targets are traversed at once by keying every row with its seed.
+
+``nodes`` and ``edges`` are frames, or a source that finds those at given ids by its own keys: ``nodes(ids)`` and
+``edges(ids, side, kinds)``, with ids one id or a frame with a column id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schema
@@ -15,14 +20,32 @@ from quillgraph.functions import text
 from quillgraph.functions.frames import checkpoint, first_by
 from quillgraph.operators.resolve import seed
 
+Nodes = DataFrame | Callable[..., DataFrame]
+Edges = DataFrame | Callable[..., DataFrame]
+
+
+def edges_at(edges: Edges, ids: str | DataFrame, side: str, kinds: list[str]) -> DataFrame:
+    """The edges of some kinds whose ``side`` is among the ids."""
+    if not isinstance(edges, DataFrame):
+        return edges(ids, side, kinds)
+    rows = edges.where(F.col("kind").isin(kinds))
+    return rows.where(F.col(side) == ids) if isinstance(ids, str) else rows.join(ids.select(F.col("id").alias("__id")).distinct(), F.col(side) == F.col("__id"), "left_semi")
+
+
+def nodes_at(nodes: Nodes, ids: DataFrame) -> DataFrame:
+    """The nodes among the ids."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(nodes, DataFrame) else nodes(ids)
 
-def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth) of everything within ``depth`` steps of each seed, itself at depth 0. ``steps``: (at, to)."""
+
+def reach(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+    """(seed, id, depth) of everything within ``depth`` steps of each seed, itself at depth 0. ``steps``: (at, to), or what gives them for a frontier's ids."""
     seen = checkpoint(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct())
-    steps = checkpoint(steps.select("at", "to"))  # written once, read at each level
+    if isinstance(steps, DataFrame):
+        steps = checkpoint(steps.select("at", "to"))  # written once, read at each level
     frontier = seen
     for level in range(1, depth + 1):
-        new = frontier.join(steps, F.col("id") == F.col("at")).select("seed", F.col("to").alias("id")).distinct()
+        near = steps if isinstance(steps, DataFrame) else steps(frontier.select("id").distinct())
+        new = frontier.join(near, F.col("id") == F.col("at")).select("seed", F.col("to").alias("id")).distinct()
         frontier = checkpoint(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -32,9 +55,21 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
 
 def impact_levels(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
     """(seed, id, depth, kind, file_path): nodes that a change of each target's node reaches. ``targets``: (seed, id)."""
-    steps = edges.where(F.col("kind").isin(schema.IMPACT_KINDS)).select(F.col("target_id").alias("at"), F.col("source_id").alias("to"))
-    steps = steps.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    return reach(targets, steps, depth).join(nodes.select("id", "name", "kind", "file_path"), "id", "left").select("seed", "id", "depth", "kind", "file_path")
+    found = reach(targets, _steps(nodes, edges, "target_id", "source_id", schema.IMPACT_KINDS), depth)
+    return found.join(nodes_at(nodes, found).select("id", "kind", "file_path"), "id", "left").select("seed", "id", "depth", "kind", "file_path")
+
+
+def _steps(nodes: Nodes, edges: Edges, own: str, other: str, kinds: list[str]) -> DataFrame | Callable[[DataFrame], DataFrame]:
+    """Steps from ``own`` to ``other`` ends that are nodes: all, or those of a frontier where a source finds edges by id."""
+    if isinstance(edges, DataFrame):
+        rows = edges.where(F.col("kind").isin(kinds)).select(F.col(own).alias("at"), F.col(other).alias("to"))
+        return rows.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+
+    def near(ids: DataFrame) -> DataFrame:
+        rows = checkpoint(edges(ids, own, kinds).select(F.col(own).alias("at"), F.col(other).alias("to")).distinct())
+        return rows.join(nodes_at(nodes, rows.select(F.col("to").alias("id"))).select(F.col("id").alias("to")), "to", "left_semi")
+
+    return near
 
 
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
@@ -53,7 +88,8 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int =
 
 
 def impact_of(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 5) -> DataFrame:
-    return impact(nodes, edges, nodes.sparkSession.createDataFrame([(target, seed(nodes, target))], "seed string, id string"), depth)
+    one = SparkSession.active().createDataFrame([(target, seed(nodes, target) if isinstance(nodes, DataFrame) else target)], "seed string, id string")
+    return impact(nodes, edges, one, depth)
 
 
 def audit(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_risk: str = "HIGH", depth: int = 5) -> DataFrame:
@@ -65,8 +101,9 @@ def audit(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_risk: str
 def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str, side: str) -> DataFrame:
     """Callers or callees of a node, each by its first edge: id, name, kind, file_path, edge_kind, line."""
     own, other = ("target_id", "source_id") if side == "callers" else ("source_id", "target_id")
-    rows = edges.where((F.col(own) == node_id) & F.col("kind").isin(schema.CALL_KINDS)).select(F.col(other).alias("id"), F.col("kind").alias("edge_kind"), "line", F.col("ord").alias("edge_ord"))
-    return first_by(rows, ["id"], [F.col("edge_ord")]).join(nodes, "id").select("id", "name", "kind", "file_path", "edge_kind", "line")
+    rows = edges_at(edges, node_id, own, schema.CALL_KINDS).select(F.col(other).alias("id"), F.col("kind").alias("edge_kind"), "line", F.col("ord").alias("edge_ord"))
+    near = first_by(rows, ["id"], [F.col("edge_ord")])
+    return near.join(nodes_at(nodes, near), "id").select("id", "name", "kind", "file_path", "edge_kind", "line")
 
 
 def call_paths(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
@@ -77,15 +114,15 @@ def call_paths(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def related_docs(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
-    rows = edges.where((F.col("target_id") == node_id) & (F.col("kind") == "documents")).select(F.col("source_id").alias("id"))
-    return rows.join(nodes, "id").select("id", "name", "kind", "file_path")
+    rows = edges_at(edges, node_id, "target_id", ["documents"]).select(F.col("source_id").alias("id"))
+    return rows.join(nodes_at(nodes, rows), "id").select("id", "name", "kind", "file_path")
 
 
 def forward_flow(nodes: DataFrame, edges: DataFrame, entry_id: str, depth: int = 3) -> DataFrame:
     """(id, depth, parent_id): what an entry reaches along calls and references, with the tree edge that found it first."""
-    use = edges.where(F.col("kind").isin(schema.CALL_KINDS))
-    steps = use.select(F.col("source_id").alias("at"), F.col("target_id").alias("to")).join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    levels = reach(nodes.sparkSession.createDataFrame([("entry", entry_id)], "seed string, id string"), steps, depth).select("id", "depth")
+    one = SparkSession.active().createDataFrame([("entry", entry_id)], "seed string, id string")
+    levels = checkpoint(reach(one, _steps(nodes, edges, "source_id", "target_id", schema.CALL_KINDS), depth).select("id", "depth"))
+    use = edges_at(edges, levels.where(F.col("depth") < depth), "source_id", schema.CALL_KINDS)
     parents = levels.select(F.col("id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
     found = levels.join(use.select(F.col("target_id").alias("id"), F.col("source_id").alias("parent_id"), F.col("ord").alias("edge_ord")), "id").join(parents, ["parent_id", "depth"])
     tree = found.groupBy("id").agg(F.min_by("parent_id", F.struct("edge_ord", "parent_id")).alias("parent_id"))
@@ -94,15 +131,15 @@ def forward_flow(nodes: DataFrame, edges: DataFrame, entry_id: str, depth: int =
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     """One step over all kinds of edges, callers counted once per edge: callers, routes, risk."""
-    rows = edges.where(F.col("target_id") == node_id).select(F.col("source_id").alias("id")).join(nodes.select("id", "kind"), "id")
+    rows = edges_at(edges, node_id, "target_id", schema.EDGE_KINDS).select(F.col("source_id").alias("id"))
+    rows = rows.join(nodes_at(nodes, rows).select("id", "kind"), "id")
     n = rows.agg(F.count(F.lit(1)).alias("callers"), F.count_if(F.col("kind") == "route").alias("routes"))
     return n.withColumn("risk", F.when((F.col("routes") > 0) | (F.col("callers") > 10), "CRITICAL").when(F.col("callers") > 5, "HIGH").when(F.col("callers") > 0, "MEDIUM").otherwise("LOW"))
 
 
 def surgical_context(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     """(side, id, name, line) along calls only, one row per edge."""
-    calls = edges.where(F.col("kind") == "calls")
-    names = nodes.select("id", "name")
-    inward = calls.where(F.col("target_id") == node_id).select(F.lit("caller").alias("side"), F.col("source_id").alias("id"), "line")
-    outward = calls.where(F.col("source_id") == node_id).select(F.lit("callee").alias("side"), F.col("target_id").alias("id"), "line")
-    return inward.unionByName(outward).join(names, "id").select("side", "id", "name", "line")
+    inward = edges_at(edges, node_id, "target_id", ["calls"]).select(F.lit("caller").alias("side"), F.col("source_id").alias("id"), "line")
+    outward = edges_at(edges, node_id, "source_id", ["calls"]).select(F.lit("callee").alias("side"), F.col("target_id").alias("id"), "line")
+    both = inward.unionByName(outward)
+    return both.join(nodes_at(nodes, both).select("id", "name"), "id").select("side", "id", "name", "line")

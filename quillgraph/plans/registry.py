@@ -166,17 +166,20 @@ def _near_sql(own: str, other: str, node: str) -> str:
 
 @query(f"{G} {_near_sql('target_id', 'source_id', _NODE)}")
 def explore_callers(spark, d):
-    return traverse.neighbours(star.nodes(spark, d), star.edges(spark, d), _NODE, "callers")
+    g = star.Star(spark, d)
+    return traverse.neighbours(g.nodes, g.edges, _NODE, "callers")
 
 
 @query(f"{G} {_near_sql('source_id', 'target_id', 'order:33')}")
 def explore_callees(spark, d):
-    return traverse.neighbours(star.nodes(spark, d), star.edges(spark, d), "order:33", "callees")
+    g = star.Star(spark, d)
+    return traverse.neighbours(g.nodes, g.edges, "order:33", "callees")
 
 
 @query(f"{G} SELECT id AS source_id, 'customer:7' AS target_id, edge_kind, line FROM ({_near_sql('target_id', 'source_id', 'customer:7')}) UNION ALL SELECT 'customer:7', id, edge_kind, line FROM ({_near_sql('source_id', 'target_id', 'customer:7')})")
 def call_paths(spark, d):
-    return traverse.call_paths(star.nodes(spark, d), star.edges(spark, d), "customer:7")
+    g = star.Star(spark, d)
+    return traverse.call_paths(g.nodes, g.edges, "customer:7")
 
 
 _DOCS = "SELECT 'doc:' || doc_id AS source_id, 'supplier:' || (doc_id % 10) AS target_id, 'documents' AS kind FROM {documents}"
@@ -205,7 +208,9 @@ _MANY = "SELECT t.seed, arg_min(n.id, n.ord) AS id FROM (SELECT DISTINCT name AS
 
 @query(_summary_sql(_ONE, 5) + " SELECT seed, direct_callers, transitive_callers, affected_files, affected_routes, risk, 'Changing ''' || seed || ''' impacts ' || direct_callers || ' direct caller(s), ' || transitive_callers || ' transitive caller(s) across ' || affected_files || ' file(s), and ' || affected_routes || ' HTTP route(s). Risk Level: ' || risk || '.' AS summary FROM judged")
 def impact_summary(spark, d):
-    return traverse.impact_of(star.nodes(spark, d), star.edges(spark, d), "Supplier#000000001")
+    g = star.Star(spark, d)
+    seeds = resolve.seeds(star.nodes(spark, d), spark.createDataFrame([("Supplier#000000001",)], "seed string"))
+    return traverse.impact(g.nodes, g.edges, seeds)
 
 
 @query(f"{G}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 5)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
@@ -216,8 +221,8 @@ def impact_levels(spark, d):
 
 @query(_summary_sql(_ONE, 5) + " SELECT seed, risk, risk <> 'CRITICAL' AS passed FROM judged")
 def audit_gate(spark, d):
-    n, e = star.nodes(spark, d), star.edges(spark, d)
-    return traverse.audit(n, e, spark.createDataFrame([("Supplier#000000001", "supplier:1")], "seed string, id string"))
+    g = star.Star(spark, d)
+    return traverse.audit(g.nodes, g.edges, spark.createDataFrame([("Supplier#000000001", "supplier:1")], "seed string, id string"))
 
 
 @query(_summary_sql(_MANY, 5) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
@@ -231,17 +236,20 @@ levels AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
 tree AS (SELECT l.id, arg_min(p.id, (e.ord, p.id)) AS parent_id FROM levels l JOIN edges e ON e.target_id = l.id AND e.kind IN ('calls', 'references') JOIN levels p ON p.id = e.source_id AND p.depth + 1 = l.depth GROUP BY l.id)
 SELECT l.id, l.depth, t.parent_id FROM levels l LEFT JOIN tree t ON t.id = l.id""")
 def forward_flow(spark, d):
-    return traverse.forward_flow(star.nodes(spark, d), star.edges(spark, d), "order:33", 3)
+    g = star.Star(spark, d)
+    return traverse.forward_flow(g.nodes, g.edges, "order:33", 3)
 
 
 @query(f"{G} SELECT count(*) AS callers, CAST(count_if(n.kind = 'route') AS BIGINT) AS routes, CASE WHEN count_if(n.kind = 'route') > 0 OR count(*) > 10 THEN 'CRITICAL' WHEN count(*) > 5 THEN 'HIGH' WHEN count(*) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = '{_NODE}'")
 def blast_radius_1hop(spark, d):
-    return traverse.blast_radius(star.nodes(spark, d), star.edges(spark, d), _NODE)
+    g = star.Star(spark, d)
+    return traverse.blast_radius(g.nodes, g.edges, _NODE)
 
 
 @query(f"{G} SELECT side, t.id, name, line FROM (SELECT 'caller' AS side, source_id AS id, line FROM edges WHERE kind = 'calls' AND target_id = 'customer:7' UNION ALL SELECT 'callee', target_id, line FROM edges WHERE kind = 'calls' AND source_id = 'customer:7') t JOIN nodes n ON n.id = t.id")
 def surgical_context(spark, d):
-    return traverse.surgical_context(star.nodes(spark, d), star.edges(spark, d), "customer:7")
+    g = star.Star(spark, d)
+    return traverse.surgical_context(g.nodes, g.edges, "customer:7")
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------

@@ -6,8 +6,10 @@ The statements are plain SQL over {table} placeholders, so a second engine can r
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _NODES = {
     "region": "SELECT 'region:' || r_regionkey AS id, r_name AS name, 'file' AS kind, 'region/' || r_regionkey AS file_path, CAST(r_regionkey AS BIGINT) AS ord FROM {region}",
@@ -20,22 +22,32 @@ _NODES = {
 }
 
 
-def _edge(kind: str, source: str, target: str, path: str, table: str, key: str, rank: int, line: str = "1") -> str:
-    return f"SELECT {source} AS source_id, {target} AS target_id, '{kind}' AS kind, {path} AS file_path, CAST({line} AS INT) AS line, {rank} * 1000000000000 + {key} AS ord FROM {{{table}}}"
+def _edge(kind: str, source: tuple[str, str], target: tuple[str, str], path: str, table: str, key: str, rank: int, line: str = "1") -> tuple[tuple[str, str], tuple[str, str], str]:
+    """(source, target, statement); an end is (type, key column)."""
+    id_ = lambda end: f"'{end[0]}:' || {end[1]}"
+    return source, target, f"SELECT {id_(source)} AS source_id, {id_(target)} AS target_id, '{kind}' AS kind, {path} AS file_path, CAST({line} AS INT) AS line, {rank} * 1000000000000 + {key} AS ord FROM {{{table}}}"
 
 
+_REGION, _NATION = ("region", "n_regionkey"), ("nation", "n_nationkey")
 _EDGES = {
-    "nation": [_edge("imports", "'nation:' || n_nationkey", "'region:' || n_regionkey", "'region/' || n_regionkey", "nation", "n_nationkey", 1), _edge("contains", "'region:' || n_regionkey", "'nation:' || n_nationkey", "'region/' || n_regionkey", "nation", "n_nationkey", 2)],
-    "customer": [_edge("references", "'customer:' || c_custkey", "'nation:' || c_nationkey", "'nation/' || c_nationkey", "customer", "c_custkey", 3), _edge("contains", "'nation:' || c_nationkey", "'customer:' || c_custkey", "'nation/' || c_nationkey", "customer", "c_custkey", 4)],
-    "supplier": [_edge("references", "'supplier:' || s_suppkey", "'nation:' || s_nationkey", "'nation/' || s_nationkey", "supplier", "s_suppkey", 5), _edge("contains", "'nation:' || s_nationkey", "'supplier:' || s_suppkey", "'nation/' || s_nationkey", "supplier", "s_suppkey", 6)],
-    "orders": [_edge("calls", "'order:' || o_orderkey", "'customer:' || o_custkey", "'customer/' || o_custkey", "orders", "o_orderkey", 7)],
+    "nation": [_edge("imports", _NATION, _REGION, "'region/' || n_regionkey", "nation", "n_nationkey", 1), _edge("contains", _REGION, _NATION, "'region/' || n_regionkey", "nation", "n_nationkey", 2)],
+    "customer": [
+        _edge("references", ("customer", "c_custkey"), ("nation", "c_nationkey"), "'nation/' || c_nationkey", "customer", "c_custkey", 3),
+        _edge("contains", ("nation", "c_nationkey"), ("customer", "c_custkey"), "'nation/' || c_nationkey", "customer", "c_custkey", 4),
+    ],
+    "supplier": [
+        _edge("references", ("supplier", "s_suppkey"), ("nation", "s_nationkey"), "'nation/' || s_nationkey", "supplier", "s_suppkey", 5),
+        _edge("contains", ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "'nation/' || s_nationkey", "supplier", "s_suppkey", 6),
+    ],
+    "orders": [_edge("calls", ("order", "o_orderkey"), ("customer", "o_custkey"), "'customer/' || o_custkey", "orders", "o_orderkey", 7)],
     "lineitem": [
-        _edge("references", "'order:' || l_orderkey", "'supplier:' || l_suppkey", "'order/' || l_orderkey", "lineitem", "l_orderkey * 100 + l_linenumber", 8, "l_linenumber"),
-        _edge("references", "'order:' || l_orderkey", "'part:' || l_partkey", "'order/' || l_orderkey", "lineitem", "l_orderkey * 100 + l_linenumber", 9, "l_linenumber"),
+        _edge("references", ("order", "l_orderkey"), ("supplier", "l_suppkey"), "'order/' || l_orderkey", "lineitem", "l_orderkey * 100 + l_linenumber", 8, "l_linenumber"),
+        _edge("references", ("order", "l_orderkey"), ("part", "l_partkey"), "'order/' || l_orderkey", "lineitem", "l_orderkey * 100 + l_linenumber", 9, "l_linenumber"),
     ],
 }
+#: Type and key column of each table's nodes.
+_KEYS = {"region": ("region", "r_regionkey"), "nation": ("nation", "n_nationkey"), "customer": ("customer", "c_custkey"), "supplier": ("supplier", "s_suppkey"), "part": ("part", "p_partkey"), "orders": ("order", "o_orderkey"), "documents": ("doc", "doc_id")}
 ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-SMALL = ["region", "nation", "customer", "supplier"]
 
 
 def nodes_sql(tables: list[str] = ALL) -> str:
@@ -43,7 +55,7 @@ def nodes_sql(tables: list[str] = ALL) -> str:
 
 
 def edges_sql(tables: list[str] = ALL) -> str:
-    return "\nUNION ALL ".join(e for t in tables for e in _EDGES.get(t, []))
+    return "\nUNION ALL ".join(sql for t in tables for _, _, sql in _EDGES.get(t, []))
 
 
 def plain(sql: str) -> str:
@@ -64,3 +76,46 @@ def nodes(spark: SparkSession, sf_dir: str, tables: list[str] = ALL) -> DataFram
 def edges(spark: SparkSession, sf_dir: str, tables: list[str] = ALL) -> DataFrame:
     """source_id, target_id, kind, file_path, line, ord; a multigraph."""
     return _run(spark, sf_dir, edges_sql(tables))
+
+
+#: Keys that may be broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+class Star:
+    """The graph by its typed keys: what lies at given ids, found by the tables' own key columns, so that filters and joins on them reach the files.
+
+    ``ids`` is one id or a frame with a column ``id``.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: list[str] = ALL):
+        self.spark, self.tables = spark, tables
+        self._frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+
+    def _all(self, wanted: list[tuple[str, tuple[str, str], str]], ids: str | DataFrame, empty: str) -> DataFrame:
+        """The statements (table, end, sql) over the rows of their tables whose ``end`` is among the ids."""
+        found = []
+        if isinstance(ids, str):
+            kind, _, key = ids.partition(":")
+            for table, end, sql in wanted:
+                if kind == end[0] and key.isdigit():
+                    found.append(self.spark.sql(sql, **{table: self._frames[table].where(F.col(end[1]) == int(key))}))
+        else:
+            typed = ids.select(F.substring_index("id", ":", 1).alias("kind"), F.expr("try_cast(substring_index(id, ':', -1) AS BIGINT)").alias("__key"))
+            sizes = {r.kind: r["count"] for r in typed.where(F.col("kind").isin([k for k, _ in _KEYS.values()])).groupBy("kind").count().collect()}  # one row for each type
+            for table, end, sql in wanted:
+                if end[0] in sizes:
+                    keys = typed.where(F.col("kind") == end[0]).select("__key").distinct()
+                    side = F.broadcast(keys) if sizes[end[0]] <= BROADCAST_KEYS else keys
+                    found.append(self.spark.sql(sql, **{table: self._frames[table].join(side, F.col(end[1]) == F.col("__key"), "left_semi")}))
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], empty)
+
+    def nodes(self, ids: str | DataFrame) -> DataFrame:
+        """id, name, kind, file_path, ord of the ids that are nodes."""
+        return self._all([(t, _KEYS[t], _NODES[t]) for t in self.tables if t in _NODES], ids, "id string, name string, kind string, file_path string, ord bigint")
+
+    def edges(self, ids: str | DataFrame, side: str, kinds: list[str] | None = None) -> DataFrame:
+        """The edges whose ``side`` (source_id or target_id) is among the ids."""
+        at = 0 if side == "source_id" else 1
+        wanted = [(t, e) for t in self.tables for e in _EDGES.get(t, []) if kinds is None or any(f"'{k}' AS kind" in e[2] for k in kinds)]
+        return self._all([(t, e[at], e[2]) for t, e in wanted], ids, "source_id string, target_id string, kind string, file_path string, line int, ord bigint")
