@@ -16,6 +16,7 @@ empty result.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,37 +36,51 @@ BASE_PATTERNS = {
 CHEAP = {"email": "@", "phone": "+"}
 EXTRA = ("masked_email", "national_phone", "secret", "iban", "national_id")
 EXTRA_PATTERNS = {
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}",
+    "masked_email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({<] ?at ?[\])}>] ?|\x20at\x20)[A-Za-z0-9-]++(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
     "national_phone": r"(?<![0-9+A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{12,}",
+    "secret": r"(?<![A-Za-z0-9_/+!@#$%^&*~-])[A-Za-z0-9_/+!@#$%^&*~-]{6,}+={0,2}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-FEATURES = ("length", "digits", "upper", "lower", "others", "distinct", "secret_word", "phone_word", "account_word", "mail_word", "assigned", "check", "before", "after")
+FEATURES = ("length", "digits", "upper", "lower", "others", "distinct", "secret_word", "phone_word", "account_word", "mail_word", "assigned", "check", "before", "after", "known", "domain")
 CONTEXT = 32
 SYNTHETIC, SEED, WANTED = 800, 5, 0.97
 BLOCK = 256
-SECRET_WORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_ -]?key|access[_ -]?key|key|auth|bearer|credential)[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"']?$"
-ASSIGNED = r"[:=]\s{0,2}[\"']?$"
+#: Characters of a text's blocks when spans are replaced; a position beyond all.
+SLICE, FAR = 4096, 1 << 60
+SECRET_WORD = r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|token|secret|(?:api|access|private)[_ -]?key|key|auth|bearer|credentials?)[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"']?$"
+ASSIGNED = r"(?i)(?:[:=]|(?<![a-z])bearer)\s{0,2}[\"']?$"
+#: Beginnings of keys that services hand out.
+KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|xox[abprs]-|eyJ|AIza)"
+DOMAIN = r"(?i)(?:\.| dot |[\[({<] ?dot ?[\])}>] ?)(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|ca|au)$"
 PHONE_WORD = r"(?i)(?:tel|phone|call|fax|mobile|cell|dial|contact|ph)[.a-z]{0,8}\s{0,2}[:#]?\s{0,2}(?:at |on |me |us ){0,2}$"
 ACCOUNT_WORD = r"(?i)(?:iban|account|acct|ssn|social security|tax id|national id)(?: number| no\.?)?\s{0,2}[:#]?\s{0,2}(?:is )?$"
 MAIL_WORD = r"(?i)(?:e-?mail|write|mail|contact|reach)(?: me| us| to| at){0,3}\s{0,2}:?\s{0,2}$"
 
 
-def running_sum(values: Column) -> Column:
-    """Inclusive running sums of an array of ints, in blocks so that the work stays near linear for long arrays."""
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """Inclusive running results of ``step`` over an array of ints, in blocks so that the work stays near linear for long arrays."""
 
     def plain(part: Column, start: Column) -> Column:
-        zero = F.struct(F.array().cast("array<bigint>").alias("out"), start.cast("long").alias("at"))
-        return F.aggregate(part, zero, lambda acc, v: F.struct(F.concat(acc["out"], F.array(acc["at"] + v)).alias("out"), (acc["at"] + v).alias("at")))["out"]
+        first = F.struct(F.array().cast("array<bigint>").alias("out"), start.cast("long").alias("at"))
+        return F.aggregate(part, first, lambda acc, v: F.struct(F.concat(acc["out"], F.array(step(acc["at"], v.cast("long")))).alias("out"), step(acc["at"], v.cast("long")).alias("at")))["out"]
 
     def blocked(v: Column) -> Column:
         n_blocks = F.ceil(F.size(v) / BLOCK).cast("int")
         parts = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
-        sums = plain(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
-        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), sums.alias("s")), lambda z: plain(z["p"], z["s"] - F.aggregate(z["p"], F.lit(0).cast("long"), lambda a, x: a + x))))
+        done = plain(F.transform(parts, lambda p: F.aggregate(p, F.lit(zero).cast("long"), lambda a, x: step(a, x.cast("long")))), F.lit(zero))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), _shifted(done, zero).alias("s")), lambda z: F.when(z["p"].isNull(), F.array().cast("array<bigint>")).otherwise(plain(z["p"], z["s"]))))
+
+    return F.when(F.size(values) <= BLOCK, plain(values, F.lit(zero))).otherwise(blocked(values))
+
 
-    return F.when(F.size(values) <= BLOCK, plain(values, F.lit(0))).otherwise(blocked(values))
+def _shifted(values: Column, zero: int) -> Column:
+    """What was there before each element: ``zero``, then all but the last."""
+    return F.concat(F.array(F.lit(zero).cast("long")), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, x: a + x)
 
 
 def _found(df: DataFrame, name: str, pattern: str, guard: Column | None) -> DataFrame:
@@ -79,14 +94,15 @@ def _found(df: DataFrame, name: str, pattern: str, guard: Column | None) -> Data
     k = F.size(m)
     df = df.withColumn(f"__l_{name}", F.slice(p, F.lit(1), k)).withColumn(f"__r_{name}", F.slice(p, F.lit(2), k))
     before = F.when(k > 0, F.concat(F.array(F.lit("")), F.slice(m, F.lit(1), k - 1))).otherwise(none)
+    df = df.withColumn(f"__b_{name}", F.transform(before, lambda x: F.substring(x, -CONTEXT, CONTEXT)))  # the text to the left begins with the match before
     df = df.withColumn(f"__d_{name}", F.zip_with(f"__l_{name}", before, lambda left, x: F.length(left) + F.length(x)))
     df = df.withColumn(f"__s_{name}", F.when(k > 0, running_sum(F.col(f"__d_{name}"))).otherwise(F.array().cast("array<bigint>")))
-    zipped = F.arrays_zip(F.col(f"__s_{name}").alias("s"), F.col(m).alias("m"), F.col(f"__l_{name}").alias("l"), F.col(f"__r_{name}").alias("r"))
+    zipped = F.arrays_zip(F.col(f"__s_{name}").alias("s"), F.col(m).alias("m"), F.col(f"__l_{name}").alias("l"), F.col(f"__r_{name}").alias("r"), F.col(f"__b_{name}").alias("b"))
     around = F.transform(
         zipped,
-        lambda z: F.struct(z["s"].alias("start"), z["m"].alias("x"), F.substring(z["l"], -CONTEXT, CONTEXT).alias("left"), F.substring(z["r"], 1, 1).alias("right")),
+        lambda z: F.struct(z["s"].alias("start"), z["m"].alias("x"), F.substring(F.concat(z["b"], z["l"]), -CONTEXT, CONTEXT).alias("left"), F.substring(z["r"], 1, 1).alias("right")),
     )
-    return df.withColumn(name, around).drop(m, p, *[f"__{c}_{name}" for c in "lrds"])
+    return df.withColumn(name, around).drop(m, p, *[f"__{c}_{name}" for c in "lrdsb"])
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -121,6 +137,7 @@ def features(kind: str, c: Column) -> list[Column]:
         flag(left.rlike(SECRET_WORD)), flag(left.rlike(PHONE_WORD)), flag(left.rlike(ACCOUNT_WORD)), flag(left.rlike(MAIL_WORD)), flag(left.rlike(ASSIGNED)),
         flag(_mod97(x)) if kind == "iban" else F.lit(0.0),
         flag(left.rlike(r"[\p{L}\p{N}]$")), flag(c["right"].rlike(r"^[\p{L}\p{N}]")),
+        flag(x.rlike(KNOWN)), flag(x.rlike(DOMAIN)),
     ]
 
 
@@ -142,13 +159,21 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
     def positive() -> str:
         if kind == "masked_email":
             dot = r.choice([" [dot] ", "(dot)", " (dot) ", ".", " {dot} "])
-            return r.choice([word() + " ", "mail me at ", "contact: "]) + f"{word()}{r.choice([' [at] ', '(at)', ' (at) ', ' {at} '])}{word()}{dot}{r.choice(['com', 'org', 'net'])} "
+            local = r.choice([word, lambda: f"{word()}.{word()}{digits(2)}", lambda: "".join(word() for _ in range(12))])()
+            if r.random() < 0.25:
+                return r.choice(["mail me at ", "write to ", "email: ", "contact: "]) + f"{local} at {word()} dot {r.choice(['com', 'org', 'net', 'de', 'fr'])}" + r.choice([" ", ".", ","])
+            return r.choice([word() + " ", "mail me at ", "contact: "]) + f"{local}{r.choice([' [at] ', '(at)', ' (at) ', ' {at} ', '[AT]', ' <at> '])}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'co', 'fr'])} "
         if kind == "national_phone":
             a, b, c = digits(3), digits(3), digits(4)
             return r.choice(["Tel: ", "phone ", "call me at ", "Fax: ", "mobile: ", "contact "]) + r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"]) + r.choice([" ", ".", ", "])
         if kind == "secret":
-            body = r.choice([hexa, any_])(r.randint(14, 48))
-            return r.choice(['password=', 'password = "', 'token = "', "api_key: ", "secret=", 'token: "', "passwd=", "access_key = "]) + "a1" + body + r.choice(['"', " ", "\n"])
+            if r.random() < 0.1:
+                return r.choice([word() + " ", "key ", "", "use "]) + r.choice(["AKIA" + any_(16).upper(), "ghp_" + any_(36), "sk-" + any_(40), "xoxb-" + digits(11) + "-" + any_(24)]) + r.choice([" ", "\n", ","])
+            letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(8, 80)))
+            body = r.choice([lambda: hexa(r.randint(14, 64)), lambda: any_(r.randint(8, 64)), lambda: "a1" + hexa(r.randint(14, 48)), letters, lambda: word() + digits(2) + r.choice("!#$%") + word(), lambda: word() + word() + word()])()
+            name = r.choice(["password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "API-KEY", "access_key", "auth_token", "client_secret", "credential"])
+            lead = r.choice([f"{name}=", f'{name} = "', f"{name}: ", f'{name}: "', f'"{name}": "', f"{name}='", "Authorization: Bearer "])
+            return lead + (body if len(body) >= 6 else body + "x1y2z3") + r.choice(['"', " ", "\n", "'"])
         if kind == "iban":
             return r.choice([word() + " ", "IBAN: ", "account "]) + iban(True) + r.choice([" ", "."])
         return r.choice(["SSN: ", "social security number ", "ssn ", "tax id: "]) + f"{digits(3)}-{digits(2)}-{digits(4)}" + r.choice([" ", ","])
@@ -156,9 +181,16 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
     def negative() -> str:
         lead = r.choice([word() + " ", word() + ", ", "see ", "id ", "", "page: ", "build "])
         if kind == "masked_email":
-            return f"{lead}{word()} (at) {word()} {word()}" if r.random() < 0.5 else f"{lead}{word()} (at) {word()}.{digits(r.randint(1, 3))} {word()}"
+            return r.choice([
+                lambda: f"{lead}{word()} (at) {word()} {word()}", lambda: f"{lead}{word()} (at) {word()}.{digits(r.randint(1, 3))} {word()}", lambda: f"{lead}{word()} at {word()}.{word()} {word()}",
+                lambda: f"{lead}{word()} at {digits(1)}.{digits(2)} {word()}", lambda: f"{lead}{word()} at {word()} dot {word()} {word()}",
+                lambda: f"{lead}{word()} at {word()}.{r.choice(['com', 'org', 'net', 'de'])} {word()}",
+            ])()
         if kind == "national_phone":
             return lead + r.choice([f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]) + " " + word()
+        if kind == "secret" and r.random() < 0.4:
+            long = word() + word() + "tion"
+            return r.choice([f"name = \"{long}\" ", f"color: {long} ", f"path={long}/{word()}/{word()}3 ", f"the secret {long} ", f"key {long} ", f"a token {long} ", f"pass {long} ", f"version={digits(2)}-{hexa(12)} ", f"{long}: {long}2024 ", f"id={hexa(24)} "])
         if kind == "secret":
             return lead + r.choice([digits(r.randint(12, 20)), hexa(32), hexa(40), any_(20), word() + word() + "-" + word() + digits(2), "2024-01-0" + digits(6), "/".join([word(), word(), digits(4), word()])]) + r.choice([" ", ".", "/"])
         if kind == "iban":
@@ -177,7 +209,7 @@ def models(spark) -> dict[str, tuple[list, float]]:
         for kind in EXTRA:
             rows = [(i, t, y) for i, (t, y) in enumerate(synthetic(kind))]
             df = spark.createDataFrame(rows, "i int, text string, y int").withColumn("__text", F.col("text"))
-            df = _found(df, "c", EXTRA_PATTERNS[kind], None).select("i", "y", F.explode("c").alias("c"))
+            df = _likely(_found(df, "c", EXTRA_PATTERNS[kind], None), "c", kind).select("i", "y", F.explode("c").alias("c"))
             got = df.select("i", "y", F.array(*features(kind, F.col("c"))).alias("f")).collect()  # at most a few for each snippet
             x, y, i = np.array([r.f for r in got]), np.array([r.y for r in got], float), np.array([r.i for r in got])
             own = (i // 2) % 2 == 0
@@ -186,6 +218,13 @@ def models(spark) -> dict[str, tuple[list, float]]:
     return dict(_models)
 
 
+def _likely(df: DataFrame, name: str, kind: str) -> DataFrame:
+    """Candidates worth features: a run that may be a secret has a digit and some length, or stands where one is given, or begins like a key."""
+    if kind != "secret":
+        return df
+    return df.withColumn(name, F.filter(name, lambda c: (c["x"].rlike("[0-9]") & (F.length(c["x"]) >= 12)) | c["left"].rlike(SECRET_WORD) | c["x"].rlike(KNOWN)))
+
+
 def _overlap(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
@@ -193,14 +232,15 @@ def _overlap(a: Column, b: Column) -> Column:
 def spans(df: DataFrame) -> DataFrame:
     """Adds ``__base`` and ``__extra``: arrays of (kind, s, e[, margin]) in order of kind, then start."""
     fitted = models(df.sparkSession)
+    low = F.lower("__text")
+    guards = {"masked_email": low.rlike(r"[\[({<] ?at ?[\])}>]| at ") & low.rlike(r"\.|dot"), "secret": F.col("__text").rlike(r"[0-9]|(?i:pass|pwd|token|secret|key|auth|bearer|credential)")}
     out = df.withColumn("__text", F.coalesce("text", F.lit("")))
     digit = F.col("__text").rlike("[0-9]")
     for kind in BASE:
         guard = F.col("__text").contains(CHEAP[kind]) if kind in CHEAP else digit
         out = _found(out, f"__{kind}", BASE_PATTERNS[kind], guard)
     for kind in EXTRA:
-        guard = F.col("__text").rlike(r"[\[({] ?(?:at|AT) ?[\])}]") if kind == "masked_email" else digit
-        out = _found(out, f"__{kind}", EXTRA_PATTERNS[kind], guard)
+        out = _likely(_found(out, f"__{kind}", EXTRA_PATTERNS[kind], guards.get(kind, digit)), f"__{kind}", kind)
 
     def base(kind: str) -> Column:
         good = F.filter(F.col(f"__{kind}"), lambda c: _valid(kind, c["x"]))
@@ -220,12 +260,28 @@ def spans(df: DataFrame) -> DataFrame:
         return F.expr(f"filter(transform(__{kind}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, {boost.expression(trees, 'c.f')} AS margin)), c -> c.margin >= {least!r}D)")
 
     out = out.withColumn("__base", F.concat(*[base(k) for k in BASE])).withColumn("__judged", F.concat(*[judged(k) for k in EXTRA]))
+    # Base spans and candidates in one order of starts, base first: a candidate touches an earlier base span if one ends beyond its start, a later one if one starts before its end.
+    both = F.concat(F.transform("__base", lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("j"), b["e"].alias("e"), F.lit(0.0).alias("margin"), b["kind"].alias("kind"))), F.transform("__judged", lambda c: F.struct(c["s"].alias("s"), F.lit(1).alias("j"), c["e"].alias("e"), c["margin"].cast("double").alias("margin"), c["kind"].alias("kind"))))
+    some = F.size("__judged") > 0
+    none = F.array().cast("array<struct<s:bigint,j:int,e:bigint,margin:double,kind:string>>")
+    out = out.withColumn("__order", F.when(some, F.array_sort(both)).otherwise(none))
+    out = out.withColumn("__until", running(F.transform("__order", lambda c: F.when(c["j"] == 0, c["e"]).otherwise(0)), F.greatest))
+    out = out.withColumn("__next", F.reverse(running(F.reverse(F.transform("__order", lambda c: F.when(c["j"] == 0, c["s"]).otherwise(FAR))), F.least, FAR)))
+    zipped = F.arrays_zip(F.col("__order").alias("c"), F.col("__until").alias("u"), F.col("__next").alias("n"))
+    out = out.withColumn("__free", F.transform(F.filter(zipped, lambda z: (z["c"]["j"] == 1) & (z["u"] <= z["c"]["s"]) & (z["n"] >= z["c"]["e"])), lambda z: z["c"]))
+    # The same among candidates; only those that touch others are compared with each other.
+    out = out.withColumn("__until", _shifted(running(F.transform("__free", lambda c: c["e"]), F.greatest), 0))
+    follow = F.concat(F.slice(F.transform("__free", lambda c: c["s"]), F.lit(2), F.greatest(F.size("__free"), F.lit(1))), F.array(F.lit(FAR).cast("long")))
+    zipped = F.arrays_zip(F.col("__free").alias("c"), F.col("__until").alias("u"), follow.alias("n"))
+    touches = lambda z: (z["u"] > z["c"]["s"]) | (z["n"] < z["c"]["e"])
+    marked = F.filter(zipped, lambda z: z["c"].isNotNull())
+    out = out.withColumn("__alone", F.transform(F.filter(marked, lambda z: ~touches(z)), lambda z: z["c"])).withColumn("__touching", F.transform(F.filter(marked, touches), lambda z: z["c"]))
     better = lambda c, d: (d["margin"] > c["margin"]) | ((d["margin"] == c["margin"]) & ((d["s"] < c["s"]) | ((d["s"] == c["s"]) & (d["e"] > c["e"]))))
-    kept = F.filter(
-        F.col("__judged"),
-        lambda c: ~F.exists(F.col("__base"), lambda b: _overlap(b, c)) & ~F.exists(F.col("__judged"), lambda d: _overlap(d, c) & better(c, d)),
-    )
-    return out.withColumn("__extra", F.when(F.size("__judged") > 0, kept).otherwise(F.col("__judged"))).drop("__judged", *[f"__{k}" for k in (*BASE, *EXTRA)])
+    best = F.filter("__touching", lambda c: ~F.exists(F.col("__touching"), lambda d: _overlap(d, c) & better(c, d)))
+    shown = lambda a: F.transform(a, lambda c: F.struct(F.array_position(F.lit(list(EXTRA)), c["kind"]).alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))
+    extra = F.transform(F.array_sort(F.concat(shown(F.col("__alone")), shown(best))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    out = out.withColumn("__extra", F.when(some, extra).otherwise(F.array().cast("array<struct<kind:string,s:bigint,e:bigint>>")))
+    return out.drop("__judged", "__order", "__until", "__next", "__free", "__alone", "__touching", *[f"__{k}" for k in (*BASE, *EXTRA)])
 
 
 def _joined(a: Column) -> Column:
@@ -248,19 +304,23 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span (overlapping ones joined) replaced by its kind in angle brackets; n_chars follows."""
     found = spans(docs)
     bare = lambda a: F.transform(a, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))
-    ordered = F.array_sort(F.concat(bare(F.col("__base")), bare(F.col("__extra"))))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, c: Column) -> Column:
-        gap = F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), F.greatest(c["s"] - acc["at"], F.lit(0)).cast("int"))
-        put = F.when(c["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(acc["out"])
-        return F.struct(put.alias("out"), F.greatest(acc["at"], c["e"]).alias("at"))
-
-    found = found.withColumn("__spans", ordered)
-    done = found.withColumn("__done", F.aggregate("__spans", zero, step))
+    done = found.withColumn("__spans", F.array_sort(F.concat(bare(F.col("__base")), bare(F.col("__extra")))))
+    done = done.withColumn("__until", running(F.transform("__spans", lambda c: c["e"]), F.greatest)).withColumn("__from", _shifted(F.col("__until"), 0))
     hit = F.size("__spans") > 0
-    text = F.when(hit, F.concat(F.col("__done.out"), F.substring("__text", (F.col("__done.at") + 1).cast("int"), F.length("__text")))).otherwise(F.col("text"))
-    done = done.withColumn("text", text)
+    done = done.withColumn("__blocks", F.when(hit, F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, from the blocks that hold them."""
+        i, j = F.floor(a / SLICE).cast("int"), F.floor((b - 1) / SLICE).cast("int")
+        at = (a - i * SLICE + 1).cast("int")
+        whole = F.concat(F.substring(F.get(blocks, i), at, F.lit(SLICE)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(blocks, j), F.lit(1), (b - j * SLICE).cast("int")))
+        return F.when(b <= a, F.lit("")).when(i == j, F.substring(F.get(blocks, i), at, (b - a).cast("int"))).otherwise(whole)
+
+    zipped = F.arrays_zip(F.col("__spans").alias("c"), F.col("__from").alias("f"))
+    first = F.filter(zipped, lambda z: z["c"].isNotNull() & (z["c"]["s"] >= z["f"]))
+    put = F.transform(first, lambda z: F.concat(piece(F.col("__blocks"), z["f"], z["c"]["s"]), F.lit("<"), F.upper(z["c"]["kind"]), F.lit(">")))
+    tail = piece(F.col("__blocks"), F.element_at("__until", -1), F.length("__text").cast("long"))
+    done = done.withColumn("text", F.when(hit, F.concat(F.array_join(put, ""), F.when(hit, tail))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
