@@ -4,7 +4,7 @@ A tolerant parser turns each page into elements. The hash of an element's subtre
 it holds. Spark counts, per host, in how many different main texts each subtree occurs, so that copies of one page or
 article count once; subtrees in at least ``LEAST_PAGES`` of them and ``SHARE`` of the host's are template and are deleted, along with
 elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template by
+styles or reader comments. Inside an article a header is its headline and stays, and so does running text in a box with a doubtful name. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template by
 themselves, but lists, tables, figures and other boxes that hold them may be. A subtree with ``NEARLY`` all words of the main part stays, and so does all of an article of which less than the rest would be left. Where a page
 has an article (or main) element its text is the result, else what is left of the body.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,10 +48,13 @@ P_CLOSERS = set("address article aside blockquote details div dl fieldset figure
 #: Elements that an implied end does not reach beyond.
 WALLS = set("table ul ol dl article section div main body aside nav header footer form blockquote".split())
 WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|header|masthead|footer|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|"
-    r"subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|comments?|comment-?list|disqus|respond|replies|widgets?|toolbar|pagination|pager|skip-link|copyright|legal|alert)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|masthead|footer|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|"
+    r"subscribe|signup|login|popup|modal|overlay|comments?|comment-?list|disqus|respond|replies|pagination|pager|skip-link)(?:$|[\s_-])",
     re.I,
 )
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|share|sharing|social|related|recommended|widgets?|toolbar|copyright|legal|alert)(?:$|[\s_-])", re.I)
+#: Words from which a box with a doubtful name inside an article is taken for its text.
+LEAST_PROSE = 30
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -68,6 +72,12 @@ def parse(text: str) -> Element:
     """The page as a tree; ends that are missing are implied, ends without a start are ignored."""
     root = Element("#root")
     stack = [root]
+    open_ = Counter()  # tags in the stack, so that no end is looked for in vain
+
+    def shut(i: int) -> None:
+        open_.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(text)
     while at < n:
         m = TOKEN.match(text, at)
@@ -79,16 +89,14 @@ def parse(text: str) -> Element:
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_[tag] > 0:
+                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in P_CLOSERS or tag in CLOSES:
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in P_CLOSERS else set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_[t] > 0 for t in ends) else ():
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in WALLS:
                     break
@@ -103,23 +111,41 @@ def parse(text: str) -> Element:
             at = n if not end or close < 0 else close + 1
         elif tag not in VOID:
             stack.append(e)
+            open_[tag] += 1
     return root
 
 
-def furniture(e: Element) -> bool:
-    """Whether tag, role, class or id mark a part that is not the article's text."""
+def prose(e: Element) -> bool:
+    """Whether a box holds running text: some words, most of them outside links."""
+    words = linked = 0
+    work = [(e, False)]
+    while work:
+        x, link = work.pop()
+        if isinstance(x, str):
+            n = len(x.split())
+            words, linked = words + n, linked + n * link
+        elif not x.raw:
+            work += [(k, link or x.tag == "a") for k in x.kids]
+    return words >= LEAST_PROSE and linked * 2 < words
+
+
+def furniture(e: Element, inside: bool = False) -> bool:
+    """Whether tag, role, class or id mark a part that is not the article's text.
+
+    Inside the main part a name that an article's own boxes may have too (``DOUBTFUL``) counts only for what is no running text.
+    """
     if e.tag in DROP:
         return True
     if not e.attrs or e.tag in ("html", "body", "article", "main"):
-        return e.tag == "header"
+        return e.tag == "header" and not inside
     for m in ATTRIBUTE.finditer(e.attrs):
         name = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
-        if name in ("hidden",) or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and WORDS.search(value)):
+        if name in ("hidden",) or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and (WORDS.search(value) or (DOUBTFUL.search(value) and not (inside and prose(e))))):
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return e.tag == "header"
+    return e.tag == "header" and not inside
 
 
 def main_part(root: Element) -> tuple[list[Element], bool]:
@@ -162,11 +188,17 @@ def deleted(root: Element, template: set[int] | frozenset[int]) -> set[int]:
     if not any(free and h in template for _, h, free in order):
         return set()
     tops, found = main_part(root)
+    within: set[int] = set()
+    work = list(tops) if found else []
+    while work:
+        e = work.pop()
+        within.add(id(e))
+        work += [k for k in e.kids if isinstance(k, Element)]
 
     def words(gone: set[int]) -> tuple[dict[int, int], int]:
         n: dict[int, int] = {}
         for e, _, _ in order:
-            n[id(e)] = 0 if id(e) in gone or e.raw or furniture(e) else sum(len(k.split()) if isinstance(k, str) else n[id(k)] for k in e.kids)
+            n[id(e)] = 0 if id(e) in gone or e.raw or furniture(e, id(e) in within) else sum(len(k.split()) if isinstance(k, str) else n[id(k)] for k in e.kids)
         return n, sum(n[id(t)] for t in tops)
 
     n, whole = words(set())
@@ -184,7 +216,8 @@ def extract(page: str | None, template: set[int] | frozenset[int] = frozenset())
 
 def text_of(root: Element, gone: set[int]) -> str:
     blocks: list[list[str]] = [[]]
-    for top in main_part(root)[0]:
+    tops, found = main_part(root)
+    for top in tops:
         blocks.append([])
         work: list = [top]
         while work:
@@ -193,7 +226,7 @@ def text_of(root: Element, gone: set[int]) -> str:
                 blocks.append([])
             elif isinstance(e, str):
                 blocks[-1].append(entities.unescape(e))
-            elif e is top or not (furniture(e) or id(e) in gone):
+            elif e is top or not (furniture(e, found) or id(e) in gone):
                 if e.raw and e is not top:
                     continue
                 if e.tag in BLOCK:

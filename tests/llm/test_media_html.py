@@ -108,3 +108,39 @@ def test_boxes_inside_articles_of_one_section(spark):
     rows = [(i, f"http://a.org/{i}", page.format(i=i, box=box if i < 6 else "")) for i in range(100)]
     text = {r.page_id: r.text for r in htmltext.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(text[i] == f"Head {i} Story {i} tells this and that. own {i}" for i in range(100))
+
+
+def test_boxes_of_the_article_itself():
+    """Headlines and running text stay whatever their box is called; link lists, share bars and reader comments go."""
+    long = " ".join(f"word{i}" for i in range(40))
+    page = f"<article><header><h1>Head</h1></header><div class='legal alert'><p>{long}</p></div><div class=related><a href=a>other story</a></div><div class='share bar'>share this</div><div id=comments><p>{long}</p></div><p>End.</p></article>"
+    assert htmltext.extract(page) == f"Head {long} End."
+    assert htmltext.extract(f"<header><h1>Site</h1></header><div class=legal><p>{long}</p></div><p>Body.</p>") == "Body."
+
+
+def test_stray_and_deep_tags_in_little_time():
+    import time
+
+    start = time.time()
+    assert htmltext.extract("<b>" * 30000 + "x" + "</i>" * 30000 + "<i>y" * 5000 + "</u>" * 20000)[:2] == "xy"
+    assert htmltext.extract("<span>" * 20000 + "<p>a" * 3) == "a a a" and time.time() - start < 30
+
+
+def test_templates_on_generated_hosts(spark):
+    """Recurring boxes on hosts with and without article elements, against counting by hand."""
+    import random
+
+    r = random.Random(9)
+    rows, want = [], {}
+    for h in range(4):
+        boxes = [f"<div><span>{' '.join(r.choice('abcdefgh') * 3 for _ in range(6))} box{h}{k}</span></div>" for k in range(3)]
+        for i in range(30):
+            own = f"story {h} {i} " + " ".join(r.choice("xyz") * 4 for _ in range(25))
+            shown = [b for b in boxes if r.random() < 0.7]
+            body = f"<section><p>{own}</p></section>"
+            inner = f"<article>{body}{''.join(shown)}</article>" if h % 2 else f"{''.join(shown)}{body}"
+            rows.append((100 * h + i, f"https://h{h}.net/{i}", f"<html><body>{inner}</body></html>"))
+            want[100 * h + i] = own
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in htmltext.report(pages).collect()} == want
+    assert sum(htmltext.extract(html) != want[i] for i, _, html in rows) > 100  # without the counts hardly any page is right
