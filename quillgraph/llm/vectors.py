@@ -3,7 +3,7 @@
 Unit vectors with cosine of at least ``COSINE`` lie within distance eps = sqrt(2 - 2 * COSINE). Equal vectors are first
 merged into one with a multiplicity and a number of its own. Principal axes come from the covariance of all vectors (summed by Spark). The
 vectors are sorted by their grid cells (width eps) on the ``LEADING`` axes - the epsilon grid order - and cut into
-blocks of at most ``BLOCK``: stretches of the range partitions that the sort makes, so nothing is collected to number them. Blocks whose bounding boxes
+blocks of ``BLOCK``, by their place in the order: the place in a range partition of the sort, and the sizes of those before it (one row for each). Blocks whose bounding boxes
 on these axes and in the length of what the axes leave over are more than eps apart are never paired; inside a
 pair, intervals of the sequence are halved recursively and skipped by the same test. What is left is multiplied
 in single precision with a margin, and every pair within the margin is decided in double precision.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpoint, components
@@ -156,8 +156,10 @@ def _pairs_of(vectors: DataFrame, dim: int, cosine: float) -> DataFrame:
     ordered = vectors.select("rep", "n", "embedding").mapInArrow(cells, f"rep long, n long, embedding {kind}, cell array<int>, p array<double>")
     ranges = max(1, math.ceil(vectors.count() / SORTED))
     seq = checkpoint(ordered.repartitionByRange(ranges, "cell", "rep").sortWithinPartitions("cell", "rep").withColumn("at", F.monotonically_increasing_id()))
-    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the rest of ``at`` is the partition
-    blocks = seq.withColumn("block", F.col("at") - within + F.floor(within / BLOCK).cast("long"))
+    part, within = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    starts = seq.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    blocks = seq.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("block", F.floor((F.col("start") + within) / BLOCK).cast("long")).drop("part", "start")
     boxes = blocks.groupBy("block").agg(*[f(F.col("p")[i]).alias(f"{name}{i}") for i in range(k) for f, name in ((F.min, "lo"), (F.max, "hi"))])
     boxes = checkpoint(boxes.select("block", F.floor(F.col("lo0") / eps).alias("c0"), F.floor(F.col("hi0") / eps).alias("c1"), F.array(*[f"lo{i}" for i in range(k)]).alias("lo"), F.array(*[f"hi{i}" for i in range(k)]).alias("hi")))
     left = boxes.select(F.col("block").alias("a"), "c0", "c1", "lo", "hi").withColumn("c", F.explode(F.sequence("c0", "c1")))
