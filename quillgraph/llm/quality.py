@@ -1,7 +1,6 @@
 """Quality by importance resampling.
 
-Two generative models over ``BUCKETS`` hashed word n-grams (one and two words): target text (documents labelled good,
-at most about ``TARGET_ROWS`` of them, picked by hash) and raw text (all documents). A document's log weight is the sum of log ratios of
+Two generative models over ``BUCKETS`` hashed word n-grams (one and two words): target text (all documents labelled good) and raw text (all documents). A document's log weight is the sum of log ratios of
 its n-grams. Adding Gumbel noise made from seed and doc_id and keeping the k largest keys samples k documents
 without replacement in proportion to their weights. The k-th key is found exactly by counting keys in ever finer
 ranges, so no task and no driver holds more than ``FINE`` keys.
@@ -27,7 +26,9 @@ from quillgraph.llm.common import checkpoint, words_of
 BUCKETS, SEED = 10_000, 23
 #: Share kept where no label tells the share of good documents.
 UNLABELLED = 0.8
-TARGET_ROWS, FINE, BINS = 50_000, 10_000, 4096
+FINE, BINS = 10_000, 4096
+#: Labelled rows that may be broadcast (more are joined by shuffle).
+BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,15 +66,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of documents labelled good, about ``TARGET_ROWS`` at most."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    n = good.count()
-    return good.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1e6 * min(1.0, TARGET_ROWS / max(n, 1)))).withColumn("good", F.lit(True))
+    """doc_id of documents labelled good."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw probability of each bucket, add-one smoothed; zeros without target text."""
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(target_ids(labels)), "doc_id", "left")  # bounded by TARGET_ROWS
+    good = checkpoint(target_ids(labels))
+    side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left")
     counts = _hashed(flagged, F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket long, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)

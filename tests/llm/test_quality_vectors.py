@@ -104,3 +104,42 @@ def test_quality(spark):
     odd = spark.createDataFrame([(1, None, "", "", 0), (2, "", "", "", 0), (None, "x", "", "", 1), (2, "", "", "", 0)], SCHEMA).withColumn("kept", F.lit(1))
     assert {(r.doc_id, r.log_weight) for r in quality.report(odd, labels.limit(0)).collect()} == {(1, 0.0), (2, 0.0), (None, 0.0)}
     assert quality.report(odd.limit(0), labels).count() == 0
+
+
+def test_quality_model_by_definition(spark):
+    """Counts of hashed one- and two-word n-grams, log ratios, weights and the choice, in plain Python."""
+    import hashlib
+    import re
+
+    import xxhash
+
+    texts = ["The cat sat on the mat", "a  b\tc\nd", None, "", "cat Cat cat cat", "junk junk !!", "x" * 70_000, "the end of the cat " * 3000, "the end of the cat " * 3000]
+    rows = [(i if i != 5 else None, t, "en", "s", 1) for i, t in enumerate(texts)]
+    rows[8] = rows[7]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("good", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (4, 0, 0), (7, 1, 1), (7, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    mask, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def buckets(t):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[\\x20\\x09-\\x0D]+", (t or "").lower()) if w]
+        two = [((a * mix) & mask) ^ ((b + (a << 7)) & mask) for a, b in zip(h, h[1:])]
+        return [x % quality.BUCKETS for x in h] + [(x ^ (x >> 31)) % quality.BUCKETS for x in two]
+
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, t, *_ in rows:
+        for b in buckets(t):
+            raw[b] += 1
+            good[b] += i in (0, 1, 7)
+    ratio = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    assert np.allclose(quality.learn(docs, labels), ratio)
+    want = []
+    for i, t, *_ in rows:
+        key = str(i) if i is not None else hashlib.sha256(t.encode()).hexdigest()
+        u = (int(hashlib.md5(f"{quality.SEED}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        w = sum(ratio[b] for b in buckets(t))
+        want.append((-1 if i is None else i, len(buckets(t)), w, w - math.log(-math.log(u))))
+    k = math.ceil(quality.good_share(labels) * len(rows))
+    least = sorted((x[3] for x in want), reverse=True)[k - 1]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_grams, r.log_weight, r.gumbel_key, r.kept) for r in quality.report(docs, labels).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and [x[4] for x in got] == [x[3] >= least - 1e-9 for x in sorted(want)]
+    assert np.allclose([x[2:4] for x in got], [x[2:4] for x in sorted(want)])
