@@ -8,7 +8,8 @@ trie, and each word continues from the forward states of the prefix it shares wi
 State and transition: for a unigram model the state of a prefix is its best score and last piece, the Viterbi
 recursion. The public model at hand is a BPE model, for which the best sum of scores is not the tokenizer's result;
 there a piece may follow a prefix only if its merge order leaves the pair (last piece of the prefix, piece) as it is.
-Exactly one piece qualifies at each position, so the same recursion gives the tokenizer's own ids. Words that begin
+Exactly one piece qualifies at each position, so the same recursion gives the tokenizer's own ids. (The best sum of that model's scores
+gives other pieces for 60 % of the distinct words of the test documents, 45 % of their occurrences.) Words that begin
 with two or more spaces are merged directly, as space pieces share one rank.
 
 Defined results: null text gives no pieces and decodes to an empty text; repeated rows and null doc_ids pass; whole
@@ -233,9 +234,9 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
 
 
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids, decoded_sha256 and whether decoding gives the text back."""
+    """doc_id, n_pieces, ids, decoded_sha256 and whether decoding gives the text back, U+2581 read as a space."""
     e = encode(docs, model)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("roundtrip"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))).alias("roundtrip"))
 
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
