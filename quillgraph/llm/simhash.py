@@ -193,26 +193,35 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 3 bits."""
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 3 bits.
+
+    Fingerprints stand for their documents, so one that only documents without an id have still carries links.
+    """
     fps = checkpoint(fingerprints(docs))
-    reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(reps.where("rep is not null")))
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    points = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(points.select("fp", F.col("fp").alias("rep"))))
+    rooted = checkpoint(points.join(found, points.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Documents that stay: those whose doc_id is their component's smallest; one of each set of repeated rows.
 
-    Rows without a doc_id cannot be named and stay. All columns of ``docs`` are returned.
+    Rows of one doc_id with different texts are judged each by its own text. Rows without a doc_id cannot be named and stay. All columns of
+    ``docs`` are returned.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = checkpoint(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__gone")))
+    judged = checkpoint(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    ids = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("n").alias("n"), F.min("component_id").alias("root"))
+    gone = ids.where("n = 1 and __id <> root").select("__id")
+    twice = checkpoint(ids.where("n > 1").select("__id"))
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id") == F.col("__gone"), "left_anti").unionByName(again)
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    once = docs.join(gone.unionByName(twice), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = checkpoint(docs.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__row", F.monotonically_increasing_id()))
+    own = fingerprints(again.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "fp")
+    first = again.select("__row", "doc_id").join(own, "__row").join(judged.where("doc_id = component_id").select("doc_id", "fp"), ["doc_id", "fp"], "left_semi").select("__row")
+    return once.unionByName(again.join(first, "__row", "left_semi").select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
