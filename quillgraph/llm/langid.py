@@ -3,8 +3,7 @@
 A profile lists the ``TOP`` most frequent letter n-grams (one to three letters, words padded by a space), ties in
 code order. A document takes the language with the smallest out-of-place distance: for each of its most frequent
 n-grams, the difference of its ranks, or ``TOP`` where the language's profile lacks it. Only n-grams inside one
-padded word count. Profiles are counted by Spark from at most about ``PER_LANG`` whole training texts per
-language, picked by hash.
+padded word count. Profiles are counted by Spark from all whole training texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text where nothing
 could be learnt; ties go to the first language in order; long texts count whole; repeated rows and rows with a
@@ -19,12 +18,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import DOC_COLUMNS, text_remainder
 
-TOP, PER_LANG, FOLDS = 300, 1500, 5
+TOP, FOLDS = 300, 5
+#: Texts whose n-grams are merged at once, distinct n-grams of a language that a task holds before it passes them on.
+SLICE, MOST_HELD = 250, 1_000_000
 #: Documents below this score (share of the largest distance avoided) are rejected by ``keep_known``.
 LEAST_SCORE = 0.02
 UNKNOWN = "und"
@@ -56,32 +57,38 @@ def ranked(text: str | None) -> np.ndarray:
 def learn(docs: DataFrame) -> dict[str, list[int]]:
     """Profiles of the languages of ``docs``, from rows whose doc_id is not held out."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (text_remainder(F.col("doc_id"), FOLDS) != 0))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
-    if not counts:
-        return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, PER_LANG / n))))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}  # of each language: codes and their sums so far
+
+        def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            return codes, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+
+        def out(lang: str) -> pa.RecordBatch:
+            codes, sums = merged(held[lang])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
+
         for b in batches:
-            langs = b.column(1).to_pylist()
-            by: dict[str, list] = {}
-            for lang, text in zip(langs, b.column(0).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, found in by.items():
-                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                sums = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
-
-    from pyspark.sql import Window
-
-    total = picked.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held.setdefault(lang, []).append(grams(text))
+                for lang in [k for k, v in held.items() if len(v) > 1]:
+                    held[lang] = [merged(held[lang])]
+                    if len(held[lang][0][0]) > MOST_HELD:
+                        yield out(lang)
+                        del held[lang]
+        for lang in held:
+            yield out(lang)
+
+    total = known.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("lang", "gram", "rank").collect()  # TOP rows for each language
-    out: dict[str, list[int]] = {k: [] for k in counts}
+    out: dict[str, list[int]] = {}
     for r in sorted(top, key=lambda r: (r.lang, r.rank)):
-        out[r.lang].append(r.gram)
-    return {k: v for k, v in sorted(out.items()) if v}
+        out.setdefault(r.lang, []).append(r.gram)
+    return out
 
 
 class Profiles:

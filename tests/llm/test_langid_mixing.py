@@ -39,6 +39,40 @@ def test_accuracy_and_edges(spark):
     assert {r.doc_id for r in langid.keep_known(odd).collect()} == {None, 4}
 
 
+def test_learning_and_distance_by_definition(spark, monkeypatch):
+    """Profiles from counts over all training texts, and the language of the smallest out-of-place distance, in plain Python."""
+    import zlib
+
+    monkeypatch.setattr(langid, "SLICE", 3)
+    monkeypatch.setattr(langid, "MOST_HELD", 400)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [(r.doc_id, r.text, None if r.doc_id % 10 == 3 else r.lang) for r in rows] + [(None, "nobody learns this", "en"), (900001, None, "de"), (900002, "", "xx"), (900003, "long " * 30000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for i, t, lang in rows:
+        if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            n = counts.setdefault(lang, Counter())
+            for w in "".join(ch if ch.isalpha() else " " for ch in (t or "").lower()).split():
+                n.update(w)
+                n.update(f" {w} "[k : k + size] for size in (2, 3) for k in range(len(w) + 3 - size))
+    pack = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    want = {lang: [pack(g) for g in sorted(n, key=lambda g: (-n[g], pack(g)))][: langid.TOP] for lang, n in counts.items() if n}
+    assert langid.learn(docs) == want
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.report(docs).collect()}
+    for i, t, _ in rows:
+        mine = plain_rank(t or "")
+        far = {lang: sum(abs(p.index(g) - k) if g in p else langid.TOP for k, g in enumerate(mine)) for lang, p in sorted(want.items())}
+        best = min(far, key=far.get) if mine else "und"
+        assert out[i][0] == best and abs(out[i][1] - (1 - far[best] / (len(mine) * langid.TOP) if mine else 0)) < 1e-12
+
+
+def test_long_text_is_mixed_whole(spark):
+    long = "w " * 400_000
+    docs = spark.createDataFrame([(i, long + str(i), "en", "s", 1) for i in range(4)], SCHEMA)
+    got = mixing.mix(docs, {"s": 1.0}).collect()
+    assert all(r.text == long + str(r.doc_id) for r in got)
+
+
 def test_mix_against_sql(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = mixing.mix(docs).collect()
