@@ -129,6 +129,16 @@ def discover(parents: list[str], registry: Registry) -> list[dict]:
     return out
 
 
+def watch_discover(parents: list[str], registry: Registry, pause: float = 60.0, rounds: int | None = None) -> list[dict]:
+    """Discover again and again, ``pause`` seconds apart; what was registered in ``rounds`` of it (without end if none are given)."""
+    found: list[dict] = []
+    while rounds is None or rounds > 0:
+        found += discover([p for p in parents if os.path.isdir(p)], registry)
+        rounds = None if rounds is None else rounds - 1
+        time.sleep(pause if rounds is None or rounds else 0)
+    return found
+
+
 class Manager:
     """Engines by workspace, the least recently used one dropped beyond ``size``."""
 

@@ -11,6 +11,12 @@ from quillgraph import schema
 CALL_STOP = "if for while switch catch require import return console log error warn info typeof sizeof new def class func fn lambda struct".split()
 
 
+# What separates words, the letters and digits of a token, the two places where a word is split, and a token's length.
+WORD_GAPS = r"[\s,.;:()\[\]{}<>\"'`\\/|!?*+=~^%#@&$-]+"
+NO_TOKEN, LOWER_UPPER, UPPER_WORD = "[^a-zA-Z0-9]", "([a-z0-9])([A-Z])", "([A-Z]+)([A-Z][a-z])"
+SHORTEST, LONGEST = 2, 50
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -66,18 +72,18 @@ def source_lines(content: Column, start: Column, end: Column, around: int = 2) -
 def symbol_tokens(name: Column) -> Column:
     """Distinct lower-case tokens of 2 to 50 letters and digits, in order of first appearance."""
     clean = F.trim(F.coalesce(name, F.lit("")))
-    segments = F.filter(F.split(clean, "[^a-zA-Z0-9]+"), lambda s: s != "")
-    split = lambda s: F.split(F.regexp_replace(F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), " ")
+    segments = F.filter(F.split(clean, NO_TOKEN + "+"), lambda s: s != "")
+    split = lambda s: F.split(F.regexp_replace(F.regexp_replace(s, LOWER_UPPER, "$1 $2"), UPPER_WORD, "$1 $2"), " ")
     words = F.flatten(F.transform(segments, lambda s: F.concat(F.array(F.lower(s)), F.transform(split(s), F.lower))))
-    all_ = F.concat(words, F.array(F.lower(F.regexp_replace(clean, "[^a-zA-Z0-9]", ""))))
-    kept = lambda ws: F.filter(ws, lambda w: F.length(w).between(2, 50))
+    all_ = F.concat(words, F.array(F.lower(F.regexp_replace(clean, NO_TOKEN, ""))))
+    kept = lambda ws: F.filter(ws, lambda w: F.length(w).between(SHORTEST, LONGEST))
     # a word in lower case, but for its first letter, has one token and needs no splitting
     return F.when(clean.rlike(r"^[A-Za-z]?[a-z0-9]*\z"), kept(F.array(F.lower(clean)))).otherwise(F.array_distinct(kept(all_)))
 
 
 def text_tokens(text: Column) -> Column:
     """Distinct symbol tokens of the words of a text."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s,.;:()\[\]{}<>\"'`\\/|!?*+=~^%#@&$-]+"), lambda s: F.length(s) >= 2)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAPS), lambda s: F.length(s) >= SHORTEST)
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), symbol_tokens)))
 
 
@@ -91,6 +97,11 @@ def token_cost(text: Column, per_token: float = 3.8) -> Column:
     return F.ceil(F.length(text) / F.lit(per_token)).cast("long")
 
 
+def savings(part: Column, whole: Column) -> Column:
+    """Percent of the tokens of ``whole`` that ``part`` spares, to two digits; 0 for nothing at all."""
+    return F.when(whole > 0, F.round((F.lit(1.0) - part / whole) * 100, 2)).otherwise(F.lit(0.0))
+
+
 def risk(total: Column, files: Column, routes: Column) -> Column:
     """Risk of a change from the callers, files and routes that it reaches."""
     return (

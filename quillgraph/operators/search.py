@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
@@ -27,26 +25,15 @@ def token_index(nodes: DataFrame) -> DataFrame:
 
 
 def query_tokens(query: str) -> list[str]:
-    """Tokens of a query, by the rules of ``text_tokens``."""
-    out: dict[str, None] = {}
-    for word in re.split(r"[\s,.;:()\[\]{}<>\"'`\\/|!?*+=~^%#@&$-]+", query):
-        if len(word) < 2:
-            continue
-        parts = [s for s in re.split("[^a-zA-Z0-9]+", word) if s]
-        for s in parts:
-            split = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", s)).split()
-            out |= dict.fromkeys(w.lower() for w in (s, *split) if 2 <= len(w) <= 50)
-        whole = "".join(parts).lower()
-        if 2 <= len(whole) <= 50:
-            out[whole] = None
-    return list(out)
+    """Tokens of a query: its ``text_tokens``, which the optimizer folds to a local row."""
+    return list(SparkSession.active().sql("SELECT :q AS q", args={"q": query}).select(text.text_tokens(F.col("q"))).collect()[0][0])
 
 
 def _token_hits(nodes: DataFrame, wanted: list[str]) -> Column:
     """How many of a node's tokens are wanted. A token is a run of its text's letters and digits, so only texts with such a run are tokenized."""
     total: Column = F.lit(0)
     for c, tokens in [("name", text.symbol_tokens), ("file_path", text.symbol_tokens)] + [(c, text.text_tokens) for c in ("signature", "docstring", "snippet") if c in nodes.columns]:
-        bare = F.lower(F.regexp_replace(F.col(c), "[^a-zA-Z0-9]", ""))
+        bare = F.lower(F.regexp_replace(F.col(c), text.NO_TOKEN, ""))
         total = total + F.when(_any([bare.contains(w) for w in wanted]), F.size(F.filter(tokens(F.col(c)), lambda t: t.isin(wanted)))).otherwise(0)
     return total
 

@@ -175,7 +175,7 @@ def verbatim_source(spark, d):
     return docs.select("doc_id", at.cast("long").alias("start_line"), text.source_lines(F.col("text"), at, n).alias("lines"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s,.;:()\\[\\]{}<>\"''`\\\\/|!?*+=~^%#@&$-]+'), lambda w: length(w) >= 2)"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '" + text.WORD_GAPS.replace("'", "''") + "'), lambda w: length(w) >= 2)"
 
 
 @query(f"SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({_tokens('w')}) AS token FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents)) GROUP BY token")

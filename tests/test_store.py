@@ -134,3 +134,33 @@ def test_config(tmp_path):
     assert config.memory_path(home) == str(tmp_path / "mem") and os.path.isdir(tmp_path / "mem")
     (tmp_path / "home" / "config.json").write_text("{broken")
     assert config.memory_path(home) == home
+
+
+def test_discovery_again_and_savings(spark, tmp_path):
+    from quillgraph.catalog import Registry, watch_discover
+    from quillgraph.functions import text
+
+    (tmp_path / "in" / "one").mkdir(parents=True)
+    (tmp_path / "in" / "one" / "go.mod").write_text("")
+    r = Registry(str(tmp_path / "r.json"))
+    assert [w["name"] for w in watch_discover([str(tmp_path / "in"), str(tmp_path / "none")], r, 0, 2)] == ["one"]
+    row = spark.sql("SELECT 250L AS a, 1000L AS b, 0L AS z").select(text.savings(F.col("a"), F.col("b")).alias("s"), text.savings(F.col("z"), F.col("z")).alias("none")).first()
+    assert (row.s, row.none) == (75.0, 0.0)
+
+
+def test_rest_files_and_errors(spark, tmp_path):
+    from quillgraph.api import Api
+    from quillgraph.catalog import Manager, Registry
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.py").write_text("def step(n):\n    return n\n")
+    api = Api(Manager(spark, Registry(str(tmp_path / "r.json"))))
+    assert api.rest("/v1/stats", {})[0] in (400, 404)
+    api.m.register(str(tmp_path / "w"), "W")
+    status, kind, body = api.rest("/v1/graph", {})
+    assert status == 200 and {n["name"] for n in json.loads(body)["nodes"]} == {"a.py", "step"}
+    assert api.rest("/v1/search", {"query": "step", "limit": [1]})[0] in (400, 500)
+    tools = {t["name"]: t["inputSchema"] for t in api.rpc('{"method": "tools/list", "id": 2}')["result"]["tools"]}
+    assert tools["kb_explore"]["properties"]["maxDepth"]["type"] == "integer" and tools["kb_search"]["required"] == ["query"]
+    page = api.rest("/visual", {})[2]
+    assert 'id="kind"' in page and 'id="hubs"' in page
