@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests in local mode) a temporary folder is set once.
+    Where the session names none, a temporary folder is set once in local mode (tests); on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -40,6 +43,12 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def removed(spark: SparkSession, where: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +64,7 @@ def text_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(modulus)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list of longs: (node, component = smallest node).
 
     Alternates large-star and small-star steps until the edge set is a set of stars. Each step is two
@@ -68,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         .distinct()
     )
     seen = None
-    for _ in range(most_rounds):
+    while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
@@ -82,6 +91,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         joined = large.join(floor, "hi")
         pairs = joined.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("p"))
         e = checkpoint(pairs.select("p.hi", "p.lo").where("hi > lo").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
