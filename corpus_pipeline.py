@@ -1,7 +1,11 @@
 """A training corpus from the documents table: language ID, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. ``run`` writes every stage's
-result as Parquet in the shared folder and reads it again for the next.
+result as Parquet in the shared folder, reads it again for the next and removes it once that is written.
+
+Defined results: rows with null or empty text have no language and go at the first stage; a null doc_id stays, as no group can name it; of repeated
+rows one stays; null sources are a source of their own; texts of any length pass whole; columns beyond those of documents are left out; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import langid, mixing, pieces, pii, simhash
-from quillgraph.llm.common import DOC_COLUMNS, shared_dir, table
+from quillgraph.llm.common import DOC_COLUMNS, removed, shared_dir, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last stage's rows."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{k}_{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
