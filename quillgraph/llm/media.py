@@ -24,12 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import shared_dir
 
-WIDTH, LEVEL, HEADER = 192, 2, 33
+WIDTH, LEVEL, HEADER = 192, 6, 33
 #: Bytes after which a task starts its next shard.
 SHARD_BYTES = 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -146,6 +147,9 @@ def store(docs: DataFrame, where: str) -> DataFrame:
 
     spark = docs.sparkSession
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, INDEX).write.parquet(f"{where}/index")
+    for f in fs_.get_file_info(FileSelector(root)):  # one entry for each shard
+        if f.base_name.startswith(".part-"):  # of an attempt that was lost
+            fs_.delete_file(f.path)
     return spark.read.schema(INDEX).parquet(f"{where}/index")
 
 
