@@ -23,6 +23,7 @@ class Engine:
         self.store = Store(spark, store or os.path.join(self.root, ".quillgraph"))
         self._tables: dict[str, DataFrame] | None = None
         self._stats: dict | None = None
+        self.library = report.Library()
         workspace.register(spark)
 
     # building
@@ -174,6 +175,10 @@ class Engine:
     def report(self) -> str:
         return report.markdown(self.stats(), self.nodes, self.tables["files"])
 
+    def docs(self, query: str) -> str:
+        """Registered library documents that a query names, and nodes of that name."""
+        return self.library.resolve(query, self.nodes)
+
     def visual(self) -> str:
         return report.html(self.nodes, self.edges)
 

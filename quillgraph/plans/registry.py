@@ -52,6 +52,13 @@ def file_row(spark, d):
     return t.select("doc_id", text.line_count(F.col("text")).cast("long").alias("lines"), F.substring("text", 1, 300).alias("snippet"), F.octet_length("text").cast("long").alias("size"))
 
 
+@query("SELECT doc_id, CAST(length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, text, length(text) // 2 AS p FROM documents)")
+def line_number(spark, d):
+    """The line of the character in the middle of each text."""
+    t = _table(spark, d, "documents")
+    return t.select("doc_id", text.line_of(F.col("text"), F.floor(F.length("text") / 2).cast("int")).cast("long").alias("line"))
+
+
 _LANGS = "(VALUES " + ", ".join(f"('{e}', '{v}')" for e, v in sorted(schema.EXTENSIONS.items())) + ") AS l(ext, lang)"
 _PATH = "regexp_replace(url, '[?#].*$', '')"
 

@@ -164,3 +164,19 @@ def test_rest_files_and_errors(spark, tmp_path):
     assert tools["kb_explore"]["properties"]["maxDepth"]["type"] == "integer" and tools["kb_search"]["required"] == ["query"]
     page = api.rest("/visual", {})[2]
     assert 'id="kind"' in page and 'id="hubs"' in page
+
+
+def test_reports_and_library(spark, tmp_path):
+    from quillgraph.operators import report
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.py").write_text("def step(n):\n    return n\n\ndef run():\n    return step(1)\n")
+    e = Engine(spark, str(tmp_path / "w"), str(tmp_path / "s"))
+    e.index()
+    hubs = report.hub_report(e.god_nodes()).split("\n")
+    assert hubs[2] == "| symbol | file | degree |" and {"| step | a.py | 2 |", "| run | a.py | 2 |"} <= set(hubs)
+    assert report.staleness_banner([]) is None and report.staleness_banner([f"f{i}" for i in range(9)]) == "9 file(s) wait to be indexed: f0, f1, f2, f3, f4"
+    e.library.register("Lib", "Intro", "How to step.", "2.0")
+    e.library.register("other", "Notes", "Nothing.")
+    said = e.docs("lib")
+    assert "## Lib 2.0: Intro\nHow to step." in said and "Nothing" not in said and "- `step` (function) in a.py" in e.docs("step")
