@@ -53,7 +53,7 @@ def _one_task(t: pa.Table) -> pa.Table:
 def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = 0) -> DataFrame:
     """(id, page_rank) after exactly ``ROUNDS`` rounds; only edges between known nodes; parallel edges count each.
 
-    Each round is one job: the ranks of the round before are summed over loose nodes while they are computed. Links stay partitioned by their source.
+    Each round is one job: what the round before has on loose nodes is summed while it is computed. Links stay partitioned by their source.
     ``one_task``: graphs up to this size, which the caller takes for small, are ranked in one task.
     """
     ids = nodes.select("id").distinct()
@@ -71,23 +71,31 @@ def pagerank(nodes: DataFrame, edges: DataFrame, one_task: int = 0) -> DataFrame
     links = checkpoint(edges.select("source_id", "target_id").join(end("source"), "source_id").join(end("target"), "target_id").groupBy(F.col("source").alias("id"), F.col("target").alias("to")).agg(F.count(F.lit(1)).alias("m")))
     named, ids = numbered, numbered.select(F.col("k").alias("id"))
     total = links.groupBy("id").agg(F.sum("m").alias("out"))
-    steps = links.join(total, "id").select("id", "to", (F.col("m") / F.col("out")).alias("w")).repartition("id").persist()
-    rank = ids.join(total, "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("page_rank")).repartition("id").persist()
-    held = [steps, rank]
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = links.join(total, "id").select("id", "to", (F.col("m") / F.col("out")).alias("w")).repartition(parts, "id").persist()
+    # Ranks are sums of the powers of the damped link matrix applied to equal ranks, so rounds need no number from the round before: their code is compiled once.
+    power = ids.join(total, "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("u"))
+    power = power.withColumn("powers", F.array("u")).repartition(parts, "id").persist()
+    held, lost = [power], []
     for k in range(1, ROUNDS + 1):
-        dangling = rank.agg(F.sum(F.when(F.col("loose"), F.col("page_rank")))).first()[0] or 0.0
-        flow = steps.join(rank, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("w") * F.col("page_rank")).alias("f"))
-        base = (1 - DAMPING) / n + DAMPING * dangling / n
-        rank = rank.join(flow, "id", "left").select("id", "loose", (F.lit(base) + DAMPING * F.coalesce("f", F.lit(0.0))).alias("page_rank"))
+        lost.append(power.agg(F.sum(F.when(F.col("loose"), F.col("u")))).first()[0] or 0.0)
+        flow = steps.join(power, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("w") * F.col("u")).alias("f"))
+        power = power.join(flow, "id", "left").select("id", "loose", (DAMPING * F.coalesce("f", F.lit(0.0))).alias("u"), "powers").withColumn("powers", F.concat("powers", F.array("u")))
         if k % CUT and k < ROUNDS:
-            held.append(rank := rank.persist())
+            held.append(power := power.persist())
         else:  # lineage ends here, so what was held is no longer needed
-            rank = checkpoint(rank)
-            for df in held[1:]:
-                df.unpersist()
-            del held[1:]
+            power = checkpoint(power)
+            while held:
+                held.pop().unpersist()
     steps.unpersist()
-    return named.join(rank.select(F.col("id").alias("k"), "page_rank"), "k").select("id", "page_rank")
+    # What a round spreads evenly, in parts of the first ranks: the share without damping and what ranks on loose nodes lose.
+    even: list[float] = []
+    for k in range(ROUNDS):
+        weights = [*reversed(even), 1.0]
+        even.append(1 - DAMPING + DAMPING * sum(w * x for w, x in zip(weights, lost)))
+    weights = F.array(*[F.lit(w) for w in [*reversed(even), 1.0]])
+    rank = F.aggregate(F.zip_with("powers", weights, lambda u, w: u * w), F.lit(0.0), lambda a, x: a + x)
+    return named.join(power.select(F.col("id").alias("k"), rank.alias("page_rank")), "k").select("id", "page_rank")
 
 
 def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 10, one_task: int = 0) -> DataFrame:
