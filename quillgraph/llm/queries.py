@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import fim, htmltext, langid, lexical, media, mixing, pieces, pii, quality, simhash, toxicity, vectors
+from quillgraph.llm import fim, htmltext, langid, lexical, media, mixing, packing, pieces, pii, quality, simhash, toxicity, vectors
 from quillgraph.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_media": lambda spark, d: media.report(table(spark, d, "documents")),
     "op9_html": lambda spark, d: htmltext.report(table(spark, d, "pages")),
     "op10_langid": lambda spark, d: langid.report(table(spark, d, "documents")),
+    "op11_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op12_fim": lambda spark, d: fim.report(table(spark, d, "documents")),
     "op13_search": lambda spark, d: lexical.rank(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
