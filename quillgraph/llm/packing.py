@@ -22,6 +22,7 @@ empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import os
@@ -44,7 +45,7 @@ SIZE, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: Rows of a range and most ranges of a round (larger tables get larger ranges).
 ROWS, MOST_RANGES = 20_000, 20_000
 #: Bytes of text in work at once, words that a Python worker remembers, words encoded by one call.
-SLAB, MOST_WORDS, CALL = 4_000_000, 400_000, 2_000
+SLAB, MOST_WORDS, CALL = 4_000_000, 1_200_000, 2_000
 
 #: States of a row: placed in a sequence, piece waiting, gap as it was sorted, gap changed since.
 PLACED, PIECE, FRESH, USED = 2, 1, 0, -1
@@ -68,7 +69,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.starts, self.known = starts, {}
+        self.starts = starts
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not met since ``known`` was full
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,10 +98,16 @@ class Encoder:
         rest[first] = False
         coded = words.filter(pa.array(rest)).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        self.learn([w for w in distinct if w not in known])
+        if len(self.known) > MOST_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in distinct:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
         heads = words.take(pa.array(first)).to_pylist()
         if odd.any():
             for k in np.flatnonzero(odd):
@@ -119,6 +128,10 @@ class Encoder:
         return ids, np.diff(total[ends], prepend=0)
 
 
+#: One for all tasks of a Python worker, so that they share its words.
+_encoder = functools.cache(Encoder)
+
+
 def _table(columns: dict[str, object], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in KINDS.items()], COLUMNS)
 
@@ -129,7 +142,7 @@ def _cut(docs: DataFrame, with_ids: bool, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, number = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, number = _encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, 1, SLAB):
                 ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""))
