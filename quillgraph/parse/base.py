@@ -39,8 +39,8 @@ class Graph:
                 self.edge("contains", f"file:{self.path}", id_, name, start)
         return id_
 
-    def edge(self, kind: str, source: str, target: str, name: str | None, line: int, confidence: str = "exact", **metadata) -> None:
-        id_ = f"edge:{kind}:{source}->{target}:{line}"
+    def edge(self, kind: str, source: str, target: str, name: str | None, line: int, confidence: str = "exact", infix: str = "", **metadata) -> None:
+        id_ = f"edge:{kind}:{source}->{infix}{target}:{line}"
         self.edges.setdefault(id_, (id_, source, target, name, kind, self.path, line, confidence, json.dumps(metadata) if metadata else None))
 
     def calls(self, caller: str, name: str, code: str, offset: int) -> None:
@@ -157,6 +157,18 @@ def names(listing: str) -> list[str]:
     return [w for part in flat.split(",") if (w := re.split(r"[\s({]", part.strip())[0]) and re.match(r"[\\A-Za-z_$]", w)]
 
 
+def top_level(listing: str) -> list[str]:
+    """Parts of a listing between its commas outside brackets."""
+    parts, depth = [""], 0
+    for c in listing:
+        depth += 1 if c in "([{" else -1 if c in ")]}" else 0
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
 def resolve_path(path: str, target: str) -> str:
     """A relative import as a path from the root."""
     parts = path.split("/")[:-1]

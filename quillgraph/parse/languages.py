@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import keyword
 import re
 
-from quillgraph.parse.base import Graph, braces, closing, mask, names, resolve_path
+from quillgraph.parse.base import NOT_CALLS, Graph, braces, closing, mask, names, resolve_path, top_level
 
 
 def _block(g: Graph, code: str, start: int, after: int) -> tuple[int, int, int]:
@@ -13,9 +15,80 @@ def _block(g: Graph, code: str, start: int, after: int) -> tuple[int, int, int]:
     return (g.line(span[1]), span[0], span[1] + 1) if span else (g.line(start), after, after)
 
 
+_PYTHON_STRING = re.compile(r"(?<![\w])([rRbBuUfFtT]{0,3})(\"{3}|'{3}|\"|')|#[^\n]*")
+_PYTHON_NAME = re.compile(r"(?<![\w])((?:[^\W\d]\w*\s*\.\s*)*)([^\W\d]\w*)[ \t]*\(")
+
+
+def mask_python(text: str) -> str:
+    """``text`` with the insides of strings and comments blanked; positions, line breaks and the code in f-strings stay."""
+    out = list(text)
+
+    def blank(a: int, b: int) -> None:
+        for k in range(a, min(b, len(out))):
+            if out[k] != "\n":
+                out[k] = " "
+
+    def code(i: int, end: int, inside: bool) -> int:
+        """Mask code from ``i``; with ``inside``, up to what ends an f-string's field. The place where it stops."""
+        depth = 0
+        while i < end:
+            c = text[i]
+            if inside and not depth and (c in "}:" or (c == "!" and text[i + 1 : i + 2] != "=")):
+                return i
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+            m = _PYTHON_STRING.match(text, i) if c in "#'\"rRbBuUfFtT" else None
+            if m and (m.group(2) or not inside):
+                i = string(m) if m.group(2) else m.end()
+                if not m.group(2):
+                    blank(m.start() + 1, i)
+            elif c.isalnum() or c == "_":
+                i = re.compile(r"\w+").match(text, i).end()
+            else:
+                i += 1
+        return end
+
+    def string(m: re.Match) -> int:
+        prefix, quote = m.group(1).lower(), m.group(2)
+        i, n, start = m.end(), len(text), m.end()
+        while i < n and not text.startswith(quote, i):
+            if text[i] == "\\":
+                i += 2
+            elif text[i] == "\n" and len(quote) == 1:
+                break
+            elif ("f" in prefix or "t" in prefix) and text[i] == "{":
+                if text.startswith("{{", i):
+                    i += 2
+                    continue
+                blank(start, i + 1)
+                start = i = field(i + 1)
+            else:
+                i += 1
+        blank(start, i)
+        return min(i + len(quote), n)
+
+    def field(i: int) -> int:
+        """An f-string's replacement field from behind its brace; the format after a colon may hold further fields."""
+        i = code(i, len(text), True)
+        at = i
+        while i < len(text) and text[i] not in "}\n":
+            if text[i] == "{":
+                blank(at, i + 1)
+                at = i = field(i + 1)
+            else:
+                i += 1
+        blank(at, i + 1)
+        return i + 1
+
+    code(0, len(text), False)
+    return "".join(out)
+
+
 def python(g: Graph) -> None:
-    code = mask(g.text, ("#",), None, "\"'", triple=True)
-    file_id, rows = f"file:{g.path}", code.split("\n")
+    code = mask_python(g.text)
+    file_id = f"file:{g.path}"
     for m in re.finditer(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n]+)|import[ \t]+([^\n]+))", code, re.M):
         at = g.line(m.start())
         if m.group(1):
@@ -25,30 +98,49 @@ def python(g: Graph) -> None:
         else:
             for p in m.group(3).split(","):
                 _python_import(g, file_id, re.split(r"\s+as\s+", p.strip())[0], [], at)
-
-    def end(at: int, indent: int) -> int:
-        last = at
-        for k in range(at, len(rows)):
-            if g.lines[k].strip():
-                if len(rows[k]) - len(rows[k].lstrip()) <= indent and rows[k].strip():
-                    break
-                last = k + 1
-        return last
-
-    for m in re.finditer(r"^([ \t]*)(?:(class)|(?:async[ \t]+)?def)[ \t]+(\w+)([^\n]*(?:\n(?![ \t]*(?:def|class)\b)[^\n:]*)*?):[^\n]*$", code, re.M):
-        at = g.line(m.start(3))
-        head = g.line(m.end())
-        stop = max(end(head, len(m.group(1))), head)
+    # lines that begin a logical line: (number, indent, start); those inside brackets or after a backslash only continue one
+    logical, depth, at, joined = [], 0, 0, False
+    for number, row in enumerate(code.split("\n"), 1):
+        original = g.lines[number - 1]
+        if not depth and not joined and row.strip() and row.lstrip()[0] == original.lstrip()[0]:
+            logical.append((number, len(row) - len(row.lstrip()), at))
+        for c in re.findall(r"[()\[\]{}]", row):
+            depth = max(0, depth + (1 if c in "([{" else -1))
+        joined = row.endswith("\\")
+        at += len(row) + 1
+    filled = [k for k, row in enumerate(g.lines, 1) if row.strip()]
+
+    def stop(after: int, indent: int) -> int:
+        """The last line of a block whose header ends on line ``after``."""
+        k = bisect.bisect_right(logical, (after, len(code), len(code)))
+        while k < len(logical) and logical[k][1] > indent:
+            k += 1
+        below = logical[k][0] if k < len(logical) else len(g.lines) + 1
+        return max(after, filled[bisect.bisect_left(filled, below) - 1] if filled else after)
+
+    spots = [(m.start(2), m.group(2)) for m in _PYTHON_NAME.finditer(code) if m.group(2) not in NOT_CALLS and not keyword.iskeyword(m.group(2))]
+    spots = [(at, name) for at, name in spots if not re.search(r"\b(?:def|class)[ \t]+$", code[max(0, at - 12) : at])]
+    starts = [at for at, _ in spots]
+    for m in re.finditer(r"^([ \t]*)(?:(class)|(?:async[ \t]+)?def)[ \t]+(\w+)", code, re.M):
+        depth, colon = 0, m.end()
+        while colon < len(code) and (depth or code[colon] != ":"):  # the header's own colon
+            depth += 1 if code[colon] in "([{" else -1 if code[colon] in ")]}" else 0
+            colon += 1
+        begin, indent = g.line(m.start(3)), len(m.group(1))
+        end = stop(g.line(min(colon, len(code) - 1)), indent)
         if m.group(2):
-            id_ = g.node("class", m.group(3), at, stop, snippet=5)
-            for base in names(re.sub(r"^[^(]*\(|\)[^)]*$", "", m.group(4))) if "(" in m.group(4) else []:
-                if base != "object" and "=" not in base:
-                    g.edge("extends", id_, f"sym:{base}", base, at)
+            id_ = g.node("class", m.group(3), begin, end, snippet=5)
+            head = code[m.end() : colon]
+            inner = head[head.find("(") + 1 : head.rfind(")")] if "(" in head else ""
+            for base in top_level(inner):
+                name = re.match(r"[A-Za-z_][\w.]*", base)
+                if name and name.group() != "object" and not re.match(r"\w+\s*=[^=]", base):
+                    g.edge("extends", id_, f"sym:{name.group()}", name.group(), begin)
         else:
-            id_ = g.node("function", m.group(3), at, stop)
-            begin = m.end()
-            finish = g.breaks[stop - 1] if stop - 1 < len(g.breaks) else len(code)
-            g.calls(id_, m.group(3), code[begin:finish], begin)
+            id_ = g.node("function", m.group(3), begin, end)
+            finish = g.breaks[end - 1] if end - 1 < len(g.breaks) else len(code)
+            for at, name in spots[bisect.bisect_left(starts, m.end()) : bisect.bisect_left(starts, finish)]:
+                g.edge("calls", id_, f"sym:{name}", name, g.line(at))
     for m in re.finditer(r"^[ \t]*@\w+\.(get|post|put|delete|patch|options|route)\([ \t]*(['\"])", code, re.M):
         where = g.text[m.end() : g.text.find(m.group(2), m.end())]
         verb = {"route": "ROUTE"}.get(m.group(1), m.group(1).upper())

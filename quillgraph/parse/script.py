@@ -1,10 +1,13 @@
-"""TypeScript, JavaScript and single-file components, over masked source."""
+"""TypeScript, JavaScript and single-file components: a recursive descent over tokens that keeps declarations, calls and routes."""
 
 from __future__ import annotations
 
 import re
+import sys
+from contextlib import contextmanager
 
-from quillgraph.parse.base import Graph, braces, closing, mask, names, resolve_path
+from quillgraph.parse.base import Graph, resolve_path
+from quillgraph.parse.lexer import Lexer, Token
 
 # Reserved words, which are never called.
 RESERVED = set("if for while switch catch return typeof new delete void throw instanceof in of yield await function class interface extends implements super this require import export from as const let var async".split())
@@ -13,115 +16,845 @@ QUIET = set(
     "then catch finally apply call bind push pop map filter reduce forEach slice splice concat join split indexOf includes startsWith endsWith toString toUpperCase toLowerCase trim replace match search "
     "substring substr charAt charCodeAt keys values entries has get set add delete clear sort reverse length".split()
 )
-VERBS = "get|post|put|delete|patch|options|all"
-HERITAGE = r"(?:\s*<[^{}]*?>)?"
+# Properties whose call with a path is a route.
+VERBS = set("get post put delete patch options all".split())
+MODIFIERS = set("public private protected static readonly abstract override declare async accessor get set".split())
+PREFIX = set("await typeof void delete yield".split())
+#: Punctuation that ends an expression.
+ENDS = set(") ] } , ; : =>".split())
+NONE = Token("end", "", 0, 0, True)
+DEEPEST = 12_000
+
+
+class Reader:
+    """Reads a part of a file that begins at ``offset``. Declarations become nodes, calls edges of all functions that hold them."""
+
+    def __init__(self, g: Graph, text: str, offset: int, jsx: bool):
+        self.g, self.offset = g, offset
+        self.tokens = Lexer(text, jsx).tokens
+        self.i = 0
+        self.callers: list[str] = []
+        self.depth = 0  # of blocks: imports count at 0 only
+        self.pair: dict[int, int] = {}
+        stack: list[int] = []
+        for k, t in enumerate(self.tokens):
+            if t.kind == "punct" and t.text in "([{":
+                stack.append(k)
+            elif t.kind == "punct" and t.text in ")]}" and stack:
+                self.pair[stack.pop()] = k
+
+    # --- tokens
+
+    def peek(self, ahead: int = 0) -> Token:
+        k = self.i + ahead
+        return self.tokens[k] if k < len(self.tokens) else NONE
+
+    def at(self, *texts: str) -> bool:
+        t = self.peek()
+        return t.text in texts and t.kind in ("name", "punct")
+
+    def take(self) -> Token:
+        t = self.peek()
+        self.i += 1
+        return t
+
+    def skip(self, *texts: str) -> bool:
+        if self.at(*texts):
+            self.i += 1
+            return True
+        return False
+
+    def line(self, t: Token) -> int:
+        return self.g.line(self.offset + t.at)
+
+    def last_line(self) -> int:
+        t = self.tokens[min(self.i, len(self.tokens)) - 1]
+        return self.g.line(self.offset + t.end - 1)
+
+    def close(self, k: int | None = None) -> int:
+        """The place of the bracket that closes the one at ``k``."""
+        return self.pair.get(self.i if k is None else k, len(self.tokens))
+
+    def leave(self, k: int) -> None:
+        """Go behind the bracket at ``k``."""
+        self.i = min(k + 1, len(self.tokens))
+
+    # --- rows
+
+    @contextmanager
+    def within(self, caller: str | None):
+        if caller:
+            self.callers.append(caller)
+        yield
+        if caller:
+            self.callers.pop()
+
+    def called(self, name: str, dotted: bool, start: Token, new: bool = False) -> None:
+        if not name or name in RESERVED or (dotted and not new and name in QUIET):
+            return
+        for caller in dict.fromkeys(self.callers):
+            self.g.edge("calls", caller, f"sym:{name}", name, self.line(start), infix="new:" if new else "")
+
+    def node(self, kind: str, name: str, start: Token, **more) -> str:
+        return self.g.node(kind, name, self.line(start), self.last_line(), **more)
+
+    def holding(self, name: str, start: Token, body) -> None:
+        """A function's node, and what ``body`` reads as its calls. The node is made before those within."""
+        before, id_ = self.i, f"{self.g.path}#{name}"
+        fresh = id_ not in self.g.nodes
+        if fresh:
+            self.g.node("function", name, self.line(start), self.line(start))
+        with self.within(id_):
+            body()
+        if fresh and self.i > before:
+            row = self.g.nodes[id_]
+            first, last = row[4], max(row[4], self.last_line())
+            code = "\n".join(self.g.lines[first - 1 : min(last, first + 6)])
+            self.g.nodes[id_] = (*row[:5], last, code, *row[7:])
+
+    # --- types
+
+    def angle(self) -> bool:
+        """Skip type arguments or parameters; False, at the same place, if they are none."""
+        start, depth = self.i, 0
+        while self.i < len(self.tokens):
+            t = self.take()
+            if t.kind == "punct":
+                if t.text in "([{":
+                    self.leave(self.close(self.i - 1))
+                elif t.text == "<":
+                    depth += 1
+                elif t.text == ">":
+                    depth -= 1
+                    if not depth:
+                        return True
+                elif t.text not in (",", "=>", "=", "|", "&", ".", "?", ":", "-", "..."):
+                    break
+        self.i = start
+        return False
+
+    def type(self) -> None:
+        """Skip a type."""
+        self.skip("|", "&")
+        while True:
+            while self.at("keyof", "typeof", "unique", "readonly", "infer", "asserts", "new", "abstract", "-") and self.peek(1).text not in (",", ")", ";", "=", "|", "&", ">"):
+                self.i += 1
+            if self.at("<"):
+                self.angle()
+            if self.at("(", "{", "["):
+                paren = self.at("(")
+                self.leave(self.close())
+                if paren and self.skip("=>"):
+                    self.type()
+                    return
+            elif self.peek().kind in ("name", "string", "number"):
+                self.i += 1
+                while self.at(".") and self.peek(1).kind == "name":
+                    self.i += 2
+                if self.at("(") and self.tokens[self.i - 1].text == "import":
+                    self.leave(self.close())
+                    continue
+                if self.at("<"):
+                    self.angle()
+            else:
+                return
+            while self.at("[") and not self.peek().newline:
+                self.leave(self.close())
+            if self.at(".") and self.peek(1).kind == "name":
+                self.i += 1
+                continue
+            if self.at("is") and not self.peek().newline or self.at("|", "&"):
+                self.i += 1
+                continue
+            if self.at("extends") and not self.peek().newline:
+                self.i += 1
+                self.type()
+                if self.skip("?"):
+                    self.type()
+                    self.skip(":")
+                    continue
+            return
+
+    # --- statements
+
+    def statements(self, end: int) -> None:
+        while self.i < min(end, len(self.tokens)):
+            before = self.i
+            self.statement()
+            if self.i == before:
+                self.i += 1
+        self.i = min(end, len(self.tokens))
+
+    def block(self) -> None:
+        """A block in braces."""
+        end = self.close()
+        self.i += 1
+        self.depth += 1
+        self.statements(end)
+        self.depth -= 1
+        self.leave(end)
+
+    def decorators(self) -> None:
+        while self.at("@"):
+            self.i += 1
+            self.operand()
+
+    def statement(self) -> None:
+        start = self.peek()
+        self.decorators()
+        if self.at("export"):
+            self.i += 1
+            if self.at("{", "*"):
+                self.until_semicolon()
+                return
+            self.skip("default", "=")
+        while self.at("declare", "abstract", "async") and self.peek(1).kind == "name" and not self.peek(1).newline and self.peek(1).text in ("class", "function", "abstract", "async", "const", "let", "var", "namespace", "module", "enum", "interface", "type", "global", "export"):
+            self.i += 1
+        self.decorators()
+        t, after = self.peek(), self.peek(1)
+        word = t.text if t.kind == "name" else ""
+        if t.text == ";" and t.kind == "punct":
+            self.i += 1
+        elif t.text == "{" and t.kind == "punct":
+            self.block()
+        elif word == "import" and after.text not in ("(", "."):
+            self.imported(start)
+        elif word == "class":
+            self.a_class(start, True)
+        elif word == "interface" and after.kind == "name" and not after.newline:
+            self.interface(start)
+        elif word == "type" and after.kind == "name" and not after.newline and self.peek(2).text in ("=", "<"):
+            self.i += 2
+            if self.at("<"):
+                self.angle()
+            self.skip("=")
+            self.type()
+        elif word == "enum" or (word == "const" and after.text == "enum"):
+            self.i += 3 if word == "const" else 2
+            end = self.close()
+            self.i += 1
+            while self.i < end:
+                before = self.i
+                self.expression(True)
+                self.i += self.i == before
+            self.leave(end)
+        elif word in ("namespace", "module", "global") and (after.kind in ("name", "string") and not after.newline or word == "global" and after.text == "{"):
+            self.i += 1
+            while not self.at("{", ";") and self.i < len(self.tokens):
+                self.i += 1
+            if self.at("{"):
+                self.block()
+        elif word == "function":
+            self.function(start, True)
+        elif word in ("var", "const") or (word == "let" and (after.kind == "name" or after.text in ("[", "{"))):
+            self.i += 1
+            self.variables(start)
+        elif word in ("if", "while", "with", "switch", "for"):
+            self.i += 1
+            self.skip("await")
+            if self.at("("):
+                end = self.close()
+                self.i += 1
+                self.head(end)
+                self.leave(end)
+            if word == "switch" and self.at("{"):
+                self.block()
+            else:
+                self.statement()
+                if word == "if" and self.skip("else"):
+                    self.statement()
+        elif word in ("do", "try", "finally", "else"):
+            self.i += 1
+            self.statement()
+        elif word == "catch":
+            self.i += 1
+            if self.at("("):
+                self.leave(self.close())
+            self.statement()
+        elif word in ("return", "throw", "break", "continue", "debugger"):
+            self.i += 1
+            if not self.peek().newline and not self.at(";", "}"):
+                self.expression(True)
+            self.skip(";")
+        elif word == "case" or (word == "default" and after.text == ":"):
+            self.i += 1
+            if word == "case":
+                self.expression(True)
+            self.skip(":")
+        elif t.kind == "name" and after.text == ":" and after.kind == "punct":  # a label
+            self.i += 2
+        else:
+            self.expression(True)
+            self.skip(";")
+
+    def until_semicolon(self) -> None:
+        """Skip an export list or an import."""
+        while self.i < len(self.tokens):
+            t = self.take()
+            if t.text == "{" and t.kind == "punct":
+                self.leave(self.close(self.i - 1))
+            if t.text == ";" or (t.kind == "string" and not self.at("with", "assert")):
+                break
+            if self.peek().newline and not self.at("from", ",") and t.text not in ("from", ",", "*", "as"):
+                break
+        self.skip(";")
+
+    def head(self, end: int) -> None:
+        """What stands in the parentheses of a statement."""
+        while self.i < end:
+            before = self.i
+            if self.at("var", "let", "const"):
+                self.variables(self.take())
+            elif not self.skip(";", "of", "in"):
+                self.expression(True)
+            if self.i == before:
+                self.i += 1
+
+    def imported(self, start: Token) -> None:
+        self.i += 1
+        type_only = self.at("type") and self.peek(1).text not in (",", "from", "=")
+        self.i += type_only
+        default, named, namespace = "", [], False
+        if self.peek().kind == "name" and self.peek(1).text == "=":  # import x = require("y"), import x = A.B
+            self.i += 2
+            self.expression(False)
+            self.skip(";")
+            return
+        if self.peek().kind == "name" and not self.at("from") or self.at("from") and self.peek(1).text == "from":
+            default = self.take().text
+            self.skip(",")
+        if self.skip("*"):
+            self.skip("as")
+            namespace = True
+            self.i += 1
+        elif self.at("{"):
+            end = self.close()
+            self.i += 1
+            while self.i < end:
+                words = []
+                while self.i < end and not self.at(","):
+                    words.append(self.take().text)
+                self.i += 1
+                words = words[1:] if len(words) > 1 and words[0] == "type" and words[1] != "as" else words
+                named += words[:1]
+            self.leave(end)
+        self.skip("from")
+        if self.peek().kind == "string":
+            self.link(self.take().text[1:-1], start, importedSymbols=named, isNamespace=namespace, defaultImport=default or None)
+            if self.skip("with", "assert") and self.at("{"):
+                self.leave(self.close())
+        self.skip(";")
+
+    def link(self, target: str, start: Token, **meta) -> None:
+        if self.depth:
+            return
+        path = resolve_path(self.g.path, target) if target.startswith(".") else target
+        self.g.edge("imports", f"file:{self.g.path}", f"file:{path}", target, self.line(start), **{"importedSymbols": meta.pop("importedSymbols"), "rawImportPath": target, "resolvedModulePath": path, **meta})
+
+    def variables(self, start: Token) -> None:
+        """Declarators; one whose value is a function is a node."""
+        while True:
+            name = self.peek()
+            simple = name.kind == "name"
+            symbols = [name.text] if simple else []
+            if simple:
+                self.i += 1
+            else:
+                symbols = self.pattern()
+            self.skip("!")
+            if self.skip(":"):
+                self.type()
+            if self.skip("="):
+                value = self.peek()
+                if value.text == "require" and self.peek(1).text == "(" and self.peek(2).kind == "string" and self.peek(3).text in (")", ","):
+                    self.link(self.peek(2).text[1:-1], start, importedSymbols=symbols, isRequire=True)
+                if simple and self.function_ahead():
+                    self.holding(name.text, name, lambda: self.expression(False))
+                else:
+                    self.expression(False)
+            if not self.skip(","):
+                break
+        self.skip(";")
+
+    def function_ahead(self) -> bool:
+        """Whether the value here is an arrow function or a function expression and nothing more."""
+        k = self.i
+        if self.arrow_ahead():
+            return True
+        if self.peek().text == "async" and self.peek(1).text == "function":
+            k += 1
+        if k >= len(self.tokens) or self.tokens[k].text != "function" or self.tokens[k].kind != "name":
+            return False
+        while k < len(self.tokens) and self.tokens[k].text != "(":
+            k += 1
+        k = self.close(k) + 1
+        if k < len(self.tokens) and self.tokens[k].text == ":":
+            saved, self.i = self.i, k + 1
+            self.type()
+            k, self.i = self.i, saved
+        after = self.close(k) + 1
+        t = self.tokens[after] if after < len(self.tokens) else NONE
+        return t.kind != "punct" or t.text in ENDS or t.text == ";" or (t.newline and t.text not in (".", "(", "[", "?."))
+
+    def pattern(self) -> list[str]:
+        """A binding pattern: its names; defaults are read."""
+        if not self.at("{", "["):
+            return [self.take().text] if self.peek().kind == "name" else []
+        braces, end, found = self.at("{"), self.close(), []
+        self.i += 1
+        while self.i < end:
+            before = self.i
+            self.skip("...")
+            if self.at("[") and braces:
+                self.i += 1
+                self.expression(True)
+                self.skip("]")
+                found += self.pattern() if self.skip(":") else []
+            elif self.at("{", "["):
+                found += self.pattern()
+            elif self.peek().kind in ("name", "string", "number"):
+                key = self.take().text
+                found += self.pattern() if braces and self.skip(":") else [key]
+            if self.skip("="):
+                self.expression(False)
+            self.skip(",")
+            self.i += self.i == before
+        self.leave(end)
+        return found
+
+    def parameters(self) -> None:
+        """Parameters in parentheses; decorators and defaults are read."""
+        end = self.close()
+        self.i += 1
+        while self.i < end:
+            before = self.i
+            self.decorators()
+            while self.peek().kind == "name" and self.peek(1).kind == "name" or self.peek().kind == "name" and self.peek(1).text in ("{", "["):
+                self.i += 1  # modifiers
+            self.skip("...")
+            self.pattern()
+            self.skip("?")
+            if self.skip(":"):
+                self.type()
+            if self.skip("="):
+                self.expression(False)
+            self.skip(",")
+            self.i += self.i == before
+        self.leave(end)
+
+    def signature(self) -> None:
+        """Type parameters, parameters and the type of what a function returns."""
+        if self.at("<"):
+            self.angle()
+        if self.at("("):
+            self.parameters()
+        if self.skip(":"):
+            self.type()
+
+    def function(self, start: Token, declared: bool) -> None:
+        self.i += 1
+        self.skip("*")
+        name = self.take().text if self.peek().kind == "name" else ""
+
+        def body() -> None:
+            if self.at("{"):
+                self.block()
+            elif declared:
+                self.skip(";")
+
+        if not (declared and name):
+            self.signature()
+            body()
+            return
+
+        def rest() -> None:
+            hidden = self.callers.pop()  # the parameters are not of the body
+            self.signature()
+            self.callers.append(hidden)
+            body()
+
+        self.holding(name, start, rest)
+
+    def heritage(self) -> list[tuple[str, str]]:
+        """(kind, base) of what a class or an interface builds on."""
+        found = []
+        while self.at("extends", "implements"):
+            kind = self.take().text
+            while not self.at("{", "implements", "extends") and self.i < len(self.tokens):
+                before = self.i
+                base = self.peek()
+                if kind == "implements":
+                    self.type()
+                else:
+                    self.operand(heritage=True)
+                if base.kind == "name":
+                    found.append((kind, base.text))
+                if self.at("<"):
+                    self.angle()
+                self.skip(",")
+                self.i += self.i == before
+        return found
+
+    def a_class(self, start: Token, declared: bool) -> None:
+        self.i += 1
+        name = ""
+        if self.peek().kind == "name" and not self.at("extends", "implements"):
+            name = self.take().text
+        if self.at("<"):
+            self.angle()
+        bases = self.heritage()
+        end = self.close()
+        if declared and name:
+            after = self.i
+            self.leave(end)
+            id_ = self.node("class", name, start, snippet=5)
+            self.i = after
+            for kind, base in bases:
+                self.g.edge(kind, id_, f"sym:{base}", base, self.line(start))
+        if self.at("{"):
+            self.members(end)
+
+    def interface(self, start: Token) -> None:
+        self.i += 1
+        name = self.take().text
+        if self.at("<"):
+            self.angle()
+        bases = []
+        if self.skip("extends"):
+            while not self.at("{") and self.i < len(self.tokens):
+                before = self.i
+                bases.append(self.peek().text)
+                self.type()
+                self.skip(",")
+                self.i += self.i == before
+        if self.at("{"):
+            self.leave(self.close())
+        id_ = self.node("interface", name, start, snippet=5)
+        for base in bases:
+            self.g.edge("extends", id_, f"sym:{base}", base, self.line(start))
+
+    def key(self) -> str:
+        """A member's name as it is written; a computed one is read."""
+        first = self.peek()
+        if self.at("["):
+            end = self.close()
+            self.i += 1
+            self.expression(True)
+            self.leave(end)
+            last = self.tokens[min(end, len(self.tokens) - 1)]
+            return self.g.text[self.offset + first.at : self.offset + last.end]
+        return self.take().text
+
+    def accessor_or_modifiers(self, words: set[str]) -> bool:
+        """Skip modifiers; whether the member is a getter or setter."""
+        accessor = False
+        while True:
+            self.decorators()
+            if self.skip("*"):
+                continue
+            after = self.peek(1)
+            if self.peek().kind == "name" and self.peek().text in words and not (after.kind == "punct" and after.text not in ("[", "*", "{") or after.kind == "end") and not (after.text == "{" and self.peek().text != "static"):
+                accessor = accessor or self.at("get", "set")
+                self.i += 1
+                continue
+            return accessor
+
+    def members(self, end: int) -> None:
+        self.i += 1
+        self.depth += 1
+        while self.i < end:
+            before, start = self.i, self.peek()
+            if self.skip(";", ","):
+                continue
+            accessor = self.accessor_or_modifiers(MODIFIERS)
+            if self.at("{"):  # static block
+                self.block()
+                continue
+            if self.at("[") and self.peek(1).kind == "name" and self.peek(2).text == ":":  # index signature
+                self.leave(self.close())
+                if self.skip(":"):
+                    self.type()
+                continue
+            name = self.key()
+            self.skip("?", "!")
+            if self.at("(", "<"):
+                self.method(name, start, accessor)
+            else:
+                if self.skip(":"):
+                    self.type()
+                if self.skip("="):
+                    self.expression(False)
+            self.i += self.i == before
+        self.depth -= 1
+        self.leave(end)
+
+    def method(self, name: str, start: Token, accessor: bool) -> None:
+        def rest() -> None:
+            hidden = None if accessor or name == "constructor" else self.callers.pop()
+            self.signature()
+            if hidden:
+                self.callers.append(hidden)
+            if self.at("{"):
+                self.block()
+            else:
+                self.skip(";")
+
+        if accessor or name == "constructor":
+            rest()
+        else:
+            self.holding(name, start, rest)
+
+    # --- expressions
+
+    def expression(self, commas: bool, in_branch: bool = False) -> None:
+        """Operands and what joins them, up to a token that ends an expression."""
+        while True:
+            self.operand(in_branch)
+            t = self.peek()
+            if t.kind == "end":
+                return
+            if t.kind == "name":
+                if t.text in ("in", "instanceof") or (t.text == "of" and not t.newline):
+                    self.i += 1
+                    continue
+                if t.text in ("as", "satisfies") and not t.newline:
+                    self.i += 1
+                    self.type()
+                    if self.peek().kind == "punct" and not self.at("{", *ENDS, "?"):
+                        self.i += 1
+                        continue
+                    t = self.peek()
+                    if not (t.kind == "punct" and t.text in (",", "?")):
+                        return
+                else:
+                    return
+            if t.kind != "punct":
+                return
+            if t.text == ",":
+                if not commas:
+                    return
+                self.i += 1
+            elif t.text == "?":
+                self.i += 1
+                self.expression(False, True)
+                if self.skip(":"):
+                    self.expression(False, in_branch)
+                if not (commas and self.at(",")):
+                    return
+            elif t.text in ENDS or t.text == "{" or t.text == "@":
+                return
+            else:
+                self.i += 1
+
+    def arrow_ahead(self, in_branch: bool = False) -> bool:
+        """Whether an arrow function begins here."""
+        k = self.i
+        t = self.peek()
+        if t.kind == "name" and t.text == "async" and not self.peek(1).newline and (self.peek(1).kind == "name" and self.peek(2).text == "=>" or self.peek(1).text in ("(", "<")):
+            k += 1
+            t = self.peek(1)
+        if t.kind == "name":
+            return k + 1 < len(self.tokens) and self.tokens[k + 1].text == "=>"
+        saved = self.i
+        self.i = k
+        found = False
+        if not self.at("<") or self.angle():
+            if self.at("("):
+                self.leave(self.close())
+                found = self.at("=>")
+                if not found and self.at(":") and not in_branch:
+                    self.i += 1
+                    self.type()
+                    found = self.at("=>")
+        self.i = saved
+        return found
+
+    def arrow(self) -> None:
+        if self.at("async") and self.peek(1).text != "=>":
+            self.i += 1
+        if self.peek().kind == "name":
+            self.i += 1
+        else:
+            self.signature()
+        self.skip("=>")
+        if self.at("{"):
+            self.block()
+        else:
+            self.expression(False)
+
+    def elements(self) -> None:
+        """Comma-separated expressions in a pair of brackets."""
+        end = self.close()
+        self.i += 1
+        self.depth += 1
+        while self.i < end:
+            before = self.i
+            self.expression(True)
+            self.i += self.i == before
+        self.depth -= 1
+        self.leave(end)
+
+    def object(self) -> None:
+        end = self.close()
+        self.i += 1
+        self.depth += 1
+        while self.i < end:
+            before, start = self.i, self.peek()
+            if self.skip(","):
+                continue
+            if self.skip("..."):
+                self.expression(False)
+                continue
+            accessor = self.accessor_or_modifiers({"async", "get", "set"})
+            name = self.key()
+            if self.at("(", "<"):
+                self.method(name, start, accessor)
+            elif self.skip(":", "="):
+                self.expression(False)
+            self.i += self.i == before
+        self.depth -= 1
+        self.leave(end)
+
+    def operand(self, in_branch: bool = False, heritage: bool = False) -> None:
+        """One operand with what is called and read of it."""
+        while True:
+            t = self.peek()
+            if t.kind == "name" and t.text in PREFIX and self.peek(1).text not in (":", "=>"):
+                self.i += 1
+                if t.text == "yield":
+                    self.skip("*")
+                    if self.peek().newline or self.at(*ENDS):
+                        return
+            elif t.kind == "punct" and t.text in ("+", "-", "!", "~", "++", "--", "...", "&", "|", "*", "/", "%", "=", ">"):
+                self.i += 1
+            else:
+                break
+        start, name, dotted = t, "", False
+        if t.kind == "end" or (t.kind == "punct" and t.text in ENDS):
+            return
+        if self.arrow_ahead(in_branch):
+            self.arrow()
+            return
+        if t.kind == "name":
+            if t.text == "function" or (t.text == "async" and self.peek(1).text == "function" and not self.peek(1).newline):
+                self.i += t.text == "async"
+                self.function(start, False)
+            elif t.text == "class":
+                self.a_class(start, False)
+            elif t.text == "new":
+                self.new(start)
+            else:
+                self.i += 1
+                name = "" if t.text == "import" else t.text
+        elif t.text == "(" and t.kind == "punct":
+            self.elements()
+        elif t.text == "[" and t.kind == "punct":
+            self.elements()
+        elif t.text == "{" and t.kind == "punct":
+            if heritage:
+                return
+            self.object()
+        elif t.text == "<" and t.kind == "punct":
+            if not self.angle():  # else a cast
+                self.i += 1
+            self.operand(in_branch)
+            return
+        elif t.text == "@" and t.kind == "punct":
+            self.decorators()
+            return
+        else:
+            self.i += 1
+        while True:
+            t = self.peek()
+            if t.kind == "string" and t.text[:1] == "`" and not t.newline:  # a tagged template
+                self.i += 1
+                name = ""
+                continue
+            if t.kind != "punct":
+                return
+            if t.text in (".", "?."):
+                self.i += 1
+                if self.peek().kind == "name":
+                    name, dotted = self.take().text, True
+            elif t.text == "!" and not t.newline and self.peek(1).text != "=":
+                self.i += 1
+                name = ""
+            elif t.text == "[":
+                self.elements()
+                name = ""
+            elif t.text == "<" and not heritage and (name or dotted):
+                saved = self.i
+                if not (self.angle() and self.at("(")):
+                    self.i = saved
+                    return
+            elif t.text == "(":
+                self.call(name, dotted, start)
+                name, dotted = "", False
+            elif t.text in ("++", "--") and not t.newline:
+                self.i += 1
+            else:
+                return
+
+    def new(self, start: Token) -> None:
+        self.i += 1
+        if self.at("."):
+            self.i += 2
+            return
+        name = ""
+        if self.peek().kind == "name":
+            name = self.take().text
+            if name == "new":
+                self.i -= 1
+                self.new(self.peek())
+                name = ""
+            elif name == "class":
+                self.i -= 1
+                self.a_class(start, False)
+                name = ""
+        elif self.at("("):
+            self.elements()
+        while True:
+            if self.at(".", "?.") and self.peek(1).kind == "name":
+                self.i += 1
+                name = self.take().text
+            elif self.at("["):
+                self.elements()
+                name = ""
+            else:
+                break
+        if self.at("<"):
+            saved = self.i
+            if not (self.angle() and self.at("(")):
+                self.i = saved
+        self.called(name, False, start, new=True)
+        if self.at("("):
+            self.elements()
+
+    def call(self, name: str, dotted: bool, start: Token) -> None:
+        self.called(name, dotted, start)
+        first = self.peek(1)
+        if dotted and name in VERBS and first.kind == "string":
+            self.route(name.upper(), first.text[1:-1], start)
+        self.elements()
+
+    def route(self, verb: str, path: str, start: Token) -> None:
+        at, end = self.line(start), self.close()
+        id_ = self.g.node("route", f"{verb} {path}", at, at, f"route:{verb}:{path}", 1, method=verb, routePath=path)
+        last = end - (2 if end - 1 < len(self.tokens) and self.tokens[end - 1].text == "," else 1)
+        handler = self.tokens[last] if self.i + 2 < last < len(self.tokens) else NONE
+        if handler.kind == "name":
+            self.g.edge("references", id_, f"{self.g.path}#{handler.text}", handler.text, at)
 
 
 def parse_script(g: Graph, text: str | None = None, offset: int = 0) -> None:
     """Imports, declarations, calls and routes. ``text`` is a part of the file that begins at ``offset``."""
-    text = g.text if text is None else text
-    code = mask(text, regex=True)
-    line = lambda at: g.line(offset + at)
-    file_id = f"file:{g.path}"
-    for m in re.finditer(r"""^[ \t]*import\s+(?:type\s+)?(?:([^'";]*?)\s*from\s*)?(['"])[^'"\n]*\2""", code, re.M):
-        raw = text[m.start() : m.end()]
-        _import(g, file_id, m.group(1) or "", re.search(r"""(['"])([^'"\n]*)\1\s*$""", raw).group(2), line(m.start()))
-    for m in re.finditer(r"""^[ \t]*(?:const|let|var)\s+([^=;\n]+?)\s*=\s*require\(\s*(['"])[^'"\n]*\2\s*\)""", code, re.M):
-        raw = text[m.start() : m.end()]
-        _import(g, file_id, m.group(1), re.search(r"""(['"])([^'"\n]*)\1\s*\)$""", raw).group(2), line(m.start()), True)
-    bodies: list[tuple[str, str, int, int]] = []
-    for m in re.finditer(rf"\b(class|interface)\s+([A-Za-z_$][\w$]*){HERITAGE}([^{{;]*)(?=\{{)", code):
-        span = braces(code, m.end())
-        if not span:
-            continue
-        id_ = g.node(m.group(1), m.group(2), line(m.start()), line(span[1]), snippet=5)
-        for word, listing in re.findall(r"\b(extends|implements)\s+((?:(?!\b(?:extends|implements)\b).)+)", m.group(3), re.S):
-            for base in names(listing):
-                base = base.split(".")[0] if word == "extends" else base
-                g.edge("implements" if word == "implements" else "extends", id_, f"sym:{base}", base, line(m.start()))
-        if m.group(1) == "class":
-            _methods(g, code, span, line, bodies)
-    for m in re.finditer(rf"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*){HERITAGE}\s*\(", code):
-        bodies.append(_function(g, code, m.group(1), m.start(), m.end() - 1, line))
-    arrow = rf"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;{{]+?)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*\(|{HERITAGE}\((?=[^;]*?=>)|(?:[A-Za-z_$][\w$]*)\s*=>)"
-    for m in re.finditer(arrow, code):
-        if code[m.end() - 1] == "(":
-            close = closing(code, m.end() - 1)
-            if "function" not in m.group() and not re.match(r"\s*(?::[^=;{]+?)?\s*=>", code[close + 1 :]):
-                continue
-        bodies.append(_function(g, code, m.group(1), m.start(), m.end() - 1, line, arrow=True))
-    for id_, name, a, b in (x for x in bodies if x):
-        _calls(g, id_, name, code[a:b], offset + a)
-    for m in re.finditer(rf"[\w$)\]]\s*\.\s*({VERBS})\s*\(\s*(['\"`])", code):
-        end = text.find(m.group(2), m.end())
-        if end < 0:
-            continue
-        verb, where, at = m.group(1).upper(), text[m.end() : end], line(m.start())
-        id_ = g.node("route", f"{verb} {where}", at, at, f"route:{verb}:{where}", 1, method=verb, routePath=where)
-        rest = code[end + 1 : closing(code, m.start() + m.group().index("("))]
-        handler = re.search(r"(?:^|[.\s,])([A-Za-z_$][\w$]*)\s*$", rest)
-        if handler:
-            g.edge("references", id_, f"{g.path}#{handler.group(1)}", handler.group(1), at)
-
-
-def _import(g: Graph, file_id: str, clause: str, target: str, at: int, require: bool = False) -> None:
-    relative = target.startswith(".")
-    path = resolve_path(g.path, target) if relative else target
-    inner = re.search(r"\{([^}]*)\}", clause)
-    named = [re.split(r"\s+as\s+|\s*:\s*", p.strip())[0] for p in inner.group(1).split(",") if p.strip()] if inner else []
-    meta = {"importedSymbols": named, "rawImportPath": target, "resolvedModulePath": path}
-    meta |= {"isRequire": True} if require else {"isNamespace": "*" in clause, "defaultImport": (re.match(r"\s*([A-Za-z_$][\w$]*)", clause) or [None, None])[1]}
-    g.edge("imports", file_id, f"file:{path}", target, at, **meta)
-
-
-def _function(g: Graph, code: str, name: str, start: int, paren: int, line, arrow: bool = False):
-    close = closing(code, paren) if code[paren] == "(" else paren
-    semicolon = code.find(";", close)
-    head = re.match(r"[^;{]*=>\s*(?!\s*\{)", code[close + 1 :]) if arrow and code[paren] == "(" else (re.match(r"\s*(?!\s*\{)", code[close + 1 :]) if arrow else None)
-    if head and code[close + 1 + head.end() :].lstrip()[:1] != "{":
-        newline = code.find("\n", close)
-        end = min(x for x in (semicolon, newline, len(code)) if x >= 0)
-        span = (close, end)
-    else:
-        span = braces(code, close + 1)
-    if not span:
-        return None
-    return g.node("function", name, line(start), line(min(span[1], len(code) - 1))), name, span[0], span[1] + 1
-
-
-def _methods(g: Graph, code: str, span: tuple[int, int], line, bodies: list) -> None:
-    """Methods at the first level of a class body."""
-    depth, at, flat = 0, span[0], []
-    for m in re.finditer(r"[{}()]", code[span[0] : span[1]]):
-        k = span[0] + m.start()
-        if m.group() == "{":
-            if depth == 1:
-                flat.append((at, k))
-            depth += 1
-        elif m.group() == "}":
-            depth -= 1
-            if depth == 1:
-                at = k + 1
-        if depth == 1 and m.group() == "{" and not flat:
-            at = k + 1
-    for a, b in flat:
-        head = code[a:b]
-        m = re.search(rf"(?:^|[\s;}}*])(#?[A-Za-z_$][\w$]*){HERITAGE}\s*\(", head)
-        if not m or m.group(1) in ("constructor", "if", "for", "while", "switch", "catch") or re.search(rf"\b(?:get|set)\s+{re.escape(m.group(1))}\s*\($", head[: m.end()]) or "=" in head[: m.start(1)].split(";")[-1]:
-            continue
-        body = braces(code, b)
-        if body:
-            start = a + m.start(1)
-            bodies.append((g.node("function", m.group(1), line(start), line(body[1])), m.group(1), body[0], body[1] + 1))
-
-
-def _calls(g: Graph, id_: str, name: str, code: str, offset: int) -> None:
-    for m in re.finditer(r"(?<![\w$])(new\s+)?((?:[\w$]+\s*\??\.\s*|[)\]]\s*\??\.\s*)*)([A-Za-z_$][\w$]*)\s*(?:<[\w$,\s\[\]|]*>)?\(", code):
-        callee = m.group(3)
-        dotted = bool(m.group(2)) or code[: m.start(3)].rstrip().endswith(".")
-        if callee in RESERVED or (dotted and callee in QUIET):
-            continue
-        g.edge("calls", id_, f"sym:{callee}", callee, g.line(offset + m.start(3)))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        reader = Reader(g, g.text if text is None else text, offset, not g.path.endswith((".ts", ".mts", ".cts")))
+        reader.statements(len(reader.tokens))
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def parse_component(g: Graph) -> None:

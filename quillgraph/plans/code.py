@@ -136,6 +136,116 @@ def parse_edges(spark, d):
     return parse_files(_files(spark, d))[1].select("file_path", "kind", "target_name", "line")
 
 
+#: Pieces of programs: (content, nodes (kind, name, first line, last line), edges (kind, target, line)), lines within the piece. {k} tells the pieces of a program apart.
+PIECES: dict[str, list[tuple[str, list[tuple], list[tuple]]]] = {
+    "ts": [
+        (
+            "export class Cart{k}<T extends { id: string }> extends mixin(Base{k}, { deep: true }).Of<T> implements Shown, ns.Closed<T> {\n  private n: Map<string, T[]> = new Map();\n  constructor(private readonly dep: Dep = makeDep{k}()) {\n    super(dep);\n    hidden{k}();\n  }\n"
+            "  get size(): number { return sized{k}(); }\n  async *walk{k}(a: (n: number) => void, { b = dflt{k}() } = {}): AsyncGenerator<T> {\n    for await (const x of this.rows{k}<T>(a)) yield step{k}(x);\n  }\n  on{k} = () => listen{k}();\n}",
+            [("class", "Cart{k}", 1, 12), ("function", "walk{k}", 8, 10)],
+            [("extends", "mixin", 1), ("implements", "Shown", 1), ("implements", "ns", 1), ("calls", "rows{k}", 9), ("calls", "step{k}", 9)],
+        ),
+        (
+            "const api{k} = {\n  load{k}() { return fetchIt{k}(`a ${wrap{k}('x(1)')} b`); },\n  async *gen{k}(\n    q,\n  ) {\n    yield* inner{k}(q);\n  },\n  key: async (q) => { skipped{k}(q); },\n  set v(x) { alsoSkipped{k}(x); },\n};",
+            [("function", "load{k}", 2, 2), ("function", "gen{k}", 3, 7)],
+            [("calls", "fetchIt{k}", 2), ("calls", "wrap{k}", 2), ("calls", "inner{k}", 6)],
+        ),
+        (
+            "export default async function outer{k}(a = early{k}()): Promise<{ a: string; b: () => void }> {\n  const inner{k} = (x: number): x is 3 => deep{k}(x < 3 && y > (4));\n  if (/[/({]not(1)/.test(a)) { // no(2)\n    return new ns.Thing{k}(new Inner{k}()).run{k}(inner{k}(1));\n  }\n}",
+            [("function", "outer{k}", 1, 6), ("function", "inner{k}", 2, 2)],
+            [("calls", "deep{k}", 2), ("calls", "deep{k}", 2), ("calls", "test", 3), ("calls", "Thing{k}", 4), ("calls", "Inner{k}", 4), ("calls", "run{k}", 4), ("calls", "inner{k}", 4)],
+        ),
+        ("const Made{k} = class extends Base{k} {\n  @Log({ at: 'x' }) build{k}(): void { make{k}?.(this.own{k}!.of{k}()); }\n};", [("function", "build{k}", 2, 2)], [("calls", "make{k}", 2), ("calls", "of{k}", 2)]),
+        (
+            "function pick{k}(a: string): string;\nfunction pick{k}(a: number): string;\nfunction pick{k}(a: any) {\n  switch (kind{k}(a)) {\n    case one{k}(): { return a! as unknown as string; }\n    default: return a ? (two{k})(a) : three{k}(a);\n  }\n}",
+            [("function", "pick{k}", 1, 1)],
+            [("calls", "kind{k}", 4), ("calls", "one{k}", 5), ("calls", "three{k}", 6)],
+        ),
+        (
+            "export interface Row{k}<T = {}> extends Base{k}<T>, Other {\n  get(): T;\n  m: (x: T) => { y: number };\n}\ntype Fn{k}<T> = T extends (infer U)[] ? (x: U) => void : { call(): T };\nconst enum Kind{k} { A = 1, B = A << 2 }",
+            [("interface", "Row{k}", 1, 4)],
+            [("extends", "Base{k}", 1), ("extends", "Other", 1)],
+        ),
+        ("router{k}.post('/r/{k}/:id', guard{k}(), ctl.save{k});\nconst got{k} = registry.fetch{k}('x');", [("route", "POST /r/{k}/:id", 1, 1)], [("references", "save{k}", 1)]),
+        (
+            "export const first{k} = <T,>(x: T[]): T | undefined => x.find{k}((y) => ok{k}(y)),\n  second{k} = function named() { return rec{k}(); };",
+            [("function", "first{k}", 1, 1), ("function", "second{k}", 2, 2)],
+            [("calls", "find{k}", 1), ("calls", "ok{k}", 1), ("calls", "rec{k}", 2)],
+        ),
+        (
+            "let n{k} = 4 / 2, m{k} = n{k} / 1\nconst late{k} = async x => after{k}(x)\nfunction tail{k}() {\n  return `${[1, 2].map(i => each{k}(`<${i}>`)).join(')')}`\n}",
+            [("function", "late{k}", 2, 2), ("function", "tail{k}", 3, 5)],
+            [("calls", "after{k}", 2), ("calls", "each{k}", 4)],
+        ),
+    ],
+    "py": [
+        (
+            "def a{k}(x: dict[str, int] = make{k}({'a': 1}), *rest: str) -> dict[str, int]:\n    y = load{k}(x)\n    z = save{k}(y)\n    if z:\n        done{k}(z)\n    return {1: last{k}(x), 'k(': 2}[1]",
+            [("function", "a{k}", 1, 6)],
+            [("calls", "make{k}", 1), ("calls", "load{k}", 2), ("calls", "save{k}", 3), ("calls", "done{k}", 5), ("calls", "last{k}", 6)],
+        ),
+        (
+            'class C{k}(Base{k}, Generic[T, U], metaclass=Meta):\n    """Not a call(1): \'x\'.\n\n    def fake(self): no(2)\n    """\n\n    @cached(size=3)\n    async def run{k}(self, f=lambda q: q): return await f"{go{k}(f\'{deep{k}(1)!r}\'):>{width{k}()}} not(3)".strip{k}()',
+            [("class", "C{k}", 1, 8), ("function", "run{k}", 8, 8)],
+            [("extends", "Base{k}", 1), ("extends", "Generic", 1), ("calls", "go{k}", 8), ("calls", "deep{k}", 8), ("calls", "width{k}", 8), ("calls", "strip{k}", 8)],
+        ),
+        (
+            "def outer{k}():\n    # no(1):\n    def inner{k}(v):\n        return v if ok{k}(v) else None\n\n    rows = [\n  inner{k}(1),\n]\n    return sorted(rows, key=lambda r: rank{k}(r))",
+            [("function", "outer{k}", 1, 9), ("function", "inner{k}", 3, 4)],
+            [("calls", "ok{k}", 4), ("calls", "ok{k}", 4), ("calls", "inner{k}", 7), ("calls", "sorted", 9), ("calls", "rank{k}", 9)],
+        ),
+        (
+            "def long{k}(\n    a,  # first: no(1)\n    b=(1, 2),\n):\n    with open{k}(a) as f, lock{k}(): return f.read{k}(b)\n    try: go{k}()\n    except E{k} as e: raise Bad{k}('x: no(3)') from e",
+            [("function", "long{k}", 1, 7)],
+            [("calls", "open{k}", 5), ("calls", "lock{k}", 5), ("calls", "read{k}", 5), ("calls", "go{k}", 6), ("calls", "Bad{k}", 7)],
+        ),
+        (
+            "match{k} = 1\nasync def wait{k}():\n    s = rb'''bytes(1)''' + r'x' + 'it''s'\n    return [await one{k}(x) for x in two{k}(s) if x and not (x)]",
+            [("function", "wait{k}", 2, 4)],
+            [("calls", "one{k}", 4), ("calls", "two{k}", 4)],
+        ),
+    ],
+}
+#: Pieces in a program, and what some stand in (head, tail, indent): a namespace, a condition.
+IN_A_PROGRAM = 5
+WRAPS = {"ts": ("namespace N{k} {", "}", ""), "py": ("if ready{k}:", "pass", "  ")}
+
+
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    """Two files for each part, each of pieces chosen, ordered and wrapped by the part's key."""
+    key, out = F.col("p_partkey"), None
+    for ext, pieces in PIECES.items():
+        head, tail, indent = WRAPS[ext]
+        contents, parts = F.array(*[F.lit(content) for content, _, _ in pieces]), []
+        for j in range(IN_A_PROGRAM):
+            content = F.element_at(contents, ((key * (2 * j + 3) + j * j + F.floor(key / 7)) % len(pieces) + 1).cast("int"))
+            inside = F.concat(F.lit(f"{head}\n{indent}"), F.replace(content, F.lit("\n"), F.lit("\n" + indent)), F.lit(f"\n{indent}{tail}"))
+            parts.append(F.replace(F.when((key + j) % 3 == 1, inside).otherwise(content), F.lit("{k}"), F.concat(key.cast("string"), F.lit(f"_{j}"))))
+        rows = _table(spark, d, "part").select(F.concat(F.lit("gen/"), key.cast("string"), F.lit(f".{ext}")).alias("path"), F.concat_ws("\n", *parts).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _programs_sql() -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    listed = lambda rows: ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    sizes = [(ext, i, content.count("\n") + 1, len(pieces)) for ext, pieces in PIECES.items() for i, (content, _, _) in enumerate(pieces)]
+    found = [(ext, i, *row) for ext, pieces in PIECES.items() for i, (_, nodes, edges) in enumerate(pieces) for row in [*nodes, *[(*e, 0) for e in edges], *[("contains", n, a, 0) for _, n, a, _ in nodes]]]
+    return f"""WITH size(ext, id, n, many) AS (VALUES {listed(sizes)}), found(ext, id, kind, name, a, b) AS (VALUES {listed(found)}),
+chosen AS (SELECT p_partkey, j, ext, (p_partkey * (2 * j + 3) + j * j + p_partkey // 7) % many AS id, CASE WHEN (p_partkey + j) % 3 = 1 THEN 1 ELSE 0 END AS wrapped FROM part, range({IN_A_PROGRAM}) r(j), (SELECT DISTINCT ext, many FROM size)),
+placed AS (SELECT c.*, coalesce(sum(n + 2 * wrapped) OVER (PARTITION BY p_partkey, ext ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + wrapped AS before FROM chosen c JOIN size USING (ext, id))
+SELECT 'gen/' || p_partkey || '.' || ext AS file_path, kind, replace(name, '{{k}}', p_partkey || '_' || j) AS name, CAST(before + a AS INT) AS first_line, CAST(CASE WHEN b > 0 THEN before + b ELSE 0 END AS INT) AS last_line
+FROM placed JOIN found USING (ext, id)"""
+
+
+@query(_programs_sql())
+def parse_programs(spark, d):
+    """Nodes and edges of TypeScript and Python programs that differ from part to part."""
+    nodes, edges = parse_files(_programs(spark, d))
+    found = nodes.where("kind <> 'file'").select("file_path", "kind", "name", F.col("start_line").alias("first_line"), F.col("end_line").alias("last_line"))
+    return found.unionByName(edges.select("file_path", "kind", F.col("target_name").alias("name"), F.col("line").alias("first_line"), F.lit(0).alias("last_line")))
+
+
 def _sql_tables(spark, d):
     cols = [F.concat(F.lit("  c"), F.col("p_size").cast("string"), F.lit(" INT,\n  FOREIGN KEY (c"), F.col("p_size").cast("string"), F.lit(") REFERENCES t"), F.col("p_size").cast("string"), F.lit("(id)\n"))]
     body = F.concat(F.lit("CREATE TABLE part"), F.col("p_partkey").cast("string"), F.lit(" (\n"), *cols, F.lit(");"))
