@@ -128,8 +128,10 @@ class Encoder:
         return ids, np.diff(total[ends], prepend=0)
 
 
-#: One for all tasks of a Python worker, so that they share its words.
-_encoder = functools.cache(Encoder)
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that they share its words."""
+    return Encoder(path)
 
 
 def _table(columns: dict[str, object], n: int) -> pa.RecordBatch:
