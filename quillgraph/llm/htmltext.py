@@ -4,7 +4,9 @@ A tolerant parser turns each page into elements. The hash of an element's subtre
 it holds. Spark counts, per host, in how many different main texts each subtree occurs, so that copies of one page or
 article count once; subtrees in at least ``LEAST_PAGES`` of them and ``SHARE`` of the host's are template and are deleted, along with
 elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments. Inside an article a header is its headline and stays, and so does running text in a box with a doubtful name. Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template by
+styles or reader comments. Inside an article a header is its headline and stays, headings stay whatever they are called, paragraphs and other running elements go only by a class that is
+a furniture word and nothing else, and a box with a doubtful name (alert, legal; share, related) stays if it is text: not mostly links, and for the second kind with a sentence. An article element that is named a comment, reply or teaser
+is none of the main part, nor is one within an article that has text of its own (reader comments are marked up so). Paragraphs, headings, list items, cells and inline elements that lie inside the article element are never template by
 themselves, but lists, tables, figures and other boxes that hold them may be. A subtree with ``NEARLY`` all words of the main part stays, and so does all of an article of which less than the rest would be left. Where a page
 has an article (or main) element its text is the result, else what is left of the body.
 
@@ -12,7 +14,7 @@ White space is what ``str.split`` takes for it. Blocks are separated by block el
 
 Defined results: null and empty html give an empty text; a quote opens a quoted value only after an equals sign; a null or unparsable url is a host of its own, named by the
 empty string; repeated rows pass and count once; unclosed and truncated markup closes at the end; columns other than
-page_id, url and html are ignored; an empty table gives an empty result.
+page_id, url and html are ignored; pages of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ NEARLY = 0.9
 #: Hosts' template hashes that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 MOST_COUNTED = 200_000
+#: Hosts whose sets a task holds.
+MOST_HOSTS = 256
 
 # Fixed values of the HTML standard and of common page layouts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,13 +52,17 @@ P_CLOSERS = set("address article aside blockquote details div dl fieldset figure
 #: Elements that an implied end does not reach beyond.
 WALLS = set("table ul ol dl article section div main body aside nav header footer form blockquote".split())
 WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|masthead|footer|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|masthead|footer|ads?|adbox|adslot|adunit|adwrap\w*|adsbygoogle|advert\w*|sponsor\w*|promo\w*|banner|cookies?|gdpr|ccpa|consent|notices?|newsletter|"
     r"subscribe|signup|login|popup|modal|overlay|comments?|comment-?list|disqus|respond|replies|pagination|pager|skip-link)(?:$|[\s_-])",
     re.I,
 )
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|share|sharing|social|related|recommended|widgets?|toolbar|copyright|legal|alert)(?:$|[\s_-])", re.I)
-#: Words from which a box with a doubtful name inside an article is taken for its text.
-LEAST_PROSE = 30
+#: Names that an article's own boxes have too: of warnings and terms, and of what goes unless it is text.
+PLAIN = re.compile(r"(?:^|[\s_-])(?:header|copyright|legal|alert)(?:$|[\s_-])", re.I)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:share|sharing|social|related|recommended|widgets?|toolbar)(?:$|[\s_-])", re.I)
+#: Class or id of an article or main element that is not the page's own.
+SIDE_ARTICLE = re.compile(r"(?:^|\s)(?:comment|reply|response|teaser|related|recommended|promo|sponsor(?:ed)?|ad|advert\w*)(?:[_-]?(?:\d+|item|body|box|card|entry|post|content))?(?:$|\s)", re.I)
+SENTENCE = re.compile(r"\w[\"'\u201d\u00bb)\]]*[.!?\u2026\u3002](?:[\"'\u201d\u00bb)\]]*(?:\s|$))")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -115,46 +123,72 @@ def parse(text: str) -> Element:
     return root
 
 
-def prose(e: Element) -> bool:
-    """Whether a box holds running text: some words, most of them outside links."""
+def prose(e: Element, sentence: bool) -> bool:
+    """Whether a box holds running text: words, most of them outside links, and with ``sentence`` the end of one."""
     words = linked = 0
+    plain: list[str] = []
     work = [(e, False)]
     while work:
         x, link = work.pop()
         if isinstance(x, str):
             n = len(x.split())
             words, linked = words + n, linked + n * link
+            if not link:
+                plain.append(x)
         elif not x.raw:
-            work += [(k, link or x.tag == "a") for k in x.kids]
-    return words >= LEAST_PROSE and linked * 2 < words
+            work += [(k, link or x.tag == "a") for k in reversed(x.kids)]
+    return words > 0 and linked * 2 < words and (not sentence or bool(SENTENCE.search(entities.unescape("".join(plain)))))
 
 
-def furniture(e: Element, inside: bool = False) -> bool:
-    """Whether tag, role, class or id mark a part that is not the article's text.
+def attributes(e: Element) -> Iterator[tuple[str, str]]:
+    return ((m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "") for m in ATTRIBUTE.finditer(e.attrs))
+
 
-    Inside the main part a name that an article's own boxes may have too (``DOUBTFUL``) counts only for what is no running text.
-    """
+def furniture(e: Element, inside: bool = False) -> bool:
+    """Whether tag, role, class or id mark a part that is not the article's text; ``inside``: for an element of the main part."""
     if e.tag in DROP:
         return True
-    if not e.attrs or e.tag in ("html", "body", "article", "main"):
+    if not e.attrs or e.tag in ("html", "body"):
         return e.tag == "header" and not inside
-    for m in ATTRIBUTE.finditer(e.attrs):
-        name = m.group(1).lower()
-        value = m.group(2) or m.group(3) or m.group(4) or ""
-        if name in ("hidden",) or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and (WORDS.search(value) or (DOUBTFUL.search(value) and not (inside and prose(e))))):
+    for name, value in attributes(e):
+        if name == "hidden" or (name == "role" and value.lower() in ROLES) or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True
+        if e.tag in ("article", "main"):
+            if name in ("class", "id") and SIDE_ARTICLE.search(value):
+                return True
+        elif inside and e.tag in HEADINGS:
+            continue
+        elif inside and e.tag in PROSE:
+            if name == "class" and any(m and m.group() == word for word in value.split() for m in [WORDS.search(word)]):
+                return True
+        elif name in ("data-ad", "data-advert") or name.startswith(("data-ad-", "data-google-query")):
             return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        elif name in ("class", "id") and (WORDS.search(value) or (PLAIN.search(value) and not (inside and prose(e, False))) or (DOUBTFUL.search(value) and not (inside and prose(e, True)))):
             return True
     return e.tag == "header" and not inside
 
 
+def side_articles(top: Element) -> set[int]:
+    """Articles within an article that has text of its own: its readers' comments."""
+    found, own, work = [], False, list(top.kids)
+    while work:
+        e = work.pop()
+        if isinstance(e, str):
+            own = own or bool(e.strip())
+        elif e.tag == "article":
+            found.append(id(e))
+        elif not (e.raw or e.tag in HEADINGS or furniture(e, True)):
+            work += e.kids
+    return set(found) if own else set()
+
+
 def main_part(root: Element) -> tuple[list[Element], bool]:
     """The article elements (outermost, outside furniture), else main ones, else the whole page; whether found."""
     for wanted in ("article", "main"):
         found, work = [], [root]
         while work:
             e = work.pop()
-            if e.tag == wanted:
+            if e.tag == wanted and not furniture(e):
                 found.append(e)
             elif e.tag == "#root" or not furniture(e):
                 work += [k for k in reversed(e.kids) if isinstance(k, Element)]
@@ -189,6 +223,7 @@ def deleted(root: Element, template: set[int] | frozenset[int]) -> set[int]:
         return set()
     tops, found = main_part(root)
     within: set[int] = set()
+    aside = {i for t in tops if t.tag == "article" for i in side_articles(t)}
     work = list(tops) if found else []
     while work:
         e = work.pop()
@@ -198,7 +233,7 @@ def deleted(root: Element, template: set[int] | frozenset[int]) -> set[int]:
     def words(gone: set[int]) -> tuple[dict[int, int], int]:
         n: dict[int, int] = {}
         for e, _, _ in order:
-            n[id(e)] = 0 if id(e) in gone or e.raw or furniture(e, id(e) in within) else sum(len(k.split()) if isinstance(k, str) else n[id(k)] for k in e.kids)
+            n[id(e)] = 0 if id(e) in gone or id(e) in aside or e.raw or furniture(e, id(e) in within) else sum(len(k.split()) if isinstance(k, str) else n[id(k)] for k in e.kids)
         return n, sum(n[id(t)] for t in tops)
 
     n, whole = words(set())
@@ -218,6 +253,7 @@ def text_of(root: Element, gone: set[int]) -> str:
     blocks: list[list[str]] = [[]]
     tops, found = main_part(root)
     for top in tops:
+        aside = side_articles(top) if top.tag == "article" else set()
         blocks.append([])
         work: list = [top]
         while work:
@@ -226,7 +262,7 @@ def text_of(root: Element, gone: set[int]) -> str:
                 blocks.append([])
             elif isinstance(e, str):
                 blocks[-1].append(entities.unescape(e))
-            elif e is top or not (furniture(e, found) or id(e) in gone):
+            elif e is top or not (furniture(e, found) or id(e) in gone or id(e) in aside):
                 if e.raw and e is not top:
                     continue
                 if e.tag in BLOCK:
@@ -275,13 +311,18 @@ def clean(pages: DataFrame) -> DataFrame:
     rows = host_of(pages)
     marks = checkpoint(template(rows).groupBy("host").agg(F.collect_list("h").alias("marks")))  # at most 1 / SHARE times a page's subtrees
     size = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    marked = rows.join(F.broadcast(marks) if size <= BROADCAST_ROWS else marks, "host", "left").select("page_id", "url", "html", "marks")
+    marked = rows.join(F.broadcast(marks) if size <= BROADCAST_ROWS else marks, "host", "left").select("page_id", "url", "html", "host", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset[int]] = {}  # a host's set is made once while few others come between
         for b in batches:
             texts = []
-            for page, m in zip(b.column(2), b.column(3), strict=True):
-                texts.append(extract(page.as_py(), frozenset(m.as_py() or ())))
+            for page, host, m in zip(b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
+                if host not in known:
+                    if len(known) >= MOST_HOSTS:
+                        known.clear()
+                    known[host] = frozenset(m.as_py() or ())
+                texts.append(extract(page.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return marked.mapInArrow(run, "page_id long, url string, text string")

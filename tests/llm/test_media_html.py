@@ -144,3 +144,34 @@ def test_templates_on_generated_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x.page_id: x.text for x in htmltext.report(pages).collect()} == want
     assert sum(htmltext.extract(html) != want[i] for i, _, html in rows) > 100  # without the counts hardly any page is right
+
+
+#: Pages written by hand and the text that a reader would call their article.
+BY_HAND = [
+    ("<article><p>Story.</p><article class='comment'><p>First!</p></article></article>", "Story."),
+    ("<article><p>Story.</p></article><article class='comment' id='comment-12'><p>First!</p></article>", "Story."),
+    ("<article><h1>Head</h1><p>Story.</p><article><p>A reader says no.</p></article></article>", "Head Story."),
+    ("<article><article><p>Part one.</p></article><article><p>Part two.</p></article></article>", "Part one. Part two."),
+    ("<article><p>Story.</p></article><article class='teaser'><p>Read this next.</p></article>", "Story."),
+    ("<main><p>Story.</p></main><main hidden><p>Other.</p></main>", "Story."),
+    ("<article class='post comments-open has-sidebar'><p>Story.</p></article>", "Story."),
+    ("<article><p>Mix it.</p><div class='alert'>Do not mix bleach and ammonia.</div></article>", "Mix it. Do not mix bleach and ammonia."),
+    ("<article><p>Terms.</p><section class='legal'><p>No warranty</p></section></article>", "Terms. No warranty"),
+    ("<article><h2 id='comments'>Comments on the law</h2><p>Story.</p><h2 id=menu>The menu</h2><p class='notice-board'>It hung on the board.</p></article>", "Comments on the law Story. The menu It hung on the board."),
+    ("<article><p>Story.</p><div class='adbox'>Buy now.</div><div data-ad='7'>Buy more.</div><ins class='adsbygoogle'>Buy all.</ins></article>", "Story."),
+    ("<div class='gdpr'><p>We value your privacy.</p></div><p>Story.</p>", "Story."),
+    ("<article><p>Story.</p><p class='ad'>Cheap shoes.</p><p id='ad'>Ad was his name.</p></article>", "Story. Ad was his name."),
+    ("<article><p>Story.</p><div class='share'>Share this</div><div class='related'>He is related to the king. So was she.</div></article>", "Story. He is related to the king. So was she."),
+    ("<article><p>Story.</p><div class='related'><p>See. <a href=x>All of our other stories of today</a></p></div></article>", "Story."),
+    ("<article><p>Story.</p><section id='comments'><article><p>Nice.</p></article></section></article>", "Story."),
+    ("<body><header><p>Site</p></header><div class='cookie-consent'>Accept.</div><p>Story.</p><footer>Foot</footer></body>", "Story."),
+    ("<article role='complementary'><p>Side.</p></article><article><p>Story.</p></article>", "Story."),
+    ("<article><header><h1>Head</h1></header><ul><li class='menu-item'>Soup</li><li class='menu'>Home</li></ul></article>", "Head Soup"),
+    ("<main><article class='reply'><p>Me too.</p></article><p>Question.</p></main>", "Question."),
+    ("<article><div aria-hidden='true'>x</div><div style='display: none'>y</div><div role='alert'>z</div><p>Story.</p></article>", "Story."),
+]
+
+
+def test_pages_by_hand():
+    for page, want in BY_HAND:
+        assert htmltext.extract(page) == want, page
