@@ -14,7 +14,7 @@ from quillgraph.functions import text
 from quillgraph.functions.frames import checkpoint
 from quillgraph.operators import fresh, metrics, report, resolve, search, traverse
 from quillgraph.sources import workspace
-from quillgraph.sources.store import Store, read_json
+from quillgraph.sources.store import Conflict, Store, read_json
 
 
 class Engine:
@@ -34,10 +34,9 @@ class Engine:
 
     def _save(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
         """A new version from all files' own versions of nodes and edges: they alone decide, so its history does not matter."""
-        one = checkpoint(parse.settled(nodes))
-        resolved = resolve.resolve(one, parse.settled(edges))
-        tokens = search.token_index(one).repartitionByRange("token").sortWithinPartitions("token")
-        self.store.save({"files": files, "parsed_nodes": nodes, "parsed_edges": edges, "nodes": one, "edges": resolved, "tokens": tokens})
+        one, raw = checkpoint(parse.settled(nodes)), checkpoint(parse.settled(edges))
+        tables = {"files": files, "parsed_nodes": nodes, "parsed_edges": edges, "nodes": one, "edges": resolve.resolve(one, raw), "tokens": search.token_index(one), "asks": resolve.asks(raw)}
+        self.store.save(tables)
         self._tables = self._stats = None
 
     def index(self) -> dict:
@@ -57,18 +56,25 @@ class Engine:
     def refresh(self, disk: DataFrame | None = None, quick: bool = False) -> dict[str, int]:
         """Compare the tree with the graph by hash and apply the difference: counts of insert, update, delete.
 
-        ``quick`` reads only files that are new or whose time has changed.
+        ``quick`` reads only files that are new or whose time has changed. If another writer is faster, the comparison
+        starts anew from its version.
         """
-        now = self.store.load()
-        if now is None:
-            self.index()
-            return {"insert": self.tables["files"].count(), "update": 0, "delete": 0}
-        disk = self._suspects(now["files"]) if quick and disk is None else checkpoint(self.scan() if disk is None else disk).withColumn("hash", text.content_hash(F.coalesce("content", F.lit(""))))
-        changed = checkpoint(fresh.reconcile(now["files"], disk))
-        n = {r.change: r["count"] for r in changed.groupBy("change").count().collect()}
-        if n:
-            self._apply(now, disk, changed)
-        return {k: n.get(k, 0) for k in ("insert", "update", "delete")}
+        while True:
+            base = self.store.manifest()
+            if base is None:
+                self.index()
+                return {"insert": self.tables["files"].count(), "update": 0, "delete": 0}
+            files = self.store.table(base, "files")
+            now = self._suspects(files) if quick and disk is None else checkpoint(self.scan() if disk is None else disk).withColumn("hash", text.content_hash(F.coalesce("content", F.lit(""))))
+            changed = checkpoint(fresh.reconcile(files, now))
+            n = {r.change: r["count"] for r in changed.groupBy("change").count().collect()}
+            try:
+                if n:
+                    self._apply(base, now, changed)
+                self._tables = self._stats = None
+                return {k: n.get(k, 0) for k in ("insert", "update", "delete")}
+            except Conflict:
+                continue
 
     def _suspects(self, files: DataFrame) -> DataFrame:
         """The tree with hashes; contents are read only where the time is not the indexed one."""
@@ -78,11 +84,41 @@ class Engine:
         rows = listed.join(contents, "path", "left").where("content is not null or __ms = mtime_ms")
         return rows.select("path", "size", "mtime_ms", "content", F.coalesce(text.content_hash(F.col("content")), "__hash").alias("hash"))
 
-    def _apply(self, now: dict[str, DataFrame], disk: DataFrame, changed: DataFrame) -> None:
+    def _apply(self, base: dict, disk: DataFrame, changed: DataFrame) -> None:
+        """A version in which changed files' rows are new: only the buckets that hold such rows, or edges that resolve anew for them, are written."""
+        store = self.store
         new = checkpoint(disk.join(changed.where("change <> 'delete'").select("path"), "path", "left_semi"))
         nodes, edges = parse.versions(checkpoint(parse.parsed(new)))
-        files = fresh.upsert(now["files"], parse.file_rows(new, nodes, edges), changed, "path")
-        self._save(files, fresh.upsert(now["parsed_nodes"], nodes, changed), fresh.upsert(now["parsed_edges"], edges, changed))
+        paths = changed.select(F.col("path").alias("file_path"))
+        now = {t: store.table(base, t) for t in base["data"]}
+
+        def touched(t: str, rows: DataFrame) -> list[int]:
+            return [r[0] for r in rows.select(store.bucket(t, base["buckets"])).distinct().collect()]
+
+        def settle(parsed: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+            return checkpoint(parse.settled(parsed.join(paths, "file_path", "left_anti").unionByName(rows).join(ids, "id", "left_semi")))
+
+        homes = touched("files", changed)
+        own = {t: store.table(base, t, homes) for t in ("files", "parsed_nodes", "parsed_edges")}
+        gone = {t: own[t].join(paths, "file_path", "left_semi").select("id") for t in ("parsed_nodes", "parsed_edges")}
+        ids = checkpoint(gone["parsed_nodes"].union(nodes.select("id")).distinct())
+        before = checkpoint(now["nodes"].join(ids, "id", "left_semi"))
+        after = settle(now["parsed_nodes"], nodes, ids)
+        rest = now["nodes"].join(ids, "id", "left_anti")
+        asking = resolve.changed_asks(now["asks"], before, after, rest)
+        edge_ids = checkpoint(gone["parsed_edges"].union(edges.select("id")).union(asking).distinct())
+        raw = settle(now["parsed_edges"], edges, edge_ids)
+        resolved = resolve.resolve(resolve.candidates(rest.unionByName(after), raw), raw)
+        at_nodes = touched("nodes", before.select("id").union(after.select("id")))
+        at_edges = touched("edges", raw.select("source_id").union(now["edges"].join(edge_ids, "id", "left_semi").select("source_id")))
+        one = checkpoint(store.table(base, "nodes", at_nodes).join(ids, "id", "left_anti").unionByName(after))
+        store.change(base, {
+            "files": (fresh.upsert(own["files"], parse.file_rows(new, nodes, edges), changed, "path"), homes),
+            "parsed_nodes": (fresh.upsert(own["parsed_nodes"], nodes, changed), homes), "parsed_edges": (fresh.upsert(own["parsed_edges"], edges, changed), homes),
+            "nodes": (one, at_nodes), "tokens": (search.token_index(one), at_nodes),
+            "edges": (store.table(base, "edges", at_edges).join(edge_ids, "id", "left_anti").unionByName(resolved), at_edges),
+            "asks": (store.table(base, "asks", at_edges).join(edge_ids, "id", "left_anti").unionByName(resolve.asks(raw)), at_edges),
+        })
 
     @property
     def tables(self) -> dict[str, DataFrame]:

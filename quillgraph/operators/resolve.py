@@ -29,6 +29,47 @@ def seeds(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("seed", F.coalesce("__named", "__file", "seed").alias("id"))
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.where(~F.col("kind").isin("file", "doc_document")).select(F.lower("name").alias("__key"), "id", "file_path", "ord")
+
+
+def _reference() -> Column:
+    """The name that an edge's target asks for; null for an external one."""
+    t = F.col("target_id")
+    raw = F.when(t.startswith("sym:"), F.substring(t, 5, 1 << 20)).otherwise(F.coalesce(F.col("target_name"), F.get(F.split(t, "#"), F.lit(1)), t))
+    return F.when(~(t.startswith("pkg:") | t.startswith("crate:") | t.startswith("file:")), raw)
+
+
+def asks(edges: DataFrame) -> DataFrame:
+    """(ask, wanted, id, source_id, file_path): the lower-cased name and the id that each unresolved edge's target depends on."""
+    return edges.select(F.lower(_reference()).alias("ask"), F.col("target_id").alias("wanted"), "id", "source_id", "file_path")
+
+
+def changed_asks(asked: DataFrame, before: DataFrame, after: DataFrame, rest: DataFrame) -> DataFrame:
+    """Ids of the edges in ``asked`` that may resolve in another way once the nodes ``before`` have become ``after``. ``rest``: all other nodes."""
+    keys = _named(before).select("__key").union(_named(after).select("__key")).distinct()
+    others = _named(rest).join(keys, "__key", "left_semi")
+
+    def differs(by: list[str], found) -> DataFrame:
+        old, new = (_named(n).unionByName(others).groupBy(*by).agg(found) for n in (before, after))
+        return old.withColumnRenamed("__is", "__was").join(new, by, "full_outer").where("not (__is <=> __was)").select(*by)
+
+    anywhere = differs(["__key"], F.struct((F.count(F.lit(1)) == 1).alias("one"), F.min_by("id", "ord").alias("any")).alias("__is"))
+    own = differs(["__key", "file_path"], F.min_by("id", "ord").alias("__is"))
+    ids = before.select("id", F.lit(1).alias("was")).join(after.select("id", F.lit(1).alias("is")), "id", "full_outer").where("was is null or is is null").select(F.col("id").alias("wanted"))
+    by_name = asked.join(anywhere.withColumnRenamed("__key", "ask"), "ask", "left_semi")
+    by_own = asked.join(own.withColumnRenamed("__key", "ask"), ["ask", "file_path"], "left_semi")
+    return by_name.select("id").union(by_own.select("id")).union(asked.join(ids, "wanted", "left_semi").select("id")).distinct()
+
+
+def candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that the targets of unresolved ``edges`` may be resolved to: all of their names, and those of their ids."""
+    wanted = asks(edges)
+    by_name = nodes.join(wanted.select(F.col("ask").alias("__ask")).distinct(), F.lower("name") == F.col("__ask"), "left_semi")
+    by_id = nodes.join(wanted.select(F.col("wanted").alias("__ask")).distinct(), F.col("id") == F.col("__ask"), "left_semi")
+    return by_name.unionByName(by_id).dropDuplicates(["id"])
+
+
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges`` with target_id and confidence settled.
 
@@ -36,14 +77,12 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     name: exact. Several: the first in the edge's own file (exact), else the first of all (heuristic). None: stays
     symbolic. Names are combined to one row each before they are joined, so no name multiplies edges.
     """
-    named = nodes.where(~F.col("kind").isin("file", "doc_document")).select(F.lower("name").alias("__key"), "id", "file_path", "ord")
+    named = _named(nodes)
     anywhere = named.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min_by("id", "ord").alias("__any"))
     same_file = named.groupBy("__key", F.col("file_path").alias("__path")).agg(F.min_by("id", "ord").alias("__own"))
     present = nodes.select(F.col("id").alias("__id")).distinct()
     t = F.col("target_id")
-    external = t.startswith("pkg:") | t.startswith("crate:") | t.startswith("file:")
-    raw = F.when(t.startswith("sym:"), F.substring(t, 5, 1 << 20)).otherwise(F.coalesce(F.col("target_name"), F.get(F.split(t, "#"), F.lit(1)), t))
-    rows = edges.join(present, t == F.col("__id"), "left").withColumn("__raw", F.when(t.startswith("sym:") | (F.col("__id").isNull() & ~external), raw))
+    rows = edges.join(present, t == F.col("__id"), "left").withColumn("__raw", F.when(t.startswith("sym:") | F.col("__id").isNull(), _reference()))
     rows = rows.withColumn("__key", F.lower("__raw")).join(anywhere, "__key", "left").withColumn("__path", F.col("file_path")).join(same_file, ["__key", "__path"], "left")
     hit = F.col("__raw").isNotNull() & F.col("__n").isNotNull()
     target: Column = F.when(hit & (F.col("__n") == 1), F.col("__any")).when(hit, F.coalesce("__own", "__any")).when(F.col("__raw").isNotNull(), F.concat(F.lit("sym:"), "__raw")).otherwise(t)

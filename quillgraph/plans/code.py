@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import frames, text
+from quillgraph.operators import fresh
 from quillgraph.parse import parse_files
 from quillgraph.plans.registry import _table, _tokens, query
+from quillgraph.sources import store
 from quillgraph.streaming import changes
 
 #: Extension -> (content, nodes (kind, name, first line, last line), edges (kind, target, line)); {k} is the supplier's key.
@@ -274,6 +276,27 @@ def markdown_sections(spark, d):
     return parse_files(files)[0].where("kind = 'doc_section'").select("file_path", "name", "start_line", "end_line")
 
 
+# --- store ----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'c' || o_custkey || '#' || o_orderkey AS id, CASE WHEN o_custkey % 50 = 11 THEN 2 * o_totalprice ELSE o_totalprice END AS price FROM orders WHERE o_custkey % 50 <> 7
+UNION ALL SELECT 'c' || c_custkey || '#new' AS id, c_acctbal AS price FROM customer WHERE c_custkey % 50 = 11""")
+def delta_buckets(spark, d):
+    """Orders kept in buckets by customer; some customers' rows are deleted or replaced, and only their buckets written."""
+    at = store.Store(spark, f"{frames.shared_dir(spark).rstrip('/')}/delta-{uuid.uuid4().hex}")
+    owner = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    orders = _table(spark, d, "orders").select(F.concat(owner, F.lit("#"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("key"))
+    customers = _table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("price"))
+    at.save({"files": customers.select("path"), "nodes": orders})
+    base = at.manifest()
+    changed = customers.where("key % 50 in (7, 11)")
+    touched = [r[0] for r in changed.select(at.bucket("files", base["buckets"])).distinct().collect()]
+    added = changed.where("key % 50 = 11").select(F.concat("path", F.lit("#new")).alias("id"), "price", "key")
+    replaced = at.table(base, "nodes", touched).where("key % 50 = 11").withColumn("price", F.col("price") * 2).unionByName(added)
+    at.change(base, {"nodes": (fresh.upsert(at.table(base, "nodes", touched).withColumn("path", store.home("id")), replaced.withColumn("path", store.home("id")), changed, "path").drop("path"), touched)})
+    return at.load()["nodes"].select("id", "price")
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 

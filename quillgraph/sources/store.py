@@ -1,8 +1,13 @@
-"""The graph on disk: versioned Parquet tables on any Hadoop file system, and JSON import and export.
+"""The graph on disk: versions of bucketed Parquet tables on any Hadoop file system, and JSON import and export.
 
-A version is a folder that is complete once it has a marker file, which is written last. Readers take the newest complete
-version by its number, so they see one whole version at any time; a writer that dies leaves an incomplete folder behind, which later
-writers remove.
+Rows of a table lie in buckets by the file that they come from, a bounded number of files to a bucket however large the
+tree is. A version is a folder with a manifest: for every table, which data folder holds each of its buckets. A change
+writes the buckets it touches and a manifest that names the others' old folders, so what an edit writes does not grow
+with the tree. Data folders are never written to again.
+
+A version's folder is made under another name and renamed to the next number, whole. The first rename to a number makes
+it; a later one lands inside that folder and has lost: its writer gets ``Conflict`` and has to start from the newer
+version. Readers take the newest version and see it whole. (On stores without a rename, only one writer may work.)
 """
 
 from __future__ import annotations
@@ -18,9 +23,15 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 
-#: ``parsed_*`` hold every file's own version of an id, ``nodes`` and ``edges`` one row per id, ``tokens`` the search index.
-TABLES = ("files", "parsed_nodes", "parsed_edges", "nodes", "edges", "tokens")
-MARKER = "_COMPLETE"
+#: ``parsed_*`` hold every file's own version of an id, ``nodes`` and ``edges`` one row per id, ``tokens`` the search index, ``asks`` the names and ids that edges ask for. The second: what a bucket is kept sorted by.
+TABLES: dict[str, str | None] = {"files": None, "parsed_nodes": None, "parsed_edges": None, "nodes": None, "edges": None, "tokens": "token", "asks": "ask"}
+MANIFEST = "manifest.json"
+#: Files of a bucket, about; seconds that data which no kept version names stays for readers and other writers.
+FILES, GRACE_S = 256, 3600.0
+
+
+class Conflict(Exception):
+    """Another writer has made the next version."""
 
 
 def camel(name: str) -> str:
@@ -30,6 +41,16 @@ def camel(name: str) -> str:
     return first + "".join(w.capitalize() for w in rest)
 
 
+def home(id_: str) -> Column:
+    """The file that an id names, else the id itself: what its bucket is taken from."""
+    return F.regexp_replace(F.substring_index(id_, "#", 1), "^file:", "")
+
+
+#: What the bucket of a table's rows is taken from.
+KEYS = {"files": F.col, "parsed_nodes": F.col, "parsed_edges": F.col, "nodes": home, "tokens": home, "edges": home, "asks": home}
+KEY_COLUMNS = {"files": "path", "parsed_nodes": "file_path", "parsed_edges": "file_path", "nodes": "id", "tokens": "id", "edges": "source_id", "asks": "source_id"}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,33 +58,104 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    # versions
+
+    def _names(self, where: str) -> list[str]:
+        at = self._path(where)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def _versions(self) -> list[tuple[int, str, bool]]:
         """(number, folder, complete) in rising order."""
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        found = [(int(m.group(1)), n) for n in names if (m := re.fullmatch(r"v(\d+)-\w+", n))]
-        return [(k, n, self._fs.exists(self._path(f"{self.root}/{n}/{MARKER}"))) for k, n in sorted(found)]
+        found = sorted((int(m.group(1)), n) for n in self._names(self.root) if (m := re.fullmatch(r"v(\d+)(?:-\w+)?", n)))
+        return [(k, n, self._fs.exists(self._path(f"{self.root}/{n}/{MANIFEST}"))) for k, n in found]
 
     def version(self) -> str | None:
         return next((n for _, n, done in reversed(self._versions()) if done), None)
 
+    def manifest(self, version: str | None = None) -> dict | None:
+        """{number, buckets, schemas: {table: DDL}, data: {table: {bucket: folder}}} of a version, the newest unless named."""
+        version = version or self.version()
+        return version and json.loads(self.spark.read.text(f"{self.root}/{version}/{MANIFEST}", wholetext=True).first()[0])
+
+    def _commit(self, manifest: dict) -> str:
+        mine, name = uuid.uuid4().hex, f"v{manifest['number']:015d}"
+        at, target = f"{self.root}/.new-{mine}", f"{self.root}/{name}"
+        if self._fs.exists(self._path(target)):
+            raise Conflict(name)
+        for file, text in ((MANIFEST, json.dumps(manifest)), (f"by-{mine}", "")):
+            out = self._fs.create(self._path(f"{at}/{file}"), True)
+            out.write(bytearray(text.encode()))
+            out.close()
+        try:
+            self._fs.rename(self._path(at), self._path(target))
+        except Exception:  # some file systems refuse, others move it into the folder
+            pass
+        if not self._fs.exists(self._path(f"{target}/by-{mine}")):
+            for left in (at, f"{target}/.new-{mine}"):
+                self._fs.delete(self._path(left), True)
+            raise Conflict(name)
+        self._clean()
+        return name
+
+    def _clean(self) -> None:
+        """Keep the newest version and the complete one before it, and the data that they name."""
+        versions = self._versions()
+        keep = [n for _, n, done in versions if done][-2:]
+        for _, name, _ in versions:
+            if name not in keep:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        named = [self.manifest(n)["data"] for n in keep if self._fs.exists(self._path(f"{self.root}/{n}/{MANIFEST}"))]
+        for t in self._names(f"{self.root}/data"):
+            used = {folder for data in named for folder in data.get(t, {}).values()}
+            for folder in self._names(f"{self.root}/data/{t}"):
+                at = self._path(f"{self.root}/data/{t}/{folder}")
+                if folder not in used and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > GRACE_S:
+                    self._fs.delete(at, True)
+
+    # reading
+
+    def table(self, manifest: dict, t: str, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of a version's table, of the given buckets alone or of all."""
+        data = manifest["data"][t]
+        paths = [f"{self.root}/data/{t}/{folder}/bucket={k}" for k, folder in data.items() if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(manifest["schemas"][t]).parquet(*paths) if paths else self.spark.createDataFrame([], manifest["schemas"][t])
+
     def load(self) -> dict[str, DataFrame] | None:
-        v = self.version()
-        return v and {t: self.spark.read.parquet(f"{self.root}/{v}/{t}") for t in TABLES}
+        found = self.manifest()
+        return found and {t: self.table(found, t) for t in found["data"]}
+
+    # writing
+
+    def bucket(self, t: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(KEYS[t](KEY_COLUMNS[t])), F.lit(buckets)).cast("int")
+
+    def _write(self, t: str, rows: DataFrame, buckets: int) -> dict[str, str]:
+        """{bucket: folder} of rows written anew."""
+        folder, order = uuid.uuid4().hex, [c for c in ("bucket", TABLES[t]) if c]
+        at = f"{self.root}/data/{t}/{folder}"
+        rows.withColumn("bucket", self.bucket(t, buckets)).repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(at)
+        return {m.group(1): folder for n in self._names(at) if (m := re.fullmatch(r"bucket=(\d+)", n))}
 
     def save(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new version; keep it and the newest complete one before it."""
-        before = self._versions()
-        v = f"v{max((k for k, _, _ in before), default=0) + 1:015d}-{uuid.uuid4().hex[:8]}"
-        for t in TABLES:
-            tables[t].write.parquet(f"{self.root}/{v}/{t}")
-        self._fs.create(self._path(f"{self.root}/{v}/{MARKER}"), False).close()
-        last = next((n for _, n, done in reversed(before) if done), None)
-        for _, name, _ in before:
-            if name != last:
-                self._fs.delete(self._path(f"{self.root}/{name}"), True)
-        return v
+        """A new version of all tables; it does not rest on the one before, so it takes the next free number."""
+        buckets = max(1, -(-tables["files"].count() // FILES))
+        schemas = {t: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tables[t].schema) for t in tables}
+        manifest = {"buckets": buckets, "schemas": schemas, "data": {t: self._write(t, tables[t], buckets) for t in tables}}
+        while True:
+            try:
+                return self._commit({**manifest, "number": max((k for k, _, _ in self._versions()), default=0) + 1})
+            except Conflict:
+                continue
+
+    def change(self, manifest: dict, tables: dict[str, tuple[DataFrame, list[int]]]) -> str:
+        """The version after ``manifest``: of each table all rows of the buckets listed with it; other buckets stay. ``Conflict`` if there is one already."""
+        data = {t: dict(folders) for t, folders in manifest["data"].items()}
+        for t, (rows, touched) in tables.items():
+            data[t] = {k: f for k, f in data[t].items() if int(k) not in set(touched)} | self._write(t, rows, manifest["buckets"])
+        newest = max(k for k, _, _ in self._versions())
+        if self.version() != f"v{manifest['number']:015d}":
+            raise Conflict(self.version())
+        return self._commit({**manifest, "data": data, "number": newest + 1})
 
     def export_json(self, path: str) -> None:
         """One JSON object in a local file: files by path, nodes and edges in order. Rows pass the driver one partition at a time."""
