@@ -45,7 +45,10 @@ SIZE, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: Rows of a range and most ranges of a round (larger tables get larger ranges).
 ROWS, MOST_RANGES = 20_000, 20_000
 #: Bytes of text in work at once, words that a Python worker remembers, words encoded by one call.
-SLAB, MOST_WORDS, CALL = 4_000_000, 1_200_000, 2_000
+SLAB, MOST_WORDS, CALL = 8_000_000, 1_200_000, 2_000
+
+#: Punctuation that may end a word, and letters before it: there a word is always cut.
+MARKS, LETTERS = ",.;:!?", frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c not in "\u00aa\u00ba")
 
 #: States of a row: placed in a sequence, piece waiting, gap as it was sorted, gap changed since.
 PLACED, PIECE, FRESH, USED = 2, 1, 0, -1
@@ -70,23 +73,58 @@ class Encoder:
         starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.starts = starts
+        self.line_break = self.tokenizer.get_vocab()["Ċ"]
+        self.marks = {" " + c: ids for c, ids in zip(MARKS, self.whole(list(MARKS)), strict=True)}  # no word begins with a space
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words not met since ``known`` was full
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def atoms(self, word: str) -> list[str] | None:
+        """Keys whose ids are a word's, one after another, where it has a line break or ends in punctuation; else None.
+
+        The tokenizer cuts there in any case: a single line break between other characters is a token of its own, and
+        so is a mark behind a letter.
+        """
+        lines = word.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return None
+        keys = []
+        for k, x in enumerate(lines):
+            head = "\n" + x if k else x
+            keys += [head[:-1], " " + x[-1]] if len(x) > 1 and x[-1] in MARKS and x[-2] in LETTERS else [head]
+        return keys if len(keys) > 1 else None
+
     def learn(self, words: list[str]) -> None:
-        """Encode words, many joined to one text each call."""
+        """Encode words, many joined to one text each call. A key that begins with a line break stands for itself, others for a space and the word."""
+        whole, cut = [], {}
+        for w in words:
+            keys = self.atoms(w) if not w.isalpha() else None
+            if keys:
+                cut[w] = keys
+            else:
+                whole.append(w)
+        known, marks = self.known, self.marks
+        parts = {k for keys in cut.values() for k in keys if k not in known and k not in marks}.difference(whole)
+        for k in [k for k in parts if k in self.older]:
+            known[k] = self.older[k]
+            parts.remove(k)
+        self.join([w for w in parts if w[0] == "\n"], "")
+        self.join([*whole, *(w for w in parts if w[0] != "\n")], " ")
+        for w, keys in cut.items():
+            known[w] = b"".join([marks[k] if k in marks else known[k] for k in keys])
+
+    def join(self, words: list[str], space: str) -> None:
         for at in range(0, len(words), CALL):
             some = words[at : at + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            first = np.flatnonzero(self.starts[ids])
+            ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.starts[ids] if space else ids == self.line_break)
             if len(first) == len(some) and not first[0]:
                 data, ends = ids.tobytes(), [*(first[1:] * 4).tolist(), len(ids) * 4]
-                self.known.update(zip(some, (data[a:b] for a, b in zip((first * 4).tolist(), ends, strict=True)), strict=True))
+                self.known.update(zip(some, [data[a:b] for a, b in zip((first * 4).tolist(), ends, strict=True)], strict=True))
             else:
-                self.known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+                self.known.update(zip(some, self.whole([space + w for w in some]), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each followed by ``END``; number of ids of each)."""
@@ -97,7 +135,7 @@ class Encoder:
         rest = np.ones(len(words), bool)
         rest[first] = False
         coded = words.filter(pa.array(rest)).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > MOST_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
