@@ -6,6 +6,7 @@ beside each file by hand and serves as the oracle.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from quillgraph.operators import fresh
 from quillgraph.parse import parse_files
 from quillgraph.plans.registry import _table, _tokens, query
 from quillgraph.sources import store
-from quillgraph.streaming import changes
+from quillgraph.streaming import changes, debounce
 
 #: Extension -> (content, nodes (kind, name, first line, last line), edges (kind, target, line)); {k} is the supplier's key.
 FILES: dict[str, tuple[str, list[tuple], list[tuple]]] = {
@@ -333,3 +334,31 @@ def stream_debounce(spark, d):
     writer.trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     return got.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), "n", F.size("items").cast("long").alias("n_items"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS batch FROM g)
+SELECT CAST(user_id AS VARCHAR) AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS n, count(DISTINCT event_type) AS n_items FROM s WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, batch""")
+def stream_bursts(spark, d):
+    """All bursts of the events as a stream, also each user's last, which a timer closes."""
+    folder = f"{frames.shared_dir(spark).rstrip('/')}/debounce-{uuid.uuid4().hex}"
+    events = _table(spark, d, "events")
+    source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
+    rows = debounce.debounced(source, "user_id", "ts", "event_type", "10 minutes", "36500 days", 3000)
+    many = events.where("user_id is not null and ts is not null").count()
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(processingTime="500 milliseconds")
+    got, until = spark.createDataFrame([], rows.schema), time.time() + 900
+    if many:
+        running = writer.start()
+        try:
+            while running.isActive and time.time() < until:
+                if running.recentProgress:  # the folder is there
+                    got = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+                    if got.agg(F.sum("n")).first()[0] == many:
+                        break
+                time.sleep(0.5)
+            else:
+                raise TimeoutError("the bursts of the events did not all come out") from running.exception()
+        finally:
+            running.stop()
+    return got.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), "n", F.size("items").cast("long").alias("n_items"))
