@@ -72,13 +72,49 @@ def _steps(nodes: Nodes, edges: Edges, own: str, other: str, kinds: list[str]) -
     return near
 
 
+def numbered(seeds: DataFrame) -> DataFrame:
+    """(seed, word, bit) of each seed: 64 seeds to a word, those whose nodes are next to each other by id in the same one."""
+    order = seeds.groupBy("seed").agg(F.min("id").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+    n = F.monotonically_increasing_id()
+    return checkpoint(order.select("seed", n.alias("n"))).select("seed", F.shiftright("n", 6).alias("word"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+
+
+def reach_together(seeds: DataFrame, numbers: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+    """(id, word, bits, depth): ``reach`` of many seeds at once, a row for 64 of them: the set bits are the seeds that find the id at that depth."""
+    first = seeds.select("seed", "id").join(numbers, "seed").groupBy("id", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    found = checkpoint(first.withColumn("depth", F.lit(0)))
+    if isinstance(steps, DataFrame):
+        steps = checkpoint(steps.select("at", "to").distinct())
+    frontier = found
+    for level in range(1, depth + 1):
+        near = steps if isinstance(steps, DataFrame) else steps(frontier.select("id").distinct())
+        new = frontier.join(near, F.col("id") == F.col("at")).groupBy(F.col("to").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+        seen = found.groupBy("id", "word").agg(F.bit_or("bits").alias("seen"))
+        bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        frontier = checkpoint(new.join(seen, ["id", "word"], "left").select("id", "word", bits.alias("bits"), F.lit(level).alias("depth")).where("bits <> 0"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
+def _per_seed(rows: DataFrame, numbers: DataFrame, *counts: str) -> DataFrame:
+    """Sums of counts by seed, of rows (word, bits, counts): equal sets of seeds are summed before they are taken apart."""
+    sums = rows.groupBy("word", "bits").agg(*[F.sum(c).alias(c) for c in counts])
+    apart = sums.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1) = 1)")))
+    return apart.groupBy("word", "bit").agg(*[F.sum(c).alias(c) for c in counts]).join(numbers, ["word", "bit"]).select("seed", *counts)
+
+
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
     """One row per target: callers, files, routes, risk and summary."""
-    rows = impact_levels(nodes, edges, targets, depth)
-    n = rows.groupBy("seed").agg(
-        F.count_if(F.col("depth") == 1).alias("direct_callers"), F.count_if(F.col("depth") > 1).alias("transitive_callers"),
-        F.count_distinct("file_path").alias("affected_files"), F.count_if((F.col("depth") > 0) & (F.col("kind") == "route")).alias("affected_routes"),
-    )
+    numbers = numbered(targets)
+    found = reach_together(targets, numbers, _steps(nodes, edges, "target_id", "source_id", schema.IMPACT_KINDS), depth)
+    rows = checkpoint(found.join(nodes_at(nodes, found).select("id", "kind", "file_path"), "id", "left"))
+    one = lambda test: F.when(test, 1).otherwise(0)
+    callers = rows.select("word", "bits", one(F.col("depth") == 1).alias("direct_callers"), one(F.col("depth") > 1).alias("transitive_callers"), one((F.col("depth") > 0) & (F.col("kind") == "route")).alias("affected_routes"))
+    files = rows.where("file_path is not null").groupBy("word", "file_path").agg(F.bit_or("bits").alias("bits")).select("word", "bits", F.lit(1).alias("affected_files"))
+    n = _per_seed(callers, numbers, "direct_callers", "transitive_callers", "affected_routes").join(_per_seed(files, numbers, "affected_files"), "seed", "left").fillna(0, ["affected_files"])
+    n = n.select("seed", "direct_callers", "transitive_callers", "affected_files", "affected_routes")
     n = n.withColumn("risk", text.risk(F.col("direct_callers") + F.col("transitive_callers"), F.col("affected_files"), F.col("affected_routes")))
     said = F.format_string(
         "Changing '%s' impacts %d direct caller(s), %d transitive caller(s) across %d file(s), and %d HTTP route(s). Risk Level: %s.",
