@@ -36,25 +36,29 @@ BASE_PATTERNS = {
 CHEAP = {"email": "@", "phone": "+"}
 EXTRA = ("masked_email", "national_phone", "secret", "iban", "national_id")
 EXTRA_PATTERNS = {
-    "masked_email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({<] ?at ?[\])}>] ?|\x20at\x20)[A-Za-z0-9-]++(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
-    "national_phone": r"(?<![0-9+A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "masked_email": r"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*(?:_at_|-at-)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?(?:(?:_dot_|-dot-|\.)[A-Za-z0-9]+)+|"
+    r"(?!(?:me|us|him|her|it|them|e?mail|contact|reach|write)\x20at\x20)[A-Za-z0-9._%+-]++(?: ?[\[({<] ?at ?[\])}>] ?|\x20at\x20|\x20-at-\x20|\x20@\x20)[A-Za-z0-9-]++(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\x20dot\x20|\x20-dot-\x20|\x20\.\x20|\.)[A-Za-z0-9-]++)++)",
+    "national_phone": r"(?<![0-9+A-Za-z])(?<![0-9][\x20.,/-])(?:\([0-9]{2,5}\)[\x20./-]?)?[0-9]{1,12}(?:[\x20./-][0-9]{2,7}){0,5}(?![0-9A-Za-z])(?![.,/-][0-9])",
     "secret": r"(?<![A-Za-z0-9_/+!@#$%^&*~-])[A-Za-z0-9_/+!@#$%^&*~-]{6,}+={0,2}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}(?:[\x20-]?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30}|[a-z]{2}[0-9]{2}(?:[\x20-][a-z]{4})?(?:[\x20-][0-9]{4}){2,6}(?:[\x20-][0-9]{1,3})?)(?![A-Za-z0-9])",
+    "national_id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}|[A-Z]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[A-D]|[12]\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}(?:\x20?[0-9]{2})?|"
+    r"[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z]|[0-9]{2}\x20[0-9]{3}\x20[0-9]{3}\x20[0-9]{3})(?![0-9A-Za-z-])",
 }
-FEATURES = ("length", "digits", "upper", "lower", "others", "distinct", "secret_word", "phone_word", "account_word", "mail_word", "assigned", "check", "before", "after", "known", "domain")
+FEATURES = ("length", "digits", "upper", "lower", "others", "distinct", "secret_word", "phone_word", "account_word", "mail_word", "assigned", "check", "before", "after", "known", "domain", "groups", "zero", "date")
 CONTEXT = 32
 SYNTHETIC, SEED, WANTED = 800, 5, 0.97
 BLOCK = 256
 #: Characters of a text's blocks when spans are replaced; a position beyond all.
 SLICE, FAR = 4096, 1 << 60
-SECRET_WORD = r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|token|secret|(?:api|access|private)[_ -]?key|key|auth|bearer|credentials?)[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"']?$"
+SECRET_WORD = r"(?i)(?:pass(?:word|wd|wort|phrase|code)?|kennwort|mot de passe|contrase[ñn]a|clave|pwd|token|secret|(?:api|access|private)[_ -]?key|key|auth|bearer|credentials?)[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"']?$"
 ASSIGNED = r"(?i)(?:[:=]|(?<![a-z])bearer)\s{0,2}[\"']?$"
 #: Beginnings of keys that services hand out.
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|xox[abprs]-|eyJ|AIza)"
-DOMAIN = r"(?i)(?:\.| dot |[\[({<] ?dot ?[\])}>] ?)(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|ca|au)$"
-PHONE_WORD = r"(?i)(?:tel|phone|call|fax|mobile|cell|dial|contact|ph)[.a-z]{0,8}\s{0,2}[:#]?\s{0,2}(?:at |on |me |us ){0,2}$"
-ACCOUNT_WORD = r"(?i)(?:iban|account|acct|ssn|social security|tax id|national id)(?: number| no\.?)?\s{0,2}[:#]?\s{0,2}(?:is )?$"
+DOMAIN = r"(?i)(?:\.| \. |[ _-]dot[ _-]| -dot- |[\[({<] ?dot ?[\])}>] ?)(?:com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|ca|au)$"
+PHONE_WORD = r"(?i)(?:t[eé]l|phone|call|fax|mobil|cell|dial|contact|handy|portable|m[oó]vil|whatsapp|hotline|ph)[.a-zéó]{0,8}\s{0,2}[:#]?\s{0,2}(?:at |on |me |us ){0,2}$"
+ACCOUNT_WORD = r"(?i)(?:iban|account|acct|konto|compte|cuenta|ssn|social security|tax id|national id|national insurance|nino|dni|nie|nir|insee|steuer-?id|identity|passport)(?: number| card| no\.?)?\s{0,2}[:#]?\s{0,2}(?:is )?$"
+#: A day of a calendar, in the usual orders.
+DATE = r"^(?:(?:19|20)[0-9]{2}([./ -])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./ -])[0-3]?[0-9]\2(?:19|20)?[0-9]{2})$"
 MAIL_WORD = r"(?i)(?:e-?mail|write|mail|contact|reach)(?: me| us| to| at){0,3}\s{0,2}:?\s{0,2}$"
 
 
@@ -119,7 +123,7 @@ def _valid(kind: str, x: Column) -> Column:
 
 def _mod97(x: Column) -> Column:
     """Whether an account number passes the remainder check of its format."""
-    bare = F.regexp_replace(x, " ", "")
+    bare = F.upper(F.regexp_replace(x, "[ -]", ""))
     turned = F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4))
     value = lambda c: F.ascii(c) - 55
     step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + value(c)) % 97)
@@ -138,6 +142,7 @@ def features(kind: str, c: Column) -> list[Column]:
         flag(_mod97(x)) if kind == "iban" else F.lit(0.0),
         flag(left.rlike(r"[\p{L}\p{N}]$")), flag(c["right"].rlike(r"^[\p{L}\p{N}]")),
         flag(x.rlike(KNOWN)), flag(x.rlike(DOMAIN)),
+        *([F.size(F.split(x, "[^0-9]+")).cast("double"), flag(x.rlike(r"^\(?0")), flag(x.rlike(DATE))] if kind in ("national_phone", "national_id") else [F.lit(0.0)] * 3),
     ]
 
 
@@ -154,7 +159,24 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
         number = int(body + "".join(str(ord(c) - 55) for c in land) + "00")
         check = 98 - number % 97
         raw = f"{land}{check if right else (check + 7) % 97:02d}{body}"
-        return " ".join(raw[i : i + 4] for i in range(0, len(raw), 4)) if r.random() < 0.5 else raw
+        raw = raw.lower() if r.random() < 0.3 else raw
+        return r.choice([" ", " ", "-"]).join(raw[i : i + 4] for i in range(0, len(raw), 4)) if r.random() < 0.5 else raw
+
+    def phone() -> str:
+        """A number in the shape of one of several countries; those with a leading zero are plain without a word before them."""
+        a, z = digits(3), "0" + r.choice("123456789")
+        gap = r.choice(" .-")
+        return r.choice([
+            lambda: f"({a}) {digits(3)}-{digits(4)}", lambda: f"{a}-{digits(3)}-{digits(4)}", lambda: f"{a}.{digits(3)}.{digits(4)}", lambda: f"1-800-{digits(3)}-{digits(4)}", lambda: gap.join([z, digits(2), digits(2), digits(2), digits(2)]),
+            lambda: f"{z}{digits(1)} {digits(4)} {digits(4)}", lambda: f"{z}{digits(3)} {digits(6)}", lambda: f"{z}{digits(1)}{r.choice(' /-')}{digits(r.randint(6, 8))}", lambda: f"({z}{digits(1)}) {digits(7)}",
+            lambda: f"6{digits(2)} {digits(3)} {digits(3)}", lambda: digits(r.randint(7, 11)), lambda: f"{digits(3)} {digits(4)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{digits(2)} {digits(2)} {digits(2)}",
+        ])()
+
+    def identity() -> str:
+        return r.choice([
+            lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"{digits(3)} {digits(2)} {digits(4)}", lambda: f"{r.choice('ABCEGH')}{r.choice('ABCEGH')} {digits(2)} {digits(2)} {digits(2)} {r.choice('ABCD')}", lambda: f"{r.choice('ABCEGH')}{r.choice('ABCEGH')}{digits(6)}{r.choice('ABCD')}",
+            lambda: f"{r.choice('12')} {digits(2)} {digits(2)} {digits(2)} {digits(3)} {digits(3)} {digits(2)}", lambda: f"{digits(8)}{r.choice('ABCDEFGHJKLMNPQRSTVWXYZ')}", lambda: f"{r.choice('XYZ')}-{digits(7)}-{r.choice('ABCDEFGH')}", lambda: f"{digits(2)} {digits(3)} {digits(3)} {digits(3)}",
+        ])()
 
     def positive() -> str:
         if kind == "masked_email":
@@ -162,21 +184,25 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
             local = r.choice([word, lambda: f"{word()}.{word()}{digits(2)}", lambda: "".join(word() for _ in range(12))])()
             if r.random() < 0.25:
                 return r.choice(["mail me at ", "write to ", "email: ", "contact: "]) + f"{local} at {word()} dot {r.choice(['com', 'org', 'net', 'de', 'fr'])}" + r.choice([" ", ".", ","])
+            if r.random() < 0.3:
+                user, site, end = word(), word(), r.choice(["com", "org", "net", "de", "co", "fr"])
+                return r.choice([word() + " ", "mail me at ", "contact: "]) + r.choice([f"{user}_at_{site}_dot_{end}", f"{user}-at-{site}-dot-{end}", f"{user} -at- {site} -dot- {end}", f"{user} @ {site} . {end}", f"{user} @ {site}.{end}", f"{user} -at- {site}.{end}"]) + " "
             return r.choice([word() + " ", "mail me at ", "contact: "]) + f"{local}{r.choice([' [at] ', '(at)', ' (at) ', ' {at} ', '[AT]', ' <at> '])}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'co', 'fr'])} "
         if kind == "national_phone":
-            a, b, c = digits(3), digits(3), digits(4)
-            return r.choice(["Tel: ", "phone ", "call me at ", "Fax: ", "mobile: ", "contact "]) + r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"]) + r.choice([" ", ".", ", "])
+            number = phone()
+            bare = number.lstrip("(").startswith("0") and sum(c.isdigit() for c in number) >= 9 and not number.isdigit() and r.random() < 0.5
+            return (word() + " " if bare else r.choice(["Tel: ", "Tel. ", "phone ", "call me at ", "Fax: ", "mobile: ", "contact ", "tel ", "Telefon: ", "Handy ", "mobil: ", "WhatsApp: "])) + number + r.choice([" ", ".", ", "])
         if kind == "secret":
             if r.random() < 0.1:
                 return r.choice([word() + " ", "key ", "", "use "]) + r.choice(["AKIA" + any_(16).upper(), "ghp_" + any_(36), "sk-" + any_(40), "xoxb-" + digits(11) + "-" + any_(24)]) + r.choice([" ", "\n", ","])
             letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(8, 80)))
             body = r.choice([lambda: hexa(r.randint(14, 64)), lambda: any_(r.randint(8, 64)), lambda: "a1" + hexa(r.randint(14, 48)), letters, lambda: word() + digits(2) + r.choice("!#$%") + word(), lambda: word() + word() + word()])()
-            name = r.choice(["password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "API-KEY", "access_key", "auth_token", "client_secret", "credential"])
+            name = r.choice(["password", "passwort", "Kennwort", "mot de passe", "clave", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "API-KEY", "access_key", "auth_token", "client_secret", "credential"])
             lead = r.choice([f"{name}=", f'{name} = "', f"{name}: ", f'{name}: "', f'"{name}": "', f"{name}='", "Authorization: Bearer "])
             return lead + (body if len(body) >= 6 else body + "x1y2z3") + r.choice(['"', " ", "\n", "'"])
         if kind == "iban":
             return r.choice([word() + " ", "IBAN: ", "account "]) + iban(True) + r.choice([" ", "."])
-        return r.choice(["SSN: ", "social security number ", "ssn ", "tax id: "]) + f"{digits(3)}-{digits(2)}-{digits(4)}" + r.choice([" ", ","])
+        return r.choice(["SSN: ", "social security number ", "ssn ", "tax id: ", "NINO: ", "DNI: ", "NIR ", "Steuer-ID: ", "national insurance number ", "identity card ", "passport no. "]) + identity() + r.choice([" ", ","])
 
     def negative() -> str:
         lead = r.choice([word() + " ", word() + ", ", "see ", "id ", "", "page: ", "build "])
@@ -185,9 +211,14 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
                 lambda: f"{lead}{word()} (at) {word()} {word()}", lambda: f"{lead}{word()} (at) {word()}.{digits(r.randint(1, 3))} {word()}", lambda: f"{lead}{word()} at {word()}.{word()} {word()}",
                 lambda: f"{lead}{word()} at {digits(1)}.{digits(2)} {word()}", lambda: f"{lead}{word()} at {word()} dot {word()} {word()}",
                 lambda: f"{lead}{word()} at {word()}.{r.choice(['com', 'org', 'net', 'de'])} {word()}",
+                lambda: f"{lead}{word()}-at-{word()}.{word()} {word()}", lambda: f"{lead}{word()}_at_{word()}.{r.choice(['txt', 'py', 'xyzzy'])} {word()}", lambda: f"{lead}{word()} @ {word()}.{digits(2)} {word()}", lambda: f"{lead}{word()} @ {word()} . {word()}word",
             ])()
         if kind == "national_phone":
-            return lead + r.choice([f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]) + " " + word()
+            year, month, day = f"{r.choice(['19', '20'])}{digits(2)}", f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}"
+            return lead + r.choice([
+                f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{day} {month} {year}", f"{r.randint(1, 9)} {digits(3)} {digits(3)}",
+                digits(r.randint(6, 12)), f"{digits(3)}-{digits(4)}", f"00{digits(3)}-{digits(3)}", f"{digits(4)}-{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)}",
+            ]) + " " + word()
         if kind == "secret" and r.random() < 0.4:
             long = word() + word() + "tion"
             return r.choice([f"name = \"{long}\" ", f"color: {long} ", f"path={long}/{word()}/{word()}3 ", f"the secret {long} ", f"key {long} ", f"a token {long} ", f"pass {long} ", f"version={digits(2)}-{hexa(12)} ", f"{long}: {long}2024 ", f"id={hexa(24)} "])
@@ -195,7 +226,7 @@ def synthetic(kind: str, n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str
             return lead + r.choice([digits(r.randint(12, 20)), hexa(32), hexa(40), any_(20), word() + word() + "-" + word() + digits(2), "2024-01-0" + digits(6), "/".join([word(), word(), digits(4), word()])]) + r.choice([" ", ".", "/"])
         if kind == "iban":
             return lead + iban(False) + " "
-        return lead + f"{digits(3)}-{digits(2)}-{digits(4)} " + word()
+        return lead + identity() + " " + word()
 
     return [(positive(), 1) if i % 2 else (negative(), 0) for i in range(n)]
 
@@ -219,7 +250,9 @@ def models(spark) -> dict[str, tuple[list, float]]:
 
 
 def _likely(df: DataFrame, name: str, kind: str) -> DataFrame:
-    """Candidates worth features: a run that may be a secret has a digit and some length, or stands where one is given, or begins like a key."""
+    """Candidates worth features: a phone has 6 to 12 digits; a run that may be a secret has a digit and some length, or stands where one is given, or begins like a key."""
+    if kind == "national_phone":
+        return df.withColumn(name, F.filter(name, lambda c: F.length(F.regexp_replace(c["x"], "[^0-9]", "")).between(6, 12)))
     if kind != "secret":
         return df
     return df.withColumn(name, F.filter(name, lambda c: (c["x"].rlike("[0-9]") & (F.length(c["x"]) >= 12)) | c["left"].rlike(SECRET_WORD) | c["x"].rlike(KNOWN)))
@@ -233,7 +266,7 @@ def spans(df: DataFrame) -> DataFrame:
     """Adds ``__base`` and ``__extra``: arrays of (kind, s, e[, margin]) in order of kind, then start."""
     fitted = models(df.sparkSession)
     low = F.lower("__text")
-    guards = {"masked_email": low.rlike(r"[\[({<] ?at ?[\])}>]| at ") & low.rlike(r"\.|dot"), "secret": F.col("__text").rlike(r"[0-9]|(?i:pass|pwd|token|secret|key|auth|bearer|credential)")}
+    guards = {"masked_email": low.rlike(r"[\[({<] ?at ?[\])}>]| at |_at_|-at-| @ ") & low.rlike(r"\.|dot"), "secret": F.col("__text").rlike(r"[0-9]|(?i:pass|pwd|token|secret|key|auth|bearer|credential|kennwort|clave|contrase)")}
     out = df.withColumn("__text", F.coalesce("text", F.lit("")))
     digit = F.col("__text").rlike("[0-9]")
     for kind in BASE:
