@@ -10,7 +10,7 @@ cells above ``CELL`` members are dealt to tasks as pairs of blocks, so no task h
 pass the Manhattan bound, then the exact Hamming test. Only the links' connectivity (a star per cell) is
 emitted, never all pairs of a group.
 
-Defined results: null text counts as empty; no words give fingerprint 0, which links like any other; repeated
+Defined results: null text counts as empty; no words give fingerprint 0, which links like any other; texts of any length count whole; repeated
 rows each get a row; a null doc_id gets the component of its fingerprint; columns beyond doc_id and text are
 ignored; an empty table gives an empty result.
 """
@@ -33,6 +33,8 @@ BITS, MOST = 64, 3
 GROUPS = (6, 6, 5, 5, 5, 5)
 #: Members of a cell that one task compares; larger cells are compared as pairs of blocks of this size.
 CELL = 4096
+#: Rows of a cell's matrix in work at once: up to 8 MB of distances, where the whole matrix would take 134.
+STRIP = 256
 #: Hot cells that may be broadcast (20 bytes each); more are joined by shuffle.
 HOT_BROADCAST = 10_000
 LOW = 0x5555555555555555
@@ -105,10 +107,11 @@ def _stars(adjacent: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(ids, kind="stable")
     label = np.empty(len(ids), np.int64)
     label[order] = np.arange(len(ids))
-    rows, cols = np.nonzero(adjacent)
     while True:
         new = label.copy()
-        np.minimum.at(new, rows, label[cols])
+        for at in range(0, len(ids), STRIP):
+            rows, cols = np.nonzero(adjacent[at : at + STRIP])
+            np.minimum.at(new, at + rows, label[cols])
         new = np.minimum(new, new[order[new]])
         if (new == label).all():
             break
@@ -119,9 +122,12 @@ def _stars(adjacent: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _links(x: np.ndarray, u: np.ndarray) -> np.ndarray:
-    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= MOST  # Manhattan bound
-    if near.any():
-        near &= np.bitwise_count(x[:, None] ^ x[None, :]) <= MOST
+    near = np.empty((len(x), len(x)), bool)
+    for at in range(0, len(x), STRIP):
+        part = slice(at, at + STRIP)
+        near[part] = np.bitwise_count(u[part, None] ^ u[None, :]) <= MOST  # Manhattan bound
+        if near[part].any():
+            near[part] &= np.bitwise_count(x[part, None] ^ x[None, :]) <= MOST
     np.fill_diagonal(near, False)
     return near
 
