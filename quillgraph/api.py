@@ -37,15 +37,30 @@ class Api:
             "kb_switch": (["workspace"], lambda a: {"success": True, "workspace": manager.registry.switch(a["workspace"])}),
         }
         tool = lambda name: self.tools[name][1]
+        at = lambda a: {"workspace": e(a).root}
         self.routes: dict[str, Callable[[dict], object]] = {
-            "/v1/health": lambda a: {"status": "ok", "stats": e(a).stats()}, "/v1/workspaces": tool("kb_workspaces"), "/v1/workspaces/register": tool("kb_register"),
-            "/v1/workspaces/switch": tool("kb_switch"), "/v1/workspaces/unregister": tool("kb_unregister"), 
-            "/v1/stats": tool("kb_architecture"), "/v1/context": lambda a: {"markdown": e(a).report()}, "/v1/explore": tool("kb_explore"),
-            "/v1/impact": tool("kb_impact"), "/v1/graph/impact": tool("kb_impact"), "/v1/search": lambda a: {"results": tool("kb_search")(a)}, "/v1/god-nodes": tool("kb_god_nodes"), "/v1/sync": tool("kb_sync"),
+            "/v1/health": lambda a: {"status": "ok", "stats": e(a).stats()}, "/v1/workspaces": lambda a: {"activeWorkspace": manager.registry.active(), "workspaces": manager.registry.list()},
+            "/v1/workspaces/register": self._register, "/v1/workspaces/switch": self._switch, "/v1/workspaces/unregister": self._unregister,
+            "/v1/stats": lambda a: at(a) | e(a).stats(), "/v1/context": lambda a: {"markdown": e(a).report()}, "/v1/explore": tool("kb_explore"), "/v1/impact": tool("kb_impact"), "/v1/graph/impact": tool("kb_impact"),
+            "/v1/search": tool("kb_search"), "/v1/god-nodes": lambda a: at(a) | tool("kb_god_nodes")(a), "/v1/sync": tool("kb_sync"),
         }
         #: Routes whose answer is a file, which may be larger than memory.
         self.files: dict[str, Callable[[dict], str]] = dict.fromkeys(("/v1/graph", "/v1/graph/data"), lambda a: e(a).export())
 
+    def _register(self, a: dict) -> dict:
+        entry = self.m.register(a["path"], a.get("name"))
+        return {"success": True, "message": f"Workspace '{entry['name']}' registered and indexed.", "workspace": entry, "stats": self.m.engine(entry["id"]).stats()}
+
+    def _switch(self, a: dict) -> dict:
+        entry = self.m.registry.switch(a["workspace"])
+        return {"success": True, "message": f"Switched active workspace to '{entry['name']}'.", "activeWorkspace": entry}
+
+    def _unregister(self, a: dict) -> dict:
+        known = self.m.registry.find(a["workspace"]) is not None
+        if known:
+            self.m.unregister(a["workspace"])
+        return {"success": known, "message": f"Workspace '{a['workspace']}' " + ("unregistered successfully." if known else "not found.")}
+
     def schema(self, name: str) -> dict:
         needed = self.tools[name][0]
         own = {p: {"type": "string"} for p in needed} | {p: {"type": "string" if p == "name" else "integer"} for p in self.options.get(name, [])}
@@ -90,8 +105,11 @@ class Api:
             return 404, "application/json", json.dumps({"error": "not found"})
         try:
             if path in self.files:
-                with open(self.files[path](args), encoding="utf-8") as f:
-                    return 200, "application/json", f.read()
+                made = self.files[path](args)
+                with open(made, encoding="utf-8") as f:
+                    text = f.read()
+                shutil.rmtree(os.path.dirname(made), ignore_errors=True)
+                return 200, "application/json", text
             return 200, "application/json", json.dumps(self.routes[path](args))
         except KeyError as error:
             return 400, "application/json", json.dumps({"error": f"missing argument: {error.args[0]}"})
@@ -116,11 +134,20 @@ def serve_http(api: Api, port: int = 7890) -> HTTPServer:
             args = dict(parse_qsl(url.query))
             try:
                 args |= json.loads(body) if body else {}
-                if url.path in api.files:
-                    return self._send_file(api.files[url.path](args))
-                status, kind, text = api.rest(url.path, args)
-            except ValueError:
-                status, kind, text = 400, "application/json", json.dumps({"error": "bad JSON"})
+            except (ValueError, TypeError):
+                return self._send(400, "application/json", json.dumps({"error": "bad JSON"}))
+            if url.path not in api.files:
+                return self._send(*api.rest(url.path, args))
+            try:
+                path = api.files[url.path](args)  # before any header, so that its errors have a status of their own
+            except Exception as error:
+                return self._send(404 if "not found" in str(error) else 500, "application/json", json.dumps({"error": str(error)}))
+            try:
+                self._send_file(path)
+            finally:
+                shutil.rmtree(os.path.dirname(path), ignore_errors=True)
+
+        def _send(self, status: int, kind: str, text: str) -> None:
             self.send_response(status)
             self.send_header("Content-Type", f"{kind}; charset=utf-8")
             self.end_headers()
@@ -137,6 +164,9 @@ def serve_http(api: Api, port: int = 7890) -> HTTPServer:
         def do_GET(self) -> None:
             self._answer()
 
+        def do_DELETE(self) -> None:
+            self._answer()
+
         def do_POST(self) -> None:
             n = int(self.headers.get("Content-Length") or 0)
             if n > MAX_BODY:
