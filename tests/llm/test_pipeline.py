@@ -38,7 +38,7 @@ def test_entry_registers_everything():
     import __spark_entry__ as e
 
     q = e.queries()
-    assert "pipeline" in q and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q if k.startswith("op")}
+    assert "pipeline" in q and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in q if k.startswith("op")}
     assert set(e.oracle_sql()) <= set(q)
     assert "quillgraph.llm" in sys.modules
 
