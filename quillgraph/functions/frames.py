@@ -34,9 +34,14 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
 
 
-def last_writer(df: DataFrame) -> DataFrame:
-    """Rows with an id seen several times become one: the last one's values at the first one's place."""
+def spread(df: DataFrame, rows_a_task: int) -> DataFrame:
+    """``df`` over tasks of about so many rows, one a core at least: for rows that are small to move and dear to work on. A small file would give one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task)))
+
+
+def last_writer(df: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Rows with a key seen several times become one: the last one's values at the first one's place."""
     place = F.struct("file_ord", "emit_ord")
-    rest = [c for c in df.columns if c not in ("id", "file_ord", "emit_ord")]
-    one = df.groupBy("id").agg(F.max_by(F.struct(*rest), place).alias("__v"), F.min(place).alias("__p"))
-    return one.select(*[F.col("__p")[c].alias(c) if c in ("file_ord", "emit_ord") else (F.col("id") if c == "id" else F.col("__v")[c].alias(c)) for c in df.columns])
+    rest = [c for c in df.columns if c not in (*keys, "file_ord", "emit_ord")]
+    one = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("__v"), F.min(place).alias("__p"))
+    return one.select(*[F.col("__p")[c].alias(c) if c in ("file_ord", "emit_ord") else (F.col(c) if c in keys else F.col("__v")[c].alias(c)) for c in df.columns])

@@ -46,11 +46,17 @@ def parse(path: str, content: str, language: str | None = None) -> Graph:
     return g
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """(node, edge) of files (path, content), parsed once: each row has one of the two structs. An id may come from several files."""
+#: Files whose rows leave a parser's task together.
+FILES_AT_ONCE = 500
+
+
+def parsed(files: DataFrame, nodes: list[str] = COLUMNS_NODE, edges: list[str] = COLUMNS_EDGE) -> DataFrame:
+    """(node, edge) of files (path, content), parsed once: each row has one of the two structs, with the columns asked for; none of those without any. An id may come from several files."""
     rows = files.select("path", "content", text.language(F.col("path")).alias("language"))
     ints = {"start_line", "end_line", "line", "emit_ord"}
-    node, edge = ([*columns, "file_ord", "emit_ord"] for columns in (COLUMNS_NODE, COLUMNS_EDGE))
+    node, edge = ([*columns, "file_ord", "emit_ord"] for columns in (nodes, edges))
+    node_at, edge_at = ([every.index(c) for c in columns] for every, columns in ((COLUMNS_NODE, nodes), (COLUMNS_EDGE, edges)))
+    ways = bool(nodes), bool(edges)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def structs(found: list[tuple], columns: list[str], before: int, after: int) -> pa.StructArray:
@@ -58,12 +64,14 @@ def parsed(files: DataFrame) -> DataFrame:
             arrays = [pa.array(pad([r[i] for r in found]), pa.int32() if c in ints else pa.string()) for i, c in enumerate(columns)]
             return pa.StructArray.from_arrays(arrays, names=columns, mask=pa.array([True] * before + [False] * len(found) + [True] * after, pa.bool_()))
 
-        for b in it:
+        for b in (whole.slice(at, FILES_AT_ONCE) for whole in it for at in range(0, whole.num_rows, FILES_AT_ONCE)):
             nodes, edges = [], []
             for path, content, language in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 g = parse(path, content or "", language)
-                nodes += [(*row, path, k) for k, row in enumerate(g.nodes.values())]
-                edges += [(*row, path, k) for k, row in enumerate(g.edges.values())]
+                if ways[0]:
+                    nodes += [(*(row[i] for i in node_at), path, k) for k, row in enumerate(g.nodes.values())]
+                if ways[1]:
+                    edges += [(*(row[i] for i in edge_at), path, k) for k, row in enumerate(g.edges.values())]
             yield pa.RecordBatch.from_arrays([structs(nodes, node, 0, len(edges)), structs(edges, edge, len(nodes), 0)], ["node", "edge"])
 
     ddl = lambda columns: "struct<" + ", ".join(f"{c}: {'int' if c in ints else 'string'}" for c in columns) + ">"
@@ -86,6 +94,25 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled(nodes), settled(edges)
 
 
+def parse_nodes(files: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the nodes of ``parse_files``: nothing else leaves the parsers or is shuffled."""
+    return settled(versions(parsed(files, ["id", *columns], []))[0]).select(*columns)
+
+
+def parse_edges(files: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the edges of ``parse_files``, as ``parse_nodes``."""
+    return settled(versions(parsed(files, [], ["id", *columns]))[1]).select(*columns)
+
+
+def parse_both(files: DataFrame, nodes: list[str], edges: list[str]) -> DataFrame:
+    """(node, edge) with these columns of the rows of ``parse_files``, one of the two in each row: files are parsed once and settled by one shuffle."""
+    either = lambda c: F.coalesce(F.col("node")[c], F.col("edge")[c]).alias(c)
+    rows = parsed(files, ["id", *nodes], ["id", *edges]).select(F.col("node").isNotNull().alias("is_node"), either("id"), either("file_ord"), either("emit_ord"), *[
+        F.when(F.col(side).isNotNull(), F.struct(*[F.col(side)[c].alias(c) for c in columns])).alias(side) for side, columns in (("node", nodes), ("edge", edges))
+    ])
+    return last_writer(rows, ("is_node", "id")).select("node", "edge")
+
+
 def file_rows(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The files table: path, hash, size, mtime_ms, language, node_count, edge_count."""
     n = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("node_count"))
