@@ -1,11 +1,12 @@
 """Neighbourhoods and reachability: explore, impact, audit, forward flow, blast radius.
 
-Traversals run level by level on the driver's loop: each level is an equi-join of the frontier with the edges, an
-aggregation of new ids and an anti-join with the visited set, then a checkpoint. Depth is bounded by the caller. Many
+Traversals run level by level on the driver's loop: each level is an equi-join of the frontier with the edges and one
+aggregation of what it finds together with the visited set, then a checkpoint. Depth is bounded by the caller. Many
 targets are traversed at once by keying every row with its seed.
 
 ``nodes`` and ``edges`` are frames, or a source that finds those at given ids by its own keys: ``nodes(ids)`` and
-``edges(ids, side, kinds)``, with ids one id or a frame with a column id.
+``edges(ids, side, kinds)``, with ids one id or a frame with a column id. Impact also takes the source itself for both
+(``follow`` and ``described``): then rows take a step by its keys, and only edges that can be at a frontier are read.
 """
 
 from __future__ import annotations
@@ -37,30 +38,44 @@ def nodes_at(nodes: Nodes, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(nodes, DataFrame) else nodes(ids)
 
 
-def reach(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
-    """(seed, id, depth) of everything within ``depth`` steps of each seed, itself at depth 0. ``steps``: (at, to), or what gives them for a frontier's ids."""
+def reach(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame, int], DataFrame | None], depth: int) -> DataFrame:
+    """(seed, id, depth) of everything within ``depth`` steps of each seed, itself at depth 0. ``steps``: (at, to), or what takes rows (id and more) of a level one step on."""
     seen = checkpoint(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct())
     if isinstance(steps, DataFrame):
-        steps = checkpoint(steps.select("at", "to"))  # written once, read at each level
+        steps = _along(checkpoint(steps.select("at", "to")))  # written once, read at each level
     frontier = seen
     for level in range(1, depth + 1):
-        near = steps if isinstance(steps, DataFrame) else steps(frontier.select("id").distinct())
-        new = frontier.join(near, F.col("id") == F.col("at")).select("seed", F.col("to").alias("id")).distinct()
-        frontier = checkpoint(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
+        near = steps(frontier.select("seed", "id"), level)
+        if near is None:
+            break
+        both = seen.unionByName(near.select("seed", "id", F.lit(level).alias("depth")))
+        frontier = checkpoint(both.groupBy("seed", "id").agg(F.min("depth").alias("depth")).where(F.col("depth") == level))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def _along(near: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """What takes rows along steps (at, to)."""
+    return lambda rows, level: rows.join(near, F.col("id") == F.col("at")).select(F.col("to").alias("id"), *[c for c in rows.columns if c != "id"])
+
+
 def impact_levels(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
     """(seed, id, depth, kind, file_path): nodes that a change of each target's node reaches. ``targets``: (seed, id)."""
     found = reach(targets, _steps(nodes, edges, "target_id", "source_id", schema.IMPACT_KINDS), depth)
-    return found.join(nodes_at(nodes, found).select("id", "kind", "file_path"), "id", "left").select("seed", "id", "depth", "kind", "file_path")
+    return _described(nodes, found).select("seed", "id", "depth", "kind", "file_path")
 
 
-def _steps(nodes: Nodes, edges: Edges, own: str, other: str, kinds: list[str]) -> DataFrame | Callable[[DataFrame], DataFrame]:
-    """Steps from ``own`` to ``other`` ends that are nodes: all, or those of a frontier where a source finds edges by id."""
+def _described(nodes: Nodes, found: DataFrame) -> DataFrame:
+    """What was found with its kind and file_path."""
+    return nodes.described(found) if hasattr(nodes, "described") else found.join(nodes_at(nodes, found).select("id", "kind", "file_path"), "id", "left")
+
+
+def _steps(nodes: Nodes, edges: Edges, own: str, other: str, kinds: list[str]) -> DataFrame | Callable[[DataFrame, int], DataFrame | None]:
+    """Steps from ``own`` to ``other`` ends that are nodes: all, or what takes a frontier's rows along them where a source finds edges by id."""
+    if hasattr(edges, "follow"):
+        return lambda rows, level: edges.follow(rows, own, kinds, level > 1)
     if isinstance(edges, DataFrame):
         rows = edges.where(F.col("kind").isin(kinds)).select(F.col(own).alias("at"), F.col(other).alias("to"))
         return rows.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
@@ -69,7 +84,7 @@ def _steps(nodes: Nodes, edges: Edges, own: str, other: str, kinds: list[str]) -
         rows = checkpoint(edges(ids, own, kinds).select(F.col(own).alias("at"), F.col(other).alias("to")).distinct())
         return rows.join(nodes_at(nodes, rows.select(F.col("to").alias("id"))).select(F.col("id").alias("to")), "to", "left_semi")
 
-    return near
+    return lambda rows, level: _along(near(rows.select("id").distinct()))(rows, level)
 
 
 def numbered(seeds: DataFrame) -> DataFrame:
@@ -79,19 +94,20 @@ def numbered(seeds: DataFrame) -> DataFrame:
     return checkpoint(order.select("seed", n.alias("n"))).select("seed", F.shiftright("n", 6).alias("word"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
 
 
-def reach_together(seeds: DataFrame, numbers: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+def reach_together(seeds: DataFrame, numbers: DataFrame, steps: DataFrame | Callable[[DataFrame, int], DataFrame | None], depth: int) -> DataFrame:
     """(id, word, bits, depth): ``reach`` of many seeds at once, a row for 64 of them: the set bits are the seeds that find the id at that depth."""
     first = seeds.select("seed", "id").join(numbers, "seed").groupBy("id", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     found = checkpoint(first.withColumn("depth", F.lit(0)))
     if isinstance(steps, DataFrame):
-        steps = checkpoint(steps.select("at", "to").distinct())
+        steps = _along(checkpoint(steps.select("at", "to").distinct()))
     frontier = found
     for level in range(1, depth + 1):
-        near = steps if isinstance(steps, DataFrame) else steps(frontier.select("id").distinct())
-        new = frontier.join(near, F.col("id") == F.col("at")).groupBy(F.col("to").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
-        seen = found.groupBy("id", "word").agg(F.bit_or("bits").alias("seen"))
-        bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
-        frontier = checkpoint(new.join(seen, ["id", "word"], "left").select("id", "word", bits.alias("bits"), F.lit(level).alias("depth")).where("bits <> 0"))
+        near = steps(frontier.select("id", "word", "bits"), level)
+        if near is None:
+            break
+        both = near.select("id", "word", "bits", F.lit(0).cast("long").alias("seen")).unionByName(found.select("id", "word", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("seen")))
+        new = both.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+        frontier = checkpoint(new.select("id", "word", F.col("bits").bitwiseAND(F.bitwise_not("seen")).alias("bits"), F.lit(level).alias("depth")).where("bits <> 0"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -109,7 +125,7 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int =
     """One row per target: callers, files, routes, risk and summary."""
     numbers = numbered(targets)
     found = reach_together(targets, numbers, _steps(nodes, edges, "target_id", "source_id", schema.IMPACT_KINDS), depth)
-    rows = checkpoint(found.join(nodes_at(nodes, found).select("id", "kind", "file_path"), "id", "left"))
+    rows = checkpoint(_described(nodes, found).select("word", "bits", "depth", "kind", "file_path"))
     one = lambda test: F.when(test, 1).otherwise(0)
     callers = rows.select("word", "bits", one(F.col("depth") == 1).alias("direct_callers"), one(F.col("depth") > 1).alias("transitive_callers"), one((F.col("depth") > 0) & (F.col("kind") == "route")).alias("affected_routes"))
     files = rows.where("file_path is not null").groupBy("word", "file_path").agg(F.bit_or("bits").alias("bits")).select("word", "bits", F.lit(1).alias("affected_files"))

@@ -248,8 +248,8 @@ def audit_gate(spark, d):
 
 @query(_summary_sql(_MANY, 5) + " SELECT seed, risk, risk NOT IN ('CRITICAL', 'HIGH') AS passed FROM judged")
 def audit_gate_multi(spark, d):
-    n = star.nodes(spark, d)
-    return traverse.audit(n, star.edges(spark, d), resolve.seeds(n, n.where("kind IN ('file', 'class', 'function')").select(F.col("name").alias("seed"))), "MEDIUM")
+    n, g = star.nodes(spark, d), star.Star(spark, d)
+    return traverse.audit(g, g, resolve.seeds(n, n.where("kind IN ('file', 'class', 'function')").select(F.col("name").alias("seed"))), "MEDIUM")
 
 
 @query(f"""{G}, walk AS (SELECT 'order:33' AS id, 0 AS depth UNION SELECT e.target_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_id = w.id JOIN nodes n ON n.id = e.target_id WHERE w.depth < 3 AND e.kind IN ('calls', 'references')),

@@ -119,3 +119,42 @@ class Star:
         at = 0 if side == "source_id" else 1
         wanted = [(t, e) for t in self.tables for e in _EDGES.get(t, []) if kinds is None or any(f"'{k}' AS kind" in e[2] for k in kinds)]
         return self._all([(t, e[at], e[2]) for t, e in wanted], ids, "source_id string, target_id string, kind string, file_path string, line int, ord bigint")
+
+    def _typed(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        """``rows`` (id and more) whose id may be a node's, with its type and key (__type, __key) before the id, and how many there are of each type."""
+        typed = rows.select(F.substring_index("id", ":", 1).alias("__type"), F.expr("try_cast(substring_index(id, ':', -1) AS BIGINT)").alias("__key"), *rows.columns)
+        typed = typed.where(F.col("__type").isin([_KEYS[t][0] for t in self.tables if t in _KEYS]) & (F.col("id") == F.concat_ws(":", "__type", F.col("__key").cast("string"))))
+        return typed, {r[0]: r[1] for r in typed.groupBy("__type").count().collect()}  # one row for each type
+
+    def follow(self, rows: DataFrame, side: str, kinds: list[str], known: bool) -> DataFrame | None:
+        """``rows`` (id and more) with the ids at the other end of the edges whose ``side`` is their id, nodes or not; None if no edge can be at any of them. ``known``: only from ids that are nodes."""
+        at = 0 if side == "source_id" else 1
+        typed, sizes = self._typed(rows)
+        rest, tables, found = [c for c in rows.columns if c != "id"], {_KEYS[t][0]: (t, _KEYS[t][1]) for t in self.tables if t in _KEYS}, []
+        for table in self.tables:
+            for edge in _EDGES.get(table, []):
+                (kind, key), (other, other_key) = edge[at], edge[1 - at]
+                if kind not in sizes or not any(f"'{k}' AS kind" in edge[2] for k in kinds):
+                    continue
+                few = F.broadcast if sizes[kind] <= BROADCAST_KEYS else lambda df: df
+                own = typed.where(F.col("__type") == kind).select("__key", *rest)
+                if known:
+                    home, home_key = tables[kind]
+                    own = self._frames[home].select(F.col(home_key).cast("long").alias("__key")).join(few(own), "__key")
+                ends = self._frames[table].select(F.col(key).cast("long").alias("__key"), F.concat(F.lit(f"{other}:"), F.col(other_key).cast("string")).alias("id"))
+                found.append(ends.join(few(own), "__key").select("id", *rest))
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def described(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (id, depth and more) with kind and file_path, without those that are no nodes; rows of depth 0 stay all the same."""
+        typed, sizes = self._typed(rows)
+        home = [t for t in self.tables if t in _KEYS and _KEYS[t][0] in sizes]
+        if not home:
+            return rows.where("depth = 0").withColumns({"kind": F.lit(None).cast("string"), "file_path": F.lit(None).cast("string")})
+        own = [self.spark.sql(f"SELECT '{_KEYS[t][0]}' AS __type, CAST({_KEYS[t][1]} AS BIGINT) AS __key, kind, file_path FROM ({_NODES[t].replace('SELECT ', f'SELECT {_KEYS[t][1]}, ', 1)})", **{t: self._frames[t]}) for t in home]
+        nodes = reduce(DataFrame.unionByName, own)
+        few = F.broadcast if sum(sizes.values()) <= BROADCAST_KEYS else lambda df: df
+        found = nodes.join(few(typed), ["__key", "__type"]).select(*rows.columns, "kind", "file_path")
+        first = rows.where("depth = 0")
+        lost = first.join(self.nodes(first).select("id"), "id", "left_anti").select(*rows.columns, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("file_path"))
+        return found.unionByName(lost)
