@@ -236,8 +236,8 @@ def impact_summary(spark, d):
 
 @query(f"{G}, {_levels_sql('SELECT ' + repr('EUROPE') + ' AS seed, id FROM nodes WHERE name = ' + repr('EUROPE'), 5)} SELECT l.seed, l.id, depth, kind, file_path FROM levels l JOIN nodes n ON n.id = l.id")
 def impact_levels(spark, d):
-    n = star.nodes(spark, d)
-    return traverse.impact_levels(n, star.edges(spark, d), n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"))
+    n, g = star.nodes(spark, d), star.Star(spark, d)
+    return traverse.impact_levels(g, g, n.where("name = 'EUROPE'").select(F.lit("EUROPE").alias("seed"), "id"))
 
 
 @query(_summary_sql(_ONE, 5) + " SELECT seed, risk, risk <> 'CRITICAL' AS passed FROM judged")

@@ -67,7 +67,7 @@ def test_steps_by_the_tables_keys_equal_steps_along_all_edges(spark, tmp_path, m
         assert both[0] == both[1]
 
 
-@pytest.mark.parametrize("name", ["audit_gate_multi"])
+@pytest.mark.parametrize("name", ["audit_gate_multi", "impact_levels"])
 def test_registered_traversals_write_no_table_of_all_steps(spark, tmp_path, monkeypatch, name):
     kept = []
     monkeypatch.setattr(traverse, "checkpoint", lambda df, real=traverse.checkpoint: (kept.append(df.columns), real(df))[1])
