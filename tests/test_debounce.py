@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillgraph.streaming import debounce
@@ -59,3 +60,54 @@ def test_every_burst_of_a_stream(spark, tmp_path):
     found = sorted((r.key, r.s, r.e, r.n, tuple(r.items)) for r in got.select("key", F.unix_seconds("start").alias("s"), F.unix_seconds("end").alias("e"), "n", "items").collect())
     assert found == brute(rows, 60)
     assert debounce.pending(spark, str(tmp_path / "ck")).count() == 0
+
+
+class Handle:
+    """A key's state, by hand."""
+
+    def __init__(self):
+        self.rows, self.timers, self.asked = [], [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):
+        self.asked += 1
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_bursts_pass_to_the_state_and_out_in_chunks(spark):
+    """A value for each burst, and a frame where nothing is closed, made a key's work grow far faster than its events'."""
+    class Now:
+        @staticmethod
+        def getCurrentProcessingTimeInMs():
+            return 7
+
+    work, handle = debounce.Debounce(5, 10**9, 100), Handle()
+    work.init(handle)
+    rng = random.Random(2)
+    events = [("k", 10 * rng.randrange(2500) + rng.randrange(3), rng.choice(["a", 'b"\n', None])) for _ in range(4000)]
+    frames = [pd.DataFrame(events[at : at + 1000], columns=["key", "ts", "item"]) for at in range(0, 4000, 1000)]
+    assert list(work.handleInputRows(("k",), iter(frames[:3]), Now)) == [] and handle.asked == 0
+    assert list(work.handleInputRows(("k",), iter(frames[3:]), Now)) == [] and handle.asked == 1 and handle.timers == [107]
+    want = [(s, e, n, tuple(sorted(x for x in i if x))) for _, s, e, n, i in brute([(k, t, i or "") for k, t, i in events], 5)]
+    assert len(handle.rows) == -(-len(want) // debounce.CHUNK) < len(want) / 100
+    out = list(work.handleExpiredTimer(("k",), Now, None))
+    assert len(out) == 1 and len(out[0]) == -(-len(want) // debounce.CHUNK) and handle.rows == []
+    got = debounce._apart(spark.createDataFrame(out[0])).select("key", F.unix_micros("start"), F.unix_micros("end"), "n", "items").collect()
+    assert sorted((s, e, n, tuple(i)) for k, s, e, n, i in got) == want
