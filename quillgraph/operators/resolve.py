@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.frames import checkpoint
+
+#: Answers to different references that may be broadcast; more are joined by shuffle.
+BROADCAST_ANSWERS = 100_000
+
 
 def find_by_name(nodes: DataFrame, name: str) -> DataFrame:
     """Nodes whose name equals ``name`` apart from case, in graph order."""
@@ -33,11 +38,16 @@ def _named(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("kind").isin("file", "doc_document")).select(F.lower("name").alias("__key"), "id", "file_path", "ord")
 
 
+def _external() -> Column:
+    t = F.col("target_id")
+    return t.startswith("pkg:") | t.startswith("crate:") | t.startswith("file:")
+
+
 def _reference() -> Column:
     """The name that an edge's target asks for; null for an external one."""
     t = F.col("target_id")
     raw = F.when(t.startswith("sym:"), F.substring(t, 5, 1 << 20)).otherwise(F.coalesce(F.col("target_name"), F.get(F.split(t, "#"), F.lit(1)), t))
-    return F.when(~(t.startswith("pkg:") | t.startswith("crate:") | t.startswith("file:")), raw)
+    return F.when(~_external(), raw)
 
 
 def asks(edges: DataFrame) -> DataFrame:
@@ -75,17 +85,26 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A reference is symbolic if its target begins with ``sym:`` or is missing and not external. One node of the
     name: exact. Several: the first in the edge's own file (exact), else the first of all (heuristic). None: stays
-    symbolic. Names are combined to one row each before they are joined, so no name multiplies edges.
+    symbolic. Edges that ask the same in the same file are answered once, by names that are asked for, combined to one
+    row each; only the answers are joined to the edges, so no name multiplies any and the edges are moved once at most.
     """
-    named = _named(nodes)
-    anywhere = named.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min_by("id", "ord").alias("__any"))
-    same_file = named.groupBy("__key", F.col("file_path").alias("__path")).agg(F.min_by("id", "ord").alias("__own"))
-    present = nodes.select(F.col("id").alias("__id")).distinct()
-    t = F.col("target_id")
-    rows = edges.join(present, t == F.col("__id"), "left").withColumn("__raw", F.when(t.startswith("sym:") | F.col("__id").isNull(), _reference()))
-    rows = rows.withColumn("__key", F.lower("__raw")).join(anywhere, "__key", "left").withColumn("__path", F.col("file_path")).join(same_file, ["__key", "__path"], "left")
-    hit = F.col("__raw").isNotNull() & F.col("__n").isNotNull()
-    target: Column = F.when(hit & (F.col("__n") == 1), F.col("__any")).when(hit, F.coalesce("__own", "__any")).when(F.col("__raw").isNotNull(), F.concat(F.lit("sym:"), "__raw")).otherwise(t)
-    sure = F.when(hit & ((F.col("__n") == 1) | F.col("__own").isNotNull()), F.lit("exact")).when(hit, F.lit("heuristic")).otherwise(F.col("confidence") if "confidence" in edges.columns else F.lit(None).cast("string"))
-    out = rows.withColumn("target_id", target).withColumn("confidence", sure)
+    t, asked_by = F.col("target_id"), ["target_id", "target_name", "file_path"]
+    asked = checkpoint(edges.where(~_external()).select(*asked_by).distinct().withColumn("__raw", _reference()))
+    open_ = ~t.startswith("sym:")
+    symbolic = asked
+    if not asked.where(open_).isEmpty():
+        symbolic = checkpoint(asked.where(~open_).unionByName(asked.where(open_).join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti")))
+    symbolic = symbolic.withColumn("__key", F.lower("__raw"))
+    named = _named(nodes).join(symbolic.select("__key").distinct(), "__key", "left_semi")
+    own = checkpoint(named.groupBy("__key", F.col("file_path").alias("__path")).agg(F.count(F.lit(1)).alias("__c"), F.min_by("id", "ord").alias("__own"), F.min("ord").alias("__ord")))
+    anywhere = own.groupBy("__key").agg(F.sum("__c").alias("__n"), F.min_by("__own", "__ord").alias("__any"))
+    rows = symbolic.join(anywhere, "__key", "left").withColumn("__path", F.col("file_path")).join(own.select("__key", "__path", "__own"), ["__key", "__path"], "left")
+    hit = F.col("__n").isNotNull()
+    target = F.when(F.col("__n") == 1, F.col("__any")).when(hit, F.coalesce("__own", "__any")).otherwise(F.concat(F.lit("sym:"), "__raw"))
+    sure = F.when((F.col("__n") == 1) | F.col("__own").isNotNull(), F.lit("exact")).when(hit, F.lit("heuristic"))
+    answers = checkpoint(rows.select(*[F.col(c).alias(f"__{c}") for c in asked_by], target.alias("__target"), sure.alias("__sure")).where("__sure is not null or not __target <=> __target_id"))
+    few = F.broadcast(answers) if answers.count() <= BROADCAST_ANSWERS else answers
+    same = (t == F.col("__target_id")) & F.col("target_name").eqNullSafe(F.col("__target_name")) & F.col("file_path").eqNullSafe(F.col("__file_path"))
+    before = F.col("confidence") if "confidence" in edges.columns else F.lit(None).cast("string")
+    out = edges.join(few, same, "left").withColumn("target_id", F.when(F.col("__target_id").isNotNull(), F.col("__target")).otherwise(t)).withColumn("confidence", F.coalesce("__sure", before))
     return out.select(*edges.columns, *([] if "confidence" in edges.columns else ["confidence"]))

@@ -1,8 +1,10 @@
 """What keeps a query's work spread and bounded as its tables grow."""
 
+import random
+
 import pytest
 
-from quillgraph.operators import metrics
+from quillgraph.operators import metrics, resolve
 from quillgraph.plans import registry
 
 
@@ -74,3 +76,34 @@ def test_text_index_shuffles_counts_and_keeps_shared_ids_apart(spark, tmp_path):
     assert sorted(map(tuple, registry.QUERIES["text_index"](spark, str(tmp_path)).collect())) == [("bird", 2), ("fish", 1), ("red", 2)]
     spark.createDataFrame(rows[:2], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert "doc_id" not in [x for x in plan(registry.QUERIES["text_index"](spark, f"{tmp_path}/b")).splitlines() if "Exchange" in x][0]
+
+
+def test_references_are_answered_once_and_edges_not_moved_for_few_answers(spark, monkeypatch):
+    rng, old = random.Random(3), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    nodes = [(f"n{k}", rng.choice(["Run", "run", "load", "one", None]) if k else "Single", rng.choice(["file", "function", "class"]) if k else "class", rng.choice(["a", "b", "c", None]), k) for k in range(40)]
+    targets = ["sym:RUN", "sym:run", "sym:load", "sym:single", "sym:none", "sym:", "pkg:run", "crate:x", "file:a", "n3", "n4", "x#load", "run", "lost", None]
+    edges = [(f"e{k}", rng.choice(targets), rng.choice(["load", None, None]), rng.choice(["a", "b", None]), rng.choice(["given", None])) for k in range(400)]
+    want, ids = [], {n[0] for n in nodes}
+    for e, t, name, path, sure in edges:
+        ask = None
+        if t is not None and not t.startswith(("pkg:", "crate:", "file:")):
+            ask = t[4:] if t.startswith("sym:") else None if t in ids else name or (t.split("#") + [t])[1]
+        if ask is not None:
+            same = [n for n in nodes if n[1] and n[1].lower() == ask.lower() and n[2] != "file"]
+            own = [n for n in same if n[3] == path and path is not None]
+            t = (same if len(same) == 1 else own or same)[0][0] if same else f"sym:{ask}"
+            sure = ("exact" if len(same) == 1 or own else "heuristic") if same else sure
+        want.append((e, t, sure))
+    n = spark.createDataFrame(nodes, "id string, name string, kind string, file_path string, ord long")
+    e = spark.createDataFrame(edges, "id string, target_id string, target_name string, file_path string, confidence string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all were large
+    try:
+        out = resolve.resolve(n, e)
+        assert "SortMergeJoin" not in plan(out) and "Exchange hashpartitioning" not in plan(out)
+        assert sorted(map(tuple, out.select("id", "target_id", "confidence").collect())) == sorted(want)
+        monkeypatch.setattr(resolve, "BROADCAST_ANSWERS", 0)
+        out = resolve.resolve(n, e)
+        assert plan(out).count("SortMergeJoin") == 1
+        assert sorted(map(tuple, out.select("id", "target_id", "confidence").collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
