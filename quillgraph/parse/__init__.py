@@ -50,29 +50,30 @@ def parse(path: str, content: str, language: str | None = None) -> Graph:
 FILES_AT_ONCE = 500
 
 
-def parsed(files: DataFrame, nodes: list[str] = COLUMNS_NODE, edges: list[str] = COLUMNS_EDGE) -> DataFrame:
-    """(node, edge) of files (path, content), parsed once: each row has one of the two structs, with the columns asked for; none of those without any. An id may come from several files."""
+def parsed(files: DataFrame, nodes: list[str] = COLUMNS_NODE, edges: list[str] = COLUMNS_EDGE, places: bool = True) -> DataFrame:
+    """(node, edge) of files (path, content), parsed once: each row has one of the two structs, with the columns asked for; none of those without any. An id may come from several files; ``places`` tells which and where."""
     rows = files.select("path", "content", text.language(F.col("path")).alias("language"))
     ints = {"start_line", "end_line", "line", "emit_ord"}
-    node, edge = ([*columns, "file_ord", "emit_ord"] for columns in (nodes, edges))
+    node, edge = ([*columns, *(["file_ord", "emit_ord"] if places else [])] for columns in (nodes, edges))
     node_at, edge_at = ([every.index(c) for c in columns] for every, columns in ((COLUMNS_NODE, nodes), (COLUMNS_EDGE, edges)))
-    ways = bool(nodes), bool(edges)
+    node_type, edge_type = (pa.struct([(c, pa.int32() if c in ints else pa.string()) for c in columns]) for columns in (node, edge))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def structs(found: list[tuple], columns: list[str], before: int, after: int) -> pa.StructArray:
-            pad = lambda values: [None] * before + values + [None] * after
-            arrays = [pa.array(pad([r[i] for r in found]), pa.int32() if c in ints else pa.string()) for i, c in enumerate(columns)]
-            return pa.StructArray.from_arrays(arrays, names=columns, mask=pa.array([True] * before + [False] * len(found) + [True] * after, pa.bool_()))
+    def structs(found: list[tuple[str, list[tuple]]], at: list[int], type_: pa.StructType) -> pa.StructArray:
+        every = [row for _, rows in found for row in rows]
+        columns = [[row[k] for row in every] for k in at]
+        if places:
+            columns += [[path for path, rows in found for _ in rows], [k for _, rows in found for k in range(len(rows))]]
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, type_, strict=True)], fields=list(type_))
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, FILES_AT_ONCE) for whole in it for at in range(0, whole.num_rows, FILES_AT_ONCE)):
-            nodes, edges = [], []
-            for path, content, language in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                g = parse(path, content or "", language)
-                if ways[0]:
-                    nodes += [(*(row[i] for i in node_at), path, k) for k, row in enumerate(g.nodes.values())]
-                if ways[1]:
-                    edges += [(*(row[i] for i in edge_at), path, k) for k, row in enumerate(g.edges.values())]
-            yield pa.RecordBatch.from_arrays([structs(nodes, node, 0, len(edges)), structs(edges, edge, len(nodes), 0)], ["node", "edge"])
+            graphs = [parse(path, content or "", language) for path, content, language in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            if node_at:
+                found = structs([(g.path, list(g.nodes.values())) for g in graphs], node_at, node_type)
+                yield pa.RecordBatch.from_arrays([found, pa.nulls(len(found), edge_type)], ["node", "edge"])
+            if edge_at:
+                found = structs([(g.path, list(g.edges.values())) for g in graphs], edge_at, edge_type)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), node_type), found], ["node", "edge"])
 
     ddl = lambda columns: "struct<" + ", ".join(f"{c}: {'int' if c in ints else 'string'}" for c in columns) + ">"
     return rows.mapInArrow(batches, f"node {ddl(node)}, edge {ddl(edge)}")
@@ -104,13 +105,10 @@ def parse_edges(files: DataFrame, *columns: str) -> DataFrame:
     return settled(versions(parsed(files, [], ["id", *columns]))[1]).select(*columns)
 
 
-def parse_both(files: DataFrame, nodes: list[str], edges: list[str]) -> DataFrame:
-    """(node, edge) with these columns of the rows of ``parse_files``, one of the two in each row: files are parsed once and settled by one shuffle."""
-    either = lambda c: F.coalesce(F.col("node")[c], F.col("edge")[c]).alias(c)
-    rows = parsed(files, ["id", *nodes], ["id", *edges]).select(F.col("node").isNotNull().alias("is_node"), either("id"), either("file_ord"), either("emit_ord"), *[
-        F.when(F.col(side).isNotNull(), F.struct(*[F.col(side)[c].alias(c) for c in columns])).alias(side) for side, columns in (("node", nodes), ("edge", edges))
-    ])
-    return last_writer(rows, ("is_node", "id")).select("node", "edge")
+def parse_apart(files: DataFrame, nodes: list[str], edges: list[str]) -> DataFrame:
+    """(node, edge) with these columns of the rows of ``parse_files``, one of the two in each row, of files that share no id: each path comes once and their routes differ.
+    A file's own rows are settled as it is parsed, so files are parsed once and nothing is shuffled."""
+    return parsed(files, nodes, edges, places=False)
 
 
 def file_rows(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from quillgraph import parse
 from quillgraph.operators import metrics, resolve
-from quillgraph.plans import registry
+from quillgraph.parse import lexer
+from quillgraph.plans import code, registry
 
 
 def plan(df) -> str:
@@ -20,6 +22,47 @@ def test_parsers_get_spread_rows_and_give_only_what_is_asked(spark, sf, name):
     assert shown.count("MapInArrow") == 1  # nodes and edges come from the same run
 
 
+def test_programs_are_not_shuffled_once_parsed(spark, sf, tmp_path):
+    """Only the keys are dealt out; what is parsed of them is 34 rows a file, and no two files share an id: the same rows as settled by id, repeated keys or not."""
+    shown = plan(registry.QUERIES["parse_programs"](spark, sf))
+    assert "Exchange" not in shown[: shown.index("MapInArrow")]
+    keys = [*range(60), 7, 7, 59]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["parse_programs"](spark, str(tmp_path)).collect()
+    nodes, edges = parse.parse_files(code._programs(spark, str(tmp_path)))
+    want = nodes.where("kind <> 'file'").select("file_path", "kind", "name", "start_line", "end_line").collect()
+    want += edges.selectExpr("file_path", "kind", "target_name", "line", "0").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r[0] for r in got}) == 120
+
+
+def test_plain_script_is_cut_by_one_call(monkeypatch):
+    """Tokens cost no call of the pattern each: one call cuts all up to a template, a "/" or an element."""
+    calls = []
+
+    class Counted:
+        def findall(self, *args):
+            calls.append(1)
+            return pattern.findall(*args)
+
+    pattern = lexer._WORDS[False]
+    monkeypatch.setitem(lexer._WORDS, False, Counted())
+    got = lexer.Lexer("const a = b(c, 'd'); // no(1)\n" * 500 + "e = /f/.g(h)\n", False)
+    assert len(calls) == 2 and len(got.kinds) == 500 * 10 + 8 and got.kinds[-6] == "regex" and got.numbers[-1] == 500
+
+
+def test_cut_at_once_or_token_by_token(monkeypatch):
+    """A long text is cut token by token until its rest is short: both ways give the same tokens."""
+    rng = random.Random(5)
+    bits = ["`", "${", "}", "{", "(", ")", "/", "//", "/*", "*/", "'", '"', "\\", "<", "<a", "</a>", "/>", "\n", " ", "#", "#!x\n", "é", "٣", ".5", "...", "?.", "=>", "return ", "a", "_b", "7", "<T,>", "\u2028"]
+    for _ in range(2000):
+        text, jsx = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))), rng.random() < 0.5
+        ways = [lexer.Lexer(text, jsx, near) for near in (lexer.NEAR, 0, 12)]
+        assert len({str((x.kinds, x.texts, sorted(x.fresh), x.pair, x.starts, x.numbers)) for x in ways}) == 1, text
+        whole = ways[1]
+        for at, word in zip(whole.ats, whole.texts, strict=True):
+            assert word in ("[", "]", ",") or text.startswith(word, at)
+
+
 def test_sql_files_are_parsed_once(spark, sf, monkeypatch):
     from quillgraph.functions import frames
 
